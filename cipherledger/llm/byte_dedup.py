@@ -30,7 +30,7 @@ from .suffix_groups import suffix_array
 LENGTH, Q = 50, 26
 #: Text bytes of a pack, of a bucket, and of one suffix array.
 PACK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 2_000_000, 8_000_000, 400_000
-_PACK = "pack long, ids binary, lens binary, data binary"
+_PACK = "pack long, ids binary, lens binary, data binary, extra binary"
 _NONE = -(1 << 63)
 
 
@@ -40,19 +40,20 @@ def _batch(names: list[str], cols: list[pa.Array]) -> pa.RecordBatch:
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
-    held: list[tuple[int, bytes]] = []
+    held: list[tuple[int, bytes, str]] = []
     size = 0
 
     def send() -> pa.RecordBatch:
-        body = b"".join(t for _, t in held)
-        key = int.from_bytes(hashlib.blake2b(body + str([d for d, _ in held]).encode() + np.random.default_rng().bytes(16), digest_size=8).digest(), "little") >> 1
-        ids = np.array([d for d, _ in held], "<i8").tobytes()
-        lens = np.array([len(t) for _, t in held], "<i8").tobytes()
-        return _batch(["pack", "ids", "lens", "data"], [pa.array([key]), pa.array([ids], pa.binary()), pa.array([lens], pa.binary()), pa.array([press.compress(body)], pa.binary())])
+        body = b"".join(t for _, t, _ in held)
+        key = int.from_bytes(hashlib.blake2b(body + str([d for d, _, _ in held]).encode() + np.random.default_rng().bytes(16), digest_size=8).digest(), "little") >> 1
+        ids = np.array([d for d, _, _ in held], "<i8").tobytes()
+        lens = np.array([len(t) for _, t, _ in held], "<i8").tobytes()
+        extra = press.compress("\n".join(x for _, _, x in held).encode())
+        return _batch(["pack", "ids", "lens", "data", "extra"], [pa.array([key]), pa.array([ids], pa.binary()), pa.array([lens], pa.binary()), pa.array([press.compress(body)], pa.binary()), pa.array([extra], pa.binary())])
 
     for b in batches:
-        for d, t in zip(b.column("_id").to_pylist(), b.column("_t"), strict=True):
-            held.append((_NONE if d is None else d, t.as_buffer().to_pybytes() if t.is_valid else b""))
+        for d, t, x in zip(b.column("_id").to_pylist(), b.column("_t"), b.column("_x").to_pylist(), strict=True):
+            held.append((_NONE if d is None else d, t.as_buffer().to_pybytes() if t.is_valid else b"", x))
             size += len(held[-1][1])
             if size >= PACK_BYTES or len(held) >= 20_000:
                 yield send()
@@ -334,6 +335,7 @@ def _finish(length: int, q: int, n: int, with_text: bool):  # noqa: ANN202
                         np.add.at(delta, at, 1)
                         np.add.at(delta, at + length, -1)
                 gone = np.cumsum(delta[:-1]) > 0
+                extra = zstandard.ZstdDecompressor().decompress(row["extra"]).decode().split("\n")
                 out: list[tuple] = []
                 for k, (a, e) in enumerate(zip(p.off[:-1].tolist(), p.off[1:].tolist(), strict=True)):
                     g = gone[a:e]
@@ -344,8 +346,8 @@ def _finish(length: int, q: int, n: int, with_text: bool):  # noqa: ANN202
                     if with_text:
                         text = _whole_chars(p.data[a:e], g) if removed else kept.decode()
                     d = int(p.ids[k])
-                    out.append((None if d == _NONE else d, e - a, removed, spans, hashlib.sha256(kept).hexdigest(), text))
-                kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text
+                    out.append((None if d == _NONE else d, e - a, removed, spans, hashlib.sha256(kept).hexdigest(), text, extra[k]))
+                kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string()), ("carried", pa.string())] * with_text
                 yield _batch([k for k, _ in kinds], [pa.array([r[j] for r in out], t) for j, (_, t) in enumerate(kinds)])
 
     return run
@@ -359,16 +361,17 @@ def _whole_chars(data: np.ndarray, gone: np.ndarray) -> str:
     return data[~full].tobytes().decode()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, with_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every row; whole texts, null counts as empty.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, carried]) of every row; whole texts, null counts as empty.
 
     A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller id. Rows
     that share an id don't remove each other's bytes; a null id is the smallest. Texts shorter than `length` stay
-    whole. An empty table gives an empty table; other columns aren't read.
+    whole. An empty table gives an empty table; other columns aren't read,
+    but those named in `carry` come along in the struct `carried` when texts are asked for.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"), (F.to_json(F.struct(*carry)) if carry else F.lit("")).alias("_x"))
     packs = stored(rows.mapInArrow(_packs, _PACK), "packs")
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
@@ -379,5 +382,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = packs.join(codes, "pack", "left")
     texts = told.mapInArrow(_texts(length, q, n), _TEXTS).repartition(n, "bucket").mapInArrow(_resolve(length), "pack long, entries binary, lens binary, masks binary")
     masks = stored(texts.groupBy("pack").agg(F.collect_list(F.struct("entries", "lens", "masks")).alias("masks")), "masks")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return told.join(masks, "pack", "left").mapInArrow(_finish(length, q, n, with_text), schema).withColumnRenamed("doc_id", id_col)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, carried string" if with_text else "")
+    out = told.join(masks, "pack", "left").mapInArrow(_finish(length, q, n, with_text), schema).withColumnRenamed("doc_id", id_col)
+    if with_text:
+        kinds = docs.select(*carry).schema.simpleString() if carry else ""
+        out = out.withColumn("carried", F.from_json("carried", kinds)) if carry else out.drop("carried")
+    return out

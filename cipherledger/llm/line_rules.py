@@ -56,15 +56,17 @@ def line_verdict(line: Column) -> Column:
     )
 
 
-def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept: float = 0.5) -> DataFrame:
+def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: the id, base statistics, verdict and cleaned text.
 
     A null text counts as empty and fails the base rule; repeated rows and ids each get their own row; an empty table
-    gives an empty table; other columns are not read, so their names can't clash. Texts of any length are read whole.
+    gives an empty table; other columns are not read, so their names can't clash; those named in `carry` come along in the struct `carried`. Texts of any length are read whole.
     A document is kept if it passes the base rule and its lines that pass hold at least `min_kept` of its words.
     """
     text = F.col("_t")
-    out = docs.select(F.col(id_col), text_of(text_col).alias("_t"))
+    extra = [F.struct(*carry).alias("carried")] if carry else []
+    out = docs.select(F.col(id_col), text_of(text_col).alias("_t"), *extra)
+    extra = ["carried"] if carry else []
     out = out.withColumn("_w", words_of(text)).withColumn("_l", F.split(text, "\n", -1))
     lines = F.filter("_l", lambda x: x.rlike(NON_SPACE))
     count = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(f"{NON_SPACE}+")))
@@ -77,6 +79,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _repeat_words(F.col("_w")).cast("long").alias("n_repeat_words"),
         F.filter("_l", lambda x: line_verdict(x).isNull()).alias("_kept"),
         F.size("_l").alias("_n_lines"),
+        *extra,
     )
     out = out.withColumn("words_kept", count(F.col("_kept")).cast("long"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -92,6 +95,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "words_kept",
         (F.col("_n_lines") - F.size("_kept")).cast("long").alias("lines_removed"),
         F.array_join("_kept", "\n").alias("clean_text"),
+        *extra,
     )
 
 

@@ -16,12 +16,14 @@ from .common import NON_SPACE, text_of
 
 OTHER = "other"
 #: Production targets: shares of tokens.
-SOURCES = {"src0": 0.15, "src1": 0.10, "src2": 0.10, OTHER: 0.65}
-LANGS = {"en": 0.50, "de": 0.20, "fr": 0.15, "es": 0.10, OTHER: 0.05}
-TOPICS = {"licence": 0.10, "contact": 0.10, OTHER: 0.80}
+SOURCES = {"src0": 0.25, "src1": 0.05, "src2": 0.05, OTHER: 0.65}
+LANGS = {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.11, OTHER: 0.01}
+TOPICS = {"licence": 0.04, "contact": 0.02, OTHER: 0.94}
 #: Topic of a text: the first whose pattern occurs.
 TOPIC_RULES = (("licence", "licen[cs]ed under|under the mit licen[cs]e|all rights reserved"), ("contact", "[a-z0-9._]+@[a-z0-9-]+[.][a-z]+"))
 ROUNDS = 12
+#: Greatest calibrated share over present share: a scarce cell can't make all others scarce.
+MAX_RATIO = 2.0
 
 
 def topic_of(text: Column) -> Column:
@@ -47,7 +49,7 @@ def rake(cells: list[tuple[tuple[str, str, str], float]], targets: list[Mapping[
 def mix_sources(docs: DataFrame, sources: Mapping[str, float] = SOURCES, langs: Mapping[str, float] = LANGS, topics: Mapping[str, float] = TOPICS, rate: float | None = None, seed: str = "mix") -> DataFrame:
     """The input rows with n_words, cell columns, weight, probability and selected appended under the prefix `mix_`.
 
-    The weight of a cell is its calibrated share over its share of tokens; probability = min(1, scale x weight), the
+    The weight of a cell is its calibrated share over its share of tokens, MAX_RATIO at most; probability = min(1, scale x weight), the
     scale being such that the least weight above 0 in demand stays whole: rate / greatest weight, or with rate None
     the largest scale at which no probability passes 1. Texts without words belong to their cell and weigh nothing in
     it; null source, lang or text count as `other`, `other` and empty; repeated ids share their fate; an empty
@@ -67,7 +69,7 @@ def mix_sources(docs: DataFrame, sources: Mapping[str, float] = SOURCES, langs:
     cells = sorted(((r[0], r[1], r[2]), float(r["n"])) for r in sums)
     total = sum(v for _, v in cells)
     w = rake(cells, [sources, langs, topics])
-    ratio = {k: (w[k] * total / v if v > 0 else 0.0) for k, v in cells}
+    ratio = {k: (min(MAX_RATIO, w[k] * total / v) if v > 0 else 0.0) for k, v in cells}
     top = max(ratio.values(), default=0.0)
     scale = (rate or 1.0) / top if top > 0 else 0.0
     key = F.concat_ws("|", *axes)
@@ -98,7 +100,7 @@ def sql(table: str = "documents", columns: str | None = None) -> str:
         for axis in range(3):
             ctes.append(f"mw_{n + 1} AS MATERIALIZED (SELECT a0, a1, a2, coalesce(w * t / nullif(sum(w) OVER (PARTITION BY a{axis}), 0), 0) AS w FROM mw_{n} LEFT JOIN mt_{axis} ON c = a{axis})")
             n += 1
-    ctes.append(f"mr AS (SELECT f.a0, f.a1, f.a2, CASE WHEN s.w > 0 THEN f.w * (SELECT sum(w) FROM mw_0) / s.w ELSE 0 END AS weight FROM mw_{n} f JOIN mw_0 s ON f.a0 = s.a0 AND f.a1 = s.a1 AND f.a2 = s.a2)")
+    ctes.append(f"mr AS (SELECT f.a0, f.a1, f.a2, CASE WHEN s.w > 0 THEN least({MAX_RATIO}, f.w * (SELECT sum(w) FROM mw_0) / s.w) ELSE 0 END AS weight FROM mw_{n} f JOIN mw_0 s ON f.a0 = s.a0 AND f.a1 = s.a1 AND f.a2 = s.a2)")
     ctes.append("mz AS (SELECT mx.*, weight, coalesce(least(1.0, weight / nullif((SELECT max(weight) FROM mr), 0)), 0) AS probability, CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS draw FROM mx JOIN mr USING (a0, a1, a2))")
     tail = f"SELECT {columns} FROM mz WHERE draw < probability" if columns else "SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, a2 AS topic, round(weight, 6) AS weight, round(probability, 6) AS probability, draw < probability AS selected FROM mz"
     return "WITH " + ",\n".join(ctes) + "\n" + tail

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dialogue, jaccard_join, line_rules, merkle, mixing, piece_encoding, quality, token_files, warc
+from . import byte_dedup, dialogue, jaccard_join, line_rules, merkle, mixing, piece_encoding, quality, token_files, warc
 from .common import scratch
 
 
@@ -47,6 +47,10 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_against_next(_read(spark, sf_dir, "documents"))
 
 
+def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(_read(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -55,5 +59,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op9_line_rules, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard)}
 ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op5_warc": warc.SQL, "op6_perspectives": dialogue.SQL, "op9_line_rules": line_rules.sql()}

@@ -1,13 +1,60 @@
-"""Corpus pipeline: placeholder stages are replaced as operators land."""
+"""Corpus pipeline: quality rules, near duplicates, repeated passages, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cipherledger.llm import byte_dedup, jaccard_join, line_rules, mixing, piece_encoding
+from cipherledger.llm.common import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame, text: str) -> DataFrame:
+    return df.select("doc_id", F.col(text).alias("text"), "carried.lang", "carried.source", F.length(text).cast("long").alias("n_chars"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail a rule go; documents that fail the base rule or lose half of their words go."""
+    return _documents(line_rules.line_quality(docs, carry=("lang", "source")).filter("kept"), "clean_text")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked ones stays; so do documents without words or id."""
+    gone = jaccard_join.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document has go from the later texts; broken characters stay whole."""
+    return _documents(byte_dedup.remove_repeats(docs, with_text=True, carry=("lang", "source")), "kept_text")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token shares follow the targets by source, language and topic."""
+    return mixing.mix_sources(docs.select(*COLUMNS)).filter("mix_selected").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text left, with digests of ids and decoded text."""
+    out = piece_encoding.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mix), ("encoding", encode)]
+#: Byte removal and piece encoding have no SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):  # noqa: ANN001, ANN201
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"stage{k}")
     return docs

@@ -29,7 +29,7 @@ from .suffix_groups import suffix_array
 
 LENGTH, Q = 50, 26
 #: Text bytes of a pack, of a bucket, and of one suffix array.
-PACK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 2_000_000, 8_000_000, 400_000
+PACK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 1_000_000, 3_000_000, 400_000
 _PACK = "pack long, ids binary, lens binary, data binary, extra binary"
 _NONE = -(1 << 63)
 

@@ -36,7 +36,7 @@ COUNTED = 30
 #: Members from which a group is dealt anew by further signatures, and how often at most.
 LARGE, DEALS = 48, 3
 #: Text bytes for each counting bucket; entries that a task gathers before it sends them.
-BUCKET_BYTES, SEND = 16_000_000, 1_000_000
+BUCKET_BYTES, SEND = 5_000_000, 1_000_000
 #: 64-bit words of a parity bitmap.
 BITMAP = 16
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]

@@ -16,6 +16,7 @@ the same packs whatever the partitioning. Four steps:
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,7 +221,7 @@ def repeated_windows(strings: list[bytes], docs: list[np.ndarray], length: int)
     of = np.repeat(np.arange(len(strings)), [len(s) + 1 for s in strings])
     for s, e in zip(strings, ends, strict=True):
         text[e - 1 - len(s) : e - 1] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
-    sa = np.array(suffix_array(text.tolist()), np.int64)
+    sa = np.array(suffix_array(array("i", text.astype(np.int32).tobytes())), np.int64)
     sa = sa[sa + length <= ends[of[sa]] - 1]
     raw = np.concatenate((text, np.zeros(length, np.int64))).astype(np.uint16)
     same = np.zeros(len(sa), bool)

@@ -9,10 +9,11 @@ next in their groups. Nothing is renamed and there is no recursion.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 
-def suffix_array(text: Sequence[int]) -> list[int]:
+def suffix_array(text: Sequence[int]) -> Sequence[int]:
     """Start positions of the suffixes of `text` in ascending order; a suffix that is a prefix of another comes first."""
     n = len(text)
     if n == 0:
@@ -22,23 +23,22 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         count[c + 1] += 1
     for c in range(1, len(count)):
         count[c] += count[c - 1]
-    group = [count[c] for c in text]  # where a suffix's group starts
-    order, place = [0] * n, [0] * n
+    group = array("i", [count[c] for c in text])  # where a suffix's group starts
+    order, place = array("i", bytes(4 * n)), array("i", bytes(4 * n))
     free = count[:]
     for i, c in enumerate(text):
         k = free[c]
         free[c] = k + 1
         order[k], place[i] = i, k
-    end = [0] * (n + 1)  # end of the group that starts there
+    end = array("i", bytes(4 * (n + 1)))  # end of the group that starts there
     for c in range(len(count) - 1):
         if free[c] > count[c]:
             end[count[c]] = free[c]
-    prev = [-1] * n
+    prev = array("i", bytes(4 * n))
     top = n
     while top > 0:
         g = group[order[top - 1]]
-        members = order[g:top]
-        members.sort()
+        members = sorted(order[g:top])
         children: dict[int, int] = {}
         for i in members:
             p = i - 1
@@ -72,8 +72,8 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                         for x in range(e, e + m):
                             group[order[x]] = e
         top = g
-    free = list(range(n + 1))
-    out, placed = [-1] * n, bytearray(n)
+    free = array("i", range(n + 1))
+    out, placed = array("i", bytes(4 * n)), bytearray(n)
     p = n - 1
     while p >= 0:
         g = group[p]

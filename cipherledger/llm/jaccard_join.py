@@ -33,8 +33,8 @@ SHINGLE, PERCENT = 5, 80
 N2 = 4
 #: Share of the shingle domain, in percent, on which documents per shingle are counted.
 COUNTED = 30
-#: Members from which a group is dealt anew by further signatures, and how often at most.
-LARGE, DEALS = 48, 3
+#: Pairs of different components from which a group is dealt anew by further signatures, and how often at most.
+LARGE, DEALS = 20_000, 3
 #: Text bytes for each counting bucket; entries that a task gathers before it sends them.
 BUCKET_BYTES, SEND = 5_000_000, 1_000_000
 #: 64-bit words of a parity bitmap.
@@ -323,9 +323,11 @@ def _star(sig: DataFrame) -> DataFrame:
 
 
 def _mixed(sig: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (sig, rep, n, comp) of the groups that still hold several components, with the group's size c."""
+    """Members (sig, rep, n, comp) of the groups that still hold several components, with the group's pairs of different components c."""
     x = sig.join(label, "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    groups = x.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("sig", "c")
+    sizes = x.groupBy("sig", "comp").agg(F.count("*").alias("k"))
+    groups = sizes.groupBy("sig").agg(F.count("*").alias("several"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    groups = groups.filter("several > 1").select("sig", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("c"))
     return x.join(groups, "sig")
 
 

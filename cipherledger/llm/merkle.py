@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Hex digits kept of each leaf in the fingerprint; the root keeps all 64.
-LEAF = 12
+LEAF = 8
 #: A paragraph whose clauses are longer than so many characters on average is cut at words instead.
 LONG_CLAUSE = 120
 #: Rows of one neighbour bucket, so that a window's partition stays small at any table size.

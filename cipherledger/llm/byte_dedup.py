@@ -25,12 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, small_batches, stored
+from .common import mix, prefix_hash, range_hash, release, small_batches, stored
 from .suffix_groups import suffix_array
 
 LENGTH, Q = 50, 26
 #: Text bytes of a pack, of a bucket, and of one suffix array.
-PACK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 1_000_000, 3_000_000, 400_000
+PACK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 1_000_000, 3_000_000, 200_000
 _PACK = "pack long, ids binary, lens binary, data binary, extra binary"
 _NONE = -(1 << 63)
 
@@ -116,7 +116,9 @@ class Pack:
 
 
 def _open(row: dict, length: int, q: int) -> Pack:
-    return Pack(row["ids"], row["lens"], row["data"], length, q)
+    p = Pack(row["ids"], row["lens"], row["data"], length, q)
+    release()
+    return p
 
 
 _SENT = "pack long, bucket int, anchors binary, segs binary, low binary, high binary, more binary"
@@ -167,6 +169,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = np.where(d > low, 1, np.where((several & (kinds > 1))[in_a], 2, 0)).astype(np.uint8)
     back = np.empty(len(order), np.uint8)
     back[order] = code
+    del a, s, d, more, order, cols, in_s, in_a, new_s, new_a, low, code
+    release()
     x = 0
     for pack, bucket, n in where:
         part = back[x : x + n]
@@ -225,7 +229,7 @@ def repeated_windows(strings: list[bytes], docs: list[np.ndarray], length: int)
     sa = sa[sa + length <= ends[of[sa]] - 1]
     raw = np.concatenate((text, np.zeros(length, np.int64))).astype(np.uint16)
     same = np.zeros(len(sa), bool)
-    step = 100_000
+    step = 10_000
     for x in range(1, len(sa), step):
         i, j = sa[x - 1 : x - 1 + step], sa[x : x + step]
         i = i[: len(j)]
@@ -298,6 +302,7 @@ def _resolve(length: int):  # noqa: ANN202
                     if full.any():
                         masks.append((int(pack[w]), int(entry[w]), full.tobytes()))
             x = y
+            release()
         masks.sort()
         x = 0
         while x < len(masks):

@@ -37,7 +37,7 @@ COUNTED = 30
 LARGE, DEALS = 20_000, 3
 #: Text bytes for each counting bucket; entries that a task gathers before it sends them.
 BUCKET_BYTES, SEND = 5_000_000, 1_000_000
-#: 64-bit words of a parity bitmap.
+#: Least 64-bit words of a parity bitmap; larger sets have four bits a shingle, rounded up to a power of two of words.
 BITMAP = 16
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -221,12 +221,14 @@ def _second_pass(size: int):  # noqa: ANN202
             for a, e, data, off in views(b, "_t"):
                 h, r = shingle_sets(data, off, size)
                 n, t1, _ = _sums(h, r, e - a)
-                pos = mix(h + np.uint64(99)) >> np.uint64(54)
-                bits = np.zeros(((e - a), BITMAP), np.uint64)
-                np.bitwise_xor.at(bits, (r, (pos % np.uint64(BITMAP)).astype(np.int64)), np.uint64(1) << (pos // np.uint64(BITMAP)))
+                words = np.maximum(BITMAP, 1 << np.ceil(np.log2(np.maximum(n, 1) / 16)).clip(0).astype(np.int64))
+                ends = np.cumsum(words)
+                x = mix(h + np.uint64(99))
+                bits = np.zeros(int(ends[-1]), np.uint64)
+                np.bitwise_xor.at(bits, (ends - words)[r] + (x & (words[r] - 1).astype(np.uint64)).astype(np.int64), np.uint64(1) << (x >> np.uint64(58)))
                 off32 = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(off32), pa.array(h.view(np.int64)))
-                maps = pa.ListArray.from_arrays(pa.array((np.arange(e - a + 1) * BITMAP).astype(np.int32)), pa.array(bits.ravel().view(np.int64)))
+                maps = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(bits.view(np.int64)))
                 same = pa.array(np.flatnonzero(t1 == s1[a:e]))
                 out = pa.RecordBatch.from_arrays([ids.slice(a, e - a), pa.array(n), sets, maps], names=["rep", "n", "hashes", "bits"])
                 yield out.take(same)
@@ -240,6 +242,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda k: small.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"m{k}"))
     near = pairs.join(side("a"), "a").filter("a IS NOT NULL").join(side("b"), "b")
     near = near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    length = F.least(F.size("ma"), F.size("mb"))  # sizes that can link have equal lengths or one twice the other
+    fold = lambda m: F.when(F.size(m) > length, F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.get(m, i).bitwiseXOR(F.get(m, i + length)))).otherwise(F.col(m))
+    near = near.withColumns({"ma": fold("ma"), "mb": fold("mb")})
     differ = F.aggregate(F.arrays_zip("ma", "mb"), F.lit(0), lambda acc, z: acc + F.bit_count(z["ma"].bitwiseXOR(z["mb"])))
     near = near.filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
     full = lambda k: sets.select(F.col("rep").alias(k), F.col("hashes").alias(f"h{k}"))

@@ -109,13 +109,13 @@ def _first_pass(n_buckets: int, size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            ids = b.column("_id").to_numpy(zero_copy_only=False)
+            ids = b.column("_id").fill_null(0).to_numpy(zero_copy_only=False)
             for a, e, data, off in views(b, "_t"):
                 h, r = shingle_sets(data, off, size)
                 own = ids[a:e]
                 k, s1, s2 = _sums(h, r, e - a)
                 none = [pa.nulls(e - a, t) for t in (pa.int32(), *[pa.binary()] * 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(k), pa.array(s1), pa.array(s2), *none], names=[c.split()[0] for c in _FIRST.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(a, e - a), pa.array(k), pa.array(s1), pa.array(s2), *none], names=[c.split()[0] for c in _FIRST.split(", ")])
                 part = (h & np.uint64(0xFFFFFFFF)) * np.uint64(100) >> np.uint64(32) < COUNTED
                 held.append((h[part], own[r[part]].astype(np.int64)))
                 n += int(part.sum())

@@ -81,7 +81,7 @@ def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = max(1, -(-n // bucket_rows))
     cuts = [] if parts == 1 else base.select(F.percentile_approx("_id", [i / parts for i in range(1, parts)], min(1_000_000, 100 * parts))).first()[0]
     cuts = sorted({c for c in cuts or [] if c is not None})
-    bucket = F.lit(0) if not cuts else F.coalesce(_position(F.col("_id"), cuts), F.lit(0))
+    bucket = _position(F.coalesce("_id", F.lit(-(2**63))), cuts)
     rows = base.withColumn("_b", bucket).withColumn("_f", fingerprint_of(tree(F.col("_t"))))
     order = [F.col("_id").desc_nulls_last(), F.col("_t").desc()]
     w = Window.partitionBy("_b").orderBy(*order)

@@ -244,6 +244,43 @@ def repeated_windows(strings: list[bytes], docs: list[np.ndarray], length: int)
     return [out[e - 1 - len(s) : e - length] for s, e in zip(strings, ends, strict=True)]
 
 
+def _masks(anchor: np.ndarray, doc: np.ndarray, size: np.ndarray, texts: list[np.ndarray], length: int) -> Iterator[tuple[int, bytes]]:
+    """(index, mask of the windows that an earlier document has) of those strings that have any; strings of an anchor come together."""
+    body, ends = np.concatenate(texts), np.cumsum(size)
+    # Only windows whose hash occurs in two documents can repeat; the rest of a string needs no place in the array.
+    h = prefix_hash(body)
+    wins = size - length + 1
+    own = np.repeat(np.arange(len(size)), wins)
+    at = np.arange(int(wins.sum())) - np.repeat(np.cumsum(wins) - wins, wins)
+    pos = (ends - size)[own] + at
+    key = mix(range_hash(h, pos, pos + length) + anchor[own])
+    order = np.argsort(key, kind="stable")
+    new, first = _groups(key[order])
+    d = doc[own][order]
+    shared = np.empty(len(order), bool)
+    shared[order] = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))[np.cumsum(new) - 1]
+    hit = np.flatnonzero(shared)
+    if not len(hit):
+        return
+    who, start = np.unique(own[hit], return_index=True)
+    lo = at[hit[start]]
+    hi = at[hit[np.append(start[1:], len(hit)) - 1]]
+    del h, own, at, pos, key, order, d, new, shared, hit
+    strings: dict[tuple[int, bytes], list[int]] = {}
+    for k, (w, x, y) in enumerate(zip(who.tolist(), lo.tolist(), hi.tolist(), strict=True)):
+        base = int(ends[w] - size[w])
+        strings.setdefault((int(anchor[w]), body[base + x : base + y + length].tobytes()), []).append(k)
+    todo = sorted(strings.items())
+    least = repeated_windows([s for (_, s), _ in todo], [doc[who[m]] for _, m in todo], length)
+    for low, (_, members) in zip(least, todo, strict=True):
+        for k in members:
+            w = int(who[k])
+            full = np.zeros(int(wins[w]), np.uint8)
+            full[lo[k] : lo[k] + len(low)] = low < doc[w]
+            if full.any():
+                yield w, full.tobytes()
+
+
 def _resolve(length: int):  # noqa: ANN202
     """Masks of the windows that an earlier document has, for each pack; from whole buckets of segment texts."""
 
@@ -260,47 +297,20 @@ def _resolve(length: int):  # noqa: ANN202
         pack, anchor, doc, entry, size = (np.concatenate(x) for x in zip(*cols, strict=True))
         size = size.astype(np.int64)
         body = np.concatenate(bodies)
-        ends = np.cumsum(size)
-        # Only windows whose hash occurs in two strings can repeat; the rest of a string needs no place in the array.
-        h = prefix_hash(body)
-        wins = size - length + 1
-        own = np.repeat(np.arange(len(size)), wins)
-        at = np.arange(int(wins.sum())) - np.repeat(np.cumsum(wins) - wins, wins)
-        pos = (ends - size)[own] + at
-        key = mix(range_hash(h, pos, pos + length) + anchor[own])
-        order = np.argsort(key, kind="stable")
-        new, first = _groups(key[order])
-        g = np.cumsum(new) - 1
-        d = doc[own][order]
-        shared = np.empty(len(order), bool)
-        shared[order] = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))[g] if len(d) else False
-        hit = np.flatnonzero(shared)
-        if not len(hit):
-            return
-        who, start = np.unique(own[hit], return_index=True)
-        lo = at[hit[start]]
-        hi = at[hit[np.append(start[1:], len(hit)) - 1]]
-        strings: dict[tuple[int, bytes], list[int]] = {}
-        for k, (w, x, y) in enumerate(zip(who.tolist(), lo.tolist(), hi.tolist(), strict=True)):
-            base = int(ends[w] - size[w])
-            strings.setdefault((int(anchor[w]), body[base + x : base + y + length].tobytes()), []).append(k)
-        todo = sorted(strings.items())
+        cols.clear()
+        bodies.clear()
+        at = np.cumsum(size) - size
         masks: list[tuple[int, int, bytes]] = []
+        order = np.argsort(anchor, kind="stable")
+        _, edge = _groups(anchor[order])
+        ends = np.cumsum(size[order])
         x = 0
-        while x < len(todo):
-            y, n = x, 0
-            while y < len(todo) and (n < ARRAY_BYTES or todo[y][0][0] == todo[y - 1][0][0]):  # all strings of one anchor together
-                n += len(todo[y][0][1])
-                y += 1
-            part = todo[x:y]
-            least = repeated_windows([s for (_, s), _ in part], [doc[who[m]] for _, m in part], length)
-            for low, (_, members) in zip(least, part, strict=True):
-                for k in members:
-                    w = who[k]
-                    full = np.zeros(int(wins[w]), np.uint8)
-                    full[lo[k] : lo[k] + len(low)] = low < doc[w]
-                    if full.any():
-                        masks.append((int(pack[w]), int(entry[w]), full.tobytes()))
+        while x < len(order):  # whole anchors, about ARRAY_BYTES at a time
+            y = int(np.searchsorted(ends, (ends[x - 1] if x else 0) + ARRAY_BYTES, "right"))
+            y = int(np.append(edge, len(order))[np.searchsorted(edge, max(y, x + 1))])
+            part = order[x:y]
+            for k, mask in _masks(anchor[part], doc[part], size[part], [body[at[i] : at[i] + size[i]] for i in part.tolist()], length):
+                masks.append((int(pack[part[k]]), int(entry[part[k]]), mask))
             x = y
             release()
         masks.sort()

@@ -11,7 +11,8 @@
 4. Each group of equal signatures is checked against its least member (a star), and the links found are closed to
    components. Only pairs of different components in one group are still open. Large groups are dealt anew by a second,
    independent set of signatures, which any linked pair shares too.
-5. Pairs pass an exact bound by parity bitmaps and are then verified on the whole sets.
+5. Pairs pass an exact bound by parity bitmaps and are then verified on the whole sets. Open groups carry bitmaps folded
+   to 1024 bits, so the join itself tests the bound and only pairs that pass it become rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ N2 = 4
 #: Share of the shingle domain, in percent, on which documents per shingle are counted.
 COUNTED = 30
 #: Pairs of different components from which a group is dealt anew by further signatures, and how often at most.
-LARGE, DEALS = 20_000, 3
+LARGE, DEALS = 5_000_000, 3
 #: Text bytes for each counting bucket; entries that a task gathers before it sends them.
 BUCKET_BYTES, SEND = 5_000_000, 1_000_000
 #: Least 64-bit words of a parity bitmap; larger sets have four bits a shingle, rounded up to a power of two of words.
@@ -236,6 +237,19 @@ def _second_pass(size: int):  # noqa: ANN202
     return run
 
 
+def _differ(words: list[tuple[Column, Column]], na: Column, nb: Column, percent: int) -> Column:
+    """False only if more bits differ than two sets of these sizes that link can have differing shingles."""
+    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in words[1:]), F.bit_count(words[0][0].bitwiseXOR(words[0][1])))
+    return differ * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(rep, b0 .. b15): bitmaps folded to 16 words; folding keeps the bound, as it only cancels bits."""
+    zero = F.lit(0).cast("long")
+    fold = lambda k: F.aggregate(F.sequence(F.lit(k), F.size("bits") - 1, F.lit(BITMAP)), zero, lambda acc, i: acc.bitwiseXOR(F.get("bits", i)))
+    return sets.select("rep", *[fold(k).alias(f"b{k}") for k in range(BITMAP)])
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough: sizes and bitmaps bound the difference, whole sets decide."""
     small = sets.select("rep", "n", "bits")
@@ -305,10 +319,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     links = stored(_linked(star, sets, percent), "star-links")
     label = components(links).withColumnRenamed("node", "rep")
     open_ = stored(_mixed(sig, label), "open-groups")
+    sketches = stored(_sketches(sets), "sketches")
     found = [links]
     for deal in range(1, DEALS + 1):
         few = open_.filter(F.col("c") <= LARGE) if deal < DEALS else open_
-        found.append(_linked(_cross(few, percent), sets, percent))
+        found.append(_linked(_cross(few.join(sketches, "rep"), percent), sets, percent))
         if deal == DEALS:
             break
         many = open_.filter(F.col("c") > LARGE)
@@ -337,8 +352,10 @@ def _mixed(sig: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _cross(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one group whose components differ and whose sizes can link."""
-    x = members.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = members.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits: Column = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return x.join(y, "sig").filter(fits).select("a", "b").distinct()
+    """Pairs of one group whose components differ and whose sizes and folded bitmaps allow a link."""
+    words = range(BITMAP)
+    x = members.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *[F.col(f"b{k}").alias(f"x{k}") for k in words])
+    y = members.select(F.col("sig").alias("sig_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *[F.col(f"b{k}").alias(f"y{k}") for k in words])
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    fits = fits & _differ([(F.col(f"x{k}"), F.col(f"y{k}")) for k in words], F.col("na"), F.col("nb"), percent)
+    return x.join(y, (F.col("sig") == F.col("sig_b")) & fits).select("a", "b").distinct()

@@ -293,7 +293,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             none = pa.nulls(x.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), none, none, none, x.column("n")], names=["doc_id", "n_shingles", "s1", "s2", "alone"])
 
-    deal = F.coalesce(F.col("bucket"), F.pmod(F.col("s1"), F.lit(n_buckets)).cast("int"))
+    deal = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))  # by id: copies spread
     told = stored(first.repartition(n_buckets, deal).mapInArrow(second, "doc_id long, n_shingles long, s1 long, s2 long, alone long"), "shingle-counts")
     info = told.filter("s1 IS NOT NULL").select("doc_id", "n_shingles", "s1", "s2")
     alone = told.filter("alone IS NOT NULL").groupBy("doc_id").agg(F.sum("alone").alias("alone"))

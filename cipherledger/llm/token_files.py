@@ -7,8 +7,8 @@ symbols, and for each document its symbols and ids, so that one document is read
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +24,8 @@ from .common import small_batches
 SHARD_IDS = 1_000_000
 #: Rounds of pair replacement, the least count of a pair, and the rules of one shard at most.
 ROUNDS, MIN_COUNT, MAX_RULES = 3, 4, 16_000
-#: Words whose ids a worker remembers; beyond that it starts anew.
-WORDS = 500_000
+#: Words that a worker remembers in each of two generations: a full one becomes the old one, whose words come back on use.
+WORDS = 400_000
 SHARD = "part int, seq int, n_docs int, n_ids long, base int, width int, doc_ids binary, doc_lens binary, doc_symbols binary, rules binary, rule_lens binary, symbols binary"
 
 
@@ -35,13 +35,15 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, min_
     Each round counts all adjacent pairs, takes the most frequent ones (ties: smallest pair) and replaces their
     occurrences from left to right; of overlapping occurrences every second one is replaced.
     """
-    seq = ids.astype(np.uint64)
+    # pairs are single integers; 32 bits sort faster where all symbols fit 16
+    wide, half = (np.uint32, 16) if base + max_rules <= 1 << 16 and int(ids.max(initial=0)) < 1 << 16 else (np.uint64, 32)
+    seq, half, low = ids.astype(wide), wide(half), wide((1 << half) - 1)
     rules, lens = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     for k in range(rounds):
         room = max_rules - len(rules)
         if len(seq) < 2 or room <= 0:
             break
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
+        key = (seq[:-1] << half) | seq[1:]
         free = seq[:-1] != end_id
         pairs, n = np.unique(key[free], return_counts=True)
         most = room if k == rounds - 1 else min(room, max_rules // rounds)
@@ -56,11 +58,11 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, min_
         run = np.concatenate(([0], np.flatnonzero(np.diff(hit) != 1) + 1))
         first = np.repeat(hit[run], np.diff(np.concatenate((run, [len(hit)]))))
         hit = hit[(hit - first) % 2 == 0]
-        seq[hit] = np.uint64(base + len(rules)) + at[hit].astype(np.uint64)
+        seq[hit] = (base + len(rules) + at[hit]).astype(wide)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
-        new = np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)
+        new = np.stack((pairs >> half, pairs & low), 1).astype(np.uint32)
         size = lambda s, lens=lens: np.where(s < base, 1, lens[np.maximum(s.astype(np.int64) - base, 0)] if len(lens) else 1)
         lens = np.concatenate((lens, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)))
         rules = np.concatenate((rules, new))
@@ -88,22 +90,26 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
-        self.cut = re.compile(r"[ \t\n\r]+")
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
-        cut = [self.cut.split(t) for t in texts]
-        known = self.known
-        new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in known]
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            known[""] = b""
-            new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w]
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set().union(*cut)
+        if len(self.known) > WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = []
+        for w in words.difference(known):
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 

@@ -226,3 +226,15 @@ def test_mixing(docs, empty):
     for axis, target in enumerate(({"a": 0.5, "b": 0.5}, {"x": 0.3, "y": 0.7}, {"p": 0.6, "q": 0.4})):
         for c, t in target.items():
             assert abs(sum(v for k, v in w.items() if k[axis] == c) - t) < 1e-3
+
+
+def test_mixing_reaches_targets_far_from_the_data(spark):
+    rows = [(i, "a b c d", "en" if i % 3 else "de", "src0" if i % 20 == 0 else "src9") for i in range(6000)]
+    targets = {"sources": {"src0": 0.25, "other": 0.75}, "langs": {"en": 0.5, "other": 0.5}, "topics": {"other": 1.0}}
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), **targets)
+    weighed, taken, whole = out.groupBy().agg(
+        F.sum(F.when(F.col("mix_source") == "src0", F.col("mix_tokens") * F.col("mix_probability")).otherwise(0)) / F.sum(F.col("mix_tokens") * F.col("mix_probability")),
+        F.count_if(F.col("mix_selected") & (F.col("mix_source") == "src0")) / F.count_if("mix_selected"),
+        F.max("mix_probability"),
+    ).first()
+    assert abs(weighed - 0.25) < 1e-3 and abs(taken - 0.25) < 0.05 and whole == 1.0

@@ -30,7 +30,7 @@ SHARD = "part int, seq int, n_docs int, n_ids long, base int, width int, doc_ids
 
 
 def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (n x 2) and ids per rule. Nonterminal base+r stands for rules[r]; no rule starts with the end id, so none crosses documents.
+    """Symbols, rules (n x 2) and ids per rule. Nonterminal base+r stands for rules[r]; no rule holds the end id, so none crosses documents.
 
     Each round counts all adjacent pairs, takes the most frequent ones (ties: smallest pair) and replaces their
     occurrences from left to right; of overlapping occurrences every second one is replaced.
@@ -44,7 +44,7 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, min_
         if len(seq) < 2 or room <= 0:
             break
         key = (seq[:-1] << half) | seq[1:]
-        free = seq[:-1] != end_id
+        free = (seq[:-1] != end_id) & (seq[1:] != end_id)
         pairs, n = np.unique(key[free], return_counts=True)
         most = room if k == rounds - 1 else min(room, max_rules // rounds)
         pick = np.flatnonzero(n >= min_count)

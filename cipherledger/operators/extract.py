@@ -156,8 +156,8 @@ def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character, to 4 places; 0 for empty text."""
     chars = F.split(text, "")
     n = F.length(text)
-    part = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - part(c) * F.log2(part(c)))
+    part = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    total = F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, p: a - p * F.log2(p))
     return F.round(F.when(n > 0, total).otherwise(0.0), 4)
 
 

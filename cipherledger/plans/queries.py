@@ -422,6 +422,43 @@ def e06_truncate_key(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "snippets").select("doc_id", F.length(X.truncate(F.col("snippet"))).alias("n"), X.cache_key(F.col("snippet")).alias("cache_key"))
 
 
+# The four above read the first 2,100 characters of a text and keep their SQL; those below read whole texts.
+
+
+def _chain(source: str, patterns: list[tuple[str, str]], mark: str) -> list[str]:
+    """CTEs k_0 to k_n: patterns are replaced in s in order, and f lists the names of those found."""
+    out = [f"k_0 AS (SELECT doc_id, {source} AS s, CAST([] AS VARCHAR[]) AS f FROM whole_snippets)"]
+    for k, (name, p) in enumerate(patterns):
+        out.append(f"k_{k + 1} AS (SELECT doc_id, regexp_replace(s, {_s(p)}, {_s(mark)}, 'g') AS s, CASE WHEN regexp_matches(s, {_s(p)}) THEN list_append(f, {_s(name)}) ELSE f END AS f FROM k_{k})")
+    return [*ctes("whole_snippets"), *out]
+
+
+_SECRETS = [("aws_key", "AKIA[0-9A-Z]{16}"), ("jwt", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), ("private_key", "(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("hex_secret", r"\b[0-9a-fA-F]{64}\b")]
+_PHRASES = [(n, p.replace("(?m)", "(?im)") if p.startswith("(?m)") else f"(?i){p}") for n, p in R.INJECTIONS]
+
+
+@query(_with(_chain("snippet", _SECRETS, "[REDACTED]"), f"SELECT doc_id, sha256(s) AS scrubbed, array_to_string(f, ',') AS found FROM k_{len(_SECRETS)}"))
+def e02_scrub_whole(spark: SparkSession, d: str) -> DataFrame:
+    text, names = X.scrub(F.col("snippet"))
+    return load(spark, d, "whole_snippets").select("doc_id", F.sha2(text, 256).alias("scrubbed"), F.array_join(names, ",").alias("found"))
+
+
+@query(_with([*ctes("whole_snippets"), "c AS (SELECT doc_id, unnest(string_split(snippet, '')) AS ch, length(snippet) AS n FROM whole_snippets)", "p AS (SELECT doc_id, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY doc_id, ch)"], "SELECT s.doc_id, round(coalesce(e, 0), 4) AS entropy FROM whole_snippets s LEFT JOIN (SELECT doc_id, -sum(p * log2(p)) AS e FROM p GROUP BY 1) x ON x.doc_id = s.doc_id"))
+def e03_entropy_whole(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "whole_snippets").select("doc_id", X.entropy(F.col("snippet")).alias("entropy"))
+
+
+@query(_with(_chain("regexp_replace(snippet, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\p{Cf}]', '', 'g')", _PHRASES, "[STRIPPED]"), f"SELECT doc_id, array_to_string(f, ',') AS fired, sha256(s) AS stripped FROM k_{len(_PHRASES)}"))
+def e05_injections_whole(spark: SparkSession, d: str) -> DataFrame:
+    text, names = X.strip_injections(F.col("snippet"))
+    return load(spark, d, "whole_snippets").select("doc_id", F.array_join(names, ",").alias("fired"), F.sha2(text, 256).alias("stripped"))
+
+
+@query(_with(ctes("whole_snippets"), "SELECT doc_id, CAST(CASE WHEN length(snippet) > 2048 THEN 2048 + 12 ELSE length(snippet) END AS INT) AS n, concat('llm:', sha256(concat(snippet, '|v1'))) AS cache_key FROM whole_snippets"))
+def e06_truncate_key_whole(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "whole_snippets").select("doc_id", F.length(X.truncate(F.col("snippet"))).alias("n"), X.cache_key(F.col("snippet")).alias("cache_key"))
+
+
 @query(_with(ctes("responses"), "SELECT event_id, CASE WHEN event_id % 17 <> 0 AND event_id % 19 = 0 THEN 'not a JSON object' WHEN event_id % 17 = 0 THEN 'prohibited field' WHEN contains(raw, 'bogus') THEN 'unknown purpose' WHEN event_id % 12 > 1 THEN 'confidence out of range' END AS reason FROM responses"))
 def e09_validate(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "responses").select("event_id", X.validate_response(F.col("raw")).alias("reason"))

@@ -27,6 +27,10 @@ SELECT concat('fn', CAST(p_partkey AS VARCHAR(10))) AS qualified_name, p_partkey
     "calls": """
 SELECT DISTINCT concat('fn', CAST(a.l_partkey AS VARCHAR(10))) AS caller, concat('fn', CAST(b.l_partkey AS VARCHAR(10))) AS callee
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity <= 3
+""",
+    "all_calls": """
+SELECT DISTINCT concat('fn', CAST(a.l_partkey AS VARCHAR(10))) AS caller, concat('fn', CAST(b.l_partkey AS VARCHAR(10))) AS callee
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 """,
     "certs": """
 SELECT c_custkey AS cert_id, concat('certs/c', CAST(c_custkey AS VARCHAR(10)), '.pem') AS file_path,

@@ -505,6 +505,31 @@ def g12_report(spark: SparkSession, d: str) -> DataFrame:
     return G.report(G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "calls")))
 
 
+# The same over all consecutive pairs of an order; `calls` keeps those with a quantity of 3 or less, and the four queries above their SQL.
+_ALL_ENDS = _ENDS.replace("JOIN calls c", "JOIN all_calls c")
+_ALL_JUDGED = [*ctes("findings", "functions", "all_calls"), _ALL_ENDS, *_JUDGED[-3:]]
+
+
+@query(_with([*ctes("functions", "all_calls"), _ALL_ENDS], "SELECT node FROM reach"))
+def g08_reachable_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.search(load(spark, d, "functions"), load(spark, d, "all_calls")).select("node")
+
+
+@query(_with([*ctes("functions", "all_calls"), "k AS (SELECT DISTINCT qualified_name FROM functions)"], "SELECT caller, callee, qualified_name IS NULL AS external FROM all_calls LEFT JOIN k ON callee = qualified_name"))
+def g05_callees_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.resolve_callees(load(spark, d, "all_calls"), load(spark, d, "functions"))
+
+
+@query(_with(_ALL_JUDGED, "SELECT seq, reachable FROM jj"))
+def g10_verdicts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "all_calls")).select("seq", "reachable")
+
+
+@query(_with(_ALL_JUDGED, "SELECT count(*) FILTER (reachable) AS reachable, count(*) FILTER (NOT reachable) AS unreachable, count(*) FILTER (reachable IS NULL) AS unknown, round(count(*) FILTER (reachable) / nullif(CAST(count(reachable) AS DOUBLE), 0), 4) AS rate FROM jj"))
+def g12_report_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.report(G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "all_calls")))
+
+
 @query(_with([*ctes("code_lines"), "l AS (SELECT *, lag(line) OVER (PARTITION BY file_path ORDER BY line_no) AS before FROM code_lines)"], "SELECT concat(replace(regexp_replace(file_path, '\\.[A-Za-z]+$', ''), '/', '.'), '.', regexp_extract(line, 'def (\\w+)', 1)) AS qualified_name, line_no AS start_line, coalesce(starts_with(before, '@app.route'), false) AS is_entry_point FROM l WHERE starts_with(line, 'def ')"))
 def g01_functions(spark: SparkSession, d: str) -> DataFrame:
     return G.functions_of(load(spark, d, "code_lines")).select("qualified_name", "start_line", "is_entry_point")

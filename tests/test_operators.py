@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -107,3 +107,13 @@ def test_snippets_are_whole_texts(spark):
     want = -sum(k / n.total() * math.log2(k / n.total()) for k in n.values())
     got = {r.doc_id: r.entropy for r in queries.e03_entropy_whole(spark, d).collect()}
     assert abs(got[texts[0].doc_id] - want) < 1e-4
+
+
+def test_whole_call_graph_holds_every_pair(spark):
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    at = defaultdict(set)
+    for r in lines:
+        at[r.l_orderkey, r.l_linenumber].add(f"fn{r.l_partkey}")
+    want = {(f, g) for o, n in list(at) for f in at[o, n] for g in at[o, n + 1]}
+    assert {(r.caller, r.callee) for r in queries.g05_callees_whole(spark, d).collect()} == want

@@ -38,9 +38,15 @@ def functions_of(lines: DataFrame) -> DataFrame:
 
 
 def resolve_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(caller, callee, external): a callee that is no known function stays as an external node."""
-    known = functions.select(F.col("qualified_name").alias("callee"), F.lit(True).alias("_k")).distinct()
-    return calls.join(known, "callee", "left").select("caller", "callee", F.col("_k").isNull().alias("external"))
+    """(caller, callee, external): a known name, else for a name without dots one of the caller's module, else an external node."""
+    known = functions.select("qualified_name").distinct()
+    module = F.regexp_extract("caller", r"^(.*)\.[^.]*$", 1)
+    local = F.when(~F.col("callee").contains(".") & (module != ""), F.concat(module, F.lit("."), F.col("callee")))
+    x = calls.select("caller", "callee", local.alias("_l"))
+    x = x.join(known.select(F.col("qualified_name").alias("callee"), F.lit(True).alias("_k")), "callee", "left")
+    x = x.join(known.select(F.col("qualified_name").alias("_l"), F.lit(True).alias("_m")), "_l", "left")
+    found = F.when(F.col("_k").isNull() & F.col("_m").isNotNull(), F.col("_l")).otherwise(F.col("callee"))
+    return x.select("caller", found.alias("callee"), (F.col("_k").isNull() & F.col("_m").isNull()).alias("external")).distinct()
 
 
 def search(functions: DataFrame, calls: DataFrame, max_depth: int = 10_000) -> DataFrame:
@@ -48,7 +54,7 @@ def search(functions: DataFrame, calls: DataFrame, max_depth: int = 10_000) -> D
 
     A frontier loop: each hop joins the frontier with the edges and drops nodes already seen. Stored tables cut lineage.
     """
-    edges = calls.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct()
+    edges = _kept(resolve_callees(calls, functions).select(F.col("caller").alias("node"), F.col("callee").alias("next")), "edges")
     front = functions.filter("is_entry_point").groupBy(F.col("qualified_name").alias("node")).agg(F.min("fn_ord").alias("entry_ord"))
     front = _kept(front.select("node", F.lit(0).alias("depth"), "entry_ord", F.array("node").alias("path")), "front")
     seen = front

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from cipherledger.operators import classify, extract, inventory, reads, risk
+from cipherledger.operators import classify, extract, inventory, reach, reads, risk
 from cipherledger.plans import fixtures, queries, rules
 from cipherledger.sources import tables
 from cipherledger.streaming import fold
@@ -117,3 +117,10 @@ def test_whole_call_graph_holds_every_pair(spark):
         at[r.l_orderkey, r.l_linenumber].add(f"fn{r.l_partkey}")
     want = {(f, g) for o, n in list(at) for f in at[o, n] for g in at[o, n + 1]}
     assert {(r.caller, r.callee) for r in queries.g05_callees_whole(spark, d).collect()} == want
+
+
+def test_bare_callees_of_the_own_module(spark):
+    fns = spark.createDataFrame([("a.m.f", True, 1), ("a.m.g", False, 2), ("b.g", False, 3)], "qualified_name string, is_entry_point boolean, fn_ord long")
+    calls = spark.createDataFrame([("a.m.f", "g"), ("a.m.f", "x"), ("a.m.g", "b.g"), ("b.g", "os.g")], "caller string, callee string")
+    assert {tuple(r) for r in reach.resolve_callees(calls, fns).collect()} == {("a.m.f", "a.m.g", False), ("a.m.f", "x", True), ("a.m.g", "b.g", False), ("b.g", "os.g", True)}
+    assert {r.node: r.depth for r in reach.search(fns, calls).collect()} == {"a.m.f": 0, "a.m.g": 1, "x": 1, "b.g": 2, "os.g": 3}

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, views
 
 #: Ids of one shard; a shard always holds whole documents.
 SHARD_IDS = 1_000_000
@@ -26,6 +26,12 @@ SHARD_IDS = 1_000_000
 ROUNDS, MIN_COUNT, MAX_RULES = 3, 4, 16_000
 #: Words that a worker remembers in each of two generations: a full one becomes the old one, whose words come back on use.
 WORDS = 400_000
+#: Words of one call to the library, and words of letters in one text of it.
+BATCH, JOINED = 20_000, 50
+#: ASCII signs that never follow a letter within one token, and the mark of a token that ends a word.
+SIGNS, WORD_END = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', "</w>"
+#: Text bytes that are encoded at a time.
+TEXT_BYTES = 8_000_000
 SHARD = "part int, seq int, n_docs int, n_ids long, base int, width int, doc_ids binary, doc_lens binary, doc_symbols binary, rules binary, rule_lens binary, symbols binary"
 
 
@@ -35,30 +41,43 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, min_
     Each round counts all adjacent pairs, takes the most frequent ones (ties: smallest pair) and replaces their
     occurrences from left to right; of overlapping occurrences every second one is replaced.
     """
-    # pairs are single integers; 32 bits sort faster where all symbols fit 16
-    wide, half = (np.uint32, 16) if base + max_rules <= 1 << 16 and int(ids.max(initial=0)) < 1 << 16 else (np.uint64, 32)
-    seq, half, low = ids.astype(wide), wide(half), wide((1 << half) - 1)
+    narrow = base + max_rules <= 1 << 16 and int(ids.max(initial=0)) < 1 << 16
+    wide, half = np.uint16 if narrow else np.uint32, np.uint64(16 if narrow else 32)
+    seq, low = ids.astype(wide), (np.uint64(1) << half) - np.uint64(1)
     rules, lens = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     for k in range(rounds):
         room = max_rules - len(rules)
         if len(seq) < 2 or room <= 0:
             break
-        key = (seq[:-1] << half) | seq[1:]
-        free = (seq[:-1] != end_id) & (seq[1:] != end_id)
-        pairs, n = np.unique(key[free], return_counts=True)
+        key = (seq[:-1].astype(np.uint64) << half) | seq[1:]
+        free = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
+        if not len(free):
+            break
+        bits = np.uint64(len(seq).bit_length())
+        if 2 * int(half) + int(bits) <= 64:  # a pair and its place in one number sort fastest
+            both = np.sort((key[free] << bits) | free.astype(np.uint64))
+            of, place = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        else:
+            place = free[np.argsort(key[free], kind="stable")]
+            of = key[place]
+        new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        n = np.diff(np.append(new, len(of)))
         most = room if k == rounds - 1 else min(room, max_rules // rounds)
         pick = np.flatnonzero(n >= min_count)
         if len(pick) > most:
-            pick = pick[np.argsort(-n[pick], kind="stable")[:most]]
+            pick = np.sort(pick[np.argsort(-n[pick], kind="stable")[:most]])
         if not len(pick):
             break
-        pairs = np.sort(pairs[pick])
-        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        hit = np.flatnonzero((pairs[at] == key) & free)
+        pairs = of[new[pick]]
+        rule = np.full(len(n), -1, np.int32)
+        rule[pick] = np.arange(len(pick), dtype=np.int32)
+        at = np.full(len(seq), -1, np.int32)
+        at[place] = np.repeat(rule, n)
+        hit = np.flatnonzero(at >= 0)
         run = np.concatenate(([0], np.flatnonzero(np.diff(hit) != 1) + 1))
         first = np.repeat(hit[run], np.diff(np.concatenate((run, [len(hit)]))))
         hit = hit[(hit - first) % 2 == 0]
-        seq[hit] = (base + len(rules) + at[hit]).astype(wide)
+        seq[hit] = (base + len(rules) + at[hit].astype(np.int64)).astype(wide)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
@@ -82,7 +101,12 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 
 class WordIds:
-    """The library's ids of a text. Its pre-tokenizer cuts at white space, so ids are remembered by word."""
+    """The library's ids of texts. Its pre-tokenizer cuts at white space, so ids are remembered by word.
+
+    A new word is cut before its final ASCII signs where a letter stands before them, as the pre-tokenizer does. Words
+    of letters alone are one token sequence each, whose last id is one of a word end; so many of them go to the library
+    in one text, and ids of word ends tell them apart. If there are more of these than words, they go one by one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,27 +114,84 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.joins = all(t + WORD_END in vocab for t in vocab if len(t) == 1)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*cut)
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(words), BATCH):
+            part = words[i : i + BATCH]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                yield w, array("I", e.ids).tobytes()
+
+    def _encode_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(words), BATCH):
+            part = words[i : i + BATCH]
+            lines = [part[k : k + JOINED] for k in range(0, len(part), JOINED)]
+            for ws, e in zip(lines, self.tok.encode_batch_fast([" ".join(ws) for ws in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                end = np.flatnonzero(self.ends[ids]) + 1
+                if len(end) != len(ws):
+                    yield from self._encode(ws)
+                    continue
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(ws, (end * 4).tolist(), strict=True):
+                    yield w, raw[a:b]
+                    a = b
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers the ids of all these words."""
         if len(self.known) > WORDS:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        new = []
-        for w in words.difference(known):
+        cut, letters, rest = [], set(), set()
+        for w in words:
+            if w in known:
+                continue
             if w in old:
                 known[w] = old[w]
+                continue
+            core = w.rstrip(SIGNS)
+            if core and core[-1].isalpha():
+                tail = w[len(core) :]
+                if tail:
+                    cut.append((w, core, tail))
+                    if tail not in known:
+                        rest.add(tail)
+                if core not in known:
+                    (letters if self.joins and core.isalpha() else rest).add(core)
             else:
-                new.append(w)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+                rest.add(w)
+        known.update(self._encode_letters(list(letters)))
+        known.update(self._encode(list(rest)))
+        for w, core, tail in cut:
+            known[w] = known[core] + known[tail]
+
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[off[k]:off[k + 1]], each with the end id, and the number of ids of each."""
+        n = len(off) - 1
+        gap = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[off] = True
+        solid = ~gap
+        start = np.flatnonzero(solid & (edge[:-1] | np.concatenate(([True], gap[:-1])))) if len(data) else np.zeros(0, np.int64)
+        size = np.add.reduceat(solid, start) if len(start) else start  # a word's bytes and the gaps behind it, of which only the bytes count
+        where = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(where), pa.py_buffer(data[solid])).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        self.learn(names)
+        ids = [*map(self.known.__getitem__, names), np.array([end_id], "<u4").tobytes()]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
+        cuts = np.searchsorted(start, off[1:])
+        seq = np.insert(words.indices.to_numpy().astype(np.int64), cuts, len(names))
+        count = lens[seq]
+        ends = np.cumsum(count)
+        out = flat[np.repeat(first[seq] - ends + count, count) + np.arange(int(ends[-1]) if n else 0)]
+        return out, np.diff(ends[cuts + np.arange(n)], prepend=0)
 
 
 @lru_cache(2)
@@ -118,9 +199,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _shard(part: int, seq: int, docs: list[tuple[int | None, bytes]], base: int, end_id: int) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
-    lens = np.array([len(x) // 4 for _, x in docs], np.uint32)
+def _shard(part: int, seq: int, docs: list[tuple[int | None, np.ndarray]], base: int, end_id: int) -> pa.RecordBatch:
+    ids = np.concatenate([x for _, x in docs])
+    lens = np.array([len(x) for _, x in docs], np.uint32)
     symbols, rules, rule_lens = compress(ids, base, end_id)
     size = np.where(symbols < base, 1, rule_lens[np.maximum(symbols.astype(np.int64) - base, 0)] if len(rule_lens) else 1)
     ends = np.searchsorted(np.cumsum(size), np.cumsum(lens)) + 1
@@ -141,15 +222,16 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = word_ids(tokenizer_file), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         seq, held, size = 0, [], 0
         for b in batches:
-            for d, x in zip(b.column("_id").to_pylist(), tok.encode([t or "" for t in b.column("_t").to_pylist()]), strict=True):
-                held.append((d, x + end))
-                size += len(x) // 4 + 1
-                if size >= SHARD_IDS:
-                    yield _shard(part, seq, held, tok.size, end_id)
-                    seq, held, size = seq + 1, [], 0
+            for x, y, data, off in views(b, "_t", TEXT_BYTES):
+                ids, lens = tok.encode(data, off, end_id)
+                for d, doc in zip(b.column("_id").slice(x, y - x).to_pylist(), np.split(ids, np.cumsum(lens)[:-1]), strict=True):
+                    held.append((d, doc))
+                    size += len(doc)
+                    if size >= SHARD_IDS:
+                        yield _shard(part, seq, held, tok.size, end_id)
+                        seq, held, size = seq + 1, [], 0
         if held:
             yield _shard(part, seq, held, tok.size, end_id)
 

@@ -242,7 +242,7 @@ def test_mixing_reaches_targets_far_from_the_data(spark):
 
 def test_token_files_read_any_document_alone():
     ids = [[7, 8, 9, k, 7, 8, 9, 1] for k in range(20, 32)] + [[7, 8, 9, 1]] * 8 + [[1]] * 6
-    docs = [(k, np.array(x, "<u4").tobytes()) for k, x in enumerate(ids)]
+    docs = [(k, np.array(x, "<u4")) for k, x in enumerate(ids)]
     row = token_files._shard(0, 0, docs, 40, 1).to_pylist()[0]
     assert [token_files.document_ids(row, k).tolist() for k in range(len(ids))] == ids
     assert [x.tolist() for _, _, x in token_files._documents(row)] == ids

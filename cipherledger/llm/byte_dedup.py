@@ -7,9 +7,12 @@ the same packs whatever the partitioning. Four steps:
    anchor form a segment. A pack sends for each distinct segment the hashes of its anchor and of all its bytes and the
    least document, as blocks of numbers, to the bucket of the anchor.
 2. A bucket tells each pack, for each segment, whether an earlier document has all of it (code 1), or whether other
-   documents have the anchor in another segment (code 2), so that parts of the segment may repeat.
-3. Segments of code 2 send their bytes to the bucket of the anchor. Those that share a window go into a suffix array
-   (linear grouping), where neighbours that agree in LENGTH bytes give each window its least document.
+   documents have the anchor in another segment (code 2), so that parts of the segment may repeat. Anchors with more
+   different segments than one array holds get code 3 instead.
+3. Segments of code 2 send their bytes to the bucket of the anchor; those of code 3 fall apart into their windows, which
+   go to buckets by their own bytes, so a hot anchor spreads and equal windows still meet. Strings that share a window
+   go into a suffix array (linear grouping), where neighbours that agree in LENGTH bytes give each window its least
+   document.
 4. A pack joins what it was told, marks covered bytes and gives a row per document.
 """
 
@@ -25,12 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, release, small_batches, stored
+from .common import mix, prefix_hash, range_hash, release, stored
 from .suffix_groups import suffix_array
 
 LENGTH, Q = 50, 26
 #: Text bytes of a pack, of a bucket, and of one suffix array.
 PACK_BYTES, BUCKET_BYTES, ARRAY_BYTES = 1_000_000, 3_000_000, 200_000
+#: Windows of a pack that are hashed at a time; longer texts are cut there, which only splits a segment.
+CHUNK = 2_000_000
+#: Packs of one Arrow batch to Python.
+PACKS = 4
 _PACK = "pack long, ids binary, lens binary, data binary, extra binary"
 _NONE = -(1 << 63)
 
@@ -70,34 +77,10 @@ class Pack:
         self.ids = np.frombuffer(ids, "<i8")
         self.off = np.concatenate(([0], np.cumsum(np.frombuffer(lens, "<i8"))))
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-        n, w = len(self.data), length - q + 1
         self.length = length
-        if n < length:
-            self.lo = self.hi = self.row = np.zeros(0, np.int64)
-            anchor = seg = np.zeros(0, np.uint64)
-        else:
-            h = prefix_hash(self.data)
-            i = np.arange(n - q + 1)
-            bits = np.uint64(n.bit_length())
-            m = ((range_hash(h, i, i + q) >> bits) << bits) | i.astype(np.uint64)
-            span = 1
-            while span * 2 <= w:
-                m = np.minimum(m[: len(m) - span], m[span:])
-                span *= 2
-            if w > span:
-                m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
-            at = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-            start = np.arange(len(at))
-            row = np.repeat(np.arange(len(self.ids)), np.diff(self.off))[: len(at)]
-            ok = np.flatnonzero(start + length <= self.off[row + 1])
-            at, row = at[ok], row[ok]
-            new = np.ones(len(ok), bool)
-            new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(ok))[: len(first)] - 1
-            self.lo, self.hi, self.row = ok[first], ok[last], row[first]
-            anchor = range_hash(h, at[first], at[first] + q)
-            seg = range_hash(h, self.lo, self.hi + length)
+        found = [self._segments(c, length, q) for c in range(0, len(self.data) - length + 1, CHUNK)]
+        none = np.zeros(0, np.int64)
+        self.lo, self.hi, self.row, anchor, seg = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, none.view(np.uint64), none.view(np.uint64))
         doc = self.ids[self.row]
         order = np.lexsort((doc, seg, anchor))
         a, s, d = anchor[order], seg[order], doc[order]
@@ -109,6 +92,31 @@ class Pack:
         self.entry[order] = np.cumsum(new) - 1
         self.first = order[new]
 
+    def _segments(self, c: int, length: int, q: int) -> tuple[np.ndarray, ...]:
+        """First and last window, row, anchor and hash of the segments of the windows that start in [c, c + CHUNK)."""
+        data, w = self.data[c : c + CHUNK + length - 1], length - q + 1
+        h = prefix_hash(data)
+        i = np.arange(len(data) - q + 1)
+        bits = np.uint64(len(data).bit_length())
+        m = ((range_hash(h, i, i + q) >> bits) << bits) | i.astype(np.uint64)
+        span = 1
+        while span * 2 <= w:
+            m = np.minimum(m[: len(m) - span], m[span:])
+            span *= 2
+        if w > span:
+            m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
+        at = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        start = np.arange(len(at))
+        row = np.searchsorted(self.off, start + c, "right") - 1
+        ok = np.flatnonzero(start + c + length <= self.off[row + 1])
+        at, row = at[ok], row[ok]
+        new = np.ones(len(ok), bool)
+        new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(ok))[: len(first)] - 1
+        lo, hi, at = ok[first], ok[last], at[first]
+        return lo + c, hi + c, row[first], range_hash(h, at, at + q), range_hash(h, lo, hi + length)
+
     def buckets(self, n: int) -> list[tuple[int, int, int]]:
         b = ((self.anchor >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(b, np.arange(n + 1))
@@ -166,7 +174,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low = np.minimum.reduceat(d, at_s)[in_s]
     several = (np.minimum.reduceat(d, at_a) < np.maximum.reduceat(d, at_a)) | np.maximum.reduceat(more, at_a)
     kinds = np.add.reduceat(new_s.astype(np.int64), at_a)
-    code = np.where(d > low, 1, np.where((several & (kinds > 1))[in_a], 2, 0)).astype(np.uint8)
+    parts = np.where(kinds * LENGTH * 3 // 2 > ARRAY_BYTES, 3, 2)
+    code = np.where(d > low, 1, np.where((several & (kinds > 1))[in_a], parts[in_a], 0)).astype(np.uint8)
     back = np.empty(len(order), np.uint8)
     back[order] = code
     del a, s, d, more, order, cols, in_s, in_a, new_s, new_a, low, code
@@ -188,29 +197,37 @@ def _codes(p: Pack, told: list[dict] | None, n: int) -> np.ndarray:
     return out
 
 
-_TEXTS = "pack long, bucket int, anchors binary, docs binary, entries binary, lens binary, body binary"
+_TEXTS = "pack long, bucket int, anchors binary, docs binary, entries binary, places binary, lens binary, body binary"
 
 
 def _texts(length: int, q: int, n: int):  # noqa: ANN202
-    """Bytes of the segments of code 2."""
+    """Bytes of the segments of code 2 and of the windows of those of code 3; places count the windows of a segment before a string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 p = _open(row, length, q)
-                pick = np.flatnonzero(_codes(p, row["told"], n) == 2)
-                if not len(pick):
+                code = _codes(p, row["told"], n)
+                whole, apart = np.flatnonzero(code == 2), np.flatnonzero(code == 3)
+                if not len(whole) and not len(apart):
                     continue
-                seg = p.first[pick]
-                a, e = p.lo[seg], p.hi[seg] + length
+                wins = p.hi[p.first[apart]] - p.lo[p.first[apart]] + 1
+                place = np.arange(int(wins.sum())) - np.repeat(np.cumsum(wins) - wins, wins)
+                start = np.repeat(p.lo[p.first[apart]], wins) + place
+                pick = np.concatenate((whole, np.repeat(apart, wins)))
+                a = np.concatenate((p.lo[p.first[whole]], start))
+                e = np.concatenate((p.hi[p.first[whole]], start)) + length
+                key = np.concatenate((p.anchor[whole], window_hash(p.data, start, length)))
+                order = np.argsort(key, kind="stable")
+                pick, a, e, key, place = pick[order], a[order], e[order], key[order], np.concatenate((np.zeros(len(whole), np.int64), place))[order]
                 size = (e - a).astype(np.int64)
                 at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                 body, ends = p.data[at], np.concatenate(([0], np.cumsum(size)))
-                bucket = ((p.anchor[pick] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                bucket = ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(bucket, np.arange(n + 1))
                 rows = [(k, x, y) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
-                cols = [p.anchor[pick].astype("<u8"), p.least[pick].astype("<i8"), pick.astype("<u4"), size.astype("<u2")]
+                cols = [key.astype("<u8"), p.least[pick].astype("<i8"), pick.astype("<u4"), place.astype("<u2"), size.astype("<u2")]
                 blobs = [pa.array([c[x:y].tobytes() for _, x, y in rows], pa.binary()) for c in cols]
                 blobs.append(pa.array([body[ends[x] : ends[y]].tobytes() for _, x, y in rows], pa.binary()))
                 yield _batch([c.split()[0] for c in _TEXTS.split(", ")], [pa.array([row["pack"]] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int32()), *blobs])
@@ -218,6 +235,16 @@ def _texts(length: int, q: int, n: int):  # noqa: ANN202
     return run
 
 
+def window_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at `start`, some at a time."""
+    out, k = [np.zeros(0, np.uint64)], np.arange(length)
+    for x in range(0, len(start), 20_000):
+        part = data[start[x : x + 20_000, None] + k].ravel()
+        edge = np.arange(0, len(part) + 1, length)
+        out.append(range_hash(prefix_hash(part), edge[:-1], edge[1:]))
+    return np.concatenate(out)
+
+
 def repeated_windows(strings: list[bytes], docs: list[np.ndarray], length: int) -> list[np.ndarray]:
     """For each string the least document of each window of `length` bytes, over all strings that hold the window. docs: each string's documents."""
     ends = np.cumsum([len(s) + 1 for s in strings])
@@ -288,19 +315,19 @@ def _resolve(length: int):  # noqa: ANN202
         packs, cols, bodies = [], [], []
         for b in batches:
             for i in range(b.num_rows):
-                r = [np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("anchors", "<u8"), ("docs", "<i8"), ("entries", "<u4"), ("lens", "<u2"))]
+                r = [np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("anchors", "<u8"), ("docs", "<i8"), ("entries", "<u4"), ("places", "<u2"), ("lens", "<u2"))]
                 cols.append((np.full(len(r[0]), len(packs)), *r))
                 packs.append(b.column("pack")[i].as_py())
                 bodies.append(np.frombuffer(b.column("body")[i].as_buffer(), np.uint8))
         if not packs:
             return
-        pack, anchor, doc, entry, size = (np.concatenate(x) for x in zip(*cols, strict=True))
+        pack, anchor, doc, entry, place, size = (np.concatenate(x) for x in zip(*cols, strict=True))
         size = size.astype(np.int64)
         body = np.concatenate(bodies)
         cols.clear()
         bodies.clear()
         at = np.cumsum(size) - size
-        masks: list[tuple[int, int, bytes]] = []
+        masks: list[tuple[int, int, int, bytes]] = []
         order = np.argsort(anchor, kind="stable")
         _, edge = _groups(anchor[order])
         ends = np.cumsum(size[order])
@@ -310,7 +337,7 @@ def _resolve(length: int):  # noqa: ANN202
             y = int(np.append(edge, len(order))[np.searchsorted(edge, max(y, x + 1))])
             part = order[x:y]
             for k, mask in _masks(anchor[part], doc[part], size[part], [body[at[i] : at[i] + size[i]] for i in part.tolist()], length):
-                masks.append((int(pack[part[k]]), int(entry[part[k]]), mask))
+                masks.append((int(pack[part[k]]), int(entry[part[k]]), int(place[part[k]]), mask))
             x = y
             release()
         masks.sort()
@@ -320,7 +347,9 @@ def _resolve(length: int):  # noqa: ANN202
             while y < len(masks) and masks[y][0] == masks[x][0]:
                 y += 1
             part = masks[x:y]
-            yield _batch(["pack", "entries", "lens", "masks"], [pa.array([packs[part[0][0]]]), pa.array([np.array([m[1] for m in part], "<u4").tobytes()], pa.binary()), pa.array([np.array([len(m[2]) for m in part], "<u2").tobytes()], pa.binary()), pa.array([b"".join(m[2] for m in part)], pa.binary())])
+            blobs = [np.array([m[c] for m in part], t).tobytes() for c, t in ((1, "<u4"), (2, "<u2"))]
+            blobs += [np.array([len(m[3]) for m in part], "<u2").tobytes(), b"".join(m[3] for m in part)]
+            yield _batch(["pack", "entries", "places", "lens", "masks"], [pa.array([packs[part[0][0]]]), *[pa.array([x], pa.binary()) for x in blobs]])
             x = y
 
     return run
@@ -335,15 +364,19 @@ def _finish(length: int, q: int, n: int, with_text: bool):  # noqa: ANN202
                 code = _codes(p, row["told"], n)
                 doc = p.ids[p.row]
                 whole = (code[p.entry] == 1) | (doc > p.least[p.entry])
-                delta = np.zeros(len(p.data) + 1, np.int64)
+                delta = np.zeros(len(p.data) + 1, np.int32)
                 np.add.at(delta, p.lo[whole], 1)
                 np.add.at(delta, p.hi[whole] + length, -1)
                 masks: dict[int, np.ndarray] = {}
                 for m in row["masks"] or ():
                     x = 0
                     raw = np.frombuffer(m["masks"], np.uint8)
-                    for e, k in zip(np.frombuffer(m["entries"], "<u4").tolist(), np.frombuffer(m["lens"], "<u2").tolist(), strict=True):
-                        masks[e] = raw[x : x + k]
+                    told = [np.frombuffer(m[c], t).tolist() for c, t in (("entries", "<u4"), ("places", "<u2"), ("lens", "<u2"))]
+                    for e, at, k in zip(*told, strict=True):
+                        if e not in masks:
+                            f = p.first[e]
+                            masks[e] = np.zeros(int(p.hi[f] - p.lo[f]) + 1, np.uint8)
+                        masks[e][at : at + k] |= raw[x : x + k]
                         x += k
                 if masks:
                     for s in np.flatnonzero(np.isin(p.entry, np.fromiter(masks, np.int64)) & ~whole).tolist():
@@ -382,22 +415,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller id. Rows
     that share an id don't remove each other's bytes; a null id is the smallest. Texts shorter than `length` stay
-    whole. An empty table gives an empty table; other columns aren't read,
+    whole; very long ones are hashed CHUNK windows at a time. An empty table gives an empty table; other columns aren't read,
     but those named in `carry` come along in the struct `carried` when texts are asked for.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"), (F.to_json(F.struct(*carry)) if carry else F.lit("")).alias("_x"))
     packs = stored(rows.mapInArrow(_packs, _PACK), "packs")
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    few = lambda: small_batches(spark, 4)  # noqa: E731  rows that hold a pack each
-    few()
     codes = packs.mapInArrow(_send(length, q, n), _SENT).repartition(n, "bucket").mapInArrow(_judge, "pack long, bucket int, codes binary")
-    codes = stored(codes.groupBy("pack").agg(F.collect_list(F.struct("bucket", "codes")).alias("told")), "codes")
+    codes = stored(codes.groupBy("pack").agg(F.collect_list(F.struct("bucket", "codes")).alias("told")), "codes", PACKS)
     told = packs.join(codes, "pack", "left")
-    texts = told.mapInArrow(_texts(length, q, n), _TEXTS).repartition(n, "bucket").mapInArrow(_resolve(length), "pack long, entries binary, lens binary, masks binary")
-    masks = stored(texts.groupBy("pack").agg(F.collect_list(F.struct("entries", "lens", "masks")).alias("masks")), "masks")
+    texts = told.mapInArrow(_texts(length, q, n), _TEXTS).repartition(n, "bucket").mapInArrow(_resolve(length), "pack long, entries binary, places binary, lens binary, masks binary")
+    masks = stored(texts.groupBy("pack").agg(F.collect_list(F.struct("entries", "places", "lens", "masks")).alias("masks")), "masks", PACKS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, carried string" if with_text else "")
     out = told.join(masks, "pack", "left").mapInArrow(_finish(length, q, n, with_text), schema).withColumnRenamed("doc_id", id_col)
     if with_text:

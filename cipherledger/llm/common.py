@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,18 +19,29 @@ NON_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share. Where it is unset: a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and every executor sees it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and every executor sees it.
+
+    batch_rows: rows of an Arrow batch during this write alone, for rows that hold megabytes each.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark, name), spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,11 +57,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACE}+", -1), "")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what one Arrow batch to Python can hold; long texts would make the default of 10,000 rows large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def release() -> None:
     """Gives freed memory back to the system; a worker process serves many tasks and would otherwise keep its peak."""
     pa.default_memory_pool().release_unused()

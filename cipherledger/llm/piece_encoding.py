@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 MARK = "▁"
 #: Parts (in each of two generations) and pairs that a worker remembers; beyond that it forgets the oldest, which costs time and no result.
 PARTS, PAIRS = 300_000, 600_000
@@ -227,8 +225,6 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     Rows are independent: repeated rows each get their result, an empty table gives an empty one, other columns
     aren't read. `model_file` must be readable on the executors.
     """
-    small_batches(docs.sparkSession, 500)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, sha = table(model_file), hashlib.sha256
         for b in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, small_batches, stored, views, word_bounds
+from .common import mix, prefix_hash, range_hash, stored, views, word_bounds
 
 #: Names of the statistics, in the order of the vector.
 NAMES = ("bytes", "words", "word_len", "upper", "digits", "exclaim", "pipes", "symbols", "stops", "commas", "lines", "high", "same_next", "distinct", "seen_pairs", "long_words")
@@ -62,7 +62,6 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats array<double>) of every row, whole texts; null text counts as empty."""
-    small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, views
+from .common import views
 
 #: Ids of one shard; a shard always holds whole documents.
 SHARD_IDS = 1_000_000
@@ -217,7 +217,6 @@ def _shard(part: int, seq: int, docs: list[tuple[int | None, np.ndarray]], base:
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Writes shards of the documents in ascending id order (equal ids by text, null ids first; null text is empty)."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +260,6 @@ def document_ids(row: dict, doc_id: int) -> np.ndarray:
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, start counting all ids before it in the files' order."""
-    small_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

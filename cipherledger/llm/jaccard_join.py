@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by PartEnum signatures, and its components.
 
-1. Shingle sets are hashed in one pass. Documents with equal sets form a class.
+1. Shingle sets are hashed in one pass. Documents with equal sets form a class, known by the set's digest.
 2. In a set with a partner at similarity t, at most 1 - t of its shingles miss from the partner, hence from all other
-   documents. Counting documents per shingle on a fixed part of the shingle domain therefore proves most documents
-   to have no partner. Counting runs on blocks of numbers, summed before the shuffle.
+   classes. Counting classes per shingle on a fixed part of the shingle domain therefore proves most classes to have no
+   partner. Counting runs on blocks of numbers: a block per task and bucket of shingles, then one per bucket and range
+   of classes, so no row stands for a shingle or for a class of a bucket.
 3. The others get PartEnum signatures: sizes fall into bands [l, l / t]; two sets of one band or of neighbouring bands
    differ in at most k = 2 r (1 - t) / (1 + t) shingles, r being the band's largest size. The domain is cut into n1
    parts of N2 cells, n1 = ceil((k + 1) / 2), so in one part at most one cell differs: every choice of N2 - 1
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, small_batches, stored, views, word_bounds
+from .common import mix, prefix_hash, range_hash, stored, views, word_bounds
 from .components import components
 
 #: Words of a shingle and the similarity in percent.
@@ -84,10 +85,11 @@ def _sums(h: np.ndarray, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray,
 
 
 _FIRST = "doc_id long, n_shingles long, s1 long, s2 long, bucket int, keys binary, low binary, high binary, multi binary"
+_ALONE = "range int, sets binary, counts binary"
 
 
 def _first_pass(n_buckets: int, size: int):  # noqa: ANN202
-    """Sets' digests, and for each bucket of the counted part of the domain its shingles with their document."""
+    """Sets' digests, and for each bucket of the counted part of the domain its shingles with their class."""
 
     def send(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(h, kind="stable")
@@ -110,15 +112,13 @@ def _first_pass(n_buckets: int, size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            ids = b.column("_id").fill_null(0).to_numpy(zero_copy_only=False)
             for a, e, data, off in views(b, "_t"):
                 h, r = shingle_sets(data, off, size)
-                own = ids[a:e]
                 k, s1, s2 = _sums(h, r, e - a)
                 none = [pa.nulls(e - a, t) for t in (pa.int32(), *[pa.binary()] * 4)]
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(a, e - a), pa.array(k), pa.array(s1), pa.array(s2), *none], names=[c.split()[0] for c in _FIRST.split(", ")])
                 part = (h & np.uint64(0xFFFFFFFF)) * np.uint64(100) >> np.uint64(32) < COUNTED
-                held.append((h[part], own[r[part]].astype(np.int64)))
+                held.append((h[part], s1[r[part]]))
                 n += int(part.sum())
                 if n >= SEND:
                     yield send(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
@@ -129,23 +129,76 @@ def _first_pass(n_buckets: int, size: int):  # noqa: ANN202
     return run
 
 
-def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shingles of the counted part that no other document has) from whole buckets."""
-    parts: list[list[np.ndarray]] = []
+def _blocks(where: np.ndarray, n: int, sets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(where, kind="stable")
+    sets, counts = sets[order].astype("<i8"), counts[order].astype("<u4")
+    cut = np.searchsorted(where[order], np.arange(n + 1))
+    rows = [(k, x, y) for k, x, y in zip(range(n), cut[:-1], cut[1:], strict=True) if x < y]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), *[pa.array([c[x:y].tobytes() for _, x, y in rows], pa.binary()) for c in (sets, counts)]], names=["range", "sets", "counts"])
+
+
+def _lonely(n_ranges: int):  # noqa: ANN202
+    """From whole buckets the classes that alone have some of the shingles, and how many, as a block for each range of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                k, lo, hi, m = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("keys", "<u4"), ("low", "<u4"), ("high", "<u4"), ("multi", np.uint8)))
+                bucket = np.full(len(k), b.column("bucket")[i].as_py(), np.uint64)
+                parts.append([(bucket << np.uint64(32)) | k, np.stack((lo, hi), 1).copy().view("<i8").ravel(), m])
+        if parts:
+            k, d, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(k, kind="stable")
+            k, d, m = k[order], d[order], m[order]
+            at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
+            alone = (low == high) & (np.maximum.reduceat(m, at) == 0)
+            sets, n = np.unique(low[alone], return_counts=True)
+            where = (mix(sets.view(np.uint64)) % np.uint64(n_ranges)).astype(np.int64)
+            yield _blocks(where, n_ranges, sets, n)
+
+    return run
+
+
+def _second_half(n_ranges: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            mask = b.column("bucket").is_null()
+            info = b.filter(mask).select(["doc_id", "n_shingles", "s1", "s2"])
+            if info.num_rows:
+                none = [pa.nulls(info.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*info.columns, *none], names=[*info.schema.names, "range", "sets", "counts"])
+            held.append(b.filter(pc.invert(mask)).select(["bucket", "keys", "low", "high", "multi"]))
+        for x in _lonely(n_ranges)(iter(held)):
+            none = [pa.nulls(x.num_rows, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, *x.columns], names=["doc_id", "n_shingles", "s1", "s2", *x.schema.names])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s1, alone) from whole ranges, block by block."""
+    sets, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(more: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, at = np.unique(np.concatenate((sets, *more)), return_inverse=True)
+        return u, np.bincount(at, np.concatenate((counts, *n)), len(u)).astype(np.int64)
+
+    held: list[np.ndarray] = []
+    told: list[np.ndarray] = []
+    size = 0
     for b in batches:
         for i in range(b.num_rows):
-            k, lo, hi, m = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("keys", "<u4"), ("low", "<u4"), ("high", "<u4"), ("multi", np.uint8)))
-            bucket = np.full(len(k), b.column("bucket")[i].as_py(), np.uint64)
-            parts.append([(bucket << np.uint64(32)) | k, np.stack((lo, hi), 1).copy().view("<i8").ravel(), m])
-    if parts:
-        k, d, m = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, d, m = k[order], d[order], m[order]
-        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-        alone = (low == high) & (np.maximum.reduceat(m, at) == 0)
-        ids, n = np.unique(low[alone], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n"])
+            held.append(np.frombuffer(b.column("sets")[i].as_buffer(), "<i8"))
+            told.append(np.frombuffer(b.column("counts")[i].as_buffer(), "<u4"))
+            size += len(held[-1])
+            if size >= SEND:
+                sets, counts = add(held, told)
+                held, told, size = [], [], 0
+    sets, counts = add(held, told)
+    yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(counts)], names=["s1", "alone"])
 
 
 def band_starts(percent: int, upto: int) -> np.ndarray:
@@ -214,14 +267,14 @@ def _sign(percent: int, seed: int, keep: list[str]):  # noqa: ANN202
 
 
 def _second_pass(size: int):  # noqa: ANN202
-    """Whole sets and their bitmaps for the documents that are left."""
+    """Whole sets and their bitmaps for the classes that are left, from a text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, s1 = b.column("_id"), b.column("_s1").to_numpy()
+            s1, s2 = b.column("_s1").to_numpy(), b.column("_s2").to_numpy()
             for a, e, data, off in views(b, "_t"):
                 h, r = shingle_sets(data, off, size)
-                n, t1, _ = _sums(h, r, e - a)
+                n, t1, t2 = _sums(h, r, e - a)
                 words = np.maximum(BITMAP, 1 << np.ceil(np.log2(np.maximum(n, 1) / 16)).clip(0).astype(np.int64))
                 ends = np.cumsum(words)
                 x = mix(h + np.uint64(99))
@@ -230,8 +283,8 @@ def _second_pass(size: int):  # noqa: ANN202
                 off32 = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(off32), pa.array(h.view(np.int64)))
                 maps = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(bits.view(np.int64)))
-                same = pa.array(np.flatnonzero(t1 == s1[a:e]))
-                out = pa.RecordBatch.from_arrays([ids.slice(a, e - a), pa.array(n), sets, maps], names=["rep", "n", "hashes", "bits"])
+                same = pa.array(np.flatnonzero((t1 == s1[a:e]) & (t2 == s2[a:e])))
+                out = pa.RecordBatch.from_arrays([pa.array(t1), pa.array(n), sets, maps], names=["rep", "n", "hashes", "bits"])
                 yield out.take(same)
 
     return run
@@ -270,45 +323,40 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, n_class) for every row; two documents link at `percent` similarity or more.
 
-    Texts without words (null, empty) have no shingles, link with nothing and are their own component. Rows that share
-    an id are one document to the links; a null id gets a null component. Equal sets are one class: n_class counts
-    its rows. An empty table gives an empty table; other columns aren't read. Sets are compared by 64-bit hashes.
+    Texts without words (null, empty) have no shingles, link with nothing and are their own component. Very long texts
+    are hashed whole, one at a time. Rows that share an id are one document to the links, so texts linked with any of
+    them meet in one component; a null id gets a null component. Equal sets are one class, known by two 64-bit digests:
+    n_class counts its rows. An empty table gives an empty table; other columns aren't read, whatever their names. Sets
+    are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    first = rows.filter("_id IS NOT NULL").mapInArrow(_first_pass(n_buckets, size), _FIRST)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            mask = b.column("bucket").is_null()
-            info = b.filter(mask).select(["doc_id", "n_shingles", "s1", "s2"])
-            if info.num_rows:
-                yield info.append_column("alone", pa.nulls(info.num_rows, pa.int64()))
-            held.append(b.filter(pc.invert(mask)))
-        for x in _lonely(iter(held)):
-            none = pa.nulls(x.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), none, none, none, x.column("n")], names=["doc_id", "n_shingles", "s1", "s2", "alone"])
-
-    deal = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))  # by id: copies spread
-    told = stored(first.repartition(n_buckets, deal).mapInArrow(second, "doc_id long, n_shingles long, s1 long, s2 long, alone long"), "shingle-counts")
-    info = told.filter("s1 IS NOT NULL").select("doc_id", "n_shingles", "s1", "s2")
-    alone = told.filter("alone IS NOT NULL").groupBy("doc_id").agg(F.sum("alone").alias("alone"))
-    classes = info.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n"))
-    classes = stored(classes, "shingle-classes")
-    left = classes.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left").filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent))
-    todo = rows.join(left.select(F.col("rep").alias("_id"), F.col("s1").alias("_s1")), "_id")
+    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(n_ranges, -(-total // BUCKET_BYTES))
+    first = rows.mapInArrow(_first_pass(n_buckets, size), _FIRST)
+    # Documents' own rows come along with the blocks; copies and null ids spread.
+    deal = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc_id", "s1", "n_shingles"), F.lit(n_buckets)).cast("int"))
+    told = stored(first.repartition(n_buckets, deal).mapInArrow(_second_half(n_ranges), f"doc_id long, n_shingles long, s1 long, s2 long, {_ALONE}"), "shingle-counts")
+    info = told.filter("range IS NULL").select("doc_id", "n_shingles", "s1", "s2")
+    blocks = told.filter("range IS NOT NULL").select("range", "sets", "counts")
+    alone = blocks.repartition(n_ranges, "range").mapInArrow(_summed, "s1 long, alone long")
+    full = info.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n"))
+    classes = stored(classes.join(alone, "s1", "left"), "shingle-classes")
+    left = classes.filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent))
+    todo = rows.join(left.select(F.col("rep").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2")), "_id")
     sets = todo.mapInArrow(_second_pass(size), "rep long, n long, hashes array<long>, bits array<long>")
     sets = stored(sets.dropDuplicates(["rep"]), "shingle-sets")
     links = _links(sets, percent)
-    label = components(links)
-    out = info.join(classes.select("s1", "s2", "rep", "n_class"), ["s1", "s2"], "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
-    null_id = rows.filter("_id IS NULL").mapInArrow(_first_pass(1, size), _FIRST).filter("n_shingles IS NOT NULL")
-    out = out.union(null_id.select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(1).cast("long")))
+    several = full.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("_m")).filter("a <> _m").select("doc_id", "a")
+    links = links.union(full.join(several, "doc_id").filter("s1 <> a").select("a", F.col("s1").alias("b")))
+    label = components(links).withColumnRenamed("node", "s1")
+    least = label.join(classes.select("s1", "rep"), "s1").groupBy("component").agg(F.min("rep").alias("least"))
+    label = label.join(least, "component").select("s1", "least")
+    out = info.join(classes.select("s1", "s2", "rep", "n_class"), ["s1", "s2"], "left").join(label, "s1", "left")
+    known = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("least", "rep")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", known.alias("component_id"), F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("n_class")).otherwise(F.lit(1).cast("long")).alias("n_class"))
     return out.withColumnRenamed("doc_id", id_col)
 
 

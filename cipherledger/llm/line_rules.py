@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, SPACE, let, text_of, words_of
+from .common import NON_SPACE, let, text_of, words_of
 
 #: Symbols that the base statistics count.
 SYMBOLS = "#*$%&|<>"
@@ -42,9 +42,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), sorted_windows)))
 
 
-def line_verdict(line: Column) -> Column:
-    """Name of the first rule that a line fails, or null. Lines without words pass."""
-    n = F.regexp_count(line, F.lit(f"{NON_SPACE}+"))
+def words_in(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"{NON_SPACE}+"))
+
+
+def line_verdict(line: Column, n: Column) -> Column:
+    """Name of the first rule that a line of n words fails, or null. Lines without words pass."""
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     return (
         F.when(n == 0, F.lit(None).cast("string"))
@@ -68,20 +71,20 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = docs.select(F.col(id_col), text_of(text_col).alias("_t"), *extra)
     extra = ["carried"] if carry else []
     out = out.withColumn("_w", words_of(text)).withColumn("_l", F.split(text, "\n", -1))
-    lines = F.filter("_l", lambda x: x.rlike(NON_SPACE))
-    count = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(f"{NON_SPACE}+")))
+    out = out.withColumn("_l", F.transform("_l", lambda x: F.struct(x.alias("line"), words_in(x).alias("n"))))  # counted once for all rules
+    lines = F.filter("_l", lambda x: x["n"] > 0)["line"]
     out = out.select(
         id_col,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        F.filter("_l", lambda x: line_verdict(x).isNull()).alias("_kept"),
+        F.filter("_l", lambda x: line_verdict(x["line"], x["n"]).isNull()).alias("_kept"),
         F.size("_l").alias("_n_lines"),
         *extra,
     )
-    out = out.withColumn("words_kept", count(F.col("_kept")).cast("long"))
+    out = out.withColumn("words_kept", F.aggregate("_kept", F.lit(0), lambda a, x: a + x["n"]).cast("long"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select(
         id_col,
@@ -94,7 +97,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (~base & (F.col("words_kept") >= F.lit(min_kept) * F.col("n_words"))).alias("kept"),
         "words_kept",
         (F.col("_n_lines") - F.size("_kept")).cast("long").alias("lines_removed"),
-        F.array_join("_kept", "\n").alias("clean_text"),
+        F.array_join("_kept.line", "\n").alias("clean_text"),
         *extra,
     )
 

@@ -18,13 +18,16 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
     [mask_start, mask_end) is the trainable span of `rendered` (empty for other speakers). Concatenating `rendered`
     in order of (turn, role, text) gives the whole dialogue; rows stay apart so that no dialogue has to fit one task.
     A null role is the speaker `unknown`, a null text is empty, a null conversation id forms a conversation of its
-    own, repeated turns each give their row; a conversation with system turns alone has no perspective and no rows.
+    own, repeated turns each give their row; a conversation with system turns alone has no perspective and no rows, nor
+    has an empty table. Control marks and line ends in names and texts are broken up, so neither can forge a turn. Long
+    texts are rendered whole. Other columns aren't read, whatever their names.
     """
+    clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     t = turns.select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
+        clean(F.coalesce("text", F.lit(""))).alias("body"),
     )
     people = t.filter(F.col("speaker") != SYSTEM).groupBy("conv_id").agg(F.array_sort(F.collect_set("speaker")).alias("people"))
     people = people.select(F.col("conv_id").alias("_c"), "people")
@@ -33,7 +36,7 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
     head = (
         F.when(own, F.lit(f"{OPEN}assistant\n"))
         .when(F.col("speaker") == SYSTEM, F.lit(f"{OPEN}system\n"))
-        .otherwise(F.concat(F.lit(f"{OPEN}user name="), F.replace("speaker", F.lit("\n"), F.lit(" ")), F.lit("\n")))
+        .otherwise(F.concat(F.lit(f"{OPEN}user name="), clean(F.translate("speaker", "\n\r", "  ")), F.lit("\n")))
     )
     rows = rows.select("conv_id", "perspective", "turn", "speaker", own.alias("loss"), head.alias("_h"), "body")
     rendered = F.concat("_h", "body", F.lit(f"{CLOSE}\n"))
@@ -46,7 +49,7 @@ SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'),
 r AS (SELECT t.conv_id, perspective, turn, speaker, body, speaker = perspective AS loss,
- CASE WHEN speaker = perspective THEN '{OPEN}assistant' WHEN speaker = '{SYSTEM}' THEN '{OPEN}system' ELSE '{OPEN}user name=' || replace(speaker, chr(10), ' ') END || chr(10) AS h
+ CASE WHEN speaker = perspective THEN '{OPEN}assistant' WHEN speaker = '{SYSTEM}' THEN '{OPEN}system' ELSE '{OPEN}user name=' || replace(translate(speaker, chr(10) || chr(13), '  '), '<|', '< |') END || chr(10) AS h
  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id)
 SELECT conv_id, perspective, turn, speaker, loss, h || body || '{CLOSE}' || chr(10) AS rendered,
  CAST(CASE WHEN loss THEN length(h) ELSE 0 END AS BIGINT) AS mask_start,

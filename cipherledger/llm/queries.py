@@ -30,12 +30,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), max_ratio=mixing.MAX_RATIO))
-
-
-def op4_mixing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by uncut weights, so that the sample reaches its targets."""
-    return mixing.digest(mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+    return mixing.digest(mixing.mix_sources(_read(spark, sf_dir, "documents"), keep=("doc_id",)))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +59,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op4_mixing_whole, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard)}
-ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op4_mixing_whole": mixing.sql(max_ratio=None), "op5_warc": warc.SQL, "op6_perspectives": dialogue.SQL, "op9_line_rules": line_rules.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard)}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op5_warc": warc.SQL, "op6_perspectives": dialogue.SQL, "op9_line_rules": line_rules.sql()}

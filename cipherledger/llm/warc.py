@@ -19,6 +19,9 @@ CHUNK = 1 << 15
 REVISIT_MIN = 1000
 #: The date that every record states; a fixed value keeps archives reproducible.
 DATE = "2024-01-01T00:00:00Z"
+#: Profile of a revisit record, and the header block that stands before a payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,8 +41,10 @@ def to_records(pages: DataFrame, chunk_bytes: int = CHUNK, revisit_min: int = RE
     """Chunk rows of the archive from (page_id, url, html).
 
     Of equal payloads of at least `revisit_min` bytes the one with the largest page_id is the response, others revisit
-    it. A null html is an empty payload, a null url an empty one; equal rows that share the largest id are all
-    responses; a null page_id never is the largest, and stays a response where no other id has its payload.
+    it by its record id, urn:page:<page_id>:<digest>. A null html is an empty payload, a null url an empty one; equal rows
+    that share the largest id are all responses and share that record id; a null page_id never is the largest, and stays
+    a response where no other id has its payload. Very long payloads are cut into chunks; an empty table gives no rows;
+    other columns aren't read, whatever their names.
     """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -47,23 +52,26 @@ def to_records(pages: DataFrame, chunk_bytes: int = CHUNK, revisit_min: int = RE
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     first = base.filter(F.col("size") >= revisit_min).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("_n")).filter("_n > 1 AND target IS NOT NULL").drop("_n")
-    rows = base.join(first, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("target")) & F.col("target").isNotNull(), F.lit(False)))
-    rows = rows.withColumn("record_id", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string")))
+    # Targets are found on narrow rows; payloads meet them by page, so copies of one payload don't gather in a task.
+    narrow = base.select("page_id", "digest").join(first, "digest").distinct().select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "target")
+    rows = base.join(narrow, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("target")) & F.col("target").isNotNull(), F.lit(False)))
+    name = lambda page: F.concat(F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    rows = rows.withColumn("record_id", F.concat(name("page_id"), F.lit(":"), F.monotonically_increasing_id().cast("string")))  # of the chunk table alone
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: <"),
-        F.col("record_id"),
+        name("page_id"),
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
         F.lit("\r\nPayload-Length: "),
         F.col("size").cast("string"),
-        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("target").cast("string"), F.lit(">"))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
-        F.when(F.col("revisit"), F.lit("0")).otherwise(F.col("size").cast("string")),
-        F.lit("\r\n\r\n"),
+        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: <"), name("target"), F.lit(f">\r\nWARC-Profile: {PROFILE}"))).otherwise(F.lit("")),
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
+        (F.when(F.col("revisit"), F.lit(0).cast("long")).otherwise(F.col("size")) + len(HTTP)).cast("string"),
+        F.lit(f"\r\n\r\n{HTTP}"),
     )
     stored = F.when(F.col("revisit"), F.lit(0).cast("long")).otherwise(F.col("size"))
     rows = rows.select("record_id", "page_id", header.alias("_h"), stored.alias("_n"), "payload")
@@ -121,7 +129,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "page_id",
         "is_last",
         field("WARC-Type", "([a-z]+)").alias("record_type"),
-        field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").try_cast("long").alias("refers_to"),
+        field("WARC-Refers-To", "<urn:page:(-?[0-9]+):[0-9a-f]{40}>").try_cast("long").alias("refers_to"),
         field("Payload-Length", "([0-9]+)").try_cast("long").alias("_told"),
         field("WARC-Payload-Digest", "sha1:([0-9a-f]{40})").alias("_digest"),
         F.octet_length("data").cast("long").alias("_bytes"),

@@ -1,6 +1,11 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+
+All stages alike: a null text counts as empty; a null lang or source stays null; texts of any length are read whole; an
+empty table gives an empty one; columns beyond those of `documents` aren't read, whatever their names. Repeated rows
+are judged each on their own by stages 1 and 5; to the others, rows that share an id are one document and stay or go
+together. A null id stays with its row; the byte stage treats it as the least id.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones stays; so do documents without words or id."""
+    """The document with the smallest id of each group of linked ones stays (all its rows, if the id repeats); so do documents without words or id."""
     gone = jaccard_join.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
@@ -47,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mix), ("encoding", encode)]
-#: Byte removal and piece encoding have no SQL; tests compare run() with a plain version.
+#: Byte removal and piece encoding have no SQL; tests/llm/test_pipeline.py compares run() with a plain version.
 ORACLE_SQL = None
 
 

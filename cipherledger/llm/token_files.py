@@ -30,7 +30,9 @@ WORDS = 400_000
 BATCH, JOINED = 20_000, 50
 #: ASCII signs that never follow a letter within one token, and the mark of a token that ends a word.
 SIGNS, WORD_END = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', "</w>"
-#: Text bytes that are encoded at a time.
+#: Bytes that aren't white space to the split, and text bytes that are encoded at a time.
+SOLID = np.ones(256, bool)
+SOLID[[9, 10, 13, 32]] = False
 TEXT_BYTES = 8_000_000
 SHARD = "part int, seq int, n_docs int, n_ids long, base int, width int, doc_ids binary, doc_lens binary, doc_symbols binary, rules binary, rule_lens binary, symbols binary"
 
@@ -147,13 +149,12 @@ class WordIds:
         if len(self.known) > WORDS:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        cut, letters, rest = [], set(), set()
-        for w in words:
-            if w in known:
-                continue
-            if w in old:
-                known[w] = old[w]
-                continue
+        new = [w for w in words if w not in known]
+        known.update([(w, old[w]) for w in new if w in old])
+        new = [w for w in new if w not in old]
+        letters = {w for w in new if w.isalpha()} if self.joins else set()
+        cut, rest = [], set()
+        for w in [w for w in new if w not in letters]:
             core = w.rstrip(SIGNS)
             if core and core[-1].isalpha():
                 tail = w[len(core) :]
@@ -173,24 +174,25 @@ class WordIds:
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[off[k]:off[k + 1]], each with the end id, and the number of ids of each."""
         n = len(off) - 1
-        gap = (data == 32) | (data == 9) | (data == 10) | (data == 13)
-        edge = np.zeros(len(data) + 1, bool)
-        edge[off] = True
-        solid = ~gap
-        start = np.flatnonzero(solid & (edge[:-1] | np.concatenate(([True], gap[:-1])))) if len(data) else np.zeros(0, np.int64)
-        size = np.add.reduceat(solid, start) if len(start) else start  # a word's bytes and the gaps behind it, of which only the bytes count
-        where = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(where), pa.py_buffer(data[solid])).dictionary_encode()
-        names = words.dictionary.to_pylist()
+        solid = SOLID[data]
+        fresh = np.ones(len(data) + 1, bool)  # after a gap or at a text's start
+        np.logical_not(solid, out=fresh[1:])
+        fresh[off] = True
+        start = np.flatnonzero(solid & fresh[:-1])
+        body = data[solid]
+        before = np.cumsum(solid, dtype=np.int32)  # a word's bytes count, the gaps behind it don't
+        where = np.append(before[start] - 1, len(body)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(where), pa.py_buffer(body)).dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn(names)
         ids = [*map(self.known.__getitem__, names), np.array([end_id], "<u4").tobytes()]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
+        lens = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens, dtype=np.int32) - lens
         cuts = np.searchsorted(start, off[1:])
-        seq = np.insert(words.indices.to_numpy().astype(np.int64), cuts, len(names))
+        seq = np.insert(words.indices.to_numpy(), cuts, len(names))
         count = lens[seq]
-        ends = np.cumsum(count)
-        out = flat[np.repeat(first[seq] - ends + count, count) + np.arange(int(ends[-1]) if n else 0)]
+        ends = np.cumsum(count, dtype=np.int32)
+        out = flat[np.repeat(first[seq] - ends + count, count) + np.arange(int(ends[-1]) if n else 0, dtype=np.int32)]
         return out, np.diff(ends[cuts + np.arange(n)], prepend=0)
 
 

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from ..plans import rules as R
 
 
+#: Results that a rule may give.
+VOCABULARY = {"classification": ("infrastructure", "application"), "sensitivity": ("public", "internal", "confidential", "high", "critical"), "criticality": ("low", "medium", "high", "critical")}
+#: Rows up to which a table of owner rules is broadcast.
+MAX_RULES = 10_000
+
+
 def predicate(rule: tuple) -> Column:
     """All criteria present must hold; the entries of one criterion are alternatives."""
     surfaces, purposes, prefixes, paths, classified = rule[:5]
+    below, least = rule[7:9] if len(rule) > 7 else (None, None)
     up, low = F.upper("algorithm"), F.lower("file_path")
     any_of = lambda xs: reduce(lambda a, b: a | b, xs)
     parts = []
@@ -26,6 +33,10 @@ def predicate(rule: tuple) -> Column:
         parts.append(any_of([low.contains(p) for p in paths]))
     if classified:
         parts.append(F.col("classification") == classified)
+    if below is not None:  # a key size that isn't known fails both tests
+        parts.append(F.col("key_size_bits") < below)
+    if least is not None:
+        parts.append(F.col("key_size_bits") >= least)
     return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
 
 
@@ -42,13 +53,14 @@ def classify(assets: DataFrame) -> DataFrame:
     """Adds classification, sensitivity, criticality and the rule behind each. One pass, no join, no shuffle."""
     for name, table in (("classification", R.CLASSIFICATION), ("sensitivity", R.SENSITIVITY), ("criticality", R.CRITICALITY)):
         value, why = first_match(table, R.FALLBACK[name])
-        assets = assets.withColumns({name: value, f"{name}_rule": why})
+        allowed = VOCABULARY[name]
+        assets = assets.withColumns({name: checked(value, allowed, R.FALLBACK[name]), f"{name}_rule": F.when(value.isin(*allowed), why).otherwise("invalid rule result")})
     return assets
 
 
-def checked(col: str, allowed: tuple[str, ...], fallback: str) -> Column:
+def checked(value: Column, allowed: tuple[str, ...], fallback: str) -> Column:
     """A rule result outside the vocabulary falls back."""
-    return F.when(F.col(col).isin(*allowed), F.col(col)).otherwise(F.lit(fallback))
+    return F.when(value.isin(*allowed), value).otherwise(F.lit(fallback))
 
 
 def certificate_stage(days_left: Column) -> Column:
@@ -65,22 +77,32 @@ def algorithm_stage() -> Column:
     return F.when(reduce(lambda a, b: a | b, [up.startswith(p) for p in R.LEGACY]), "legacy").otherwise("active")
 
 
-def assign_owners(assets: DataFrame, owner_rules: DataFrame, key: str = "seq") -> DataFrame:
-    """Owner by the first rule that fits, priority descending then id ascending; null criteria fit all.
+def assign_owners(assets: DataFrame, owner_rules: DataFrame) -> DataFrame:
+    """Owner by the first rule that fits, priority descending then id ascending; null criteria fit all. An owner that is there stays.
 
-    Rules are a small user table: they join by broadcast on distinct (surface, purpose, algorithm, path) only.
+    Rules are a user table. Each criterion is a column test, so the rules meet the distinct (surface, purpose, algorithm,
+    path) once; they join by broadcast only while they are at most MAX_RULES rows, else Spark chooses.
     """
     cols = ["source_surface", "purpose", "algorithm", "file_path"]
-    kinds = assets.select(*cols).distinct()
+    kinds = assets.select(*[F.col(c).alias(f"_{c}") for c in cols]).distinct()
     r = owner_rules.select("id", F.col("owner").alias("rule_owner"), "priority", "surface", F.col("purpose").alias("rule_purpose"), "algorithm_prefix", "path_contains")
+    if owner_rules.limit(MAX_RULES + 1).count() <= MAX_RULES:
+        r = F.broadcast(r)
     fits = (
-        (F.col("surface").isNull() | (F.col("surface") == F.col("source_surface")))
-        & (F.col("rule_purpose").isNull() | (F.col("rule_purpose") == F.col("purpose")))
-        & (F.col("algorithm_prefix").isNull() | F.upper("algorithm").startswith(F.upper("algorithm_prefix")))
-        & (F.col("path_contains").isNull() | F.lower("file_path").contains(F.lower("path_contains")))
+        (F.col("surface").isNull() | (F.col("surface") == F.col("_source_surface")))
+        & (F.col("rule_purpose").isNull() | (F.col("rule_purpose") == F.col("_purpose")))
+        & (F.col("algorithm_prefix").isNull() | F.upper("_algorithm").startswith(F.upper("algorithm_prefix")))
+        & (F.col("path_contains").isNull() | F.lower("_file_path").contains(F.lower("path_contains")))
     )
-    best = kinds.join(r, fits, "left").groupBy(*cols).agg(F.max_by("rule_owner", F.struct("priority", -F.col("id"))).alias("owner"))
-    return assets.join(best, cols)
+    best = kinds.join(r, fits).groupBy(*[f"_{c}" for c in cols]).agg(F.max_by("rule_owner", F.struct("priority", -F.col("id"))).alias("_owner"))
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+    own = F.nullif(F.trim("owner"), F.lit("")) if "owner" in assets.columns else F.lit(None).cast("string")
+    kept = [F.col(c) for c in assets.columns if c != "owner"]
+    return assets.join(best, same, "left").select(*kept, F.coalesce(own, F.col("_owner")).alias("owner"))
+
+
+def list_owner_rules(rules: DataFrame) -> DataFrame:
+    return rules.orderBy(F.col("priority").desc(), "id")
 
 
 def add_owner_rule(rules: DataFrame, owner: str, priority: int, surface: str | None = None, purpose: str | None = None, algorithm_prefix: str | None = None, path_contains: str | None = None) -> DataFrame:

@@ -7,51 +7,6 @@ from pyspark.sql import functions as F
 
 from ..plans import rules as R
 
-CALL = r"(?:([A-Za-z_][\w.]*)\.)?\b([A-Za-z_]\w*)\((?=([^()]*))"
-#: Call rules over code lines: (rule, module or None, function, algorithm, purpose).
-CALLS = (("S-RSA", "RSA", "generate", "RSA", "key_establishment"), ("S-RSA2", "rsa", "generate_private_key", "RSA", "key_establishment"), ("S-EC", "ec", "generate_private_key", "ECDSA", "digital_signature"), ("S-MD5", "hashlib", "md5", "MD5", "hashing"), ("S-DES", "DES", "new", "DES", "encryption"))
-
-
-def code_only(line: Column) -> Column:
-    """A line without string literals' content and trailing comments."""
-    return F.regexp_replace(F.regexp_replace(line, r"\"[^\"]*\"|'[^']*'", "\"\""), r"(#|//).*$", "")
-
-
-def call_sites(lines: DataFrame) -> DataFrame:
-    """(file_path, line_no, pos, module, function, args) of each call outside comments and strings; calls over several lines are out."""
-    c = code_only(F.col("line"))
-    zipped = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(CALL), F.lit(k)).alias(n) for k, n in ((1, "m"), (2, "f"), (3, "a"))])
-    x = lines.select("file_path", "line_no", "line", F.posexplode(zipped).alias("pos", "s"))
-    return x.select("file_path", "line_no", "pos", F.col("s.m").alias("module"), F.col("s.f").alias("function"), F.col("s.a").alias("args"), F.substring("line", 1, 512).alias("snippet"))
-
-
-def positional(args: Column) -> Column:
-    parts = F.transform(F.split(args, ","), lambda a: F.trim(a))
-    return F.transform(F.filter(parts, lambda a: ~a.contains("=") & (a != "")), lambda a: F.regexp_replace(a, "^[\"']|[\"']$", ""))
-
-
-def key_size(args: Column) -> Column:
-    return F.coalesce(F.get(positional(args), F.lit(0)).try_cast("int"), F.regexp_extract(args, r"key_size\s*=\s*(\d+)", 1).try_cast("int"))
-
-
-def curve(args: Column) -> Column:
-    return F.when(F.upper(args).contains("SECP256R1"), "P256").when(F.upper(args).contains("SECP384R1"), "P384").when(F.upper(args).contains("SECP521R1"), "P521")
-
-
-def siblings(snippet: Column) -> Column:
-    """Identifiers of a statement: distinct, below 80 characters, the first eight."""
-    tokens = F.regexp_extract_all(snippet, F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(tokens, lambda t: F.length(t) < 80)), 1, 8)
-
-
-def match_calls(sites: DataFrame) -> DataFrame:
-    """Findings of call rules: function equal, or a prefix where the rule ends in *, and the rule's module where it has one."""
-    rules = F.broadcast(sites.sparkSession.createDataFrame(list(CALLS), "rule_id string, rule_module string, rule_function string, algorithm string, purpose string"))
-    hit = (F.col("function") == F.col("rule_function")) & (F.col("rule_module").isNull() | (F.col("module") == F.col("rule_module")))
-    out = sites.join(rules, hit)
-    return out.withColumn("algorithm", canonical(F.col("algorithm"), key_size(F.col("args")), curve(F.col("args"))))
-
-
 def canonical(base: Column, size: Column, curve_name: Column) -> Column:
     return F.when(curve_name.isNotNull(), F.concat(base, F.lit("-"), curve_name)).when(size.isNotNull(), F.concat(base, F.lit("-"), size.cast("string"))).otherwise(base)
 
@@ -67,8 +22,16 @@ def coerce_purpose(purpose: Column) -> Column:
 
 def violations(findings: DataFrame) -> DataFrame:
     """(seq, problem) of rows that break a record rule; good rows give nothing."""
+    there = lambda c: F.col(c) if c in findings.columns else F.lit(None)
+    enriched = F.coalesce(there("finding_type") == "llm_enriched", F.lit(False))
+    more = [
+        (there("end_line_number") < F.col("line_number"), "end before line"),
+        (enriched & there("llm_prompt_version").isNull(), "enriched without prompt version"),
+        (there("urgency_flag").isNotNull() & ~there("urgency_flag").cast("boolean").eqNullSafe(there("x_years") + there("y_years") > there("z_years")), "urgency flag differs"),
+        (F.lit("rule_id" in findings.columns) & there("rule_id").isNull(), "no evidence"),
+    ]
     checks = [(F.coalesce(F.length(F.trim("algorithm")), F.lit(0)) == 0, "empty algorithm"), (F.coalesce(F.length("file_path"), F.lit(0)) == 0, "empty location"), (~F.col("confidence").between(0, 1), "confidence out of range"), (F.col("line_number") < 1, "line below 1"), (~F.col("source_surface").isin(*R.SURFACES), "unknown surface")]
-    return findings.select("seq", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks]))).alias("problem"))
+    return findings.select("seq", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks + more]))).alias("problem"))
 
 
 def ascii_runs(blobs: DataFrame, content: str = "content", most: int = 20_000) -> DataFrame:
@@ -113,20 +76,62 @@ def parse_endpoint(ref: Column) -> Column:
 
 
 def parse_image(ref: Column) -> Column:
-    """struct<name, tag, digest> of an image reference."""
-    part = lambda k: F.nullif(F.regexp_extract(ref, r"^([a-z0-9./_-]+)(?::([\w.-]+))?(?:@(sha256:[0-9a-f]+))?$", k), F.lit(""))
-    return F.struct(part(1).alias("name"), part(2).alias("tag"), part(3).alias("digest"))
+    """struct<registry, name, tag, digest> of an image reference."""
+    part = lambda k: F.nullif(F.regexp_extract(ref, R.IMAGE_REF, k), F.lit(""))
+    return F.struct(part(1).alias("registry"), part(2).alias("name"), part(3).alias("tag"), part(4).alias("digest"))
+
+
+def image_refs(refs: DataFrame) -> DataFrame:
+    """(image_ref, registry, name, tag, digest, status): invalid references are error rows, valid ones are recorded."""
+    x = parse_image(F.col("image_ref"))
+    ok = x["name"].isNotNull()
+    part = lambda k: F.when(ok, x[k]).alias(k)
+    return refs.select("image_ref", part("registry"), part("name"), part("tag"), part("digest"), F.when(ok, "recorded").otherwise("error").alias("status"))
+
+
+def public_key(kind: Column, size: Column, curve: Column) -> tuple[Column, Column]:
+    """Canonical algorithm and purpose of a public key; null for a kind that isn't known. A curve without a name of its own is spelled in capitals."""
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in R.CURVE_NAMES for x in kv]), curve), F.concat(F.lit("ECDSA-"), F.upper(curve)))
+    sized = F.concat(kind, F.lit("-"), size.cast("string"))
+    algorithm = F.when(kind.isin("RSA", "DSA"), sized).when(kind == "EC", named).when(kind.isin(*R.PLAIN_KEYS), kind)
+    return algorithm, F.when(kind.isin("RSA", "X25519", "X448"), "key_establishment").otherwise("digital_signature")
+
+
+def hash_name(name: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in R.HASH_NAMES for x in kv]), F.lower(name))
 
 
 def certificate_assets(certs: DataFrame) -> DataFrame:
-    """Up to two assets of a certificate: its key (C-001) and its signature hash (C-002); unknown kinds give none."""
-    kind = F.col("pk_type")
-    alg = F.when(kind == "RSA", F.concat(F.lit("RSA-"), F.col("key_size"))).when(kind == "EC", F.concat(F.lit("ECDSA-"), curve(F.col("curve")))).when(kind == "DSA", F.concat(F.lit("DSA-"), F.col("key_size"))).when(kind == "Ed25519", "Ed25519")
-    use = F.when(kind.isin("RSA", "X25519", "X448"), "key_establishment").otherwise("digital_signature")
-    hashed = F.when(F.col("sig_hash") == "sha256", "SHA-256").when(F.col("sig_hash") == "sha384", "SHA-384").when(F.col("sig_hash") == "sha512", "SHA-512").when(F.col("sig_hash") == "sha1", "SHA-1").when(F.col("sig_hash") == "md5", "MD5")
-    item = lambda r, a, p: F.when(a.isNotNull(), F.struct(F.lit(r).alias("rule_id"), a.alias("algorithm"), p.alias("purpose")))
-    both = F.array_compact(F.array(item("C-001", alg, use), item("C-002", hashed, F.lit("hashing"))))
-    return certs.select("cert_id", "file_path", "serial", "days_to_expiry", F.regexp_extract("subject", "CN=([^,]*)", 1).alias("common_name"), F.explode(both).alias("x")).select("cert_id", "file_path", "serial", "days_to_expiry", "common_name", "x.*")
+    """Up to two assets of a certificate: its key (C-001) and its signature hash (C-002), both at 0.99; unknown kinds give none."""
+    alg, use = public_key(F.col("pk_type"), F.col("key_size"), F.col("curve"))
+    item = lambda r, a, p: F.when(a.isNotNull(), F.struct(F.lit(r).alias("rule_id"), a.alias("algorithm"), p.alias("purpose"), F.lit(0.99).alias("confidence")))
+    both = F.array_compact(F.array(item("C-001", alg, use), item("C-002", hash_name(F.col("sig_hash")), F.lit("hashing"))))
+    x = certs.select("cert_id", "file_path", "serial", "days_to_expiry", "subject", F.explode(both).alias("x")).select("cert_id", "file_path", "serial", "days_to_expiry", "subject", "x.*")
+    return x.withColumn("common_name", display_name(F.col("subject"), F.col("algorithm")))
+
+
+def display_name(subject: Column, algorithm: Column) -> Column:
+    """Common name of a subject, else the whole subject, else the algorithm."""
+    return F.coalesce(F.nullif(F.regexp_extract(subject, r"(?:^|,)\s*CN=([^,]*)", 1), F.lit("")), F.nullif(subject, F.lit("")), algorithm)
+
+
+def peer_assets(handshakes: DataFrame) -> DataFrame:
+    """Assets of the certificates that peers show: the key (I-100, 0.97) and a weak signature hash (I-101, 0.95).
+
+    They are infrastructure, critical and reachable from the start; a failed handshake or a kind that isn't known gives none.
+    """
+    alg, use = public_key(F.col("pk_type"), F.col("key_size"), F.col("curve"))
+    weak = F.when(F.lower("sig_hash").isin("md5", "sha1"), hash_name(F.col("sig_hash")))
+    item = lambda r, a, p, c, level: F.when(a.isNotNull(), F.struct(F.lit(r).alias("rule_id"), a.alias("algorithm"), p.alias("purpose"), F.lit(c).alias("confidence"), F.lit(level).alias("sensitivity")))
+    both = F.array_compact(F.array(item("I-100", alg, use, 0.97, "critical"), item("I-101", weak, F.lit("hashing"), 0.95, "high")))
+    x = handshakes.filter("NOT failed").select("event_id", "endpoint", F.explode(both).alias("x")).select("event_id", F.concat(F.lit("tls://"), "endpoint").alias("location"), "x.*")
+    return x.withColumns({"source_surface": F.lit("infrastructure"), "classification": F.lit("infrastructure"), "criticality": F.lit("critical"), "reachable": F.lit(True)})
+
+
+def probe_counts(handshakes: DataFrame) -> DataFrame:
+    """One row: endpoints asked, and those that failed or whose reference isn't valid; neither is ever a finding."""
+    bad = F.coalesce(F.col("failed"), F.lit(False)) | parse_endpoint(F.col("endpoint")).isNull()
+    return handshakes.agg(F.count("*").alias("endpoints_probed"), F.count_if(bad).alias("endpoints_failed"))
 
 
 def scrub(text: Column) -> tuple[Column, Column]:
@@ -148,16 +153,23 @@ def strip_injections(text: Column) -> tuple[Column, Column]:
     return out, F.array_compact(F.array(*names))
 
 
-def truncate(text: Column, most: int = 2048) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[TRUNCATED]"))).otherwise(text)
+def truncate(text: Column, most: int = 2048) -> tuple[Column, Column]:
+    """The text's first characters with a marker line behind them where it is longer, and whether it was."""
+    long = F.coalesce(F.length(text) > most, F.lit(False))
+    return F.when(long, F.concat(F.left(text, F.lit(most)), F.lit("\n[TRUNCATED]"))).otherwise(text), long
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits per character, to 4 places; 0 for empty text."""
-    chars = F.split(text, "")
+    """Shannon entropy in bits per character, to 4 places; 0 for empty text.
+
+    Characters are sorted once; run lengths are the differences of the places where a new character starts.
+    """
     n = F.length(text)
-    part = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    total = F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    chars = F.array_sort(F.split(text, ""))
+    edges = lambda c: F.concat(F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1))), F.array(F.size(c)))
+    runs = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda a, i: (F.get(e, i + 1) - a) / F.element_at(e, F.lit(-1)))
+    shares = F.flatten(F.transform(F.array(chars), lambda c: F.flatten(F.transform(F.array(edges(c)), runs))))
+    total = F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     return F.round(F.when(n > 0, total).otherwise(0.0), 4)
 
 
@@ -165,19 +177,21 @@ def cache_key(snippet: Column, version: str = "v1") -> Column:
     return F.concat(F.lit("llm:"), F.sha2(F.concat_ws("|", snippet, F.lit(version)), 256))
 
 
-PROHIBITED = ("verdict", "risk", "priority", "severity", "recommendation", "replacement", "mosca_x_years", "mosca_y_years", "mosca_z_years", "urgency_flag", "hndl_flag", "classification", "migration_path")
-
-
 def validate_response(raw: Column) -> Column:
-    """First reason to reject a responder's output, or null if it is sound."""
+    """First reason to reject a responder's output, or null if it is sound. A confidence must be a JSON number."""
     keys = F.json_object_keys(raw)
-    conf = F.get_json_object(raw, "$.confidence").try_cast("double")
-    extra = F.array_except(keys, F.array(*[F.lit(k) for k in ("purpose", "confidence", "algorithm_hint", "context_notes")]))
+    field = lambda k: F.get_json_object(raw, f"$.{k}")
+    listed = lambda names: F.array(*[F.lit(k) for k in names])
+    conf = field("confidence").try_cast("double")
+    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(raw), "$.confidence", "variant"))
+    texts = lambda k: F.coalesce(F.schema_of_variant(F.variant_get(F.try_parse_json(raw), f"$.{k}", "variant")), F.lit("VOID")).isin("STRING", "VOID")
     return (
-        F.when(F.octet_length(raw) > 2048, "too long")
-        .when(keys.isNull(), "not a JSON object")
-        .when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in PROHIBITED])), "prohibited field")
-        .when(F.size(extra) > 0, "unknown field")
-        .when(~F.coalesce(F.get_json_object(raw, "$.purpose").isin(*R.PURPOSES), F.lit(False)), "unknown purpose")
-        .when(conf.isNull() | ~conf.between(0, 1), "confidence out of range")
+        F.when(F.octet_length(raw) > R.RESPONSE_BYTES, "too long")
+        .when(F.try_parse_json(raw).isNull() | keys.isNull(), "not a JSON object")
+        .when(F.arrays_overlap(keys, listed(R.PROHIBITED)), "prohibited field")
+        .when(F.size(F.array_except(keys, listed(R.RESPONSE_FIELDS))) > 0, "unknown field")
+        .when(~F.coalesce(field("purpose").isin(*R.PURPOSES), F.lit(False)), "unknown purpose")
+        .when(F.coalesce(kind, F.lit("VOID")).isin("STRING", "BOOLEAN", "VOID") | conf.isNull() | ~conf.between(0, 1), "confidence out of range")
+        .when(~texts("algorithm_hint") | (F.length(field("algorithm_hint")) > R.HINT_CHARS), "bad hint")
+        .when(~texts("context_notes") | (F.length(field("context_notes")) > R.NOTES_CHARS), "bad notes")
     )

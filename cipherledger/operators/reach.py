@@ -8,33 +8,128 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Decorators and names that make a function an entry point.
-ROUTES = r"(?i)route$|^get$|^post$|^put$|^delete$|^patch$|endpoint$|handler$|webhook$|view$|^api_|^handle_|^on_|^dispatch|^process_request|^serve"
-ENTRY_NAMES = ("main", "__main__", "run", "start", "execute", "handle", "handler", "process", "dispatch", "setUp", "setup", "tearDown", "teardown", "__call__")
+from ..plans import rules as R
+from .detect import CALL, pruned
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_entry(name: Column, decorator: Column) -> Column:
+    return F.coalesce(decorator.rlike(R.ROUTES), F.lit(False)) | named_entry(name)
+
+
+def named_entry(name: Column) -> Column:
     low = F.lower(name)
-    return F.coalesce(decorator.rlike(ROUTES), F.lit(False)) | name.isin(*ENTRY_NAMES) | low.isin(*ENTRY_NAMES) | low.startswith("handle_") | low.startswith("on_") | low.startswith("process_")
+    return name.isin(*R.ENTRY_NAMES) | low.isin(*R.ENTRY_NAMES) | low.startswith("handle_") | low.startswith("on_") | low.startswith("process_")
 
 
 def module_of(path: Column) -> Column:
     return F.replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), F.lit("/"), F.lit("."))
 
 
-def functions_of(lines: DataFrame) -> DataFrame:
-    """Function table of code lines: qualified name, definition line, entry flag (decorator on the line before or name)."""
+def scoped_lines(lines: DataFrame) -> DataFrame:
+    """Lines of Python files with the class and the function around them: (file_path, line_no, code, scope, name, start_line, decorators).
+
+    A line belongs to the nearest definition above it with a smaller indent; a class stays open until a line indented no
+    deeper. Scopes are carried along the file, so a file is one window partition. `scope` is null outside functions;
+    `name` is set on definition lines alone, with the names of the decorators on the lines right above.
+    """
     w = Window.partitionBy("file_path").orderBy("line_no")
-    x = lines.withColumn("_d", F.lag("line").over(w)).withColumn("name", F.regexp_extract("line", r"^\s*(?:async )?def (\w+)", 1)).filter("name <> ''")
-    deco = F.nullif(F.regexp_extract("_d", r"^\s*@(?:\w+\.)*(\w+)", 1), F.lit(""))
-    return x.select(F.concat(module_of(F.col("file_path")), F.lit("."), F.col("name")).alias("qualified_name"), "file_path", F.col("line_no").alias("start_line"), is_entry(F.col("name"), deco).alias("is_entry_point"))
+    above = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = pruned(lines).filter("language = 'python'")
+    x = x.withColumns({
+        "_i": F.length(F.regexp_extract("code", r"^(\s*)", 1)),
+        "_class": F.nullif(F.regexp_extract("code", r"^\s*class\s+(\w+)", 1), F.lit("")),
+        "name": F.nullif(F.regexp_extract("code", r"^\s*(?:async\s+)?def\s+(\w+)", 1), F.lit("")),
+        "_d": F.nullif(F.regexp_extract("code", r"^\s*@((?:\w+\.)*\w+)", 1), F.lit("")),
+    })
+    solid = F.trim("code") != ""
+    x = x.withColumn("_open", F.last(F.when(F.col("_class").isNotNull(), F.struct("_class", "_i")).when(solid & (F.col("_i") == 0), F.struct(F.lit(None).cast("string").alias("_class"), F.lit(-1).alias("_i"))), ignorenulls=True).over(above))
+    inside = F.col("_open._class").isNotNull() & (F.col("_i") > F.col("_open._i"))
+    full = F.concat_ws(".", module_of(F.col("file_path")), F.when(inside, F.col("_open._class")), F.col("name"))
+    # A block of decorators ends at the first line that is neither one nor empty.
+    x = x.withColumn("_run", F.sum(F.when(solid & F.col("_d").isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    block = Window.partitionBy("file_path", F.coalesce("_run", F.lit(0))).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("decorators", F.when(F.col("name").isNotNull(), F.collect_list("_d").over(block)))
+    known = F.when(F.col("name").isNotNull(), F.struct(full.alias("scope"), "_i", F.col("line_no").alias("start_line"))).when(solid & (F.col("_i") == 0), F.struct(F.lit(None).cast("string").alias("scope"), F.lit(-1).alias("_i"), F.lit(None).cast("int").alias("start_line")))
+    x = x.withColumn("_f", F.last(known, ignorenulls=True).over(above))
+    return x.select("file_path", "line_no", "code", F.col("_f.scope").alias("scope"), "name", F.col("_f.start_line").alias("start_line"), "decorators")
+
+
+def functions_of(lines: DataFrame) -> DataFrame:
+    """Function table of code lines: qualified name with its class, file, definition line, entry flag and its reason."""
+    last = F.transform("decorators", lambda d: F.element_at(F.split(d, r"\."), -1))
+    routed = F.exists(last, lambda d: d.rlike(R.ROUTES))
+    reason = F.when(routed, F.concat(F.lit("route decorator: @"), F.get("decorators", F.lit(0)))).when(named_entry(F.col("name")), F.concat(F.lit("entry-point function name: "), F.col("name")))
+    x = scoped_lines(lines).filter("name IS NOT NULL")
+    return x.select(F.col("scope").alias("qualified_name"), "file_path", F.col("line_no").alias("start_line"), reason.isNotNull().alias("is_entry_point"), reason.alias("entry_reason"))
+
+
+def call_edges(lines: DataFrame) -> DataFrame:
+    """(caller, callee, call_line) of each call inside a function; a name without dots gets the module of its file, dotted names stay."""
+    x = scoped_lines(lines).filter("scope IS NOT NULL AND name IS NULL")
+    calls = F.arrays_zip(F.regexp_extract_all("code", F.lit(CALL), F.lit(1)).alias("m"), F.regexp_extract_all("code", F.lit(CALL), F.lit(2)).alias("f"))
+    x = x.select("file_path", "line_no", "scope", F.explode(calls).alias("c"))
+    callee = F.when(F.col("c.m") == "", F.concat(module_of(F.col("file_path")), F.lit("."), F.col("c.f"))).otherwise(F.concat("c.m", F.lit("."), "c.f"))
+    return x.select(F.col("scope").alias("caller"), callee.alias("callee"), F.col("line_no").alias("call_line"))
+
+
+def assemble(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (functions and edge ends, with entry flag) and distinct resolved edges.
+
+    Where no function is an entry, top-level functions whose name says so become entries (the fallback).
+    """
+    e = resolve_callees(edges, functions)
+    names = functions.groupBy("qualified_name").agg(F.max("is_entry_point").alias("is_entry_point"))
+    any_entry = names.agg(F.coalesce(F.max("is_entry_point"), F.lit(False)).alias("_any"))
+    parts = F.split("qualified_name", r"\.")
+    fallback = (F.size(parts) == 2) & named_entry(F.element_at(parts, -1))
+    entries = names.crossJoin(F.broadcast(any_entry)).select(F.col("qualified_name").alias("node"), F.when(F.col("_any"), F.col("is_entry_point")).otherwise(fallback).alias("is_entry_point"), F.lit(True).alias("defined"))
+    ends = e.select(F.col("caller").alias("node")).union(e.select("callee"))
+    nodes = entries.union(ends.select("node", F.lit(False), F.lit(False))).groupBy("node").agg(F.max("is_entry_point").alias("is_entry_point"), F.max("defined").alias("defined"))
+    return nodes, e.select("caller", "callee", "external")
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, entry points and external nodes."""
+    n = nodes.agg(F.count("*").alias("nodes"), F.count_if("is_entry_point").alias("entry_points"), F.count_if(~F.col("defined")).alias("external_nodes"))
+    return n.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """(source, target, depth, path) of the pairs that a path of edges (caller, callee) joins; the least path of the shortest ones.
+
+    One frontier for all sources: a hop joins it with the edges and drops what the source has seen; a source stops once
+    its targets are found, and no source starts that isn't in a pair.
+    """
+    e = _kept(edges.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct(), "edges")
+    todo = _kept(pairs.select("source", "target").distinct(), "pairs")
+    front = _kept(todo.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.array("source").alias("path")).distinct(), "front")
+    seen, found = front, front.join(todo, (front["source"] == todo["source"]) & (front["node"] == todo["target"]), "left_semi")
+    for depth in range(1, max_depth + 1):
+        step = front.join(e, "node").select("source", F.col("next").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
+        step = step.groupBy("source", "node").agg(F.min("path").alias("path")).select("source", "node", F.lit(depth).alias("depth"), "path")
+        front = _kept(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"), "front")
+        hit = front.join(todo.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")
+        found = found.unionByName(hit)
+        todo = todo.join(hit.select("source", F.col("node").alias("target")), ["source", "target"], "left_anti")
+        seen = seen.unionByName(front)
+        if depth % 4 == 0:
+            seen, found, todo = _kept(seen, "seen"), _kept(found, "found"), _kept(todo, "pairs")
+        front = front.join(todo.select("source").distinct(), "source", "left_semi")
+        if front.isEmpty():
+            break
+    return found.select("source", F.col("node").alias("target"), "depth", "path")
 
 
 def resolve_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -73,27 +168,59 @@ def search(functions: DataFrame, calls: DataFrame, max_depth: int = 10_000) -> D
 def containing_function(assets: DataFrame, functions: DataFrame) -> DataFrame:
     """Assets with the function of their file that starts at or before their line, latest first; ties to the greatest name.
 
-    An as-of join: both tables are merged per file and line and the last function is carried forward.
+    Files are the same if their paths are equal or one ends in / and the other. An as-of join: both tables are merged per
+    file and line and the last function is carried forward. Only paths without an equal one meet the others, by their
+    last part; the paths are distinct ones, and many functions of a file are no more than one row there.
     """
-    fn = functions.groupBy("file_path", F.col("start_line").cast("int").alias("line_number")).agg(F.max("qualified_name").alias("_f")).select("file_path", "line_number", F.lit(0).alias("_k"), "_f", F.lit(None).cast("long").alias("seq"))
+    files = functions.select(F.col("file_path").alias("fn_path")).distinct()
+    own = assets.select("file_path").distinct()
+    same = own.join(files, F.col("file_path") == F.col("fn_path"))
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    others = own.join(files, F.col("file_path") == F.col("fn_path"), "left_anti").withColumn("_l", last("file_path"))
+    suffix = others.join(files.withColumn("_l", last("fn_path")), "_l").filter(F.endswith("fn_path", F.concat(F.lit("/"), "file_path")) | F.endswith("file_path", F.concat(F.lit("/"), "fn_path")))
+    pairs = same.union(suffix.select("file_path", "fn_path"))
+    placed = functions.join(pairs, functions["file_path"] == pairs["fn_path"]).select(pairs["file_path"].alias("file_path"), F.col("start_line").cast("int").alias("line_number"), "qualified_name")
+    fn = placed.groupBy("file_path", "line_number").agg(F.max("qualified_name").alias("_f")).select("file_path", "line_number", F.lit(0).alias("_k"), "_f", F.lit(None).cast("long").alias("seq"))
     at = assets.select("file_path", "line_number", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("_f"), "seq")
     w = Window.partitionBy("file_path").orderBy("line_number", "_k").rowsBetween(Window.unboundedPreceding, 0)
     return fn.union(at).withColumn("function", F.last("_f", ignorenulls=True).over(w)).filter("_k = 1").select("seq", "file_path", "line_number", "function")
 
 
 def verdicts(assets: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """(seq, function, reachable, depth): null off source code or outside functions, true on a path from an entry, else false."""
+    """(seq, function, reachable, depth, path, entry): true on a path from an entry, else false.
+
+    Null off source code, outside functions and where no function is an entry at all. A verdict that an asset of another
+    surface brings along in a column `reachable` (infrastructure is set to true when it is found) stays.
+    """
     src = assets.filter(F.col("source_surface") == "source_code")
     found = containing_function(src, functions).join(search(functions, calls).select(F.col("node").alias("function"), "depth", "path"), "function", "left")
-    judged = found.select("seq", "function", F.when(F.col("function").isNull(), F.lit(None).cast("boolean")).otherwise(F.col("depth").isNotNull()).alias("reachable"), "depth", "path")
-    return assets.select("seq").join(judged, "seq", "left")
-
-
-def context(reachable: Column, path: Column) -> Column:
-    return F.when(reachable.isNull(), "Reachability unknown").when(reachable, F.concat(F.lit("Reachable via "), F.concat_ws(" → ", path))).otherwise("Not reachable from any entry point")
+    entries = functions.agg(F.coalesce(F.max("is_entry_point"), F.lit(False)).alias("_any"))
+    unknown = F.col("function").isNull() | ~F.col("_any")
+    judged = found.crossJoin(F.broadcast(entries)).select("seq", "function", F.when(unknown, F.lit(None).cast("boolean")).otherwise(F.col("depth").isNotNull()).alias("_r"), "depth", "path", F.get("path", F.lit(0)).alias("entry"))
+    given = F.col("reachable") if "reachable" in assets.columns else F.lit(None).cast("boolean")
+    kept = assets.select("seq", F.when(F.col("source_surface") != "source_code", given).alias("_g"))
+    return kept.join(judged, "seq", "left").select("seq", "function", F.coalesce("_g", "_r").alias("reachable"), "depth", "path", "entry")
+
+
+def context(surface: Column, function: Column, any_entry: Column, reachable: Column, path: Column, what: Column, location: Column) -> Column:
+    """Text on how an asset is exposed: another surface, no function around it, no entry at all, a path, or none."""
+    unknown = lambda why: F.concat(F.lit("Reachability undetermined for "), what, F.lit(" at "), location, F.lit(": "), why)
+    return (
+        F.when(surface != "source_code", unknown(F.concat(F.lit("surface '"), surface, F.lit("' is outside the call graph"))))
+        .when(function.isNull(), unknown(F.lit("no containing function in the call graph")))
+        .when(~any_entry, F.concat(F.lit("No entry points in the call graph, reachability undetermined for "), what, F.lit(" at "), location))
+        .when(reachable, F.concat(F.lit("Reachable from entry point '"), F.get(path, F.lit(0)), F.lit("' via: "), F.array_join(path, " → "), F.lit(" ["), what, F.lit(" at "), location, F.lit("]")))
+        .otherwise(F.concat(F.lit("No call-graph path from any entry point to "), what, F.lit(" at "), location))
+    )
+
+
+def report(judged: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """One row: counts of the three verdicts, their rate without the unknown, and of the graph where it is given."""
+    r = judged.agg(F.count("*").alias("total"), F.count_if("reachable").alias("reachable"), F.count_if(~F.col("reachable")).alias("unreachable"), F.count_if(F.col("reachable").isNull()).alias("unknown"))
+    known = F.col("reachable") + F.col("unreachable")
+    r = r.withColumn("rate", F.round(F.when(known > 0, F.col("reachable") / known).otherwise(0.0), 4))
+    return r if nodes is None or edges is None else r.crossJoin(F.broadcast(graph_counts(nodes, edges)))
 
 
-def report(judged: DataFrame) -> DataFrame:
-    r = judged.agg(F.count_if("reachable").alias("reachable"), F.count_if(~F.col("reachable")).alias("unreachable"), F.count_if(F.col("reachable").isNull()).alias("unknown"))
-    known = F.col("reachable") + F.col("unreachable")
-    return r.withColumn("rate", F.round(F.when(known > 0, F.col("reachable") / known).otherwise(0.0), 4))
+def entry_list(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("is_entry_point").select(F.col("node").alias("entry_point")).orderBy("entry_point")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
@@ -21,6 +21,11 @@ def _lookup(entries: list[tuple[str, str | None, object]], bonus: int, default:
     return out
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits behind the point, rounded by its exact binary value."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits))
+
+
 def mapping_ord() -> Column:
     """Row of the best replacement mapping, or null: longest pattern that prefixes the algorithm among those of its purpose."""
     return _lookup([(m[0], m[1], i) for i, m in enumerate(R.MAPPINGS)], 1000, F.lit(None).cast("int"))
@@ -99,8 +104,8 @@ def recommend(assets: DataFrame, greenfield: bool = False) -> DataFrame:
     return assets.withColumns(
         {
             "rec_kind": F.when(unknown, "unknown").when(idle, "no_action").otherwise("migrate"),
-            "rec_replacement": F.when(unknown, "UNKNOWN — see config/pqc_mappings.yaml").otherwise(F.col("replacement")),
-            "rec_path": F.when(unknown, "manual review required").when(~idle & green, F.replace("path", F.lit("hybrid:"), F.lit("pure-pqc:"))).otherwise(F.col("path")),
+            "rec_replacement": F.when(unknown, R.UNKNOWN_REPLACEMENT).otherwise(F.col("replacement")),
+            "rec_path": F.when(unknown, R.UNKNOWN_PATH).when(~idle & green, F.replace("path", F.lit("hybrid:"), F.lit("pure-pqc:"))).otherwise(F.col("path")),
             "rec_path_type": F.when(unknown, "hybrid").when(idle, "no_action").when(green, "pure_pqc").when(valid, F.col("path_type")).otherwise("hybrid"),
             "rec_status": F.when(unknown, "classical").otherwise(status),
             "rec_alternative": F.when(unknown | idle, F.lit(None)).otherwise(F.col("alternative")),
@@ -119,22 +124,32 @@ def impact_ord() -> Column:
 
 
 def migration(recommended: DataFrame) -> DataFrame:
-    """Adds composite score, level, migration priority, affected components, step count and the narrative's parts."""
+    """Adds factor scores, composite score, level, migration priority, affected components, validation steps and the narrative.
+
+    Columns protocol, library and rec_libraries are used where the table has them.
+    """
     spark = recommended.sparkSession
-    total = [(i, round(sum(a * w for a, w in zip(s, R.WEIGHTS, strict=True)), 10)) for i, (_, _, s) in enumerate(R.IMPACTS)]
-    table = F.broadcast(spark.createDataFrame(total, "impact_ord int, _total double"))  # 13 rows
-    steps = F.create_map(*[F.lit(v) for kv in R.STEP_COUNTS for v in kv])
+    table = F.broadcast(spark.createDataFrame([(i, list(s)) for i, (_, _, s) in enumerate(R.IMPACTS)], "impact_ord int, factor_scores array<double>"))  # 13 rows
+    listed = lambda xs: F.array(*[F.lit(x) for x in xs])
+    steps = F.create_map(*[v for kind, names in R.STEPS for v in (F.lit(kind), listed(names))])
     out = recommended.withColumn("impact_ord", impact_ord()).join(table, "impact_ord")
-    composite = F.round(F.least(F.lit(1.0), F.col("_total")), 4)
+    weighted = F.aggregate(F.zip_with("factor_scores", F.array(*[F.lit(w) for w in R.WEIGHTS]), lambda a, w: a * w), F.lit(0.0), lambda a, x: a + x)
+    composite = F.round(F.least(F.lit(1.0), F.round(weighted, 10)), 4)
+    none = F.array().cast("array<string>")
+    has = lambda c: F.col(c) if c in recommended.columns else F.lit(None)
+    one = lambda c: F.array_compact(F.array(has(c).cast("string")))
     infra = F.array(F.lit("TLS configuration"), F.lit("Certificate infrastructure"))
-    parts = F.array_union(F.coalesce("rec_protocols", F.array().cast("array<string>")), F.when(F.col("classification") == "infrastructure", infra).otherwise(F.array().cast("array<string>")))
+    parts = F.concat(F.coalesce("rec_protocols", none), F.coalesce(has("rec_libraries").cast("array<string>"), none))
+    for more in (one("protocol"), one("library"), F.when(F.col("classification") == "infrastructure", infra).otherwise(none)):
+        parts = F.concat(parts, F.array_except(more, parts))
+    via = F.concat(F.coalesce(F.concat(F.lit(" via "), has("protocol").cast("string")), F.lit("")), F.coalesce(F.concat(F.lit(" ("), has("library").cast("string"), F.lit(")")), F.lit("")))
     out = out.withColumn("composite", composite).withColumns(
         {
             "impact_level": F.when(F.col("composite") < 0.25, "low").when(F.col("composite") < 0.5, "moderate").when(F.col("composite") < 0.75, "high").otherwise("critical"),
             "migration_priority": F.when(F.col("priority") == "P1", "immediate").when(F.col("priority") == "P2", "near-term").when(F.col("priority") == "P4", "monitor").otherwise("planned"),
             "components": F.when(F.size(parts) > 0, parts).otherwise(F.array(F.concat("source_surface", F.lit(" layer")))),
-            "n_steps": F.coalesce(F.element_at(steps, F.col("rec_path_type")), F.lit(7)),
-            "current_state": F.concat(F.col("algorithm"), F.lit(" used for "), F.replace("purpose", F.lit("_"), F.lit(" ")), F.lit(" at "), F.col("file_path"), F.lit(":"), F.col("line_number").cast("string")),
+            "steps": F.coalesce(F.try_element_at(steps, F.col("rec_path_type")), listed(R.STEPS[0][1])),
+            "current_state": F.concat(F.col("algorithm"), F.lit(" used for "), F.replace("purpose", F.lit("_"), F.lit(" ")), F.lit(" at "), F.concat_ws(":", "file_path", F.col("line_number").cast("string")), via),
             "risk_context": F.coalesce(
                 F.nullif(
                     F.concat_ws(
@@ -153,6 +168,21 @@ def migration(recommended: DataFrame) -> DataFrame:
         "narrative",
         F.concat(
             F.concat_ws(" → ", "current_state", "risk_context", "action", F.concat(F.lit("affects: "), F.array_join("components", " + ")), F.concat(F.lit("migration priority: "), F.col("migration_priority"))),
-            F.concat(F.lit(" (impact: "), F.col("impact_level"), F.lit(", composite score: "), F.format_string("%.2f", "composite"), F.lit(")")),
+            F.concat(F.lit(" (impact: "), F.col("impact_level"), F.lit(", composite score: "), fixed(F.col("composite"), 2), F.lit(")")),
         ),
     )
+
+
+def priority_counts(scored: DataFrame) -> DataFrame:
+    """One row: assets, those of the two highest priorities and those with harvest exposure."""
+    return scored.agg(F.count("*").alias("total"), F.count_if(F.col("priority") == "P1").alias("p1"), F.count_if(F.col("priority") == "P2").alias("p2"), F.count_if("hndl_flag").alias("hndl"))
+
+
+def under_standardization(spark: SparkSession) -> DataFrame:
+    """Names of algorithms that are still being standardised, in the order of their table."""
+    return spark.createDataFrame(list(enumerate(R.UNDER_STANDARDIZATION)), "ord int, name string")
+
+
+def migration_stats(migrated: DataFrame) -> DataFrame:
+    """Counts and mean score by migration priority, over assets with a recommendation."""
+    return migrated.filter("rec_kind IS NOT NULL").groupBy("migration_priority").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))

@@ -63,7 +63,7 @@ _FAM = "CASE " + " ".join(f"WHEN upper(algorithm) = '{f}' OR starts_with(upper(a
 _DEDUP = f"dd AS (SELECT * FROM (SELECT *, row_number() OVER ({_KEY} ORDER BY confidence DESC, seq) AS rn, count(*) OVER ({_KEY}) AS n_observed, min(seq) OVER ({_KEY}) AS first_seq FROM findings) WHERE rn = 1)"
 _MAPS = "maps(ord, pattern, mp, vulnerable, broken, weakened, replacement, status, path_type, path, alternative, n_protocols) AS (VALUES " + ", ".join("(" + ", ".join(_s(v) for v in (i, *m[:10], len(m[10] or ()))) + ")" for i, m in enumerate(R.MAPPINGS)) + ")"
 _YEARS = "years(o, pattern, mp, y) AS (VALUES " + ", ".join(f"({i}, {_s(p)}, {_s(q)}, {y})" for i, (p, q, y) in enumerate(R.MIGRATION_YEARS)) + ")"
-_IMPACTS = "impacts(o, prefix, ip, total) AS (VALUES " + ", ".join(f"({i}, {_s(p)}, {_s(q)}, {round(sum(a * w for a, w in zip(s, R.WEIGHTS, strict=True)), 10)})" for i, (p, q, s) in enumerate(R.IMPACTS)) + ")"
+_IMPACTS = "impacts(o, prefix, ip, total, scores) AS (VALUES " + ", ".join(f"({i}, {_s(p)}, {_s(q)}, {round(sum(a * w for a, w in zip(s, R.WEIGHTS, strict=True)), 10)}, {_s(','.join(f'{x:.1f}' for x in s))})" for i, (p, q, s) in enumerate(R.IMPACTS)) + ")"
 _X = "CASE " + " ".join(f"WHEN classification = '{c}' AND sensitivity = '{s}' THEN {x}" for c, s, x in R.SHELF_LIFE) + " WHEN classification = 'infrastructure' THEN 10 WHEN classification = 'application' THEN 20 ELSE 10 END"
 _CLASSED = [
     _DEDUP,
@@ -88,11 +88,11 @@ def _scored(z: str = "10", src: str = "cl", name: str = "rk") -> list[str]:
 
 
 _REC = "rc AS (SELECT *, CASE WHEN mapping_ord IS NULL THEN 'unknown' WHEN NOT vulnerable AND NOT weakened THEN 'no_action' WHEN status = 'under_standardization' THEN 'unknown' ELSE 'migrate' END AS rec_kind FROM rk)"
-_REC2 = "re AS (SELECT *, CASE rec_kind WHEN 'unknown' THEN 'UNKNOWN — see config/pqc_mappings.yaml' ELSE replacement END AS rec_replacement, CASE rec_kind WHEN 'unknown' THEN 'manual review required' ELSE path END AS rec_path, CASE rec_kind WHEN 'unknown' THEN 'hybrid' WHEN 'no_action' THEN 'no_action' ELSE path_type END AS rec_path_type, CASE rec_kind WHEN 'unknown' THEN 'classical' ELSE status END AS rec_status, CASE rec_kind WHEN 'migrate' THEN alternative END AS rec_alternative FROM rc)"
+_REC2 = "re AS (SELECT *, CASE rec_kind WHEN 'unknown' THEN 'UNKNOWN — see the replacement mappings' ELSE replacement END AS rec_replacement, CASE rec_kind WHEN 'unknown' THEN 'manual review required' ELSE path END AS rec_path, CASE rec_kind WHEN 'unknown' THEN 'hybrid' WHEN 'no_action' THEN 'no_action' ELSE path_type END AS rec_path_type, CASE rec_kind WHEN 'unknown' THEN 'classical' ELSE status END AS rec_status, CASE rec_kind WHEN 'migrate' THEN alternative END AS rec_alternative FROM rc)"
 _MIG = [
     _IMPACTS,
-    "im AS (SELECT algorithm, purpose, total FROM (SELECT a.algorithm, a.purpose, total, row_number() OVER (PARTITION BY a.algorithm, a.purpose ORDER BY length(prefix) + CASE WHEN ip IS NULL THEN 0 ELSE 100 END DESC, o) AS r FROM ap a JOIN impacts i ON starts_with(upper(a.algorithm), prefix) AND (ip IS NULL OR ip = a.purpose)) WHERE r = 1)",
-    "mg AS (SELECT r.*, round(least(1.0, total), 4) AS composite FROM re r JOIN im ON im.algorithm = r.algorithm AND im.purpose = r.purpose)",
+    "im AS (SELECT algorithm, purpose, total, scores FROM (SELECT a.algorithm, a.purpose, total, scores, row_number() OVER (PARTITION BY a.algorithm, a.purpose ORDER BY length(prefix) + CASE WHEN ip IS NULL THEN 0 ELSE 100 END DESC, o) AS r FROM ap a JOIN impacts i ON starts_with(upper(a.algorithm), prefix) AND (ip IS NULL OR ip = a.purpose)) WHERE r = 1)",
+    "mg AS (SELECT r.*, scores, round(least(1.0, total), 4) AS composite FROM re r JOIN im ON im.algorithm = r.algorithm AND im.purpose = r.purpose)",
 ]
 _BASE = [*ctes("findings")]
 _RISK = [*_BASE, *_CLASSED, _MAPS, _YEARS, *_PAIRS, *_scored()]
@@ -241,14 +241,14 @@ def f09_owners(spark: SparkSession, d: str) -> DataFrame:
 _COVER = "cat(c) AS (VALUES " + ", ".join(f"('{c}')" for c in R.CATEGORIES) + ")"
 
 
-@query(_with([*_BASE, _DEDUP], "SELECT s AS surface, s <> 'infrastructure' AS scanned, count(seq) AS assets_found FROM (VALUES " + ", ".join(f"('{s}')" for s in R.SURFACES) + ") v(s) LEFT JOIN dd ON source_surface = s GROUP BY ALL"))
+@query(_with([*_BASE, _DEDUP], "SELECT s AS surface, CASE WHEN s = 'infrastructure' THEN 'skipped' ELSE 'scanned' END AS state, s <> 'infrastructure' AS scanned, count(seq) AS assets_found FROM (VALUES " + ", ".join(f"('{s}')" for s in R.SURFACES) + ") v(s) LEFT JOIN dd ON source_surface = s GROUP BY ALL"))
 def h01_surfaces(spark: SparkSession, d: str) -> DataFrame:
     return M.surface_coverage(I.deduplicate(findings(spark, d)), SCANNED)
 
 
-@query(_with([*_BASE, _DEDUP, _COVER, "n AS (SELECT purpose, count(*) AS n, count(DISTINCT algorithm) AS a FROM dd GROUP BY 1)"], "SELECT coalesce(c, purpose) AS category, c IS NOT NULL AS expected, n IS NOT NULL AS found, coalesce(n, 0) AS asset_count, coalesce(a, 0) AS algorithms FROM cat FULL JOIN n ON c = purpose"))
+@query(_with([*_BASE, _DEDUP, _COVER, "n AS (SELECT purpose, count(*) AS n, string_agg(DISTINCT algorithm, ',' ORDER BY algorithm) AS a FROM dd GROUP BY 1)"], "SELECT coalesce(c, purpose) AS category, c IS NOT NULL AS expected, n IS NOT NULL AS found, coalesce(n, 0) AS asset_count, coalesce(a, '') AS algorithms FROM cat FULL JOIN n ON c = purpose"))
 def h02_categories(spark: SparkSession, d: str) -> DataFrame:
-    return M.category_coverage(I.deduplicate(findings(spark, d)))
+    return M.category_coverage(I.deduplicate(findings(spark, d))).withColumn("algorithms", F.array_join("algorithms", ","))
 
 
 @query(_with([*_BASE, _COVER, "h AS (SELECT c, c IN (SELECT purpose FROM findings) AS f FROM cat)"], "SELECT round(80.0, 1) AS surface_pct, round(100.0 * count(*) FILTER (f) / 7.0, 1) AS category_pct, round(0.3 * 80.0 + 0.7 * (100.0 * count(*) FILTER (f) / 7.0), 1) AS overall_pct, coalesce(string_agg(c, ',' ORDER BY c) FILTER (NOT f), '') AS missing_categories, 'infrastructure' AS unscanned_surfaces FROM h"))
@@ -303,13 +303,14 @@ def j08_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return K.purpose_mismatches(scored(spark, d)).select("seq")
 
 
+_STEPS = "CASE rec_path_type " + " ".join(f"WHEN '{k}' THEN {_s('|'.join(v))}" for k, v in R.STEPS) + f" ELSE {_s('|'.join(R.STEPS[0][1]))} END"
 _LEVEL = "CASE WHEN composite < 0.25 THEN 'low' WHEN composite < 0.5 THEN 'moderate' WHEN composite < 0.75 THEN 'high' ELSE 'critical' END"
 _WHEN = "CASE priority WHEN 'P1' THEN 'immediate' WHEN 'P2' THEN 'near-term' WHEN 'P4' THEN 'monitor' ELSE 'planned' END"
 
 
-@query(_with([*_RECS, *_MIG], f"SELECT seq, CAST(composite AS DOUBLE) AS composite, {_LEVEL} AS impact_level, {_WHEN} AS migration_priority, CAST(CASE rec_path_type WHEN 'pure_pqc' THEN 5 WHEN 'classical_upgrade' THEN 5 WHEN 'no_action' THEN 2 ELSE 7 END AS INT) AS n_steps FROM mg"))
+@query(_with([*_RECS, *_MIG], f"SELECT seq, CAST(composite AS DOUBLE) AS composite, {_LEVEL} AS impact_level, {_WHEN} AS migration_priority, {_STEPS} AS steps, scores FROM mg"))
 def k02_migration(spark: SparkSession, d: str) -> DataFrame:
-    return K.migration(recommended(spark, d)).select("seq", "composite", "impact_level", "migration_priority", "n_steps")
+    return K.migration(recommended(spark, d)).select("seq", "composite", "impact_level", "migration_priority", F.array_join("steps", "|").alias("steps"), F.array_join(F.transform("factor_scores", lambda x: F.format_string("%.1f", x)), ",").alias("scores"))
 
 
 @query(_with([*_RECS, *_MIG], "SELECT seq, concat(algorithm, ' used for ', replace(purpose, '_', ' '), ' at ', file_path, ':', line_number) AS current_state, CASE WHEN NOT urgency_flag AND NOT hndl_flag THEN concat('priority ', priority, ' — migration recommended') ELSE concat_ws('; ', CASE WHEN urgency_flag THEN concat('quantum-urgent (X=', x_years, 'yr + Y=', y_years, 'yr > Z=', z_years, 'yr threat timeline)') END, CASE WHEN hndl_flag THEN 'HNDL exposure: adversaries may already be harvesting ciphertext' END) END AS risk_context, concat('Migrate to ', rec_replacement, ' [', rec_status, '] via ', rec_path, ' strategy') AS action, CAST(greatest(1, CASE rec_kind WHEN 'migrate' THEN n_protocols ELSE 0 END + CASE classification WHEN 'infrastructure' THEN 2 ELSE 0 END) AS INT) AS n_components FROM mg"))
@@ -319,7 +320,7 @@ def k05_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with([*_RECS, *_MIG], f"SELECT {_WHEN} AS migration_priority, count(*) AS n, round(avg(composite), 4) AS mean_composite FROM mg GROUP BY 1"))
 def k09_stats(spark: SparkSession, d: str) -> DataFrame:
-    return K.migration(recommended(spark, d)).groupBy("migration_priority").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))
+    return K.migration_stats(K.migration(recommended(spark, d)))
 
 
 # Extraction
@@ -330,16 +331,6 @@ def b03_line_counts(spark: SparkSession, d: str) -> DataFrame:
     return _n("file_path")(load(spark, d, "code_lines"))
 
 
-@query()
-def b01_call_sites(spark: SparkSession, d: str) -> DataFrame:
-    return X.call_sites(load(spark, d, "code_lines"))
-
-
-@query(_with(ctes("code_lines"), "SELECT file_path, line_no, CASE WHEN contains(line, 'k = RSA.generate(') THEN 'RSA-2048' WHEN contains(line, 'h = hashlib.md5(') THEN 'MD5' WHEN contains(line, 'key_size=3072') THEN 'RSA-3072' WHEN contains(line, 'ec.generate_private_key') THEN 'ECDSA-P256' ELSE 'DES' END AS algorithm FROM code_lines WHERE NOT starts_with(trim(line), '#') AND NOT contains(line, '\"DES') AND (contains(line, 'RSA.generate(') OR contains(line, 'hashlib.md5(') OR contains(line, 'generate_private_key(') OR contains(line, 'DES.new('))"))
-def b04_match_calls(spark: SparkSession, d: str) -> DataFrame:
-    return X.match_calls(X.call_sites(load(spark, d, "code_lines"))).select("file_path", "line_no", "algorithm")
-
-
 _FP = "fp(rule_id, pattern, algorithm) AS (VALUES " + ", ".join(f"({_s(r)}, {_s(p)}, {_s(a)})" for r, p, a, _, _ in R.FINGERPRINTS) + ")"
 
 
@@ -369,9 +360,9 @@ def a15_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "handshakes").select("event_id", X.parse_endpoint(F.col("endpoint")).alias("e")).select("event_id", "e.host", "e.port")
 
 
-@query(_with(ctes("manifest_lines"), "SELECT DISTINCT image_ref, split_part(image_ref, ':', 1) AS name, split_part(image_ref, ':', 2) AS tag FROM manifest_lines"))
+@query(_with(ctes("manifest_lines"), "SELECT DISTINCT image_ref, CAST(NULL AS VARCHAR) AS registry, split_part(image_ref, ':', 1) AS name, split_part(image_ref, ':', 2) AS tag, CAST(NULL AS VARCHAR) AS digest, 'recorded' AS status FROM manifest_lines"))
 def a14_images(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "manifest_lines").select("image_ref").distinct().select("image_ref", X.parse_image(F.col("image_ref")).alias("i")).select("image_ref", "i.name", "i.tag")
+    return load(spark, d, "manifest_lines").select("image_ref").distinct().transform(X.image_refs)
 
 
 _CERTS = "ca AS (SELECT cert_id, serial, 'C-001' AS rule_id, CASE pk_type WHEN 'RSA' THEN 'RSA-2048' WHEN 'EC' THEN 'ECDSA-P256' WHEN 'DSA' THEN 'DSA-1024' ELSE 'Ed25519' END AS algorithm, CASE pk_type WHEN 'RSA' THEN 'key_establishment' ELSE 'digital_signature' END AS purpose FROM certs WHERE pk_type <> 'GOST' UNION ALL SELECT cert_id, serial, 'C-002', CASE sig_hash WHEN 'sha256' THEN 'SHA-256' WHEN 'sha1' THEN 'SHA-1' ELSE 'MD5' END, 'hashing' FROM certs WHERE sig_hash IS NOT NULL)"
@@ -382,9 +373,9 @@ def b19_certificates(spark: SparkSession, d: str) -> DataFrame:
     return X.certificate_assets(load(spark, d, "certs")).select("cert_id", "rule_id", "algorithm", "purpose")
 
 
-@query(_with(ctes("certs"), "SELECT cert_id, regexp_extract(subject, 'CN=([^,]*)', 1) AS common_name FROM certs"))
+@query(_with(ctes("certs"), "SELECT cert_id, CASE WHEN cert_id % 7 = 0 THEN 'O=none' WHEN cert_id % 11 > 0 THEN regexp_extract(subject, 'CN=([^,]*)', 1) ELSE pk_type END AS common_name FROM certs"))
 def b21_common_names(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "certs").select("cert_id", F.regexp_extract("subject", "CN=([^,]*)", 1).alias("common_name"))
+    return load(spark, d, "certs").select("cert_id", X.display_name(F.when(F.col("cert_id") % 7 == 0, "O=none").when(F.col("cert_id") % 11 > 0, F.col("subject")), F.col("pk_type")).alias("common_name"))
 
 
 @query(_with(_BASE, "SELECT seq, round(least(1.0, confidence + CASE WHEN seq % 2 = 0 THEN 0.01 ELSE 0 END) - CASE WHEN seq % 5 = 0 THEN 0.05 ELSE 0 END, 4) AS confidence FROM findings"))
@@ -400,37 +391,12 @@ def c07_violations(spark: SparkSession, d: str) -> DataFrame:
 # Enrichment
 
 
-@query(_with([*ctes("snippets"), "t AS (SELECT doc_id, snippet, regexp_replace(snippet, 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g') AS s FROM snippets)"], "SELECT doc_id, sha256(s) AS scrubbed, CASE WHEN s <> snippet THEN 'aws_key' ELSE '' END AS found FROM t"))
-def e02_scrub(spark: SparkSession, d: str) -> DataFrame:
-    text, names = X.scrub(F.col("snippet"))
-    return load(spark, d, "snippets").select("doc_id", F.sha2(text, 256).alias("scrubbed"), F.array_join(names, ",").alias("found"))
-
-
-@query(_with([*ctes("snippets"), "c AS (SELECT doc_id, unnest(string_split(substr(snippet, 1, 200), '')) AS ch, length(substr(snippet, 1, 200)) AS n FROM snippets)", "p AS (SELECT doc_id, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY doc_id, ch)"], "SELECT s.doc_id, round(coalesce(e, 0), 4) AS entropy FROM snippets s LEFT JOIN (SELECT doc_id, -sum(p * log2(p)) AS e FROM p GROUP BY 1) x ON x.doc_id = s.doc_id"))
-def e03_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "snippets").select("doc_id", X.entropy(F.left("snippet", F.lit(200))).alias("entropy"))
-
-
-@query(_with(ctes("snippets"), "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ignore_instructions' WHEN 2 THEN 'act_as,llama_inst_tag' ELSE '' END AS fired FROM snippets"))
-def e05_injections(spark: SparkSession, d: str) -> DataFrame:
-    _, names = X.strip_injections(F.col("snippet"))
-    return load(spark, d, "snippets").select("doc_id", F.array_join(names, ",").alias("fired"))
-
-
-@query(_with(ctes("snippets"), "SELECT doc_id, CAST(CASE WHEN length(snippet) > 2048 THEN 2048 + 12 ELSE length(snippet) END AS INT) AS n, concat('llm:', sha256(concat(snippet, '|v1'))) AS cache_key FROM snippets"))
-def e06_truncate_key(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "snippets").select("doc_id", F.length(X.truncate(F.col("snippet"))).alias("n"), X.cache_key(F.col("snippet")).alias("cache_key"))
-
-
-# The four above read the first 2,100 characters of a text and keep their SQL; those below read whole texts.
-
-
 def _chain(source: str, patterns: list[tuple[str, str]], mark: str) -> list[str]:
     """CTEs k_0 to k_n: patterns are replaced in s in order, and f lists the names of those found."""
-    out = [f"k_0 AS (SELECT doc_id, {source} AS s, CAST([] AS VARCHAR[]) AS f FROM whole_snippets)"]
+    out = [f"k_0 AS (SELECT doc_id, {source} AS s, CAST([] AS VARCHAR[]) AS f FROM snippets)"]
     for k, (name, p) in enumerate(patterns):
         out.append(f"k_{k + 1} AS (SELECT doc_id, regexp_replace(s, {_s(p)}, {_s(mark)}, 'g') AS s, CASE WHEN regexp_matches(s, {_s(p)}) THEN list_append(f, {_s(name)}) ELSE f END AS f FROM k_{k})")
-    return [*ctes("whole_snippets"), *out]
+    return [*ctes("snippets"), *out]
 
 
 _SECRETS = [("aws_key", "AKIA[0-9A-Z]{16}"), ("jwt", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), ("private_key", "(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("hex_secret", r"\b[0-9a-fA-F]{64}\b")]
@@ -438,36 +404,25 @@ _PHRASES = [(n, p.replace("(?m)", "(?im)") if p.startswith("(?m)") else f"(?i){p
 
 
 @query(_with(_chain("snippet", _SECRETS, "[REDACTED]"), f"SELECT doc_id, sha256(s) AS scrubbed, array_to_string(f, ',') AS found FROM k_{len(_SECRETS)}"))
-def e02_scrub_whole(spark: SparkSession, d: str) -> DataFrame:
+def e02_scrub(spark: SparkSession, d: str) -> DataFrame:
     text, names = X.scrub(F.col("snippet"))
-    return load(spark, d, "whole_snippets").select("doc_id", F.sha2(text, 256).alias("scrubbed"), F.array_join(names, ",").alias("found"))
+    return load(spark, d, "snippets").select("doc_id", F.sha2(text, 256).alias("scrubbed"), F.array_join(names, ",").alias("found"))
 
 
-@query(_with([*ctes("whole_snippets"), "c AS (SELECT doc_id, unnest(string_split(snippet, '')) AS ch, length(snippet) AS n FROM whole_snippets)", "p AS (SELECT doc_id, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY doc_id, ch)"], "SELECT s.doc_id, round(coalesce(e, 0), 4) AS entropy FROM whole_snippets s LEFT JOIN (SELECT doc_id, -sum(p * log2(p)) AS e FROM p GROUP BY 1) x ON x.doc_id = s.doc_id"))
-def e03_entropy_whole(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "whole_snippets").select("doc_id", X.entropy(F.col("snippet")).alias("entropy"))
+@query(_with([*ctes("snippets"), "c AS (SELECT doc_id, unnest(string_split(snippet, '')) AS ch, length(snippet) AS n FROM snippets)", "p AS (SELECT doc_id, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY doc_id, ch)"], "SELECT s.doc_id, round(coalesce(e, 0), 4) AS entropy FROM snippets s LEFT JOIN (SELECT doc_id, -sum(p * log2(p)) AS e FROM p GROUP BY 1) x ON x.doc_id = s.doc_id"))
+def e03_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "snippets").select("doc_id", X.entropy(F.col("snippet")).alias("entropy"))
 
 
 @query(_with(_chain("regexp_replace(snippet, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\p{Cf}]', '', 'g')", _PHRASES, "[STRIPPED]"), f"SELECT doc_id, array_to_string(f, ',') AS fired, sha256(s) AS stripped FROM k_{len(_PHRASES)}"))
-def e05_injections_whole(spark: SparkSession, d: str) -> DataFrame:
+def e05_injections(spark: SparkSession, d: str) -> DataFrame:
     text, names = X.strip_injections(F.col("snippet"))
-    return load(spark, d, "whole_snippets").select("doc_id", F.array_join(names, ",").alias("fired"), F.sha2(text, 256).alias("stripped"))
-
-
-@query(_with(ctes("whole_snippets"), "SELECT doc_id, CAST(CASE WHEN length(snippet) > 2048 THEN 2048 + 12 ELSE length(snippet) END AS INT) AS n, concat('llm:', sha256(concat(snippet, '|v1'))) AS cache_key FROM whole_snippets"))
-def e06_truncate_key_whole(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "whole_snippets").select("doc_id", F.length(X.truncate(F.col("snippet"))).alias("n"), X.cache_key(F.col("snippet")).alias("cache_key"))
+    return load(spark, d, "snippets").select("doc_id", F.array_join(names, ",").alias("fired"), F.sha2(text, 256).alias("stripped"))
 
 
-@query(_with(ctes("responses"), "SELECT event_id, CASE WHEN event_id % 17 <> 0 AND event_id % 19 = 0 THEN 'not a JSON object' WHEN event_id % 17 = 0 THEN 'prohibited field' WHEN contains(raw, 'bogus') THEN 'unknown purpose' WHEN event_id % 12 > 1 THEN 'confidence out of range' END AS reason FROM responses"))
-def e09_validate(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "responses").select("event_id", X.validate_response(F.col("raw")).alias("reason"))
-
-
-@query(_with(ctes("responses"), "SELECT count(*) AS total, count(*) FILTER (event_id % 17 <> 0 AND event_id % 19 <> 0 AND NOT contains(raw, 'bogus') AND event_id % 12 <= 1) AS accepted, count(*) FILTER (event_id % 17 <> 0 AND event_id % 19 <> 0 AND NOT contains(raw, 'bogus') AND event_id % 12 = 0) AS low_confidence FROM responses"))
-def e12_batch_stats(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "responses").select(X.validate_response(F.col("raw")).isNull().alias("ok"), F.get_json_object("raw", "$.confidence").try_cast("double").alias("c"))
-    return r.agg(F.count("*").alias("total"), F.count_if("ok").alias("accepted"), F.count_if(F.col("ok") & (F.col("c") < 0.4)).alias("low_confidence"))
+@query(_with(ctes("snippets"), "SELECT doc_id, CAST(CASE WHEN length(snippet) > 2048 THEN 2048 + 12 ELSE length(snippet) END AS INT) AS n, length(snippet) > 2048 AS truncated, concat('llm:', sha256(concat(snippet, '|v1'))) AS cache_key FROM snippets"))
+def e06_truncate_key(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "snippets").select("doc_id", F.length(X.truncate(F.col("snippet"))[0]).alias("n"), X.truncate(F.col("snippet"))[1].alias("truncated"), X.cache_key(F.col("snippet")).alias("cache_key"))
 
 
 # Reachability
@@ -500,58 +455,28 @@ def g10_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "calls")).select("seq", "reachable")
 
 
-@query(_with(_JUDGED, "SELECT count(*) FILTER (reachable) AS reachable, count(*) FILTER (NOT reachable) AS unreachable, count(*) FILTER (reachable IS NULL) AS unknown, round(count(*) FILTER (reachable) / nullif(CAST(count(reachable) AS DOUBLE), 0), 4) AS rate FROM jj"))
+@query(_with(_JUDGED, "SELECT count(*) AS total, count(*) FILTER (reachable) AS reachable, count(*) FILTER (NOT reachable) AS unreachable, count(*) FILTER (reachable IS NULL) AS unknown, round(count(*) FILTER (reachable) / nullif(CAST(count(reachable) AS DOUBLE), 0), 4) AS rate FROM jj"))
 def g12_report(spark: SparkSession, d: str) -> DataFrame:
     return G.report(G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "calls")))
 
 
-# The same over all consecutive pairs of an order; `calls` keeps those with a quantity of 3 or less, and the four queries above their SQL.
-_ALL_ENDS = _ENDS.replace("JOIN calls c", "JOIN all_calls c")
-_ALL_JUDGED = [*ctes("findings", "functions", "all_calls"), _ALL_ENDS, *_JUDGED[-3:]]
-
-
-@query(_with([*ctes("functions", "all_calls"), _ALL_ENDS], "SELECT node FROM reach"))
-def g08_reachable_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.search(load(spark, d, "functions"), load(spark, d, "all_calls")).select("node")
-
-
-@query(_with([*ctes("functions", "all_calls"), "k AS (SELECT DISTINCT qualified_name FROM functions)"], "SELECT caller, callee, qualified_name IS NULL AS external FROM all_calls LEFT JOIN k ON callee = qualified_name"))
-def g05_callees_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.resolve_callees(load(spark, d, "all_calls"), load(spark, d, "functions"))
-
-
-@query(_with(_ALL_JUDGED, "SELECT seq, reachable FROM jj"))
-def g10_verdicts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "all_calls")).select("seq", "reachable")
-
-
-@query(_with(_ALL_JUDGED, "SELECT count(*) FILTER (reachable) AS reachable, count(*) FILTER (NOT reachable) AS unreachable, count(*) FILTER (reachable IS NULL) AS unknown, round(count(*) FILTER (reachable) / nullif(CAST(count(reachable) AS DOUBLE), 0), 4) AS rate FROM jj"))
-def g12_report_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.report(G.verdicts(findings(spark, d), load(spark, d, "functions"), load(spark, d, "all_calls")))
-
-
-@query(_with([*ctes("code_lines"), "l AS (SELECT *, lag(line) OVER (PARTITION BY file_path ORDER BY line_no) AS before FROM code_lines)"], "SELECT concat(replace(regexp_replace(file_path, '\\.[A-Za-z]+$', ''), '/', '.'), '.', regexp_extract(line, 'def (\\w+)', 1)) AS qualified_name, line_no AS start_line, coalesce(starts_with(before, '@app.route'), false) AS is_entry_point FROM l WHERE starts_with(line, 'def ')"))
-def g01_functions(spark: SparkSession, d: str) -> DataFrame:
-    return G.functions_of(load(spark, d, "code_lines")).select("qualified_name", "start_line", "is_entry_point")
-
-
 # Relationships, components, quality, diff
 
 
 @query(_with([*ctes("certs"), _CERTS], "SELECT concat(a.cert_id, a.rule_id) AS from_id, concat(b.cert_id, b.rule_id) AS to_id, CASE WHEN a.purpose = 'hashing' THEN 'cert_uses_key' ELSE 'cert_signed_with' END AS kind FROM ca a JOIN ca b ON a.serial = b.serial AND (a.purpose = 'hashing') <> (b.purpose = 'hashing')"))
 def l01_certificate_edges(spark: SparkSession, d: str) -> DataFrame:
     a = X.certificate_assets(load(spark, d, "certs")).withColumn("asset_id", F.concat(F.col("cert_id").cast("string"), F.col("rule_id")))
-    return M.certificate_edges(a)
+    return M.certificate_edges(a).select("from_id", "to_id", "kind")
 
 
-_SYM = [*_BASE, _DEDUP, "sy AS (SELECT seq, rule_id AS own, concat('R-', (CAST(substr(rule_id, 3) AS INT) + 1) % 19) AS sib, row_number() OVER (PARTITION BY rule_id ORDER BY file_path, coalesce(line_number, 0), first_seq) AS r FROM dd)"]
+_SYM = [*_BASE, _DEDUP, "sy AS (SELECT *, CASE WHEN seq % 4 = 0 THEN 'nothing' ELSE concat('call ', sib, '()') END AS snippet FROM (SELECT seq, source_surface, rule_id AS own, concat('R-', (CAST(substr(rule_id, 3) AS INT) + 1) % 19) AS sib, row_number() OVER (PARTITION BY rule_id ORDER BY file_path, coalesce(line_number, 0), first_seq) AS r FROM dd))"]
 
 
-@query(_with(_SYM, "SELECT a.seq AS from_id, b.seq AS to_id, 'source_invokes' AS kind FROM sy a JOIN sy b ON b.own = a.sib AND a.own <> a.sib WHERE b.r <= 8"))
+@query(_with(_SYM, "SELECT a.seq AS from_id, b.seq AS to_id, 'source_invokes' AS kind FROM sy a JOIN sy b ON b.own = a.sib AND a.own <> a.sib WHERE a.source_surface = 'source_code' AND contains(a.snippet, a.sib) AND b.r <= 8"))
 def l02_invokes(spark: SparkSession, d: str) -> DataFrame:
     nxt = F.concat(F.lit("R-"), ((F.substring("rule_id", 3, 9).cast("int") + 1) % 19).cast("string"))
-    a = I.deduplicate(findings(spark, d)).withColumns({"observed_symbol": F.col("rule_id"), "sibling_symbols": F.array(F.col("rule_id"), nxt)})
-    return M.invokes_edges(a)
+    a = I.deduplicate(findings(spark, d)).withColumns({"observed_symbol": F.col("rule_id"), "sibling_symbols": F.array(F.col("rule_id"), nxt), "snippet": F.when(F.col("seq") % 4 == 0, "nothing").otherwise(F.concat(F.lit("call "), nxt, F.lit("()")))})
+    return M.invokes_edges(a).select("from_id", "to_id", "kind")
 
 
 _REP = [*_BASE, _DEDUP, f"rp AS (SELECT * FROM (SELECT {_FAM} AS family, source_surface, seq, row_number() OVER (PARTITION BY {_FAM}, source_surface ORDER BY file_path, coalesce(line_number, 0), first_seq) AS k FROM dd) WHERE k = 1)"]
@@ -559,20 +484,13 @@ _REP = [*_BASE, _DEDUP, f"rp AS (SELECT * FROM (SELECT {_FAM} AS family, source_
 
 @query(_with(_REP, "SELECT a.seq AS from_id, b.seq AS to_id, a.family, 'cross_surface' AS kind FROM rp a JOIN rp b ON a.family = b.family AND a.source_surface < b.source_surface"))
 def l03_cross_surface(spark: SparkSession, d: str) -> DataFrame:
-    return M.cross_surface_edges(I.deduplicate(findings(spark, d)))
+    return M.cross_surface_edges(I.deduplicate(findings(spark, d))).select("from_id", "to_id", "family", "kind")
 
 
-@query(_with(_REP, "SELECT a.seq AS from_id, count(DISTINCT b.seq) AS n FROM rp a JOIN rp b ON a.family = b.family AND a.source_surface < b.source_surface GROUP BY 1"))
+@query(_with(_REP, "SELECT a.seq AS from_id, string_agg(b.seq, ',' ORDER BY b.seq) AS depends_on FROM rp a JOIN rp b ON a.family = b.family AND a.source_surface < b.source_surface GROUP BY 1"))
 def l05_dependencies(spark: SparkSession, d: str) -> DataFrame:
     a = I.deduplicate(findings(spark, d))
-    return M.dependencies(M.cross_surface_edges(a), a)
-
-
-@query(_with(_RISK, "SELECT seq, CASE source_surface WHEN 'certificate' THEN 'certificate' ELSE 'algorithm' END AS asset_type, CASE purpose " + " ".join(f"WHEN '{p}' THEN '{v}'" for p, v in M.PRIMITIVES) + " ELSE 'unknown' END AS primitive, concat(file_path, ':', line_number) AS location, format('{:.2f}', confidence) AS confidence FROM rk"))
-def l06_components(spark: SparkSession, d: str) -> DataFrame:
-    c = M.components(scored(spark, d))
-    value = lambda k: F.filter("component.properties", lambda p: p["name"] == f"inventory:{k}")[0]["value"]
-    return c.select("seq", F.col("component.assetType").alias("asset_type"), "component.primitive", value("location").alias("location"), value("confidence").alias("confidence"))
+    return M.dependencies(M.cross_surface_edges(a), a).select("from_id", F.array_join("depends_on", ",").alias("depends_on"))
 
 
 @query(_with(_RECS, "SELECT round(1.0, 4) AS evidence, round(avg(CASE WHEN purpose <> 'unknown' THEN 1.0 ELSE 0 END), 4) AS completeness, round(1.0, 4) AS risk, round(1.0, 4) AS recommendation, round(1 - count(*) / CAST(sum(n_observed) AS DOUBLE), 4) AS duplicate_rate, round(0.8 + 0.2 * avg(CASE WHEN purpose <> 'unknown' THEN 1.0 ELSE 0 END), 4) AS overall FROM re"))
@@ -580,18 +498,6 @@ def l09_quality(spark: SparkSession, d: str) -> DataFrame:
     return M.quality(recommended(spark, d))
 
 
-_TWO = [*_BASE, "b0 AS (SELECT * FROM findings WHERE seq % 10 <> 0)", "n0 AS (SELECT * FROM findings WHERE seq % 10 <> 1)", f"bo AS (SELECT * FROM (SELECT *, row_number() OVER ({_KEY} ORDER BY confidence DESC, seq) AS k FROM b0) WHERE k = 1)", f"ne AS (SELECT * FROM (SELECT *, row_number() OVER ({_KEY} ORDER BY confidence DESC, seq) AS k FROM n0) WHERE k = 1)", "nu AS (SELECT seq, purpose, CASE WHEN seq % 10 = 2 THEN 'AES-256-GCM' ELSE algorithm END AS algorithm FROM ne)"]
-
-
-@query(_with(_TWO, "SELECT CAST(coalesce(o.seq, n.seq) AS VARCHAR) AS asset_id, CASE WHEN o.seq IS NULL THEN 'new' WHEN n.seq IS NULL THEN 'removed' ELSE 'changed' END AS change FROM bo o FULL JOIN nu n ON o.seq = n.seq WHERE o.seq IS NULL OR n.seq IS NULL OR o.algorithm <> n.algorithm OR o.purpose <> n.purpose"))
-def l10_version_diff(spark: SparkSession, d: str) -> DataFrame:
-    f = findings(spark, d)
-    ident = F.col("seq").cast("string").alias("asset_id")
-    old = I.deduplicate(f.filter("seq % 10 <> 0")).select(ident, "algorithm", "purpose")
-    new = I.deduplicate(f.filter("seq % 10 <> 1")).select(ident, F.when(F.col("seq") % 10 == 2, "AES-256-GCM").otherwise(F.col("algorithm")).alias("algorithm"), "purpose")
-    return M.version_diff(old, new)
-
-
 # Reads
 
 
@@ -610,11 +516,6 @@ def m02_total(spark: SparkSession, d: str) -> DataFrame:
     return M.page(scored(spark, d), algorithm="RSA", surface="source_code")[1]
 
 
-@query(_with(_RISK, "SELECT seq, file_path, line_number FROM rk WHERE priority = 'P1' ORDER BY file_path, line_number, seq LIMIT 10"))
-def m04_top_p1(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).filter("priority = 'P1'").orderBy("file_path", "line_number", "seq").limit(10).select("seq", "file_path", "line_number")
-
-
 @query(_with([*ctes("certs"), _CERTS], "SELECT cert_id, algorithm FROM ca WHERE purpose <> 'hashing'"))
 def m07_certificates(spark: SparkSession, d: str) -> DataFrame:
     return X.certificate_assets(load(spark, d, "certs")).filter("purpose <> 'hashing'").select("cert_id", "algorithm")
@@ -630,11 +531,6 @@ def m10_latest(spark: SparkSession, d: str) -> DataFrame:
     return M.latest_scan(load(spark, d, "scans"))
 
 
-@query(_with([*_RECS, *_MIG], "SELECT seq, priority, composite FROM mg WHERE rec_kind <> 'unknown'"))
-def m08_roadmaps(spark: SparkSession, d: str) -> DataFrame:
-    return K.migration(recommended(spark, d)).filter("rec_kind <> 'unknown'").select("seq", "priority", "composite")
-
-
 _LINES = ", ".join(f"({i}, '{k}', {c})" for i, (k, c) in enumerate((("total assets", "count(*)"), ("quantum vulnerable", "count(*) FILTER (priority <> 'P4')"), ("P1", "count(*) FILTER (priority = 'P1')"), ("P2", "count(*) FILTER (priority = 'P2')"), ("P3", "count(*) FILTER (priority = 'P3')"), ("P4", "count(*) FILTER (priority = 'P4')"), ("HNDL", "count(*) FILTER (hndl_flag)"), ("application", "count(*) FILTER (classification = 'application')"), ("infrastructure", "count(*) FILTER (classification = 'infrastructure')"))))
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANGUAGES = {".py": "python", ".java": "java", ".js": "javascript", ".ts": "typescript", ".go": "go", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".rs": "rust", ".cs": "csharp"}
+from ..plans import rules as R
+
+CERTIFICATE_TYPES = (".pem", ".crt", ".cer", ".der")
 EXCLUDED = ("node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build")
 
 
 def language_of(path):  # noqa: ANN001, ANN201
     ext = F.lower(F.regexp_extract(path, r"(\.[A-Za-z]+)$", 1))
     out = F.lit(None).cast("string")
-    for e, lang in LANGUAGES.items():
+    for e, lang in R.LANGUAGES:
         out = F.when(ext == e, lang).otherwise(out)
     return out
 
@@ -23,6 +25,29 @@ def list_sources(spark: SparkSession, root: str, max_bytes: int = 5_000_000) ->
     return files.filter(F.col("language").isNotNull() & (F.col("length") <= max_bytes) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED])))
 
 
+def listing_counts(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -> DataFrame:
+    """One row: files scanned, files skipped (another kind, too large or in an excluded folder) and lines of the scanned ones."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).agg(F.count("*").alias("_all"))
+    kept = list_sources(spark, root, max_bytes).agg(F.count("*").alias("scanned"))
+    lines = read_lines(spark, root, max_bytes).agg(F.count("*").alias("lines"))
+    return every.crossJoin(kept).crossJoin(lines).select("scanned", (F.col("_all") - F.col("scanned")).alias("skipped"), "lines")
+
+
+def read_lines(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -> DataFrame:
+    """(file_path, line_no, line) of the source files below root, lines from 1; a file is read once and cut where it lies."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter((F.col("length") <= max_bytes) & language_of(F.col("path")).isNotNull())
+    files = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED])))
+    text = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\n$", ""), r"\r?\n", -1)
+    return files.select(F.col("path").alias("file_path"), F.posexplode(text).alias("_i", "line")).select("file_path", (F.col("_i") + 1).alias("line_no"), "line")
+
+
+def list_certificates(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, content) of certificate files below root by extension, without excluded folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    ext = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
+    return files.filter(ext.isin(*CERTIFICATE_TYPES) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED]))).select("path", "length", "content")
+
+
 def list_binaries(spark: SparkSession, root: str, max_bytes: int = 200_000_000) -> DataFrame:
     """(path, kind, content) of executables: by first bytes, else by extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
@@ -45,5 +70,16 @@ def write_documents(components: DataFrame, path: str, fmt: str = "json") -> None
         components.select("component.*").write.format("xml").option("rowTag", "component").save(path)
 
 
+def write_roadmaps(roadmaps: DataFrame, path: str) -> None:
+    """Replaces the roadmaps of the scans in `roadmaps`: (scan_id, seq, roadmap_json), partitioned by scan."""
+    out = roadmaps.select("scan_id", "seq", F.to_json(F.struct(*[c for c in roadmaps.columns if c not in ("scan_id", "seq")])).alias("roadmap_json"))
+    out.write.option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").mode("overwrite").parquet(path)
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """One bill of materials, its ordered lines range-partitioned so that the files in order are the document."""
+    lines.repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select(F.col("line").alias("value")).write.text(path)
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     lines.orderBy("line_no").select(F.col("line").alias("value")).coalesce(1).write.text(path)  # a report has a fixed number of lines

@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from cipherledger.plans.queries import ORACLES, QUERIES
+from cipherledger.plans.catalog import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Parts (in each of two generations) and pairs that a worker remembers; beyond that it forgets the oldest, which costs time and no result.
-PARTS, PAIRS = 300_000, 600_000
+PARTS, PAIRS = 150_000, 300_000
 #: Longer parts aren't remembered.
 PART_CHARS = 64
 

@@ -25,7 +25,7 @@ SHARD_IDS = 1_000_000
 #: Rounds of pair replacement, the least count of a pair, and the rules of one shard at most.
 ROUNDS, MIN_COUNT, MAX_RULES = 3, 4, 16_000
 #: Words that a worker remembers in each of two generations: a full one becomes the old one, whose words come back on use.
-WORDS = 400_000
+WORDS = 250_000
 #: Words of one call to the library, and words of letters in one text of it.
 BATCH, JOINED = 20_000, 50
 #: ASCII signs that never follow a letter within one token, and the mark of a token that ends a word.

@@ -55,8 +55,11 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
 
     def reachable(a: DataFrame) -> DataFrame:
         fns = reach.functions_of(lines).withColumn("fn_ord", F.xxhash64("qualified_name"))
-        judged = reach.verdicts(a, fns, reach.call_edges(lines)).select("seq", "reachable", "path")
-        return a.drop("reachable").join(judged, "seq", "left")
+        judged = reach.verdicts(a, fns, reach.call_edges(lines)).select("seq", "function", "reachable", F.col("path").alias("reachability_path"))
+        x = a.drop("reachable").join(judged, "seq", "left")
+        entries = F.lit(not fns.filter("is_entry_point").isEmpty())
+        place = F.concat_ws(":", "file_path", F.col("line_number").cast("string"))
+        return x.withColumn("exposure_context", reach.context(F.col("source_surface"), F.col("function"), entries, F.col("reachable"), F.col("reachability_path"), F.col("algorithm"), place))
 
     stages: list[tuple[str, Callable[[DataFrame | None], DataFrame]]] = [
         ("discovery", lambda _: discover(lines, rules)),
@@ -88,5 +91,5 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
 
 def rerun_after_enrichment(stored: DataFrame, answers: DataFrame, greenfield: bool = False) -> DataFrame:
     """Stored assets with their answers applied, and all later stages anew; the stored reachability stays."""
-    fresh = [c for c in ("seq", "algorithm", "purpose", "source_surface", "file_path", "line_number", "confidence", "rule_id", "snippet", "finding_type", "owner", "reachable", "path", "scan_id", "key_size_bits") if c in stored.columns]
+    fresh = [c for c in ("seq", "algorithm", "purpose", "source_surface", "file_path", "line_number", "confidence", "rule_id", "snippet", "finding_type", "owner", "reachable", "reachability_path", "scan_id", "key_size_bits") if c in stored.columns]
     return risk.migration(risk.recommend(risk.score(classify.classify(enrich.apply(stored.select(*fresh), answers))), greenfield))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from cipherledger.operators import classify, extract, inventory, reach, reads, risk
-from cipherledger.plans import fixtures, queries, rules
-from cipherledger.sources import tables
+from cipherledger.operators import classify, detect, enrich, extract, inventory, reach, reads, risk
+from cipherledger.plans import detection, fixtures, queries, rules, run
+from cipherledger.sources import rule_files, tables
 from cipherledger.streaming import fold
 
 COLS = "seq long, algorithm string, purpose string, source_surface string, file_path string, line_number int, confidence double, rule_id string"
@@ -124,3 +126,141 @@ def test_bare_callees_of_the_own_module(spark):
     calls = spark.createDataFrame([("a.m.f", "g"), ("a.m.f", "x"), ("a.m.g", "b.g"), ("b.g", "os.g")], "caller string, callee string")
     assert {tuple(r) for r in reach.resolve_callees(calls, fns).collect()} == {("a.m.f", "a.m.g", False), ("a.m.f", "x", True), ("a.m.g", "b.g", False), ("b.g", "os.g", True)}
     assert {r.node: r.depth for r in reach.search(fns, calls).collect()} == {"a.m.f": 0, "a.m.g": 1, "x": 1, "b.g": 2, "os.g": 3}
+
+
+LINES = [
+    ("a/app.py", 1, "@app.route('/x')"), ("a/app.py", 2, "def handler(a):"), ("a/app.py", 3, "    return make(a)"), ("a/app.py", 4, "def make(a):"), ("a/app.py", 5, "    return hashlib.new('sha1', a)"),
+    ("a/app.py", 6, "class Box:"), ("a/app.py", 7, "    def hidden(self):"), ("a/app.py", 8, "        return RSA.generate(4096)"), ("a/app.py", 9, "'" * 3), ("a/app.py", 10, "hashlib.md5(x)"), ("a/app.py", 11, "'" * 3), ("a/app.py", 12, None),
+    ("b/lib.c", 1, "/* RSA_new()"), ("b/lib.c", 2, "*/ EVP_PKEY_CTX_new_id(EVP_PKEY_RSA, NULL); // DSA_new()"), ("b/lib.c", 3, 'puts("MD5(x)"); MD5(x);'), ("b/lib.c", 4, "EC_KEY_new_by_curve_name(NID_secp384r1);"), ("b/lib.c", 5, "OQS_SIG_falcon_512_sign(m);"),
+    ("c/A.java", 1, 'MessageDigest.getInstance("SHA-1");'), ("c/A.java", 2, 'MessageDigest.getInstance("SHA-256");'), ("d/readme.txt", 1, "RSA.generate(2048)"),
+]
+
+
+@pytest.fixture(scope="module")
+def code(spark):
+    return spark.createDataFrame(LINES, "file_path string, line_no int, line string")
+
+
+def test_rules_find_what_they_should(spark, code):
+    got = {(r.file_path, r.line_no, r.rule_id, r.key_size, r.curve) for r in detect.detect(code, detection.detection_table(spark)).collect()}
+    assert got == {
+        ("a/app.py", 5, "R-022", None, None), ("a/app.py", 8, "R-001", 4096, None), ("b/lib.c", 2, "R-350", None, None), ("b/lib.c", 3, "R-302", None, None), ("b/lib.c", 4, "R-341", None, "P384"), ("b/lib.c", 4, "R-404", None, None),
+        ("b/lib.c", 5, "R-321", None, None), ("c/A.java", 1, "R-102", None, None),
+    }
+    assert len(detection.RULES) == 101 and rule_files.detection_problems(detection.detection_table(spark)).count() == 0
+    assert detect.rules_for_language(detection.detection_table(spark), "JAVA").count() == 3
+    empty = code.filter("false")
+    assert detect.detect(empty, detection.detection_table(spark)).count() == 0 and reach.functions_of(empty).count() == 0
+
+
+def test_run_with_switches_and_failure(spark, code):
+    out = run.run(code)
+    assert out.status == "complete" and "reachability" in out.completed
+    rows = {(r.file_path, r.line_number, r.rule_id): r for r in out.assets.collect()}
+    assert rows["a/app.py", 5, "R-022"].reachable is True and rows["a/app.py", 8, "R-001"].reachable is False and rows["b/lib.c", 3, "R-302"].reachable is None
+    assert rows["a/app.py", 8, "R-001"].algorithm == "RSA-4096" and rows["a/app.py", 8, "R-001"].priority == "P1"
+    part = run.run(code, skip=("reachability",), more={"late": lambda a: a.select("nothing")})
+    assert (part.status, part.failed) == ("partial", "late") and part.completed[-1] == "migration" and part.assets.count() == len(rows)
+    with pytest.raises(ValueError):
+        run.run(code, skip=("risk",))
+
+
+def test_verdicts_without_entries_and_given_ones(spark):
+    fns = spark.createDataFrame([("m.f", "m.py", 1, False, 1)], "qualified_name string, file_path string, start_line int, is_entry_point boolean, fn_ord long")
+    calls = spark.createDataFrame([], "caller string, callee string")
+    kind = "seq long, file_path string, line_number int, source_surface string, reachable boolean"
+    assets = spark.createDataFrame([(1, "m.py", 5, "source_code", None), (2, "x", 1, "infrastructure", True), (3, "src/m.py", 5, "source_code", None), (4, "no.py", 1, "source_code", None)], kind)
+    got = {r.seq: (r.function, r.reachable) for r in reach.verdicts(assets, fns, calls).collect()}
+    assert got == {1: ("m.f", None), 2: (None, True), 3: ("m.f", None), 4: (None, None)}
+    live = fns.withColumn("is_entry_point", F.lit(True))
+    assert {r.seq: r.reachable for r in reach.verdicts(assets, live, calls).collect()} == {1: True, 2: True, 3: True, 4: None}
+
+
+def test_fallback_entries(spark):
+    fns = spark.createDataFrame([("m.main", False), ("m.C.run", False), ("m.other", False)], "qualified_name string, is_entry_point boolean")
+    nodes, _ = reach.assemble(fns, spark.createDataFrame([("m.main", "os.x")], "caller string, callee string"))
+    assert {r.node for r in nodes.filter("is_entry_point").collect()} == {"m.main"}
+
+
+def test_responses_are_checked(spark):
+    cases = [
+        ('{"purpose":"certificate","confidence":0.5}', None), ('{"purpose":"mac","confidence":1}', None), ('{"purpose":"mac","confidence":"0.5"}', "confidence out of range"), ('{"purpose":"mac","confidence":1.5}', "confidence out of range"), ('{"purpose":"protocol","confidence":0.5}', "unknown purpose"),
+        ('{"purpose":"mac","confidence":0.5,"p1":true}', "prohibited field"), ('{"purpose":"mac","confidence":0.5,"note":1}', "unknown field"), ('{"purpose":"mac"', "not a JSON object"), ("[1]", "not a JSON object"), ('{"purpose":"mac","confidence":0.5,"algorithm_hint":null}', None),
+        ('{"purpose":"mac","confidence":0.5,"algorithm_hint":"' + "h" * 101 + '"}', "bad hint"), ('{"purpose":"mac","confidence":0.5,"context_notes":"' + "n" * 501 + '"}', "bad notes"), ('{"purpose":"mac","confidence":0.5,"algorithm_hint":3}', "bad hint"), ('{"purpose":"mac","x":"' + "y" * 2100 + '"}', "too long"),
+    ]
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string")
+    got = {r.i: r.reason for r in df.select("i", extract.validate_response(F.col("raw")).alias("reason")).collect()}
+    assert got == {i: why for i, (_, why) in enumerate(cases)}
+
+
+def test_owners_keep_rows_with_nulls(spark):
+    rules_ = classify.add_owner_rule(spark.createDataFrame([], "id long, owner string, priority int, surface string, purpose string, algorithm_prefix string, path_contains string"), "team", 5, algorithm_prefix="rsa")
+    a = spark.createDataFrame([(1, None, None, "RSA-1", None, None), (2, "binary", None, None, "x", "mine"), (3, None, None, "rsa", "p", " ")], "seq long, source_surface string, purpose string, algorithm string, file_path string, owner string")
+    assert {r.seq: r.owner for r in classify.assign_owners(a, rules_).collect()} == {1: "team", 2: "mine", 3: "team"}
+    assert classify.list_owner_rules(rules_).count() == 1 and classify.delete_owner_rule(rules_, 1).count() == 0
+    with pytest.raises(ValueError):
+        classify.add_owner_rule(rules_, " ", 1)
+
+
+def test_rule_files(spark, tmp_path):
+    f = tmp_path / "rules.json"
+    rule = {"rule_id": "X-1", "language": "Python", "kind": "call_with_arg", "rule_function": "new", "algorithm": "A", "purpose": "mac", "confidence": 0.5, "arg_values": ["a"]}
+    f.write_text(json.dumps([rule]))
+    assert [(r.rule_id, r.language, r.role) for r in rule_files.load_detection_rules(spark, str(f)).collect()] == [("X-1", "python", "any")]
+    f.write_text(json.dumps([rule, rule | {"confidence": 2}]))
+    with pytest.raises(ValueError, match="duplicate id"):
+        rule_files.load_detection_rules(spark, str(f))
+    c = tmp_path / "classes.json"
+    c.write_text(json.dumps([{"priority": 1, "result": "application", "description": "all"}, {"priority": 9, "result": "infrastructure", "description": "small", "algorithm_prefix": "rsa", "key_size_lt": 2048}, {"priority": 9, "result": "application", "surface": ["binary", "container"], "description": "later"}]))
+    table = rule_files.load_classification(spark, str(c))
+    assert [t[6] for t in table] == ["small", "later", "all"] and table[0][2] == ("RSA",) and table[1][0] == ("binary", "container")
+    df = spark.createDataFrame([("RSA-1024", 1024), ("RSA", None)], "algorithm string, key_size_bits int").withColumns({"source_surface": F.lit("x"), "purpose": F.lit("y"), "file_path": F.lit("z")})
+    assert [r.v for r in df.select(classify.first_match(table[:2], "none")[0].alias("v")).collect()] == ["infrastructure", "none"]
+    m = tmp_path / "map.json"
+    m.write_text(json.dumps([{"pattern": "rsa", "map_purpose": "mac", "replacement": "X"}]))
+    row = rule_files.load_mappings(spark, str(m)).first()
+    assert (row.pattern, row.vulnerable, row.broken, row.path_type) == ("RSA", True, False, "hybrid")
+    for loader in (rule_files.load_patterns, rule_files.load_years, rule_files.load_impacts, rule_files.load_mappings):
+        assert loader(spark).count() > 0
+
+
+def test_enrichment_round(spark):
+    a = spark.createDataFrame([(1, "RSA", "unknown", "x y", "deterministic", 0.8), (2, "RSA", "mac", "x y", "deterministic", 0.8), (3, "RSA", "unknown", "", "deterministic", 0.8)], "seq long, algorithm string, purpose string, snippet string, finding_type string, confidence double")
+    asked = enrich.requests(a)
+    assert [r.seq for r in asked.collect()] == [1]
+    stored = asked.select("cache_key", F.to_timestamp(F.lit("2024-01-30")).alias("stored_at"), F.lit('{"purpose":"hashing","confidence":0.3}').alias("raw"))
+    out = {r.seq: r for r in enrich.apply(a, enrich.cached(asked, stored, "2024-02-01")).collect()}
+    assert (out[1].purpose, out[1].finding_type, out[1].low_confidence, out[2].purpose, out[3].purpose) == ("hashing", "llm_enriched", True, "mac", "unknown")
+    assert enrich.to_send(enrich.cached(asked, stored, "2024-02-09")).count() == 1
+
+
+def test_document_is_one_json(spark, tmp_path):
+    a = risk.migration(risk.recommend(risk.score(classify.classify(spark.createDataFrame(ROWS, COLS)))))
+    deps = spark.createDataFrame([(1, [2, 3]), (4, [5])], "from_id long, depends_on array<long>")
+    tables.write_document(reads.document(reads.components(a), deps, 'scan "1"', "t"), f"{tmp_path}/doc")
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    doc = json.loads(text)
+    assert len(doc["components"]) == 5 and doc["dependencies"][1] == {"ref": "4", "dependsOn": ["5"]} and doc["metadata"]["scan"] == 'scan "1"'
+    assert {c["name"] for c in doc["components"]} >= {"RSA-2048", "MD5", "Falcon"}
+    tables.write_roadmaps(a.select(F.lit("s").alias("scan_id"), "seq", "narrative"), f"{tmp_path}/road")
+    assert spark.read.parquet(f"{tmp_path}/road").count() == 5
+
+
+def test_listing_counts(spark, tmp_path):
+    (tmp_path / "a.cpp").write_text("x\ny\n")
+    (tmp_path / "b.ts").write_text("x")
+    (tmp_path / "c.PEM").write_text("x")
+    r = tables.listing_counts(spark, str(tmp_path)).first()
+    assert (r.scanned, r.skipped, r.lines) == (1, 2, 2)
+    assert tables.list_certificates(spark, str(tmp_path)).count() == 1
+
+
+def test_mismatches_fire(spark):
+    x = spark.createDataFrame([(1, "mac", "hashing"), (2, "mac", "mac"), (3, "mac", "any"), (4, "mac", None)], "seq long, purpose string, map_purpose string")
+    assert [r.seq for r in risk.purpose_mismatches(x).collect()] == [1]
+
+
+def test_contexts(spark):
+    df = spark.createDataFrame([(1, "binary", None, True, None, None), (2, "source_code", None, True, None, None), (3, "source_code", "f", False, None, None), (4, "source_code", "f", True, True, ["e", "f"]), (5, "source_code", "f", True, False, None)], "i int, s string, fn string, e boolean, r boolean, p array<string>")
+    text = {r.i: r.t for r in df.select("i", reach.context(F.col("s"), F.col("fn"), F.col("e"), F.col("r"), F.col("p"), F.lit("RSA"), F.lit("a:1")).alias("t")).collect()}
+    assert "outside the call graph" in text[1] and "no containing function" in text[2] and "No entry points" in text[3] and "e → f [RSA at a:1]" in text[4] and "No call-graph path" in text[5]

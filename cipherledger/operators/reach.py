@@ -12,7 +12,7 @@ from ..plans import rules as R
 from .detect import CALL, pruned
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -112,20 +112,20 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10_000)
     One frontier for all sources: a hop joins it with the edges and drops what the source has seen; a source stops once
     its targets are found, and no source starts that isn't in a pair.
     """
-    e = _kept(edges.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct(), "edges")
-    todo = _kept(pairs.select("source", "target").distinct(), "pairs")
-    front = _kept(todo.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.array("source").alias("path")).distinct(), "front")
+    e = kept(edges.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct(), "edges")
+    todo = kept(pairs.select("source", "target").distinct(), "pairs")
+    front = kept(todo.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.array("source").alias("path")).distinct(), "front")
     seen, found = front, front.join(todo, (front["source"] == todo["source"]) & (front["node"] == todo["target"]), "left_semi")
     for depth in range(1, max_depth + 1):
         step = front.join(e, "node").select("source", F.col("next").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
         step = step.groupBy("source", "node").agg(F.min("path").alias("path")).select("source", "node", F.lit(depth).alias("depth"), "path")
-        front = _kept(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"), "front")
+        front = kept(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"), "front")
         hit = front.join(todo.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")
         found = found.unionByName(hit)
         todo = todo.join(hit.select("source", F.col("node").alias("target")), ["source", "target"], "left_anti")
         seen = seen.unionByName(front)
         if depth % 4 == 0:
-            seen, found, todo = _kept(seen, "seen"), _kept(found, "found"), _kept(todo, "pairs")
+            seen, found, todo = kept(seen, "seen"), kept(found, "found"), kept(todo, "pairs")
         front = front.join(todo.select("source").distinct(), "source", "left_semi")
         if front.isEmpty():
             break
@@ -149,19 +149,19 @@ def search(functions: DataFrame, calls: DataFrame, max_depth: int = 10_000) -> D
 
     A frontier loop: each hop joins the frontier with the edges and drops nodes already seen. Stored tables cut lineage.
     """
-    edges = _kept(resolve_callees(calls, functions).select(F.col("caller").alias("node"), F.col("callee").alias("next")), "edges")
+    edges = kept(resolve_callees(calls, functions).select(F.col("caller").alias("node"), F.col("callee").alias("next")), "edges")
     front = functions.filter("is_entry_point").groupBy(F.col("qualified_name").alias("node")).agg(F.min("fn_ord").alias("entry_ord"))
-    front = _kept(front.select("node", F.lit(0).alias("depth"), "entry_ord", F.array("node").alias("path")), "front")
+    front = kept(front.select("node", F.lit(0).alias("depth"), "entry_ord", F.array("node").alias("path")), "front")
     seen = front
     for depth in range(1, max_depth + 1):
         step = front.join(edges, "node").select(F.col("next").alias("node"), F.lit(depth).alias("depth"), "entry_ord", F.concat("path", F.array("next")).alias("path"))
         step = step.groupBy("node").agg(F.min(F.struct("depth", "entry_ord", "path")).alias("b")).select("node", "b.*")
-        front = _kept(step.join(seen.select("node"), "node", "left_anti"), "front")
+        front = kept(step.join(seen.select("node"), "node", "left_anti"), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
         if depth % 8 == 0:
-            seen = _kept(seen, "seen")
+            seen = kept(seen, "seen")
     return seen
 
 

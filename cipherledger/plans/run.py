@@ -13,6 +13,8 @@ from ..sources.rule_files import load_detection_rules
 
 #: Stages that a caller may leave out.
 OPTIONAL = ("enrichment", "ownership", "reachability")
+#: Stages that add columns without a shuffle.
+NARROW = ("enrichment", "classification", "risk", "recommendation")
 
 
 @dataclass
@@ -45,8 +47,9 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
     """Runs the stages in order; a stage that fails leaves the rows of the stage before it, and its name.
 
     others: assets of other surfaces by name, with seq and the columns that a finding has. answers: (seq, raw) of the
-    enrichment's responder. more: further stages by name, put behind the others. Each stage's plan is tried on its schema
-    and its first row, so a stage that can't run is noticed at its own name.
+    enrichment's responder. more: further stages by name, put behind the others. What a stage gives is written to the
+    shared folder and read again, so nothing is worked out twice and a lost executor costs one stage; stages in NARROW
+    are column expressions and run within the next one that is written.
     """
     bad = set(skip) - set(OPTIONAL)
     if bad:
@@ -78,7 +81,8 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
             continue
         try:
             next_ = stage(out.assets)
-            next_.limit(1).collect()
+            if name not in NARROW:
+                next_ = reach.kept(next_, name)
         except Exception as problem:  # any failure ends the run with what there is
             out.failed, out.error = name, str(problem).splitlines()[0]
             return out

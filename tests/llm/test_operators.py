@@ -393,3 +393,14 @@ def test_token_files_read_any_document_alone():
     row = token_files._shard(0, 0, docs, 40, 1).to_pylist()[0]
     assert [token_files.document_ids(row, k).tolist() for k in range(len(ids))] == ids
     assert [x.tolist() for _, _, x in token_files._documents(row)] == ids
+
+
+def test_mixing_targets_on_the_larger_table(spark):
+    """Expected shares of words, by probability, against the production targets; no text has a language outside them, so the four share that target."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = mixing.mix_sources(docs, keep=("doc_id",)).withColumn("v", F.col("mix_tokens") * F.col("mix_probability"))
+    total = out.agg(F.sum("v")).first()[0]
+    for col, target in (("mix_source", mixing.SOURCES), ("mix_lang", mixing.LANGS), ("mix_topic", mixing.TOPICS)):
+        share = {r[0]: r[1] / total for r in out.groupBy(col).agg(F.sum("v")).collect()}
+        whole = sum(target[c] for c in share)
+        assert all(abs(share[c] - target[c] / whole) < 0.01 for c in share)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, release, stored
+from .common import mix, prefix_hash, range_hash, release, run_hash, stored
 from .suffix_groups import suffix_array
 
 LENGTH, Q = 50, 26
@@ -82,7 +82,12 @@ class Pack:
         none = np.zeros(0, np.int64)
         self.lo, self.hi, self.row, anchor, seg = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, none.view(np.uint64), none.view(np.uint64))
         doc = self.ids[self.row]
-        order = np.lexsort((doc, seg, anchor))
+        order = np.argsort(anchor)
+        a = anchor[order]
+        same = np.concatenate((a[1:] == a[:-1], [False])) if len(a) else np.zeros(0, bool)
+        tied = np.flatnonzero(same | np.concatenate(([False], same[:-1])) if len(a) else same)
+        few = order[tied]  # only equal anchors need the other keys
+        order[tied] = few[np.lexsort((doc[few], seg[few], anchor[few]))]
         a, s, d = anchor[order], seg[order], doc[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
@@ -96,9 +101,8 @@ class Pack:
         """First and last window, row, anchor and hash of the segments of the windows that start in [c, c + CHUNK)."""
         data, w = self.data[c : c + CHUNK + length - 1], length - q + 1
         h = prefix_hash(data)
-        i = np.arange(len(data) - q + 1)
         bits = np.uint64(len(data).bit_length())
-        m = ((range_hash(h, i, i + q) >> bits) << bits) | i.astype(np.uint64)
+        m = ((run_hash(h, q) >> bits) << bits) | np.arange(len(data) - q + 1, dtype=np.uint64)
         span = 1
         while span * 2 <= w:
             m = np.minimum(m[: len(m) - span], m[span:])
@@ -107,7 +111,7 @@ class Pack:
             m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
         at = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         start = np.arange(len(at))
-        row = np.searchsorted(self.off, start + c, "right") - 1
+        row = np.repeat(np.arange(len(self.ids)), np.diff(np.clip(self.off, c, c + len(at))))
         ok = np.flatnonzero(start + c + length <= self.off[row + 1])
         at, row = at[ok], row[ok]
         new = np.ones(len(ok), bool)

@@ -124,6 +124,12 @@ def range_hash(h: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return mix((h[j] - h[i]) * inv[i] + (j - i).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def run_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """range_hash of all ranges of `size` bytes, in order."""
+    _, inv = _powers(len(h))
+    return mix((h[size:] - h[:-size]) * inv[: len(h) - size] + np.uint64(size * 0x632BE59BD9B4E019 % (1 << 64)))
+
+
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each run of bytes that isn't ASCII white space; runs never cross rows."""
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))

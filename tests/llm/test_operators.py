@@ -153,6 +153,17 @@ def test_jaccard_equals_brute_force(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_deals_large_groups_anew(spark, monkeypatch):
+    """With every open group counted as large, all deals run and no link is lost."""
+    r = random.Random(11)
+    core = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(core[:50] + [f"w{r.randint(0, 3)}" for _ in range(20)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(x) for x in jaccard_join.jaccard_components(df).collect())
+    monkeypatch.setattr(jaccard_join, "LARGE", 0)
+    assert sorted(tuple(x) for x in jaccard_join.jaccard_components(df).collect()) == want
+
+
 def test_jaccard_keeps_links_of_texts_that_share_an_id(spark):
     words = [[f"{c}{k}" for k in range(60)] for c in "ab"]
     near = [" ".join([*w[:59], "other"]) for w in words]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.inventory import deduplicate
+from ..operators.inventory import dedup_key, deduplicate
+
+#: Parts of the inventory by key; a batch rewrites those that it touches.
+BUCKETS = 64
 
 
 def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -20,12 +23,44 @@ def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     return out.select("dedup_key", "r.*", "n_observed", "first_seq")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("dedup_key"), F.lit(BUCKETS)).cast("int")
+
+
+def _versions(spark: SparkSession, target: str, k: int) -> dict[int, int]:
+    """The version that holds each bucket after batch k; at most BUCKETS rows."""
+    return {} if k < 0 else {r["bucket"]: r["version"] for r in spark.read.parquet(f"{target}/manifest/v={k}").collect()}
+
+
+def _files(spark: SparkSession, target: str, held: dict[int, int]) -> DataFrame | None:
+    paths = [f"{target}/data/v={v}/bucket={b}" for b, v in sorted(held.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def inventory(spark: SparkSession, target: str) -> DataFrame:
+    """The inventory after the last batch."""
+    last = spark.read.parquet(f"{target}/manifest").agg(F.max("v")).first()[0]
+    found = _files(spark, target, _versions(spark, target, last))
+    if found is None:
+        raise ValueError("no finding has arrived yet")
+    return found
+
+
 def run(spark: SparkSession, source: str, schema, target: str, checkpoint: str, files_per_batch: int = 1) -> None:  # noqa: ANN001
-    """Processes the files there are. Batch k writes version k from version k - 1, so a repeated batch gives the same table."""
+    """Processes the files there are.
+
+    Batch k reads and writes only the buckets of its own keys, as version k; a manifest per batch names the version of
+    each bucket. It builds on the manifest of batch k - 1 alone, so a repeated batch gives the same table.
+    """
 
     def fold(batch: DataFrame, k: int) -> None:
-        before = spark.read.parquet(f"{target}/v={k - 1}") if k else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{target}/v={k}")
+        held = _versions(spark, target, k - 1)
+        keys = batch.select(dedup_key().alias("dedup_key")).select(_bucket().alias("b")).distinct().collect()
+        touched = {r["b"] for r in keys}  # at most BUCKETS
+        before = _files(spark, target, {b: v for b, v in held.items() if b in touched})
+        merge(before, batch).withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/v={k}")
+        now = sorted((held | dict.fromkeys(touched, k)).items())
+        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/v={k}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ SPACE = r"[\x20\x09-\x0D]"
 NON_SPACE = r"[^\x20\x09-\x0D]"
 
 
+#: Where the tables of stored() lie.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share. Where it is unset: a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +46,19 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads, so that they don't count against the folder until the run ends."""
+    for df in tables:
+        path = _STORED.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,12 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    label = stored(label, "labels")
+    label = last = stored(label, "labels")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         new = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("p"))
         up = label.select(F.col("node").alias("p"), F.col("component").alias("pp"))
         new = stored(new.join(up, "p", "left").select("node", "old", F.least("p", "pp").alias("component")), "labels")
-        if new.filter("component <> old").isEmpty():
-            return new.select("node", "component")
-        label = new.select("node", "component")
+        done = new.filter("component <> old").isEmpty()
+        discard(last)
+        label, last = new.select("node", "component"), new
+        if done:
+            discard(both)
+            return label

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, stored, views, word_bounds
+from .common import discard, mix, prefix_hash, range_hash, stored, views, word_bounds
 from .components import components
 
 #: Words of a shingle and the similarity in percent.
@@ -349,6 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = todo.mapInArrow(_second_pass(size), "rep long, n long, hashes array<long>, bits array<long>")
     sets = stored(sets.dropDuplicates(["rep"]), "shingle-sets")
     links = _links(sets, percent)
+    discard(sets)
     several = full.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("_m")).filter("a <> _m").select("doc_id", "a")
     links = links.union(full.join(several, "doc_id").filter("s1 <> a").select("a", F.col("s1").alias("b")))
     label = components(links).withColumnRenamed("node", "s1")
@@ -368,7 +369,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     label = components(links).withColumnRenamed("node", "rep")
     open_ = stored(_mixed(sig, label), "open-groups")
     sketches = stored(_sketches(sets), "sketches")
-    found = [links]
+    discard(sig, star)
+    found, used = [links], [links, open_, sketches]
     for deal in range(1, DEALS + 1):
         few = open_.filter(F.col("c") <= LARGE) if deal < DEALS else open_
         found.append(_linked(_cross(few.join(sketches, "rep"), percent), sets, percent))
@@ -379,10 +381,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             break
         again = many.select("sig", "rep").join(sets.select("rep", "n", "hashes"), "rep").mapInArrow(_sign(percent, deal, ["rep", "n"]), "sig long, rep long, n long")
         open_ = stored(_mixed(again, label), "open-groups")
+        used.append(open_)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return stored(out.distinct(), "links")
+    out = stored(out.distinct(), "links")
+    discard(*used)
+    return out
 
 
 def _star(sig: DataFrame) -> DataFrame:

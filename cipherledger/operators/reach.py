@@ -24,10 +24,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_entry(name: Column, decorator: Column) -> Column:
-    return F.coalesce(decorator.rlike(R.ROUTES), F.lit(False)) | named_entry(name)
-
-
 def named_entry(name: Column) -> Column:
     low = F.lower(name)
     return name.isin(*R.ENTRY_NAMES) | low.isin(*R.ENTRY_NAMES) | low.startswith("handle_") | low.startswith("on_") | low.startswith("process_")

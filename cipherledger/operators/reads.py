@@ -57,8 +57,6 @@ def completeness(assets: DataFrame, scanned: tuple[str, ...], expected: tuple[st
 EDGES, EVIDENCE = 8, 300
 #: Order of kinds where a source has too many edges.
 EDGE_KINDS = ("cert_uses_key", "cert_signed_with", "source_invokes", "cross_surface")
-#: Order of assets: by place, then by ingestion.
-PLACE = ("file_path", "line_number", "first_seq")
 
 
 def certificate_edges(cert_assets: DataFrame) -> DataFrame:

@@ -428,7 +428,6 @@ def e06_truncate_key(spark: SparkSession, d: str) -> DataFrame:
 # Reachability
 
 _ENDS = "reach(node) AS (SELECT qualified_name FROM functions WHERE is_entry_point UNION SELECT c.callee FROM reach r JOIN calls c ON c.caller = r.node)"
-_ASOF = "fx AS (SELECT f.seq, f.file_path, f.line_number, (SELECT max(qualified_name) FROM functions g WHERE g.file_path = f.file_path AND g.start_line = (SELECT max(start_line) FROM functions h WHERE h.file_path = f.file_path AND h.start_line <= f.line_number)) AS function FROM findings f WHERE source_surface = 'source_code')"
 
 
 _DEPTHS = "dp(node, depth) AS (SELECT qualified_name, 0 FROM functions WHERE is_entry_point UNION SELECT c.callee, depth + 1 FROM dp r JOIN calls c ON c.caller = r.node WHERE depth < 40)"

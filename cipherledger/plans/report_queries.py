@@ -195,6 +195,11 @@ def m12_migration_report(spark: SparkSession, d: str) -> DataFrame:
     return M.migration_report(migrated(spark, d)).select("rank", "seq", "line")
 
 
+@query(_with([*_BASE, _DEDUP], "SELECT seq, concat('  ', file_path, ':', line_number, ' ', algorithm) AS line FROM dd"))
+def m11_asset_lines(spark: SparkSession, d: str) -> DataFrame:
+    return M.asset_lines(I.deduplicate(findings(spark, d))).select("seq", "line")
+
+
 _STAGE = "CASE WHEN days_to_expiry < 0 THEN 'expired' WHEN days_to_expiry <= 90 THEN 'rotation_pending' ELSE 'active' END"
 
 

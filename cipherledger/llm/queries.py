@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, and SQL for those that SQL expresses."""
+"""Queries op1 to op13 over whole tables, and SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, dialogue, jaccard_join, line_rules, merkle, mixing, piece_encoding, quality, token_files, warc
+from . import byte_dedup, dialogue, jaccard_join, line_rules, merkle, mixing, periodic_runs, piece_encoding, quality, token_files, warc
 from .common import scratch
 
 
@@ -59,5 +59,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard)}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_of_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard, op13_runs)}
 ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op5_warc": warc.SQL, "op6_perspectives": dialogue.SQL, "op9_line_rules": line_rules.sql()}

@@ -157,3 +157,14 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after = np.concatenate((solid[1:], [False])) if len(data) else solid
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return start, end, np.searchsorted(off, start, "right") - 1
+
+
+def bounds_of(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of set bytes; runs never cross rows."""
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[off] = True
+    before, after = np.zeros(len(solid), bool), np.zeros(len(solid), bool)
+    before[1:], after[:-1] = solid[:-1], solid[1:]
+    start = np.flatnonzero(solid & (~before | edge[:-1]))
+    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    return start, end, np.searchsorted(off, start, "right") - 1

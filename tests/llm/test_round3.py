@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cipherledger.llm import periodic_runs
+from cipherledger.llm import license_scan, periodic_runs
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _t string, _id string, runs int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,3 +87,55 @@ def test_long_text_of_one_run(spark):
     row = periodic_runs.find_runs(_frame(spark, [(7, text, None)])).first()
     assert [tuple(x) for x in row.runs] == [(0, 300_000, 1), (300_001, 40_000, 5000)]
     assert row.collapsed == "w end " + " ".join(f"u{k}" for k in range(5000))
+
+
+def _same_as_sql(df, sql, docs, tmp_path):
+    """Rows of a query against its SQL over the same small table."""
+    import duckdb
+
+    docs.write.mode("overwrite").parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    q = con.execute(sql)
+    names = [c[0] for c in q.description]
+    assert sorted(names) == sorted(df.columns)
+    tidy = lambda rows: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows], key=str)
+    got, want = tidy(tuple(r[c] for c in names) for r in df.collect()), tidy(q.fetchall())
+    assert got == want
+    return [dict(zip(names, r, strict=True)) for r in got]
+
+
+def _licence_texts():
+    r = random.Random(11)
+    notices = [t.words for t in license_scan.NOTICES if not t.phrase]
+    out = [None, "", " \t ", "MIT License", "mit", "the MITé license", "gnu general public license gnu general public license v3", "CC BY-NC 4, or cc-by!", "Apache License, apache licens e", "GNU general public"]
+    for k in range(120):
+        w = list(r.choice(notices))
+        for _ in range(r.choice([0, 1, 3, 8, 30])):
+            at = r.randrange(len(w))
+            what = r.randrange(3)
+            w[at : at + (what != 1)] = [] if what == 0 and len(w) > 9 else ["zz" + str(r.randint(0, 9))]
+        pad = [r.choice(["of", "the", "license", "software", "permission", "mit", "to", "use"]) for _ in range(r.randint(0, 60))]
+        out.append(" ".join(pad + w + pad[::-1] + (w if k % 7 == 0 else [])).title())
+    return out + out[3:9] + ["x y " * 6000 + "mit license " + "q " * 4094 + "gnu general public license"]
+
+
+def test_license_scan_equals_sql(spark, tmp_path):
+    rows = [(k % 97 if k != 5 else None, t, "en") for k, t in enumerate(_licence_texts())]
+    docs = _frame(spark, rows)
+    got = _same_as_sql(license_scan.digest(license_scan.scan_licenses(docs)), license_scan.sql(), docs, tmp_path)
+    assert {"mit", "apache", "bsd", "cc-by,cc-by-nc"} <= {x["labels"] for x in got} and min(x["score"] for x in got) == 0.0
+    assert any(0.8 <= x["score"] < 1 for x in got)
+    assert license_scan.scan_licenses(_frame(spark, [])).count() == 0
+
+
+def test_license_base_equals_definition(spark):
+    rows = [(k, t, None) for k, t in enumerate(_licence_texts())]
+    want = []
+    for i, t, _ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [(k, x.label) for x in license_scan.BASE for k in range(len(w)) if w[k : k + len(x.words)] == x.words]
+        starts = [k for k, _ in at]
+        want.append((i, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))))
+    got = license_scan.digest(license_scan.scan_licenses(_frame(spark, rows))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted(map(tuple, got.collect())) == want

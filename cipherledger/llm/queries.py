@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, dialogue, jaccard_join, license_scan, line_rules, merkle, mixing, periodic_runs, piece_encoding, quality, token_files, warc
+from . import byte_dedup, dialogue, jaccard_join, license_scan, line_rules, merkle, mixing, periodic_runs, phrase_index, piece_encoding, quality, token_files, warc
 from .common import scratch
 
 
@@ -63,9 +63,13 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(_read(spark, sf_dir, "documents")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.top_phrases(phrase_index.mine_phrases(_read(spark, sf_dir, "documents")))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_of_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard, op11_licenses, op13_runs)}
-ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op5_warc": warc.SQL, "op6_perspectives": dialogue.SQL, "op9_line_rules": line_rules.sql(), "op11_licenses": license_scan.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_token_files, op4_mixing, op5_warc, op6_perspectives, op7_merkle, op8_byte_dedup, op9_line_rules, op10_jaccard, op11_licenses, op12_phrases, op13_runs)}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op5_warc": warc.SQL, "op6_perspectives": dialogue.SQL, "op9_line_rules": line_rules.sql(), "op11_licenses": license_scan.sql(), "op12_phrases": phrase_index.sql()}

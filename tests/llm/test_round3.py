@@ -6,12 +6,12 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from cipherledger.llm import license_scan, periodic_runs
+from cipherledger.llm import license_scan, periodic_runs, phrase_index
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _t string, _id string, runs int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,3 +139,43 @@ def test_license_base_equals_definition(spark):
         want.append((i, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))))
     got = license_scan.digest(license_scan.scan_licenses(_frame(spark, rows))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def _phrase_rows():
+    r = random.Random(13)
+    words = ["new", "york", "city", "of", "the", "Épée", "ß", "ß\x1cx", "日本", "x-y", "#"]
+    out = [(1, None, "en"), (2, "", None), (3, "...;\n", "de"), (4, "solo", "xx")]
+    for k in range(260):
+        t = "".join(r.choice(words[: r.randint(3, 11)]) + r.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\r\n", " New York City! "]) for _ in range(r.randint(1, 60)))
+        out.append((k % 200, t, r.choice(["en", "en", "en", None, "und", "fr"])))
+    return out + [(900 + k, "the same words again and again, the same words", "fr") for k in range(15)] + [(999, "a b " * 4000, "en")]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_phrases_equal_sql(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(phrase_index, "SHARD_WORDS", limit)
+    docs = _frame(spark, _phrase_rows())
+    got = _same_as_sql(phrase_index.top_phrases(phrase_index.mine_phrases(docs, min_count=10), 60), phrase_index.sql(min_count=10, top=60), docs, tmp_path)
+    assert {x["lang"] for x in got} == {"en", "fr", "und"} and any(x["phrase"].count(" ") == 4 for x in got)
+    assert phrase_index.top_phrases(phrase_index.mine_phrases(_frame(spark, []))).count() == 0
+
+
+def test_index_equals_counting():
+    """Both key widths: packed into 63 bits and compared column by column."""
+    r = random.Random(2)
+    for _ in range(60):
+        codes = np.array([0] + [r.choice([0, 1, 1, 2, 3, 4]) for _ in range(r.randint(0, 120))] + [0], np.int64)
+        grams = lambda d: Counter(tuple(codes[i : i + d]) for i in range(len(codes) - d + 1) if 0 not in codes[i : i + d])  # noqa: E731, B023
+        row = lambda seq, g, n=len(codes): sum(tuple(np.append(seq, [0] * 9)[i : i + len(g)]) < g for i in range(n))
+        for d in range(1, 5):
+            known = sorted(g for g, c in grams(d).items() if c > 1)
+            lo = np.array([row(codes, g) for g in known], np.int64)
+            back = np.array([row(codes[::-1], g[::-1]) for g in known], np.int64)
+            cnt = np.array([grams(d)[g] for g in known], np.int64)
+            want = {g: c for g, c in grams(d + 1).items() if g[:-1] in known and g[1:] in known}
+            first, last, size, new_lo, new_back = phrase_index.extend(codes, d, lo, back, cnt)
+            got = [known[a] + known[b][-1:] for a, b in zip(first, last, strict=True)]
+            assert dict(zip(got, size.tolist(), strict=True)) == want
+            assert [row(codes, g) for g in got] == new_lo.tolist() and [row(codes[::-1], g[::-1]) for g in got] == new_back.tolist()
+    x = np.array([r.randint(0, 9) for _ in range(500)])
+    assert (phrase_index._order(x, x[::-1], 21) == phrase_index._order(x, x[::-1], 40)).all()

@@ -4,71 +4,30 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import detection as D
 from ..plans import rules as R
-from ..sources.tables import language_of
 from .extract import canonical, coerce_purpose, confidence
+from .lexer import arguments, lexed, siblings, statement_calls
 
-#: A line falls into literals, runs without quotes, and single quotes.
-TOKENS = r"\"[^\"]*\"|'[^']*'|[^\"']+|[\"']"
-#: Receiver, name and arguments up to the next parenthesis; arguments are looked at only, so nested calls are found too.
-CALL = r"(?:([A-Za-z_][\w.]*)\.)?\b([A-Za-z_]\w*)\((?=([^()]*))"
 IDENTIFIER = r"[A-Za-z_]\w*\s*\(?"
 KEYWORD_ARGUMENT = r"^([A-Za-z_]\w*)\s*=([^=].*)?$"
 SNIPPET = 512
 
 
-def masked(line: Column) -> Column:
-    """The line with the content of each literal as hexadecimal digits between double quotes, so that marks inside it don't count."""
-    literal = lambda t: F.concat(F.lit('"'), F.hex(F.encode(F.substring(t, F.lit(2), F.length(t) - 2), "UTF-8")), F.lit('"'))
-    tokens = F.regexp_extract_all(line, F.lit(TOKENS), F.lit(0))
-    return F.array_join(F.transform(tokens, lambda t: F.when((F.length(t) >= 2) & t.rlike("^[\"']"), literal(t)).otherwise(t)), "")
-
-
-def pruned(lines: DataFrame) -> DataFrame:
-    """(file_path, line_no, line, language, code): what is left of a line without comments, its literals masked.
-
-    Python text between triple quotes and block comments of the other languages are followed over lines. The state runs
-    along a file, so a file is one window partition. A null line is empty; files of other languages have a null language.
-    """
-    w = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    python = F.col("language") == "python"
-    x = lines.select("file_path", "line_no", F.coalesce("line", F.lit("")).alias("line"), language_of(F.col("file_path")).alias("language"))
-    x = x.withColumn("_t", F.when(python, F.split(F.replace("line", F.lit("'''"), F.lit('"""')), '"""', -1)).otherwise(F.array("line")))
-    x = x.withColumn("_in", F.coalesce(F.sum(F.size("_t") - 1).over(w), F.lit(0)) % 2)
-    x = x.withColumn("_m", masked(F.array_join(F.filter("_t", lambda t, i: (i + F.col("_in")) % 2 == 0), '""')))
-    x = x.withColumn("_m", F.when(python, F.regexp_replace("_m", "#.*$", "")).otherwise(F.regexp_replace(F.regexp_replace("_m", r"/\*.*?\*/", " "), "//.*$", "")))
-    event = F.when(python, F.lit(None)).when(F.col("_m").contains("/*"), 1).when(F.col("_m").contains("*/"), 0)
-    x = x.withColumn("_b", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(0)) == 1)
-    rest = F.when(~F.col("_b"), F.col("_m")).when(F.col("_m").contains("*/"), F.element_at(F.split("_m", r"\*/", 2), 2)).otherwise("")
-    code = F.when(python, F.col("_m")).otherwise(F.substring_index(rest, "/*", 1))
-    return x.select("file_path", "line_no", "line", "language", code.alias("code"))
-
-
 def positional(args: Column) -> Column:
     """Positional arguments of a masked argument text, literals without their quotes; keyword arguments are left out."""
-    parts = F.transform(F.split(args, ",", -1), lambda a: F.trim(a))
-    plain = F.filter(parts, lambda a: (a != "") & ~a.rlike(KEYWORD_ARGUMENT))
+    plain = F.filter(arguments(args), lambda a: ~a.rlike(KEYWORD_ARGUMENT))
     return F.transform(plain, lambda a: F.when(a.rlike('^"[0-9A-F]*"$'), F.decode(F.unhex(F.substring(a, F.lit(2), F.length(a) - 2)), "UTF-8")).otherwise(a))
 
 
-def siblings(code: Column) -> Column:
-    """Identifiers of a statement: distinct, below 80 characters, the first eight."""
-    tokens = F.regexp_extract_all(F.regexp_replace(code, '"[0-9A-F]*"', '""'), F.lit(r"[A-Za-z_]\w*"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(tokens, lambda t: F.length(t) < 80)), 1, 8)
-
-
 def call_sites(lines: DataFrame) -> DataFrame:
-    """(file_path, line_no, pos, language, module, function, args, keywords, siblings, snippet) of each call; calls over several lines end at their first."""
-    x = pruned(lines)
-    calling = F.regexp_replace("code", r"\b(def|class)\s+\w+", "$1 ")  # a definition is no call
-    calls = F.arrays_zip(*[F.regexp_extract_all(calling, F.lit(CALL), F.lit(k)).alias(n) for k, n in ((1, "m"), (2, "f"), (3, "a"))])
-    x = x.select("file_path", "line_no", "language", siblings(F.col("code")).alias("siblings"), F.substring("line", 1, SNIPPET).alias("snippet"), F.posexplode(calls).alias("pos", "s"))
-    keywords = F.filter(F.transform(F.split("s.a", ",", -1), lambda a: F.trim(a)), lambda a: a.rlike(KEYWORD_ARGUMENT))
-    return x.select("file_path", "line_no", "pos", "language", F.nullif(F.col("s.m"), F.lit("")).alias("module"), F.col("s.f").alias("function"), positional(F.col("s.a")).alias("args"), keywords.alias("keywords"), "siblings", "snippet")
+    """(file_path, line_no, pos, language, module, function, args, keywords, siblings, snippet) of each call, with all its lines' arguments."""
+    x = statement_calls(lines, SNIPPET)
+    keywords = F.filter(arguments(F.col("raw")), lambda a: a.rlike(KEYWORD_ARGUMENT))
+    return x.select("file_path", "line_no", "pos", "language", "module", "function", positional(F.col("raw")).alias("args"), keywords.alias("keywords"), "siblings", "snippet")
 
 
 def curve_of(text: Column) -> Column:
@@ -100,7 +59,9 @@ def match_calls(sites: DataFrame, rules: DataFrame) -> DataFrame:
     r = F.broadcast(rules.filter("kind <> 'c_symbol'").withColumnRenamed("language", "rule_language"))
     plain = sites.join(r.filter("NOT endswith(rule_function, '*')"), (F.col("language") == F.col("rule_language")) & (F.col("function") == F.col("rule_function")))
     prefix = sites.join(r.filter("endswith(rule_function, '*')"), (F.col("language") == F.col("rule_language")) & F.col("function").startswith(F.rtrim(F.col("rule_function"), F.lit("*"))))
-    chain = (F.col("kind") == "call_chain") & (F.col("rule_module").isNull() | F.coalesce(F.split_part(F.col("module"), F.lit("."), F.lit(1)) == F.col("rule_module"), F.lit(False)))
+    # Of a dotted receiver, Python's tree holds one name beside the attribute, the function's own; the others' holds none.
+    receiver = F.when(~F.col("module").contains("."), F.col("module")).when(F.col("language") == "python", F.col("function"))
+    chain = (F.col("kind") == "call_chain") & (F.col("rule_module").isNull() | F.coalesce(receiver == F.col("rule_module"), F.lit(False)))
     valued = (F.col("kind") == "call_with_arg") & F.coalesce(F.array_contains("arg_values", F.get("args", F.lit(0))), F.lit(False))
     hit = plain.union(prefix).filter(chain | valued)
     named = F.get(F.filter("keywords", lambda a: F.regexp_extract(a, KEYWORD_ARGUMENT, 1) == F.col("size_keyword")), F.lit(0))
@@ -114,7 +75,7 @@ def match_calls(sites: DataFrame, rules: DataFrame) -> DataFrame:
 
 def match_symbols(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of the rules over bare identifiers in the role that a rule asks for: call, macro, constant or any."""
-    x = pruned(lines).filter("language IS NOT NULL")
+    x = lexed(lines).filter("language IS NOT NULL")
     tokens = F.regexp_extract_all(F.regexp_replace("code", '"[0-9A-F]*"', '""'), F.lit(IDENTIFIER), F.lit(0))
     x = x.select("file_path", "line_no", "language", siblings(F.col("code")).alias("sibling_symbols"), F.substring("line", 1, SNIPPET).alias("snippet"), F.col("code").rlike(r"^\s*#").alias("_macro"), F.posexplode(tokens).alias("pos", "_t"))
     x = x.withColumns({"observed_symbol": F.regexp_extract("_t", r"^\w+", 0), "_call": F.col("_t").endswith("(")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,23 +136,33 @@ def probe_counts(handshakes: DataFrame) -> DataFrame:
     return handshakes.agg(F.count("*").alias("endpoints_probed"), F.count_if(bad).alias("endpoints_failed"))
 
 
+def _replaced(text: Column, steps: list[tuple[str, str]], mark: str) -> tuple[Column, Column]:
+    """Text with each pattern replaced in order, and the names of those that changed it. Each step reads the one before it once, as a bound variable; written out, the steps would double at each."""
+
+    def step(state: Column, name: str, pattern: str) -> Column:
+        new = _bound(state, lambda s: F.struct(s.alias("s"), F.regexp_replace(s["t"], pattern, mark).alias("t")))
+        named = lambda x: F.when(x["t"] != x["s"]["t"], F.array_append(x["s"]["n"], F.lit(name))).otherwise(x["s"]["n"])
+        return _bound(new, lambda x: F.struct(x["t"].alias("t"), named(x).alias("n")))
+
+    state = F.struct(text.alias("t"), F.array().cast("array<string>").alias("n"))
+    for name, pattern in steps:
+        state = step(state, name, pattern)
+    return state["t"], F.when(text.isNotNull(), state["n"]).otherwise(F.array().cast("array<string>"))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scrub(text: Column) -> tuple[Column, Column]:
     """Text with secrets replaced, and the names of those found."""
-    kinds = (("aws_key", r"AKIA[0-9A-Z]{16}"), ("jwt", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("hex_secret", r"\b[0-9a-fA-F]{64}\b"))
-    out, names = text, []
-    for name, pattern in kinds:
-        names.append(F.when(out.rlike(pattern), F.lit(name)))
-        out = F.regexp_replace(out, pattern, "[REDACTED]")
-    return out, F.array_compact(F.array(*names))
+    return _replaced(text, [("aws_key", r"AKIA[0-9A-Z]{16}"), ("jwt", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("hex_secret", r"\b[0-9a-fA-F]{64}\b")], "[REDACTED]")
 
 
 def strip_injections(text: Column) -> tuple[Column, Column]:
-    out, names = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Cs}&&[^\t\n\r]]", ""), []
-    for name, pattern in R.INJECTIONS:
-        p = pattern.replace("(?m)", "(?im)") if pattern.startswith("(?m)") else f"(?i){pattern}"
-        names.append(F.when(out.rlike(p), F.lit(name)))
-        out = F.regexp_replace(out, p, "[STRIPPED]")
-    return out, F.array_compact(F.array(*names))
+    """Text without control characters and with prompt injections replaced, and the names of those found."""
+    clean = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Cs}&&[^\t\n\r]]", "")
+    return _replaced(clean, [(n, p.replace("(?m)", "(?im)") if p.startswith("(?m)") else f"(?i){p}") for n, p in R.INJECTIONS], "[STRIPPED]")
 
 
 def truncate(text: Column, most: int = 2048) -> tuple[Column, Column]:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
-from .detect import CALL, pruned
+from .lexer import statement_calls, statements
+from .scan import block_scan
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -33,53 +34,62 @@ def module_of(path: Column) -> Column:
     return F.replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), F.lit("/"), F.lit("."))
 
 
+SCOPE = "array<struct<indent:int,name:string>>"
+
+
 def scoped_lines(lines: DataFrame) -> DataFrame:
-    """Lines of Python files with the class and the function around them: (file_path, line_no, code, scope, name, start_line, decorators).
+    """First lines of the statements of Python files, with the definitions around them: (file_path, line_no, code, scope, name, is_class, decorators).
 
-    A line belongs to the nearest definition above it with a smaller indent; a class stays open until a line indented no
-    deeper. Scopes are carried along the file, so a file is one window partition. `scope` is null outside functions;
-    `name` is set on definition lines alone, with the names of the decorators on the lines right above.
+    A statement lies in the definitions above it that no statement between has closed by an indent as small or smaller: a
+    stack that each statement cuts to smaller indents and a definition grows by itself, kept by an associative scan.
+    `scope` is the module with the names of all of them (null outside definitions); `name` is set on definitions, with
+    the names of the decorators right above a function. A tab counts as one character of indent.
     """
-    w = Window.partitionBy("file_path").orderBy("line_no")
-    above = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = pruned(lines).filter("language = 'python'")
+    x = statements(lines).filter("language = 'python'").filter("start = line_no AND trim(code) <> ''")
     x = x.withColumns({
         "_i": F.length(F.regexp_extract("code", r"^(\s*)", 1)),
-        "_class": F.nullif(F.regexp_extract("code", r"^\s*class\s+(\w+)", 1), F.lit("")),
-        "name": F.nullif(F.regexp_extract("code", r"^\s*(?:async\s+)?def\s+(\w+)", 1), F.lit("")),
+        "is_class": F.col("code").rlike(r"^\s*class\s+\w+"),
+        "name": F.nullif(F.regexp_extract("code", r"^\s*(?:class|(?:async\s+)?def)\s+(\w+)", 1), F.lit("")),
         "_d": F.nullif(F.regexp_extract("code", r"^\s*@((?:\w+\.)*\w+)", 1), F.lit("")),
-    })
-    solid = F.trim("code") != ""
-    x = x.withColumn("_open", F.last(F.when(F.col("_class").isNotNull(), F.struct("_class", "_i")).when(solid & (F.col("_i") == 0), F.struct(F.lit(None).cast("string").alias("_class"), F.lit(-1).alias("_i"))), ignorenulls=True).over(above))
-    inside = F.col("_open._class").isNotNull() & (F.col("_i") > F.col("_open._i"))
-    full = F.concat_ws(".", module_of(F.col("file_path")), F.when(inside, F.col("_open._class")), F.col("name"))
-    # A block of decorators ends at the first line that is neither one nor empty.
-    x = x.withColumn("_run", F.sum(F.when(solid & F.col("_d").isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    block = Window.partitionBy("file_path", F.coalesce("_run", F.lit(0))).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("decorators", F.when(F.col("name").isNotNull(), F.collect_list("_d").over(block)))
-    known = F.when(F.col("name").isNotNull(), F.struct(full.alias("scope"), "_i", F.col("line_no").alias("start_line"))).when(solid & (F.col("_i") == 0), F.struct(F.lit(None).cast("string").alias("scope"), F.lit(-1).alias("_i"), F.lit(None).cast("int").alias("start_line")))
-    x = x.withColumn("_f", F.last(known, ignorenulls=True).over(above))
-    return x.select("file_path", "line_no", "code", F.col("_f.scope").alias("scope"), "name", F.col("_f.start_line").alias("start_line"), "decorators")
+    }).drop("line", "language", "start")
+    own = F.when(F.col("name").isNotNull(), F.array(F.struct(F.col("_i").alias("indent"), F.col("name").alias("name")))).otherwise(F.array().cast(SCOPE))
+    cut = lambda stack, at: F.filter(stack, lambda d: d["indent"] < at)
+    both = lambda f, g: F.struct(F.least(f["least"], g["least"]).alias("least"), F.concat(cut(f["own"], g["least"]), g["own"]).alias("own"))
+    x = block_scan(x, "_open", F.struct(F.col("_i").alias("least"), own.alias("own")), F.array().cast(SCOPE), SCOPE, lambda s, a: F.concat(cut(s, a["least"]), a["own"]), both)
+    # Decorators right above: kept until a statement that is neither one nor a definition.
+    text = "array<string>"
+    given = F.struct((F.col("_d").isNull()).alias("fresh"), F.when(F.col("_d").isNotNull(), F.array("_d")).otherwise(F.array().cast(text)).alias("own"))
+    joined = lambda f, g: F.struct((f["fresh"] | g["fresh"]).alias("fresh"), F.when(g["fresh"], g["own"]).otherwise(F.concat(f["own"], g["own"])).alias("own"))
+    x = block_scan(x, "_above", given, F.array().cast(text), text, lambda s, a: F.when(a["fresh"], a["own"]).otherwise(F.concat(s, a["own"])), joined)
+    around = cut(F.col("_open"), F.col("_i"))
+    scope = F.when(F.size(around) > 0, F.concat_ws(".", module_of(F.col("file_path")), F.transform(around, lambda d: d["name"])))
+    return x.select("file_path", "line_no", "code", scope.alias("scope"), "name", "is_class", F.when(F.col("name").isNotNull() & ~F.col("is_class"), F.col("_above")).alias("decorators"))
 
 
 def functions_of(lines: DataFrame) -> DataFrame:
-    """Function table of code lines: qualified name with its class, file, definition line, entry flag and its reason."""
+    """Function table of code lines: name qualified by all definitions around it, file, definition line, entry flag and its reason."""
     last = F.transform("decorators", lambda d: F.element_at(F.split(d, r"\."), -1))
     routed = F.exists(last, lambda d: d.rlike(R.ROUTES))
     reason = F.when(routed, F.concat(F.lit("route decorator: @"), F.get("decorators", F.lit(0)))).when(named_entry(F.col("name")), F.concat(F.lit("entry-point function name: "), F.col("name")))
-    x = scoped_lines(lines).filter("name IS NOT NULL")
-    return x.select(F.col("scope").alias("qualified_name"), "file_path", F.col("line_no").alias("start_line"), reason.isNotNull().alias("is_entry_point"), reason.alias("entry_reason"))
+    x = scoped_lines(lines).filter("name IS NOT NULL AND NOT is_class")
+    full = F.concat_ws(".", F.coalesce("scope", module_of(F.col("file_path"))), "name")
+    return x.select(full.alias("qualified_name"), "file_path", F.col("line_no").alias("start_line"), reason.isNotNull().alias("is_entry_point"), reason.alias("entry_reason"))
 
 
 def call_edges(lines: DataFrame) -> DataFrame:
-    """(caller, callee, call_line) of each call inside a function; a name without dots gets the module of its file, dotted names stay."""
-    x = scoped_lines(lines).filter("scope IS NOT NULL AND name IS NULL")
-    calls = F.arrays_zip(F.regexp_extract_all("code", F.lit(CALL), F.lit(1)).alias("m"), F.regexp_extract_all("code", F.lit(CALL), F.lit(2)).alias("f"))
-    x = x.select("file_path", "line_no", "scope", F.explode(calls).alias("c"))
-    callee = F.when(F.col("c.m") == "", F.concat(module_of(F.col("file_path")), F.lit("."), F.col("c.f"))).otherwise(F.concat("c.m", F.lit("."), "c.f"))
+    """(caller, callee, call_line) of each call inside a definition; a name without dots gets the module of its file, dotted names stay. Calls in a definition's own head aren't edges."""
+    inside = scoped_lines(lines).filter("scope IS NOT NULL AND name IS NULL").select("file_path", F.col("line_no").cast("long").alias("start"), "scope")
+    x = statement_calls(lines).filter("language = 'python'").join(inside, ["file_path", "start"])
+    callee = F.when(F.col("module").isNull(), F.concat(module_of(F.col("file_path")), F.lit("."), F.col("function"))).otherwise(F.concat("module", F.lit("."), "function"))
     return x.select(F.col("scope").alias("caller"), callee.alias("callee"), F.col("line_no").alias("call_line"))
 
 
+def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """functions_of and call_edges of the lines, written once: lines are lexed a single time, and no search works them out again."""
+    read = kept(statements(lines), "statements")
+    return kept(functions_of(read), "functions"), kept(call_edges(read), "edges")
+
+
 def assemble(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (functions and edge ends, with entry flag) and distinct resolved edges.
 

@@ -9,6 +9,7 @@ from ..operators import classify as C
 from ..operators import detect as T
 from ..operators import enrich as E
 from ..operators import extract as X
+from ..operators import lexer as L
 from ..operators import reach as G
 from ..sources.rule_files import detection_problems, load_detection_rules
 from ..sources.tables import language_of
@@ -18,30 +19,64 @@ from .fixtures import ctes, load
 from .queries import AS_OF, _s, _with, query
 
 _LANGUAGE = "CASE lower(regexp_extract(file_path, '(\\.[A-Za-z]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in R.LANGUAGES) + " END"
-_W = "WINDOW w AS (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_LITERAL = """CASE WHEN length(x) >= 2 AND regexp_matches(x, '^["'']') THEN '"' || hex(substr(x, 2, length(x) - 2)) || '"' ELSE x END"""
-_TOKENS = r"""'"[^"]*"|''[^'']*''|[^"'']+|["'']'"""
+# Lexing in SQL: what each line's tokens leave open by the state that it begins in, then the states line after line by
+# recursion; the same for the bracket depth. States are those of operators/lexer.py.
+_CLOSES = (r"^(?:\\.|[^\\])*?\"\"\"", r"^(?:\\.|[^\\])*?'{3}", r'^(?:\\.|[^"\\])*"', r"^(?:\\.|[^'\\])*'", r"^.*?\*/", r"^(?:\\.|[^`\\])*`")
+_DOUBLE, _SINGLE, _COMMENT = r'"(?:\\.|[^"\\])*"', r"'(?:\\.|[^'\\])*'", r"/\*.*?\*/|//.*"
+_TOKEN_SQL = {
+    "python": rf"[rRbBuUfFtT]{{0,2}}(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'{{3}}(?:\\.|[^\\])*?'{{3}}|(\"\"\"|'{{3}}).*|{_DOUBLE}|{_SINGLE}|([\"']).*)|#.*|\w+|[^\w\"'#]+",
+    "java": rf"\"\"\"(?:\\.|[^\\])*?\"\"\"|(\"\"\").*|{_DOUBLE}|{_SINGLE}|{_COMMENT}|([\"']|/\*).*|[^\"'/]+|/",
+    "javascript": rf"{_DOUBLE}|{_SINGLE}|`(?:\\.|[^`\\])*`|{_COMMENT}|([\"'`])(?:).*|(/\*).*|[^\"'`/]+|/",
+    "c": rf"(?:u8|[uUL])?(?:{_DOUBLE}|{_SINGLE})|{_COMMENT}|([\"'])(?:).*|(/\*).*|\w+|[^\w\"'/]+|/",
+}
+
+
+def _tokens(text: str, group: int) -> str:
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN regexp_extract_all({text}, {_s(v)}, {group})" for k, v in _TOKEN_SQL.items() if k != "c") + f" ELSE regexp_extract_all({text}, {_s(_TOKEN_SQL['c'])}, {group}) END"
+
+
+def _ends(text: str) -> str:
+    """State at the end of a text that begins in code."""
+    opener = f"(coalesce(({_tokens(text, 1)})[-1], '') || coalesce(({_tokens(text, 2)})[-1], ''))"
+    odd = f"length(regexp_extract({text}, '(\\\\*)$', 1)) % 2 = 1"
+    return f"""CASE {opener} WHEN '' THEN 0 WHEN repeat(chr(34), 3) THEN 1 WHEN repeat(chr(39), 3) THEN 2 WHEN '"' THEN CASE WHEN {odd} THEN 3 ELSE 0 END WHEN chr(39) THEN CASE WHEN {odd} THEN 4 ELSE 0 END WHEN '/*' THEN 5 WHEN '`' THEN 6 END"""
 
 
 def _pruned(view: str) -> list[str]:
-    """CTE pr: language and code of each line of a view."""
+    """CTE pr: language, code and first line of the statement of each line of a view."""
+    rests = ", ".join(f"CASE WHEN regexp_matches(line, {_s(c)}) THEN regexp_replace(line, {_s(c)}, '') END" for c in _CLOSES)
+    odd = r"length(regexp_extract(line, '(\\*)$', 1)) % 2 = 1"
+    stay = ["1", "2", f"CASE WHEN {odd} THEN 3 ELSE 0 END", f"CASE WHEN {odd} THEN 4 ELSE 0 END", "5", "6"]
+    acts = ", ".join([_ends("line"), *(f"CASE WHEN r[{i}] IS NULL THEN {stay[i - 1]} ELSE {_ends(f'r[{i}]')} END" for i in range(1, 7))])
+    content = """CASE WHEN (starts_with(y, repeat(chr(34), 3)) OR starts_with(y, repeat(chr(39), 3))) THEN substr(y, 4, length(y) - 6) ELSE substr(y, 2, length(y) - 2) END"""
+    literal = f"""'"' || hex(list_transform([regexp_replace(x, '^[A-Za-z0-9]*', '')], lambda y: {content})[1]) || '"'"""
+    masked = f"""CASE WHEN i = len(tk) AND op <> '' THEN CASE WHEN starts_with(x, '/*') THEN '' ELSE '""' END WHEN starts_with(x, '/*') THEN ' ' WHEN starts_with(x, '//') OR (language = 'python' AND starts_with(x, '#')) THEN '' WHEN regexp_matches(x, '^[A-Za-z0-9]{{0,2}}["''`]') THEN {literal} ELSE x END"""
+    fresh = r"(language = 'python' AND regexp_matches(code, '^(?:def|class|async\s+def)\b|^@\w'))"
     return [
-        f"p1 AS (SELECT file_path, line_no, coalesce(line, '') AS line, {_LANGUAGE} AS language FROM {view})",
-        "p2 AS (SELECT *, CASE WHEN language = 'python' THEN string_split(replace(line, '''''''', '\"\"\"'), '\"\"\"') ELSE [line] END AS t FROM p1)",
-        f"p3 AS (SELECT *, coalesce(sum(len(t) - 1) OVER w, 0) % 2 AS ins FROM p2 {_W})",
-        "p4 AS (SELECT *, array_to_string(list_filter(t, lambda x, i: (i - 1 + ins) % 2 = 0), '\"\"') AS a FROM p3)",
-        f"p5 AS (SELECT *, array_to_string(list_transform(regexp_extract_all(a, {_TOKENS}), lambda x: {_LITERAL}), '') AS k FROM p4)",
-        r"p6 AS (SELECT *, CASE WHEN language = 'python' THEN regexp_replace(k, '#.*$', '') ELSE regexp_replace(regexp_replace(k, '/\*.*?\*/', ' ', 'g'), '//.*$', '') END AS m FROM p5)",
-        f"p7 AS (SELECT *, coalesce(last_value(CASE WHEN language = 'python' THEN NULL WHEN contains(m, '/*') THEN 1 WHEN contains(m, '*/') THEN 0 END IGNORE NULLS) OVER w, 0) = 1 AS b FROM p6 {_W})",
-        "pr AS (SELECT file_path, line_no, line, language, CASE WHEN language = 'python' THEN m ELSE split_part(CASE WHEN NOT b THEN m WHEN contains(m, '*/') THEN substr(m, strpos(m, '*/') + 2) ELSE '' END, '/*', 1) END AS code FROM p7)",
+        f"p1 AS (SELECT file_path, line_no, coalesce(line, '') AS line, {_LANGUAGE} AS language, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM {view})",
+        f"p2 AS MATERIALIZED (SELECT *, [{acts}] AS act FROM (SELECT *, [{rests}] AS r FROM p1))",
+        "p3(file_path, rn, st) AS (SELECT file_path, rn, 0 FROM p2 WHERE rn = 1 UNION ALL SELECT p2.file_path, p2.rn, q.act[st + 1] FROM p3 JOIN p2 q USING (file_path, rn) JOIN p2 ON p2.file_path = p3.file_path AND p2.rn = p3.rn + 1)",
+        "p4 AS (SELECT *, CASE WHEN st = 0 THEN line ELSE coalesce(r[st], '') END AS rest FROM p2 JOIN p3 USING (file_path, rn))",
+        f"p5 AS (SELECT *, {_tokens('rest', 0)} AS tk, coalesce(({_tokens('rest', 1)})[-1], '') || coalesce(({_tokens('rest', 2)})[-1], '') AS op FROM p4)",
+        f"p6 AS MATERIALIZED (SELECT *, CASE WHEN st = 5 AND rest <> '' THEN ' ' ELSE '' END || coalesce(array_to_string(list_transform(tk, lambda x, i: {masked}), ''), '') AS code FROM p5)",
+        "b1 AS (SELECT file_path, rn, k, CASE WHEN regexp_matches(c, '[(\\[{]') THEN 1 ELSE -1 END AS v FROM (SELECT file_path, rn, unnest(m) AS c, generate_subscripts(m, 1) AS k FROM (SELECT file_path, rn, regexp_extract_all(code, CASE WHEN language = 'python' THEN '[()\\[\\]{}]' ELSE '[()\\[\\]]' END) AS m FROM p6)))",
+        "b2 AS (SELECT file_path, rn, sum(v) AS add, least(0, min(run)) AS low FROM (SELECT *, sum(v) OVER (PARTITION BY file_path, rn ORDER BY k) AS run FROM b1) GROUP BY ALL)",
+        f"b3 AS MATERIALIZED (SELECT p6.*, coalesce(add, 0) AS add, coalesce(add, 0) - coalesce(low, 0) AS least, regexp_matches(code, '\\\\$') AS j, {fresh} AS fresh FROM p6 LEFT JOIN b2 USING (file_path, rn))",
+        "b4(file_path, rn, depth, joined) AS (SELECT file_path, rn, CAST(0 AS HUGEINT), false FROM b3 WHERE rn = 1 UNION ALL SELECT b3.file_path, b3.rn, CASE WHEN q.fresh THEN q.least ELSE greatest(depth + q.add, q.least) END, q.j FROM b4 JOIN b3 q USING (file_path, rn) JOIN b3 ON b3.file_path = b4.file_path AND b3.rn = b4.rn + 1)",
+        "pr AS MATERIALIZED (SELECT file_path, line_no, line, language, code, coalesce(last_value(CASE WHEN (fresh OR (depth <= 0 AND NOT joined)) AND st NOT IN (1, 2, 3, 4, 6) THEN line_no END IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no), line_no) AS start FROM b3 JOIN b4 USING (file_path, rn))",
     ]
 
 
+_KEYWORD = r"'^([A-Za-z_]\w*)\s*=([^=].*)?$'"
 _CALLS = [
-    r"s1 AS (SELECT *, string_split(regexp_replace(code, '\b(def|class)\s+\w+', '\1 ', 'g'), '(') AS p FROM pr)",
-    r"s2 AS (SELECT *, regexp_extract(p[i], '(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)$', 1) AS m, regexp_extract(p[i], '(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)$', 2) AS function, regexp_extract(p[i + 1], '^[^()]*') AS raw FROM (SELECT *, unnest(range(1, len(p))) AS i FROM s1))",
-    r"s3 AS (SELECT file_path, line_no, language, code, nullif(m, '') AS module, function, list_transform(string_split(raw, ','), lambda x: trim(x)) AS parts, row_number() OVER (PARTITION BY file_path, line_no ORDER BY i) - 1 AS pos, line FROM s2 WHERE function <> '')",
-    r"""st AS (SELECT *, list_transform(list_filter(parts, lambda x: x <> '' AND NOT regexp_matches(x, '^([A-Za-z_]\w*)\s*=([^=].*)?$')), lambda x: CASE WHEN regexp_matches(x, '^"[0-9A-F]*"$') THEN decode(unhex(substr(x, 2, length(x) - 2))) ELSE x END) AS args, list_filter(parts, lambda x: regexp_matches(x, '^([A-Za-z_]\w*)\s*=([^=].*)?$')) AS keywords FROM s3)""",
+    r"s1 AS MATERIALIZED (SELECT file_path, language, start, regexp_replace(string_agg(chr(1) || line_no || chr(2) || regexp_replace(code, '\\$', ' '), '' ORDER BY line_no), '\b(def|class)\s+\w+', '\1 ', 'g') AS t, string_agg(regexp_replace(code, '\\$', ' '), ' ' ORDER BY line_no) AS code FROM pr WHERE code <> '' GROUP BY ALL)",
+    r"s2 AS (SELECT file_path, start, p, substr(t, p, 1) AS c FROM (SELECT file_path, start, t, unnest(range(1, length(t) + 1)) AS p FROM s1) WHERE substr(t, p, 1) IN ('(', '[', '{', ')', ']', '}', ','))",
+    r"s3 AS MATERIALIZED (SELECT *, sum(CASE WHEN c IN ('(', '[', '{') THEN 1 WHEN c = ',' THEN 0 ELSE -1 END) OVER (PARTITION BY file_path, start ORDER BY p) AS d FROM s2)",
+    r"s4 AS (SELECT s1.*, o.p, o.d, (SELECT min(z.p) FROM s3 z WHERE z.file_path = o.file_path AND z.start = o.start AND z.p > o.p AND z.d < o.d) AS z, regexp_extract(substr(t, 1, o.p - 1), '(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)$', 1) AS m, regexp_extract(substr(t, 1, o.p - 1), '(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)$', 2) AS function FROM s3 o JOIN s1 USING (file_path, start) WHERE o.c = '(')",
+    r"s5 AS (SELECT *, coalesce(z, length(t) + 1) AS e, CAST(regexp_extract(substr(t, 1, p - length(function) - CASE WHEN m = '' THEN 0 ELSE length(m) + 1 END - 1), '.*' || chr(1) || '(\d+)' || chr(2), 1) AS INT) AS line_no, row_number() OVER (PARTITION BY file_path, start ORDER BY p) - 1 AS pos FROM s4 WHERE function <> '')",
+    r"s6 AS (SELECT s5.*, list_sort(list_concat([p, e], coalesce((SELECT list(x.p) FROM s3 x WHERE x.file_path = s5.file_path AND x.start = s5.start AND x.c = ',' AND x.p > s5.p AND x.p < s5.e AND x.d = s5.d), []))) AS cut FROM s5)",
+    r"s7 AS (SELECT *, list_filter(list_transform(range(1, len(cut)), lambda i: trim(regexp_replace(substr(t, cut[i] + 1, cut[i + 1] - cut[i] - 1), chr(1) || '\d+' || chr(2), ' ', 'g'))), lambda x: x <> '') AS parts FROM s6)",
+    rf"""st AS (SELECT s7.file_path, s7.line_no, s7.language, s7.code, nullif(m, '') AS module, function, pos, line, list_transform(list_filter(parts, lambda x: NOT regexp_matches(x, {_KEYWORD})), lambda x: CASE WHEN regexp_matches(x, '^"[0-9A-F]*"$') THEN decode(unhex(substr(x, 2, length(x) - 2))) ELSE x END) AS args, list_filter(parts, lambda x: regexp_matches(x, {_KEYWORD})) AS keywords FROM s7 JOIN pr ON pr.file_path = s7.file_path AND pr.line_no = s7.line_no)""",
 ]
 _LIST = lambda xs: "[" + ", ".join(map(_s, xs)) + "]" if xs else "CAST(NULL AS VARCHAR[])"
 _RULES = "dr(ord, rule_id, lang, kind, rm, fn, algorithm, purpose, confidence, vals, role, size, sarg, skw) AS (VALUES " + ", ".join("(" + ", ".join([*map(_s, (i, *r)), _LIST(D.VALUES.get(r[0])), *map(_s, (D.ROLES.get(r[0], "any"), D.SIZES.get(r[0]), D.SIZE_ARGUMENTS.get(r[0]), D.SIZE_KEYWORDS.get(r[0])))]) + ")" for i, r in enumerate(D.RULES)) + ")"
@@ -50,7 +85,7 @@ _CLASS = "CASE WHEN contains(upper(args[1]), 'SECP256R1') THEN 'P256' WHEN conta
 _MATCHED = [
     _RULES,
     "m1 AS (SELECT st.*, rule_id, kind, rm, fn, algorithm, purpose, confidence, vals, size, sarg, skw FROM st JOIN dr ON st.language = dr.lang AND kind <> 'c_symbol' AND (fn = function OR (ends_with(fn, '*') AND starts_with(function, rtrim(fn, '*')))))",
-    r"m2 AS (SELECT *, CASE WHEN kind = 'call_chain' THEN coalesce(try_cast(args[sarg + 1] AS INT), try_cast(trim(regexp_extract(list_filter(keywords, lambda x: regexp_extract(x, '^([A-Za-z_]\w*)\s*=([^=].*)?$', 1) = skw)[1], '^([A-Za-z_]\w*)\s*=([^=].*)?$', 2)) AS INT), size) ELSE size END AS key_size, CASE WHEN algorithm = 'ECDSA' AND fn = 'generate_private_key' THEN " + _CLASS + f" WHEN fn IN ('EC_KEY_new_by_curve_name', 'EVP_PKEY_CTX_set_ec_paramgen_curve_nid') THEN {_NID} END AS curve FROM m1 WHERE (kind = 'call_chain' AND (rm IS NULL OR split_part(module, '.', 1) = rm)) OR (kind = 'call_with_arg' AND list_contains(vals, args[1])))",
+    r"m2 AS (SELECT *, CASE WHEN kind = 'call_chain' THEN coalesce(try_cast(args[sarg + 1] AS INT), try_cast(trim(regexp_extract(list_filter(keywords, lambda x: regexp_extract(x, '^([A-Za-z_]\w*)\s*=([^=].*)?$', 1) = skw)[1], '^([A-Za-z_]\w*)\s*=([^=].*)?$', 2)) AS INT), size) ELSE size END AS key_size, CASE WHEN algorithm = 'ECDSA' AND fn = 'generate_private_key' THEN " + _CLASS + f" WHEN fn IN ('EC_KEY_new_by_curve_name', 'EVP_PKEY_CTX_set_ec_paramgen_curve_nid') THEN {_NID} END AS curve FROM m1 WHERE (kind = 'call_chain' AND (rm IS NULL OR CASE WHEN NOT contains(module, '.') THEN module WHEN language = 'python' THEN function END = rm)) OR (kind = 'call_with_arg' AND list_contains(vals, args[1])))",
     "mc AS (SELECT file_path, line_no, pos, rule_id, kind, algorithm, purpose, confidence, key_size, curve, function AS symbol, code, line FROM m2)",
     r"""y1 AS (SELECT file_path, line_no, code, line, regexp_extract_all(regexp_replace(code, '"[0-9A-F]*"', '""', 'g'), '[A-Za-z_]\w*\s*\(?') AS t, language, regexp_matches(code, '^\s*#') AS mac FROM pr WHERE language IS NOT NULL)""",
     r"y2 AS (SELECT *, regexp_extract(t[i], '^\w+') AS symbol, ends_with(t[i], '(') AS called, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM y1))",
@@ -105,9 +140,9 @@ def a10_languages(spark: SparkSession, d: str) -> DataFrame:
 # Extraction
 
 
-@query(_with([*_SITES[: -len(_CALLS)]], "SELECT file_path, line_no, language, code FROM pr"))
+@query(_with([*_SITES[: -len(_CALLS)]], "SELECT file_path, line_no, language, code, start FROM pr"))
 def b02_pruned(spark: SparkSession, d: str) -> DataFrame:
-    return T.pruned(lines(spark, d)).drop("line")
+    return L.statements(lines(spark, d)).select("file_path", "line_no", "language", "code", "start")
 
 
 @query(_with([*ctes("code_lines"), *_pruned("code_lines"), *_CALLS], "SELECT file_path, line_no, pos, language, module, function, array_to_string(args, '|') AS args FROM st"))
@@ -257,19 +292,19 @@ def e12_batch_stats(spark: SparkSession, d: str) -> DataFrame:
 _SCOPED = [
     *ctes("source_lines"),
     *_pruned("source_lines"),
-    r"g1 AS (SELECT file_path, line_no, code, length(regexp_extract(code, '^(\s*)', 1)) AS ind, nullif(regexp_extract(code, '^\s*class\s+(\w+)', 1), '') AS cls, nullif(regexp_extract(code, '^\s*(?:async\s+)?def\s+(\w+)', 1), '') AS name, nullif(regexp_extract(code, '^\s*@((?:\w+\.)*\w+)', 1), '') AS deco, replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.') AS module FROM pr WHERE language = 'python')",
-    "g2 AS (SELECT *, last_value(CASE WHEN cls IS NOT NULL THEN {'c': cls, 'i': ind} WHEN trim(code) <> '' AND ind = 0 THEN {'c': NULL, 'i': -1} END IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no) AS o, coalesce(sum(CASE WHEN trim(code) <> '' AND deco IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM g1)",
-    "g3 AS (SELECT *, CASE WHEN name IS NOT NULL THEN concat_ws('.', module, CASE WHEN o.c IS NOT NULL AND ind > o.i THEN o.c END, name) END AS own, list(deco) FILTER (deco IS NOT NULL) OVER (PARTITION BY file_path, run ORDER BY line_no) AS decorators FROM g2)",
-    "g4 AS (SELECT *, last_value(CASE WHEN own IS NOT NULL THEN {'s': own} WHEN trim(code) <> '' AND ind = 0 THEN {'s': NULL} END IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no) AS f FROM g3)",
+    r"g1 AS MATERIALIZED (SELECT file_path, line_no, code, length(regexp_extract(code, '^(\s*)', 1)) AS ind, regexp_matches(code, '^\s*class\s+\w+') AS cls, nullif(regexp_extract(code, '^\s*(?:class|(?:async\s+)?def)\s+(\w+)', 1), '') AS name, nullif(regexp_extract(code, '^\s*@((?:\w+\.)*\w+)', 1), '') AS deco, replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.') AS module FROM pr WHERE language = 'python' AND start = line_no AND trim(code) <> '')",
+    # Definitions around a line: earlier, less indented, and nothing since that is indented no deeper.
+    "g2 AS (SELECT x.file_path, x.line_no, list(y.name ORDER BY y.line_no) AS around FROM g1 x JOIN g1 y ON x.file_path = y.file_path AND y.line_no < x.line_no AND y.name IS NOT NULL AND y.ind < x.ind WHERE NOT EXISTS (SELECT 1 FROM g1 z WHERE z.file_path = x.file_path AND z.line_no > y.line_no AND z.line_no < x.line_no AND z.ind <= y.ind) GROUP BY ALL)",
+    "g3 AS (SELECT *, coalesce(sum(CASE WHEN deco IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM g1 LEFT JOIN g2 USING (file_path, line_no))",
+    "g4 AS (SELECT *, list(deco) FILTER (deco IS NOT NULL) OVER (PARTITION BY file_path, run ORDER BY line_no) AS decorators, CASE WHEN around IS NOT NULL THEN concat_ws('.', module, array_to_string(around, '.')) END AS scope FROM g3)",
 ]
 _NAMES = "(name IN (" + ", ".join(map(_s, R.ENTRY_NAMES)) + ") OR starts_with(lower(name), 'handle_') OR starts_with(lower(name), 'on_') OR starts_with(lower(name), 'process_'))"
 _ROUTED = "len(list_filter(coalesce(decorators, []), lambda x: regexp_matches(split_part(x, '.', -1), " + _s(R.ROUTES) + "))) > 0"
-_FUNCTIONS = [*_SCOPED, f"fu AS (SELECT own AS qualified_name, file_path, line_no AS start_line, CASE WHEN {_ROUTED} THEN 'route decorator: @' || decorators[1] WHEN {_NAMES} THEN 'entry-point function name: ' || name END AS reason FROM g4 WHERE name IS NOT NULL)"]
+_FUNCTIONS = [*_SCOPED, f"fu AS (SELECT concat_ws('.', coalesce(scope, module), name) AS qualified_name, file_path, line_no AS start_line, CASE WHEN {_ROUTED} THEN 'route decorator: @' || decorators[1] WHEN {_NAMES} THEN 'entry-point function name: ' || name END AS reason FROM g4 WHERE name IS NOT NULL AND NOT cls)"]
 _EDGES = [
     *_FUNCTIONS,
-    r"h1 AS (SELECT *, string_split(code, '(') AS p FROM g4 WHERE name IS NULL AND f.s IS NOT NULL)",
-    r"h2 AS (SELECT f.s AS caller, module, line_no, regexp_extract(p[i], '(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)$', 1) AS m, regexp_extract(p[i], '(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)$', 2) AS c FROM (SELECT *, unnest(range(1, len(p))) AS i FROM h1))",
-    "ed AS (SELECT caller, CASE WHEN m = '' THEN module || '.' || c ELSE m || '.' || c END AS callee, line_no AS call_line FROM h2 WHERE c <> '')",
+    *_CALLS,
+    "ed AS (SELECT g4.scope AS caller, CASE WHEN m = '' THEN module || '.' || function ELSE m || '.' || function END AS callee, s5.line_no AS call_line FROM s5 JOIN g4 ON g4.file_path = s5.file_path AND g4.line_no = s5.start WHERE g4.scope IS NOT NULL AND g4.name IS NULL)",
 ]
 _GRAPH = [*_EDGES, "er AS (SELECT DISTINCT caller, callee, callee NOT IN (SELECT qualified_name FROM fu) AS external FROM ed)", "nd AS (SELECT qualified_name AS node FROM fu UNION SELECT caller FROM er UNION SELECT callee FROM er)"]
 
@@ -285,7 +320,7 @@ def g02_call_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return G.assemble(G.functions_of(lines(spark, d)), G.call_edges(lines(spark, d)))
+    return G.assemble(*G.code_graph(lines(spark, d)))
 
 
 @query(_with(_GRAPH, "SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM er) AS edges, (SELECT count(*) FROM fu WHERE reason IS NOT NULL) AS entry_points, (SELECT count(*) FROM nd WHERE node NOT IN (SELECT qualified_name FROM fu)) AS external_nodes"))
@@ -303,9 +338,10 @@ _WALKS = [*_GRAPH, "wa(source, node, depth, path) AS (SELECT qualified_name, qua
 
 @query(_with(_WALKS, "SELECT w.source, w.node AS target, min(depth) AS depth, array_to_string(arg_min(path, (depth, path)), ' ') AS path FROM wa w JOIN fu a ON a.qualified_name = w.source JOIN fu b ON b.qualified_name = w.node AND a.file_path = b.file_path GROUP BY ALL"))
 def g07_paths(spark: SparkSession, d: str) -> DataFrame:
-    fns = G.functions_of(lines(spark, d)).select("qualified_name", "file_path")
+    fns, calls = G.code_graph(lines(spark, d))
+    edges = G.assemble(fns, calls)[1]
+    fns = fns.select("qualified_name", "file_path")
     pairs = fns.withColumnRenamed("qualified_name", "source").join(fns.withColumnRenamed("qualified_name", "target"), "file_path").select("source", "target")
-    edges = graph(spark, d)[1]
     return G.shortest_paths(edges, pairs).select("source", "target", "depth", F.array_join("path", " ").alias("path"))
 
 
@@ -314,8 +350,8 @@ def g07_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(_with([*_WALKS, "mq AS (SELECT l.file_path, l.line_no, (SELECT arg_max(qualified_name, (start_line, qualified_name)) FROM fu WHERE fu.file_path = l.file_path AND start_line <= l.line_no) AS function FROM source_lines l)", "rn AS (SELECT node, min(depth) AS depth FROM wa WHERE source IN (SELECT qualified_name FROM fu WHERE reason IS NOT NULL) GROUP BY 1)"], "SELECT mq.file_path, mq.line_no, function, CASE WHEN function IS NULL THEN NULL ELSE depth IS NOT NULL END AS reachable, depth FROM mq LEFT JOIN rn ON node = function"))
 def g10_code_verdicts(spark: SparkSession, d: str) -> DataFrame:
     src = lines(spark, d).select("file_path", F.col("line_no").alias("line_number"), F.lit("source_code").alias("source_surface"), F.xxhash64("file_path", "line_no").alias("seq"))
-    fns = G.functions_of(lines(spark, d)).withColumn("fn_ord", F.xxhash64("qualified_name"))
-    v = G.verdicts(src, fns, G.call_edges(lines(spark, d)))
+    fns, calls = G.code_graph(lines(spark, d))
+    v = G.verdicts(src, fns.withColumn("fn_ord", F.xxhash64("qualified_name")), calls)
     return src.join(v, "seq").select("file_path", F.col("line_number").alias("line_no"), "function", "reachable", "depth")
 
 

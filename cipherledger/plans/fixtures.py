@@ -75,6 +75,9 @@ SELECT concat('src/f', CAST(CAST(floor(p_partkey / 48) AS INT) AS VARCHAR(10)),
   WHEN 12 THEN concat('def fn', CAST(p_partkey AS VARCHAR(10)), '(a):') WHEN 13 THEN concat('    return fn', CAST(p_partkey + 11 AS VARCHAR(10)), '(g(a))') WHEN 20 THEN '    /*' WHEN 23 THEN '    */ MD5(x)'
   WHEN 24 THEN concat('async def fn', CAST(p_partkey AS VARCHAR(10)), '(a):') WHEN 25 THEN '    os.path.join(a, b)' WHEN 28 THEN '@cache' WHEN 29 THEN '@bp.get("/x")' WHEN 30 THEN concat('def g', CAST(p_partkey AS VARCHAR(10)), '(a):')
   WHEN 32 THEN concat('class K', CAST(p_partkey AS VARCHAR(10)), ':') WHEN 33 THEN '    def run(self):' WHEN 34 THEN concat('        fn', CAST(p_partkey - 33 AS VARCHAR(10)), '(1)') WHEN 36 THEN concat('    ', repeat('"', 3)) WHEN 39 THEN concat('    ', repeat('"', 3)) WHEN 40 THEN 'x = 1'
+  WHEN 5 THEN '    k = rsa.generate_private_key(' WHEN 6 THEN '        public_exponent=pick(65537, (1)),' WHEN 7 THEN '        key_size=3072)' WHEN 8 THEN concat('    s = "a', chr(92), '"b # c" + hashlib.md5(x)') WHEN 9 THEN concat('    s = ''it', chr(92), '''s'' ; hashlib.md5(''x'')')
+  WHEN 15 THEN concat('    t = hashlib.x.md5(a) + ', chr(92)) WHEN 16 THEN '    hashlib.md5(b)' WHEN 17 THEN '    h = hashlib.new(rb"sha1", f(b''q (" , ''))'
+  WHEN 41 THEN 'class A:' WHEN 42 THEN '    class B:' WHEN 43 THEN concat('        def f', CAST(p_partkey AS VARCHAR(10)), '(self,') WHEN 44 THEN '    x): # odd margin' WHEN 45 THEN '            fn1(1)' WHEN 46 THEN '    def g(self):' WHEN 47 THEN '        def h(self): pass'
   ELSE CASE p_partkey % 16 WHEN 0 THEN '    k = RSA.generate(2048)' WHEN 1 THEN '    h = hashlib.new("sha1", a)' WHEN 2 THEN '    md = MessageDigest.getInstance("MD5");' WHEN 3 THEN '    h = crypto.createHash(''sha1'')'
    WHEN 4 THEN '    k = rsa.generate_private_key(public_exponent=65537, key_size = 3072)' WHEN 5 THEN '    e = ec.generate_private_key(ec.SECP384R1())' WHEN 6 THEN '    s = "DES.new(key, (1)) # not a comment" + DES.new(key)' WHEN 7 THEN '    EC_KEY_new_by_curve_name(NID_X9_62_prime256v1);'
    WHEN 8 THEN '    EVP_PKEY_CTX_new_id(EVP_PKEY_RSA, NULL); // RSA_new()' WHEN 9 THEN '    OQS_KEM_ml_kem_768_encaps(ct, ss, pk);' WHEN 10 THEN '#define KX NID_X25519' WHEN 11 THEN '    c = DES.new(key, DES.MODE_ECB)  # hashlib.md5(x)'

@@ -49,7 +49,8 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
     others: assets of other surfaces by name, with seq and the columns that a finding has. answers: (seq, raw) of the
     enrichment's responder. more: further stages by name, put behind the others. What a stage gives is written to the
     shared folder and read again, so nothing is worked out twice and a lost executor costs one stage; stages in NARROW
-    are column expressions and run within the next one that is written.
+    are column expressions and run within the next one that is written. Where that write fails, they are tried one by
+    one, so the failing stage is named and the rows before it can be read.
     """
     bad = set(skip) - set(OPTIONAL)
     if bad:
@@ -57,8 +58,9 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
     out = Result()
 
     def reachable(a: DataFrame) -> DataFrame:
-        fns = reach.functions_of(lines).withColumn("fn_ord", F.xxhash64("qualified_name"))
-        judged = reach.verdicts(a, fns, reach.call_edges(lines)).select("seq", "function", "reachable", F.col("path").alias("reachability_path"))
+        fns, calls = reach.code_graph(lines)
+        fns = fns.withColumn("fn_ord", F.xxhash64("qualified_name"))
+        judged = reach.verdicts(a, fns, calls).select("seq", "function", "reachable", F.col("path").alias("reachability_path"))
         x = a.drop("reachable").join(judged, "seq", "left")
         entries = F.lit(not fns.filter("is_entry_point").isEmpty())
         place = F.concat_ws(":", "file_path", F.col("line_number").cast("string"))
@@ -76,23 +78,48 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
         ("migration", risk.migration),
         *(more or {}).items(),
     ]
+    written: DataFrame | None = None  # assets as last written, before the stages that wait
+    waiting: list[tuple[str, Callable[[DataFrame | None], DataFrame]]] = []
     for name, stage in stages:
         if name in skip:
             continue
         try:
             next_ = stage(out.assets)
-            if name not in NARROW:
-                next_ = reach.kept(next_, name)
+            if name in NARROW:
+                waiting.append((name, stage))
+            else:
+                written = next_ = reach.kept(next_, name)
+                waiting = []
         except Exception as problem:  # any failure ends the run with what there is
-            out.failed, out.error = name, str(problem).splitlines()[0]
+            _stop(out, written, [*waiting, (name, stage)], problem)
             return out
         out.assets = next_
         out.completed.append(name)
-    scanned = ("source_code", *(others or {}))
-    out.tables = {"completeness": reads.completeness(out.assets, scanned), "components": reads.components(out.assets), "dashboard": reads.dashboard(out.assets)}
+    try:
+        scanned = ("source_code", *(others or {}))
+        out.tables = {"completeness": reads.completeness(out.assets, scanned), "components": reads.components(out.assets), "dashboard": reads.dashboard(out.assets)}
+    except Exception as problem:
+        out.failed, out.error = "tables", str(problem).splitlines()[0]
     return out
 
 
+def _stop(out: Result, written: DataFrame | None, waiting: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], problem: Exception) -> None:
+    """Finds the stage that failed: those that waited for a write are written one by one, from the last written table on, and the rows before the failing one stay."""
+    names = {name for name, _ in waiting}
+    out.completed = [name for name in out.completed if name not in names]
+    out.assets = written
+    for name, stage in waiting:
+        try:
+            out.assets = reach.kept(stage(out.assets), name)
+        except Exception as found:
+            out.failed, out.error = name, str(found).splitlines()[0]
+            return
+        out.completed.append(name)
+    # Every stage ran this time, as where an executor was lost: the last one's failure is told, its rows stay.
+    out.failed, out.error = waiting[-1][0], str(problem).splitlines()[0]
+    out.completed.remove(waiting[-1][0])
+
+
 def rerun_after_enrichment(stored: DataFrame, answers: DataFrame, greenfield: bool = False) -> DataFrame:
     """Stored assets with their answers applied, and all later stages anew; the stored reachability stays."""
     fresh = [c for c in ("seq", "algorithm", "purpose", "source_surface", "file_path", "line_number", "confidence", "rule_id", "snippet", "finding_type", "owner", "reachable", "reachability_path", "scan_id", "key_size_bits") if c in stored.columns]

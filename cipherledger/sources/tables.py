@@ -34,13 +34,26 @@ def listing_counts(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -
 
 
 def read_lines(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -> DataFrame:
-    """(file_path, line_no, line) of the source files below root, lines from 1; a file is read once and cut where it lies."""
+    """(file_path, line_no, line) of the source files below root, lines from 1; a file is read once and cut where it lies.
+
+    Bytes that aren't UTF-8 read as U+FFFD, so one such file doesn't stop the rest; read_problems() names it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter((F.col("length") <= max_bytes) & language_of(F.col("path")).isNotNull())
     files = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED])))
-    text = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\n$", ""), r"\r?\n", -1)
+    text = F.split(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\n$", ""), r"\r?\n", -1)
     return files.select(F.col("path").alias("file_path"), F.posexplode(text).alias("_i", "line")).select("file_path", (F.col("_i") + 1).alias("line_no"), "line")
 
 
+def read_problems(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -> DataFrame:
+    """(file_path, reason) of source files below root that aren't read, or not as they are: larger than the limit, not UTF-8, empty. Only files within the limit are opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(language_of(F.col("path")).isNotNull())
+    files = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED])))
+    large = files.filter(F.col("length") > max_bytes).select("path", F.lit("too large").alias("reason"))
+    read = files.filter(F.col("length") <= max_bytes)
+    bad = read.select("path", F.when(F.col("length") == 0, "empty").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").alias("reason")).filter("reason IS NOT NULL")
+    return large.unionByName(bad).withColumnRenamed("path", "file_path")
+
+
 def list_certificates(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, content) of certificate files below root by extension, without excluded folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

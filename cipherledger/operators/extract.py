@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from re import _parser as sre
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,29 +44,73 @@ def ascii_runs(blobs: DataFrame, content: str = "content", most: int = 20_000) -
     return blobs.select("file_path", F.posexplode(runs).alias("pos", "s"))
 
 
-def match_strings(strings: DataFrame, rules: tuple = R.FINGERPRINTS) -> DataFrame:
-    """First matching string per file and rule; patterns ignore case. The rule table has a fixed size, so it is broadcast."""
-    table = F.broadcast(R.fingerprint_table(strings.sparkSession, rules))
-    hit = strings.join(table, F.expr("s rlike concat('(?i)', pattern)"))
+#: Patterns up to which each is compiled into the expression; more are found by a literal that they need.
+MAX_COMPILED = 64
+#: Letters of such a literal that are joined by.
+GRAM = 3
+
+
+def needed_literal(pattern: str) -> str:
+    """The longest text, in lower case, that every match of a regular expression holds, as far as it is written out; '' without one."""
+    try:
+        parsed = sre.parse(pattern)
+    except re.error:  # written for Java alone
+        return ""
+    runs = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            runs[-1] += chr(arg).lower()
+        else:
+            runs.append("")
+    return max(runs, key=len)
+
+
+def with_rules(rows: DataFrame, text: str, rules: tuple | DataFrame) -> DataFrame:
+    """rows joined with (rule_id, pattern, algorithm, purpose, confidence) of the rules whose pattern the text holds, case ignored.
+
+    rules: rows (rule_id, pattern, algorithm, purpose, confidence) or a table of load_patterns(), which is edited by hand
+    and comes to the driver. A few are compiled into one expression. Of many, those with a literal of GRAM letters meet
+    the texts by its first letters, an equi-join, and only those pairs are tested; the rest are compiled.
+    """
+    spark, names = rows.sparkSession, ("rule_id", "pattern", "algorithm", "purpose", "confidence")
+    table = [tuple(r[c] for c in names) for r in rules.orderBy("ord").collect()] if isinstance(rules, DataFrame) else [tuple(r) for r in rules]
+    grams = [needed_literal(r[1])[:GRAM] if len(table) > MAX_COMPILED else "" for r in table]
+    plain = [r for r, g in zip(table, grams, strict=True) if len(g) < GRAM]
+    hits = [F.when(F.col(text).rlike(f"(?i){r[1]}"), F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=True)])) for r in plain]
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    kind = "array<struct<rule_id:string,pattern:string,algorithm:string,purpose:string,confidence:double>>"
+    out = rows.select(*columns, F.inline(F.array_compact(F.array(*hits)).cast(kind))) if hits else None
+    if len(plain) == len(table) and out is not None:
+        return out
+    known = spark.createDataFrame([(*r, g) for r, g in zip(table, grams, strict=True) if len(g) == GRAM], "rule_id string, pattern string, algorithm string, purpose string, confidence double, _gram string")
+    low = F.lower(text)
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda i: F.substring(low, i, F.lit(GRAM))))
+    many = rows.filter(F.length(low) >= GRAM).select(*columns, F.explode(cut).alias("_gram")).join(known, "_gram").filter(F.expr(f"`{text}` rlike concat('(?i)', pattern)")).drop("_gram")
+    return many if out is None else out.unionByName(many)
+
+
+def match_strings(strings: DataFrame, rules: tuple | DataFrame = R.FINGERPRINTS) -> DataFrame:
+    """First matching string per file and rule; patterns ignore case."""
+    hit = with_rules(strings, "s", rules)
     return hit.groupBy("file_path", "rule_id").agg(F.min_by("s", "pos").alias("observed"), F.first("algorithm").alias("algorithm"), F.first("purpose").alias("purpose"), F.first("confidence").alias("confidence"))
 
 
-def match_manifests(lines: DataFrame, most: int = 50) -> DataFrame:
+def match_manifests(lines: DataFrame, most: int = 50, rules: tuple | DataFrame = R.CONTAINER) -> DataFrame:
     """First matching line per image, manifest and rule, over known manifest names; the first 50 manifests of an image, the operator's own limit."""
     from pyspark.sql import Window
 
     x = lines.filter(F.lower("manifest").isin(*R.MANIFESTS))
     keep = x.select("image_ref", "manifest").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("image_ref").orderBy("manifest"))).filter(F.col("_r") <= most).drop("_r")
-    table = F.broadcast(R.fingerprint_table(lines.sparkSession, R.CONTAINER))
-    hit = x.join(keep, ["image_ref", "manifest"]).join(table, F.expr("line rlike concat('(?i)', pattern)"))
+    hit = with_rules(x.join(keep, ["image_ref", "manifest"]), "line", rules)
     first = hit.groupBy("image_ref", "manifest", "rule_id").agg(F.min(F.struct("line_no", "line")).alias("m"), F.first("algorithm").alias("algorithm"))
     return first.select(F.concat("image_ref", F.lit(" :: "), "manifest").alias("location"), "rule_id", F.col("m.line_no").alias("line_no"), "algorithm")
 
 
-def match_ciphers(handshakes: DataFrame) -> DataFrame:
+def match_ciphers(handshakes: DataFrame, rules: tuple | DataFrame = R.INFRA) -> DataFrame:
     """Algorithm of a handshake's suite by the first rule in order; others give no asset. Compiled to one expression."""
     rule, alg, purpose = (F.lit(None).cast("string"),) * 3
-    for r, pattern, a, p, _ in reversed(R.INFRA):
+    rows = [tuple(r[c] for c in ("rule_id", "pattern", "algorithm", "purpose", "confidence")) for r in rules.orderBy("ord").collect()] if isinstance(rules, DataFrame) else rules
+    for r, pattern, a, p, _ in reversed(rows):
         hit = F.col("cipher_suite").rlike(f"(?i){pattern}")
         rule, alg, purpose = F.when(hit, r).otherwise(rule), F.when(hit, a).otherwise(alg), F.when(hit, p).otherwise(purpose)
     return handshakes.select("event_id", "endpoint", rule.alias("rule_id"), alg.alias("algorithm"), purpose.alias("purpose")).filter("rule_id IS NOT NULL")

@@ -31,19 +31,43 @@ def mapping_ord() -> Column:
     return _lookup([(m[0], m[1], i) for i, m in enumerate(R.MAPPINGS)], 1000, F.lit(None).cast("int"))
 
 
-def with_mapping(assets: DataFrame) -> DataFrame:
+def best_rows(assets: DataFrame, table: DataFrame, pattern: str, purpose: str, any_purpose: str, bonus: int) -> DataFrame:
+    """(_algorithm, _purpose, _best): the `ord` of the best row of a user's table for each pair of the assets.
+
+    A row fits where its pattern, in upper case, begins the algorithm (* always) and its purpose is the asset's or
+    any_purpose; the score is the pattern's length, and the bonus for a purpose of its own; ties go to the first row. All
+    beginnings of the distinct algorithms are joined by equality, so neither side is broadcast by force nor looped over.
+    """
+    kinds = assets.select(F.col("algorithm").alias("_algorithm"), F.col("purpose").alias("_purpose")).distinct()
+    up = F.upper("_algorithm")
+    begun = kinds.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), F.coalesce(F.length(up), F.lit(0))), lambda n: F.substring(up, F.lit(1), n))))
+    rows = table.select(F.when(F.col(pattern) == "*", "").otherwise(F.upper(pattern)).alias("_p"), F.lower(purpose).alias("_q"), F.col("ord").alias("_o"))
+    own = F.coalesce(F.col("_q") != any_purpose, F.lit(False))
+    hit = begun.join(rows, "_p").filter(~own | (F.col("_q") == F.lower("_purpose")))
+    return hit.groupBy("_algorithm", "_purpose").agg(F.max_by("_o", F.struct(F.length("_p") + F.when(own, bonus).otherwise(0), -F.col("_o"))).alias("_best"))
+
+
+def _joined_best(assets: DataFrame, best: DataFrame, name: str) -> DataFrame:
+    same = F.col("algorithm").eqNullSafe(F.col("_algorithm")) & F.col("purpose").eqNullSafe(F.col("_purpose"))
+    return assets.join(best, same, "left").drop("_algorithm", "_purpose").withColumnRenamed("_best", name)
+
+
+def with_mapping(assets: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """Adds the best mapping's columns, of the built-in table (compiled, 26 rows) or of load_mappings()."""
+    if mappings is not None:
+        return _joined_best(assets, best_rows(assets, mappings, "pattern", "map_purpose", "any", 1000), "mapping_ord").join(mappings.withColumnRenamed("ord", "mapping_ord"), "mapping_ord", "left")
     table = F.broadcast(R.mapping_table(assets.sparkSession).withColumnRenamed("ord", "mapping_ord"))  # 26 rows
     return assets.withColumn("mapping_ord", mapping_ord()).join(table, "mapping_ord", "left")
 
 
-def x_years() -> Column:
+def x_years(shelf_life: tuple = R.SHELF_LIFE) -> Column:
     best: dict[str, int] = {}
-    for c, _, x in R.SHELF_LIFE:
+    for c, _, x in shelf_life:
         best[c] = max(best.get(c, 0), x)
     out = F.lit(10)
     for c, x in best.items():
         out = F.when(F.col("classification") == c, F.lit(x)).otherwise(out)
-    for c, s, x in R.SHELF_LIFE:
+    for c, s, x in shelf_life:
         out = F.when((F.col("classification") == c) & (F.col("sensitivity") == s), F.lit(x)).otherwise(out)
     return out
 
@@ -52,12 +76,12 @@ def y_years() -> Column:
     return _lookup(list(R.MIGRATION_YEARS), 100, F.lit(R.Y_DEFAULT))
 
 
-def hndl(x: Column) -> Column:
+def hndl(x: Column, years: int = R.HNDL_YEARS, signature_years: int = R.HNDL_SIGNATURE_YEARS) -> Column:
     return (
         F.when(F.col("purpose").isin("hashing", "mac", "random_generation", "key_derivation"), F.lit(False))
         .when(~F.coalesce("vulnerable", F.lit(True)), F.lit(False))
-        .when(F.col("purpose").isin("key_establishment", "encryption"), x >= R.HNDL_YEARS)
-        .when(F.col("purpose") == "digital_signature", x >= R.HNDL_SIGNATURE_YEARS)
+        .when(F.col("purpose").isin("key_establishment", "encryption"), x >= years)
+        .when(F.col("purpose") == "digital_signature", x >= signature_years)
         .otherwise(F.lit(False))
     )
 
@@ -77,19 +101,29 @@ def classification_weight() -> Column:
     return F.when(F.col("classification") == "infrastructure", infra).when(level == "critical", 1.0).when(level == "high", 0.9).when(level == "medium", 0.7).otherwise(0.5)
 
 
-def score(assets: DataFrame, z: int = R.Z_DEFAULT) -> DataFrame:
-    """Adds x, y, z, urgency, hndl, priority and weights to classified assets. Columns override_x, override_y and override_z win where set."""
+def score(assets: DataFrame, z: int = R.Z_DEFAULT, *, mappings: DataFrame | None = None, years: DataFrame | None = None, shelf_life: tuple = R.SHELF_LIFE, harvest: tuple[int, int] = (R.HNDL_YEARS, R.HNDL_SIGNATURE_YEARS)) -> DataFrame:
+    """Adds x, y, z, urgency, hndl, priority and weights to classified assets. Columns override_x, override_y and override_z win where set.
+
+    mappings, years, shelf_life, harvest: tables of load_mappings(), load_years(), load_profile() in place of the built-in ones.
+    """
     pick = lambda name, value: F.coalesce(F.col(name), value) if name in assets.columns else value
-    out = with_mapping(assets).withColumns({"x_years": pick("override_x", x_years()), "y_years": pick("override_y", y_years()), "z_years": pick("override_z", F.lit(z))})
-    out = out.withColumns({"urgency_flag": F.col("x_years") + F.col("y_years") > F.col("z_years"), "hndl_flag": hndl(F.col("x_years"))})
+    out = with_mapping(assets, mappings)
+    if years is None:
+        y = y_years()
+    else:
+        own = years.select(F.col("ord").alias("_y_ord"), F.col("years").alias("_y"))
+        out = _joined_best(out, best_rows(assets, years, "pattern", "migration_type", "*", 100), "_y_ord").join(own, "_y_ord", "left")
+        y = F.coalesce("_y", F.lit(R.Y_DEFAULT))
+    out = out.withColumns({"x_years": pick("override_x", x_years(shelf_life)), "y_years": pick("override_y", y), "z_years": pick("override_z", F.lit(z))}).drop("_y_ord", "_y")
+    out = out.withColumns({"urgency_flag": F.col("x_years") + F.col("y_years") > F.col("z_years"), "hndl_flag": hndl(F.col("x_years"), *harvest)})
     weight = reachability_weight() if "reachable" in assets.columns else F.lit(0.8)
     return out.withColumns({"priority": priority(F.col("urgency_flag"), F.col("hndl_flag")), "reachability_weight": weight, "classification_weight": classification_weight()})
 
 
-def scenarios(assets: DataFrame) -> DataFrame:
-    """Scores under the three threat timelines."""
-    z = assets.sparkSession.createDataFrame(list(R.Z_SCENARIOS), "scenario string, override_z int")
-    return score(assets.crossJoin(F.broadcast(z)))  # three rows
+def scenarios(assets: DataFrame, timelines: tuple = R.Z_SCENARIOS) -> DataFrame:
+    """Scores under the threat timelines, which are few."""
+    z = assets.sparkSession.createDataFrame(list(timelines), "scenario string, override_z int")
+    return score(assets.crossJoin(F.broadcast(z)))  # a row for each timeline
 
 
 def recommend(assets: DataFrame, greenfield: bool = False) -> DataFrame:
@@ -123,17 +157,24 @@ def impact_ord() -> Column:
     return _lookup([(p, q, i) for i, (p, q, _) in enumerate(R.IMPACTS)], 100, F.lit(len(R.IMPACTS) - 1))
 
 
-def migration(recommended: DataFrame) -> DataFrame:
+def migration(recommended: DataFrame, *, impacts: DataFrame | None = None, weights: tuple[float, ...] = R.WEIGHTS, step_lists: tuple = R.STEPS) -> DataFrame:
     """Adds factor scores, composite score, level, migration priority, affected components, validation steps and the narrative.
 
-    Columns protocol, library and rec_libraries are used where the table has them.
+    Columns protocol, library and rec_libraries are used where the table has them. impacts, weights, step_lists: tables of
+    load_impacts(), load_weights() and load_steps() in place of the built-in ones; an asset that no impact fits takes
+    the built-in scores of any algorithm.
     """
     spark = recommended.sparkSession
     table = F.broadcast(spark.createDataFrame([(i, list(s)) for i, (_, _, s) in enumerate(R.IMPACTS)], "impact_ord int, factor_scores array<double>"))  # 13 rows
     listed = lambda xs: F.array(*[F.lit(x) for x in xs])
-    steps = F.create_map(*[v for kind, names in R.STEPS for v in (F.lit(kind), listed(names))])
-    out = recommended.withColumn("impact_ord", impact_ord()).join(table, "impact_ord")
-    weighted = F.aggregate(F.zip_with("factor_scores", F.array(*[F.lit(w) for w in R.WEIGHTS]), lambda a, w: a * w), F.lit(0.0), lambda a, x: a + x)
+    steps = F.create_map(*[v for kind, names in step_lists for v in (F.lit(kind), listed(names))])
+    if impacts is None:
+        out = recommended.withColumn("impact_ord", impact_ord()).join(table, "impact_ord")
+    else:
+        own = impacts.select(F.col("ord").alias("impact_ord"), F.array(*[F.element_at("scores", F.lit(f)) for f in R.FACTORS]).alias("_scores"))
+        out = _joined_best(recommended, best_rows(recommended, impacts, "prefix", "purpose", "*", 100), "impact_ord").join(own, "impact_ord", "left")
+        out = out.withColumn("factor_scores", F.coalesce("_scores", F.array(*[F.lit(v) for v in R.IMPACTS[-1][2]]))).drop("_scores")
+    weighted = F.aggregate(F.zip_with("factor_scores", F.array(*[F.lit(w) for w in weights]), lambda a, w: a * w), F.lit(0.0), lambda a, x: a + x)
     composite = F.round(F.least(F.lit(1.0), F.round(weighted, 10)), 4)
     none = F.array().cast("array<string>")
     has = lambda c: F.col(c) if c in recommended.columns else F.lit(None)
@@ -148,7 +189,7 @@ def migration(recommended: DataFrame) -> DataFrame:
             "impact_level": F.when(F.col("composite") < 0.25, "low").when(F.col("composite") < 0.5, "moderate").when(F.col("composite") < 0.75, "high").otherwise("critical"),
             "migration_priority": F.when(F.col("priority") == "P1", "immediate").when(F.col("priority") == "P2", "near-term").when(F.col("priority") == "P4", "monitor").otherwise("planned"),
             "components": F.when(F.size(parts) > 0, parts).otherwise(F.array(F.concat("source_surface", F.lit(" layer")))),
-            "steps": F.coalesce(F.try_element_at(steps, F.col("rec_path_type")), listed(R.STEPS[0][1])),
+            "steps": F.coalesce(F.try_element_at(steps, F.col("rec_path_type")), listed(step_lists[0][1])),
             "current_state": F.concat(F.col("algorithm"), F.lit(" used for "), F.replace("purpose", F.lit("_"), F.lit(" ")), F.lit(" at "), F.concat_ws(":", "file_path", F.col("line_number").cast("string")), via),
             "risk_context": F.coalesce(
                 F.nullif(

@@ -95,6 +95,15 @@ SELECT concat('use ', CASE WHEN event_id % 2 = 0 THEN 'RSA' ELSE 'DSA' END, ' n'
     "scans": """
 SELECT concat('scan', CAST(o_orderkey AS VARCHAR(10))) AS scan_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'complete' ELSE 'partial' END AS status,
  CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE concat('u', CAST(o_custkey % 20 AS VARCHAR(10))) END AS user_id, o_orderdate AS created_at, o_orderkey AS ord FROM orders
+""",
+    "user_mappings": """
+SELECT * FROM (VALUES (0,'RSA','key_establishment',true,false,false,'Frodo','standardized','hybrid','hybrid:x'),(1,'rsa-2','any',true,true,false,'Mine','classical','pure_pqc','pure-pqc:y'),(2,'RSA-2048','any',false,false,true,'Later','standardized','hybrid','hybrid:z'),(3,'SHA','hashing',false,false,false,'none','standardized','no_action','none'),(4,'*','any',true,false,false,'Any','standardized','hybrid','hybrid:any'),(5,'AES-','encryption',false,false,false,'AES-256','standardized','no_action','none'),(6,'AES-','encryption',true,false,false,'second','standardized','hybrid','x')) AS t(ord, pattern, map_purpose, vulnerable, broken, weakened, replacement, status, path_type, path)
+""",
+    "user_years": """
+SELECT * FROM (VALUES (0,'*','*',4),(1,'RSA','*',9),(2,'*','encryption',1),(3,'rsa-20','key_establishment',6),(4,'ECD','digital_signature',8)) AS t(ord, pattern, migration_type, years)
+""",
+    "user_impacts": """
+SELECT * FROM (VALUES (0,'RSA','*',0.5),(1,'*','hashing',0.25),(2,'RSA-4','digital_signature',1.0),(3,'AES','*',0.0)) AS t(ord, prefix, purpose, score)
 """,
     "owner_rules": """
 SELECT * FROM (VALUES (1,'platform',50,CAST(NULL AS VARCHAR(20)),CAST(NULL AS VARCHAR(20)),CAST(NULL AS VARCHAR(20)),'TLS_'),(2,'payments',40,'source_code',NULL,NULL,'pay/'),(3,'crypto-team',40,NULL,'hashing','sha',NULL),(4,'pki',10,'certificate',NULL,NULL,NULL)) AS t(id, owner, priority, surface, purpose, algorithm_prefix, path_contains)

@@ -250,3 +250,67 @@ def m16_partial_run(spark: SparkSession, d: str) -> DataFrame:
     if out.status != "partial" or out.failed != "export" or out.assets is None:
         raise RuntimeError(f"expected a partial run, got {out.status}")
     return _n("algorithm", "purpose")(out.assets)
+
+
+# Rule tables of a user
+
+#: (surfaces, purposes, prefixes, paths, classification, result, description, key size below, key size at least), as load_classification() gives them.
+_USER_CLASSES = ((None, None, ("RSA", "ECD"), ("pay", "auth"), None, "infrastructure", "money", None, None), (("binary",), ("hashing",), None, None, None, "secret", "no such class", None, None), (None, None, None, None, None, "application", "all", None, None))
+_USER_SHELF = (("infrastructure", "internal", 4), ("application", "internal", 6), ("application", "high", 9))
+_USER_WEIGHTS = (0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.2)
+_BEST = lambda name, table, pattern, purpose, wild, bonus: f"{name} AS (SELECT algorithm, purpose, ord FROM (SELECT a.algorithm, a.purpose, ord, row_number() OVER (PARTITION BY a.algorithm, a.purpose ORDER BY CASE WHEN {pattern} = '*' THEN 0 ELSE length({pattern}) END + CASE WHEN m.{purpose} = '{wild}' THEN 0 ELSE {bonus} END DESC, ord) AS r FROM ap a JOIN {table} m ON (m.{purpose} = '{wild}' OR m.{purpose} = a.purpose) AND ({pattern} = '*' OR starts_with(upper(a.algorithm), upper({pattern})))) WHERE r = 1)"
+_USER = [
+    *ctes("findings", "user_mappings", "user_years", "user_impacts"),
+    _CLASSED[0],
+    "cl AS (SELECT *, CASE WHEN (starts_with(upper(algorithm), 'RSA') OR starts_with(upper(algorithm), 'ECD')) AND (contains(file_path, 'pay') OR contains(file_path, 'auth')) THEN 'infrastructure' ELSE 'application' END AS classification, CASE WHEN (starts_with(upper(algorithm), 'RSA') OR starts_with(upper(algorithm), 'ECD')) AND (contains(file_path, 'pay') OR contains(file_path, 'auth')) THEN 'money' WHEN source_surface = 'binary' AND purpose = 'hashing' THEN 'invalid rule result' ELSE 'all' END AS classification_rule, 'internal' AS sensitivity FROM dd)",
+    "ap AS (SELECT DISTINCT algorithm, purpose FROM cl)",
+    _BEST("bm", "user_mappings", "pattern", "map_purpose", "any", 1000),
+    _BEST("yy", "user_years", "pattern", "migration_type", "*", 100),
+    _BEST("im", "user_impacts", "prefix", "purpose", "*", 100),
+    "u0 AS (SELECT c.*, m.ord AS mapping_ord, coalesce(m.vulnerable, true) AS v, coalesce(m.broken, false) AS b, coalesce(m.weakened, false) AS w, CASE WHEN c.classification = 'infrastructure' THEN 4 ELSE 6 END AS x, coalesce(y.years, 2) AS y, i.score FROM cl c LEFT JOIN bm USING (algorithm, purpose) LEFT JOIN user_mappings m ON m.ord = bm.ord LEFT JOIN yy ON yy.algorithm = c.algorithm AND yy.purpose = c.purpose LEFT JOIN user_years y ON y.ord = yy.ord LEFT JOIN im ON im.algorithm = c.algorithm AND im.purpose = c.purpose LEFT JOIN user_impacts i ON i.ord = im.ord)",
+    "u1 AS (SELECT *, x + y > 12 AS urgent, CASE WHEN purpose IN ('hashing', 'mac', 'random_generation', 'key_derivation') OR NOT v THEN false WHEN purpose IN ('key_establishment', 'encryption') THEN x >= 5 WHEN purpose = 'digital_signature' THEN x >= 6 ELSE false END AS harvest FROM u0)",
+    "us AS (SELECT *, CASE WHEN b THEN 'P1' WHEN NOT v AND NOT w THEN 'P4' WHEN NOT v THEN 'P3' WHEN urgent AND harvest THEN 'P1' WHEN urgent OR harvest THEN 'P2' ELSE 'P3' END AS priority FROM u1)",
+]
+
+
+def _user_classes(spark: SparkSession, d: str) -> DataFrame:
+    deduplicated = I.deduplicate(load(spark, d, "findings"))
+    return C.classify(deduplicated, {"classification": _USER_CLASSES, "sensitivity": ((None, None, None, None, None, "internal", "all"),)})
+
+
+def _user_scored(spark: SparkSession, d: str) -> DataFrame:
+    return K.score(_user_classes(spark, d), 12, mappings=load(spark, d, "user_mappings").withColumn("alternative", F.lit(None).cast("string")).withColumn("protocols", F.lit(None).cast("array<string>")), years=load(spark, d, "user_years"), shelf_life=_USER_SHELF, harvest=(5, 6))
+
+
+@query(_with(_USER, "SELECT seq, classification, classification_rule FROM us"))
+def a06_user_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _user_classes(spark, d).select("seq", "classification", "classification_rule")
+
+
+@query(_with(_USER, "SELECT seq, CAST(mapping_ord AS INT) AS mapping_ord, CAST(x AS INT) AS x_years, CAST(y AS INT) AS y_years, priority FROM us"))
+def a07_user_mappings(spark: SparkSession, d: str) -> DataFrame:
+    return _user_scored(spark, d).select("seq", F.col("mapping_ord").cast("int").alias("mapping_ord"), "x_years", F.col("y_years").cast("int").alias("y_years"), "priority")
+
+
+@query(_with(_USER, "SELECT seq, round(least(1.0, CASE WHEN score IS NULL THEN 0.4 * 0.2 + 0.3 * 0.1 + 0.3 * 0.1 + 0.5 * 0.1 + 0.5 * 0.1 + 0.3 * 0.1 + 0.4 * 0.1 + 0.4 * 0.2 ELSE CAST(score AS DOUBLE) END), 4) AS composite FROM us"))
+def a09_user_impacts(spark: SparkSession, d: str) -> DataFrame:
+    impacts = load(spark, d, "user_impacts").select("ord", "prefix", "purpose", F.map_from_arrays(F.array(*[F.lit(f) for f in R.FACTORS]), F.array_repeat(F.col("score").cast("double"), len(R.FACTORS))).alias("scores"))
+    return K.migration(K.recommend(_user_scored(spark, d)), impacts=impacts, weights=_USER_WEIGHTS).select("seq", "composite")
+
+
+#: Over MAX_COMPILED patterns, so those with a literal are found by its first letters.
+_MANY = (*R.FINGERPRINTS, *((f"U-{i}", f"EVP_(sha|aes)_?{i}", "user", "hashing", 0.5) for i in range(300)), ("U-any", "R.A|5_I", "any", "hashing", 0.5))
+_MANY_SQL = "fp(rule_id, pattern, algorithm) AS (VALUES " + ", ".join(f"({_s(r)}, {_s(p)}, {_s(a)})" for r, p, a, _, _ in _MANY) + ")"
+
+
+@query(_with([*ctes("blobs"), _MANY_SQL], "SELECT file_path, rule_id, arg_min(s, pos) AS observed, any_value(algorithm) AS algorithm FROM blobs JOIN fp ON regexp_matches(s, pattern, 'i') GROUP BY ALL"))
+def a03_many_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return X.match_strings(load(spark, d, "blobs"), _MANY).select("file_path", "rule_id", "observed", "algorithm")
+
+
+_NEW_SUITES = (("N-1", "gcm.*384$", "AES-256", "encryption", 0.9), ("N-2", "^tls_", "TLS", "key_establishment", 0.9), ("N-3", "rc4", "RC4", "encryption", 0.8))
+
+
+@query(_with(ctes("handshakes"), "SELECT event_id, CASE WHEN regexp_matches(cipher_suite, 'gcm.*384$', 'i') THEN 'N-1' WHEN regexp_matches(cipher_suite, '^tls_', 'i') THEN 'N-2' ELSE 'N-3' END AS rule_id FROM handshakes WHERE regexp_matches(cipher_suite, 'gcm.*384$|^tls_|rc4', 'i')"))
+def a05_user_suites(spark: SparkSession, d: str) -> DataFrame:
+    return X.match_ciphers(load(spark, d, "handshakes"), R.fingerprint_table(spark, _NEW_SUITES)).select("event_id", "rule_id")

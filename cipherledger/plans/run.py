@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import classify, detect, enrich, inventory, reach, reads, risk
-from ..sources.rule_files import load_detection_rules
+from ..sources.rule_files import RuleTables, load_detection_rules
 
 #: Stages that a caller may leave out.
 OPTIONAL = ("enrichment", "ownership", "reachability")
@@ -43,11 +43,11 @@ def discover(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return numbered(detect.to_assets(detect.detect(lines, load_detection_rules(lines.sparkSession) if rules is None else rules)))
 
 
-def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules: DataFrame | None = None, owner_rules: DataFrame | None = None, answers: DataFrame | None = None, skip: tuple[str, ...] = (), greenfield: bool = False, more: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> Result:
+def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules: DataFrame | None = None, tables: RuleTables | None = None, owner_rules: DataFrame | None = None, answers: DataFrame | None = None, skip: tuple[str, ...] = (), greenfield: bool = False, more: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> Result:
     """Runs the stages in order; a stage that fails leaves the rows of the stage before it, and its name.
 
     others: assets of other surfaces by name, with seq and the columns that a finding has. answers: (seq, raw) of the
-    enrichment's responder. more: further stages by name, put behind the others. What a stage gives is written to the
+    enrichment's responder. tables: a user's rule tables, of which `rules` is the detection part. more: further stages by name, put behind the others. What a stage gives is written to the
     shared folder and read again, so nothing is worked out twice and a lost executor costs one stage; stages in NARROW
     are column expressions and run within the next one that is written. Where that write fails, they are tried one by
     one, so the failing stage is named and the rows before it can be read.
@@ -55,7 +55,8 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
     bad = set(skip) - set(OPTIONAL)
     if bad:
         raise ValueError(f"these stages can't be left out: {sorted(bad)}")
-    out = Result()
+    out, t = Result(), tables or RuleTables()
+    rules = t.detection if rules is None else rules
 
     def reachable(a: DataFrame) -> DataFrame:
         fns, calls = reach.code_graph(lines)
@@ -70,12 +71,12 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
         ("discovery", lambda _: discover(lines, rules)),
         ("inventory", lambda a: inventory.deduplicate(inventory.union_surfaces({"source_code": a, **(others or {})}))),
         ("enrichment", lambda a: a if answers is None else enrich.apply(a, answers)),
-        ("classification", classify.classify),
+        ("classification", lambda a: classify.classify(a, t.classes)),
         ("ownership", lambda a: a if owner_rules is None else classify.assign_owners(a, owner_rules)),
         ("reachability", reachable),
-        ("risk", risk.score),
+        ("risk", lambda a: risk.score(a, t.profile.z, mappings=t.mappings, years=t.years, shelf_life=t.profile.shelf_life, harvest=t.profile.harvest)),
         ("recommendation", lambda a: risk.recommend(a, greenfield)),
-        ("migration", risk.migration),
+        ("migration", lambda a: risk.migration(a, impacts=t.impacts, weights=t.weights, step_lists=t.steps)),
         *(more or {}).items(),
     ]
     written: DataFrame | None = None  # assets as last written, before the stages that wait

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,82 @@ def load_impacts(spark: SparkSession, path: str | None = None) -> DataFrame:
     x = _read(spark, path, "prefix string, purpose string, scores map<string,double>").select("ord", "prefix", "purpose", "scores")
     whole = F.forall(F.array(*[F.lit(f) for f in R.FACTORS]), lambda f: F.coalesce(F.try_element_at("scores", f).between(0, 1), F.lit(False)))
     return _sound(x, x.filter(~whole).select(F.coalesce("prefix", F.lit("impact")).alias("rule_id"), F.lit("factor missing or out of range").alias("problem")))
+
+
+def _unique(x: DataFrame, key: str) -> DataFrame:
+    return x.groupBy(key).count().filter("count > 1").select(F.col(key).alias("rule_id"), F.lit("stated twice").alias("problem"))
+
+
+def load_weights(spark: SparkSession, path: str | None = None) -> tuple[float, ...]:
+    """Weights in the order of the factors, from rows (factor, weight); all factors must be there once, in [0, 1]."""
+    if path is None:
+        return R.WEIGHTS
+    x = _read(spark, path, "factor string, weight double")
+    bad = x.filter(~F.coalesce(F.col("factor").isin(*R.FACTORS) & F.col("weight").between(0, 1), F.lit(False))).select(F.coalesce("factor", F.lit("weight")).alias("rule_id"), F.lit("unknown factor or weight out of range").alias("problem"))
+    given = {r.factor: r.weight for r in _sound(x, bad.union(_unique(x, "factor"))).collect()}
+    if missing := [f for f in R.FACTORS if f not in given]:
+        raise ValueError(f"no weight for {', '.join(missing)}")
+    return tuple(given[f] for f in R.FACTORS)
+
+
+def load_steps(spark: SparkSession, path: str | None = None) -> tuple:
+    """Validation steps by kind of path, from rows (path_type, steps); the first row serves kinds that have none."""
+    if path is None:
+        return R.STEPS
+    x = _read(spark, path, "path_type string, steps array<string>")
+    bad = x.filter("path_type IS NULL OR coalesce(size(steps), 0) < 1").select(F.coalesce("path_type", F.lit("steps")).alias("rule_id"), F.lit("missing field").alias("problem"))
+    rows = _sound(x, bad.union(_unique(x, "path_type"))).orderBy("ord").collect()
+    if not rows:
+        raise ValueError("no validation steps")
+    return tuple((r.path_type, tuple(r.steps)) for r in rows)
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Years that data stay worth reading by (classification, sensitivity), years until the threat, and the years from which harvesting counts."""
+
+    shelf_life: tuple = R.SHELF_LIFE
+    z: int = R.Z_DEFAULT
+    scenarios: tuple = R.Z_SCENARIOS
+    harvest: tuple[int, int] = (R.HNDL_YEARS, R.HNDL_SIGNATURE_YEARS)
+
+
+def load_profile(spark: SparkSession, path: str | None = None) -> Profile:
+    """One profile: {shelf_life: [{classification, sensitivity, years}], threat: {default, name: years}, harvest: {years, signature_years}}; parts left out stay as built in."""
+    if path is None:
+        return Profile()
+    schema = "shelf_life array<struct<classification:string,sensitivity:string,years:int>>, threat map<string,int>, harvest struct<years:int,signature_years:int>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a profile is one object")
+    row, base = rows[0], Profile()
+    shelf = tuple((s.classification, s.sensitivity, s.years) for s in row.shelf_life) if row.shelf_life else base.shelf_life
+    threat = dict(row.threat or {})
+    numbers = [x for _, _, x in shelf] + list(threat.values()) + list(row.harvest or ())
+    if any(x is None or x < 0 for x in numbers) or any(c is None or s is None for c, s, _ in shelf):
+        raise ValueError("a profile's years must be given and not negative")
+    z = threat.pop("default", base.z)
+    return Profile(shelf, z, tuple(threat.items()) or base.scenarios, tuple(row.harvest) if row.harvest else base.harvest)
+
+
+@dataclass(frozen=True)
+class RuleTables:
+    """Tables that a user gives a run; what is None or absent stays as built in."""
+
+    detection: DataFrame | None = None
+    classes: dict[str, tuple] = field(default_factory=dict)
+    mappings: DataFrame | None = None
+    years: DataFrame | None = None
+    profile: Profile = Profile()
+    impacts: DataFrame | None = None
+    weights: tuple[float, ...] = R.WEIGHTS
+    steps: tuple = R.STEPS
+
+
+def load_rule_tables(spark: SparkSession, **paths: str) -> RuleTables:
+    """Rule files by what they hold: detection, classification, sensitivity, criticality, mappings, years, profile, impacts, weights, steps."""
+    passes = ("classification", "sensitivity", "criticality")
+    loaders = {"detection": load_detection_rules, "mappings": load_mappings, "years": load_years, "profile": load_profile, "impacts": load_impacts, "weights": load_weights, "steps": load_steps}
+    if unknown := set(paths) - {*passes, *loaders}:
+        raise ValueError(f"unknown rule tables: {sorted(unknown)}")
+    return RuleTables(classes={k: load_classification(spark, p) for k, p in paths.items() if k in passes}, **{k: loaders[k](spark, p) for k, p in paths.items() if k in loaders})

@@ -45,12 +45,12 @@ def read_lines(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -> Da
 
 
 def read_problems(spark: SparkSession, root: str, max_bytes: int = 5_000_000) -> DataFrame:
-    """(file_path, reason) of source files below root that aren't read, or not as they are: larger than the limit, not UTF-8, empty. Only files within the limit are opened."""
+    """(file_path, reason) of source files below root that aren't read, or not as they are: larger than the limit, or not UTF-8. Only files within the limit are opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(language_of(F.col("path")).isNotNull())
     files = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED])))
     large = files.filter(F.col("length") > max_bytes).select("path", F.lit("too large").alias("reason"))
     read = files.filter(F.col("length") <= max_bytes)
-    bad = read.select("path", F.when(F.col("length") == 0, "empty").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").alias("reason")).filter("reason IS NOT NULL")
+    bad = read.select("path", F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").alias("reason")).filter("reason IS NOT NULL")
     return large.unionByName(bad).withColumnRenamed("path", "file_path")
 
 

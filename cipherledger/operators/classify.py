@@ -13,8 +13,8 @@ from ..plans import rules as R
 
 #: Results that a rule may give.
 VOCABULARY = {"classification": ("infrastructure", "application"), "sensitivity": ("public", "internal", "confidential", "high", "critical"), "criticality": ("low", "medium", "high", "critical")}
-#: Rows up to which a table of owner rules is broadcast.
-MAX_RULES = 10_000
+#: Letters of a path criterion that rules are found by.
+GRAM = 3
 
 
 def predicate(rule: tuple) -> Column:
@@ -87,21 +87,31 @@ def algorithm_stage() -> Column:
 def assign_owners(assets: DataFrame, owner_rules: DataFrame) -> DataFrame:
     """Owner by the first rule that fits, priority descending then id ascending; null criteria fit all. An owner that is there stays.
 
-    Rules are a user table. Each criterion is a column test, so the rules meet the distinct (surface, purpose, algorithm,
-    path) once; they join by broadcast only while they are at most MAX_RULES rows, else Spark chooses.
+    Rules are a user's table of any size. Of rules with the same criteria only the first can decide, so the others go.
+    Each rule is found by one criterion that it has: all beginnings of the algorithm, else three letters of the path,
+    else surface or purpose. That key is joined by equality with the keys of the distinct (surface, purpose, algorithm,
+    path), and what meets is tested whole; no side is broadcast by force.
     """
     cols = ["source_surface", "purpose", "algorithm", "file_path"]
     kinds = assets.select(*[F.col(c).alias(f"_{c}") for c in cols]).distinct()
-    r = owner_rules.select("id", F.col("owner").alias("rule_owner"), "priority", "surface", F.col("purpose").alias("rule_purpose"), "algorithm_prefix", "path_contains")
-    if owner_rules.limit(MAX_RULES + 1).count() <= MAX_RULES:
-        r = F.broadcast(r)
+    up, low = F.upper("_algorithm"), F.lower("_file_path")
+    begun = F.transform(F.sequence(F.lit(0), F.coalesce(F.length(up), F.lit(-1))), lambda n: F.concat(F.lit("a:"), F.substring(up, F.lit(1), n)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1))), lambda i: F.concat(F.lit("p:"), F.substring(low, i, F.lit(GRAM))))
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.when(up.isNull(), none).otherwise(begun), F.coalesce(F.array_distinct(grams), none), F.array(F.concat(F.lit("s:"), "_source_surface"), F.concat(F.lit("q:"), "_purpose"), F.lit("*")))
+    r = owner_rules.select("id", F.col("owner").alias("rule_owner"), "priority", "surface", F.col("purpose").alias("rule_purpose"), F.upper("algorithm_prefix").alias("prefix"), F.lower("path_contains").alias("part"))
+    alike = ["surface", "rule_purpose", "prefix", "part"]
+    r = r.groupBy(*alike).agg(F.max_by(F.struct("id", "rule_owner", "priority"), F.struct("priority", -F.col("id"))).alias("r")).select(*alike, "r.*")
+    key = F.when(F.col("prefix").isNotNull(), F.concat(F.lit("a:"), "prefix")).when(F.length("part") >= GRAM, F.concat(F.lit("p:"), F.substring("part", 1, GRAM))).when(F.col("surface").isNotNull(), F.concat(F.lit("s:"), "surface")).when(F.col("rule_purpose").isNotNull(), F.concat(F.lit("q:"), "rule_purpose")).otherwise("*")
     fits = (
         (F.col("surface").isNull() | (F.col("surface") == F.col("_source_surface")))
         & (F.col("rule_purpose").isNull() | (F.col("rule_purpose") == F.col("_purpose")))
-        & (F.col("algorithm_prefix").isNull() | F.upper("_algorithm").startswith(F.upper("algorithm_prefix")))
-        & (F.col("path_contains").isNull() | F.lower("_file_path").contains(F.lower("path_contains")))
+        & (F.col("prefix").isNull() | up.startswith(F.col("prefix")))
+        & (F.col("part").isNull() | low.contains(F.col("part")))
     )
-    best = kinds.join(r, fits).groupBy(*[f"_{c}" for c in cols]).agg(F.max_by("rule_owner", F.struct("priority", -F.col("id"))).alias("_owner"))
+    kinds = kinds.withColumn("_key", F.explode(keys))
+    r = r.withColumn("_key", key)
+    best = kinds.join(r, "_key").filter(fits).groupBy(*[f"_{c}" for c in cols]).agg(F.max_by("rule_owner", F.struct("priority", -F.col("id"))).alias("_owner"))
     same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
     own = F.nullif(F.trim("owner"), F.lit("")) if "owner" in assets.columns else F.lit(None).cast("string")
     kept = [F.col(c) for c in assets.columns if c != "owner"]

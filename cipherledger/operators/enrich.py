@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
-from .extract import cache_key, scrub, strip_injections, truncate, validate_response
+from .extract import cache_key, scrubbed, stripped, truncate, validate_response
 
 #: Days for which a stored answer serves.
 TTL_DAYS = 7
@@ -19,12 +19,10 @@ def ambiguous() -> Column:
 
 def requests(assets: DataFrame, version: str = "v1") -> DataFrame:
     """(seq, snippet, cache_key, redactions, injections, truncated) of the ambiguous assets: secrets and injections out, cut, keyed."""
-    clean, redactions = scrub(F.col("snippet"))
-    x = assets.filter(ambiguous()).select("seq", clean.alias("_s"), redactions.alias("redactions"))
-    stripped, fired = strip_injections(F.col("_s"))
-    x = x.select("seq", stripped.alias("_s"), "redactions", fired.alias("injections"))
-    cut, long = truncate(F.col("_s"))
-    x = x.select("seq", cut.alias("snippet"), "redactions", "injections", long.alias("truncated"))
+    x = assets.filter(ambiguous()).select("seq", scrubbed(F.col("snippet")).alias("_a"))
+    x = x.select("seq", "_a", stripped(F.col("_a.t")).alias("_b"))
+    cut, long = truncate(F.col("_b.t"))
+    x = x.select("seq", cut.alias("snippet"), F.col("_a.n").alias("redactions"), F.col("_b.n").alias("injections"), long.alias("truncated"))
     return x.withColumn("cache_key", cache_key(F.col("snippet"), version))
 
 

@@ -182,8 +182,8 @@ def probe_counts(handshakes: DataFrame) -> DataFrame:
     return handshakes.agg(F.count("*").alias("endpoints_probed"), F.count_if(bad).alias("endpoints_failed"))
 
 
-def _replaced(text: Column, steps: list[tuple[str, str]], mark: str) -> tuple[Column, Column]:
-    """Text with each pattern replaced in order, and the names of those that changed it. Each step reads the one before it once, as a bound variable; written out, the steps would double at each."""
+def _replaced(text: Column, steps: list[tuple[str, str]], mark: str) -> Column:
+    """struct(t, n): text with each pattern replaced in order, and the names of those that changed it. Each step reads the one before it once, as a bound variable; written out, the steps would double at each."""
 
     def step(state: Column, name: str, pattern: str) -> Column:
         new = _bound(state, lambda s: F.struct(s.alias("s"), F.regexp_replace(s["t"], pattern, mark).alias("t")))
@@ -193,22 +193,34 @@ def _replaced(text: Column, steps: list[tuple[str, str]], mark: str) -> tuple[Co
     state = F.struct(text.alias("t"), F.array().cast("array<string>").alias("n"))
     for name, pattern in steps:
         state = step(state, name, pattern)
-    return state["t"], F.when(text.isNotNull(), state["n"]).otherwise(F.array().cast("array<string>"))
+    return state
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scrubbed(text: Column) -> Column:
+    """struct(t, n): text with secrets replaced, and the names of those found. Put it in a column of its own before its fields are read, so it runs once."""
+    return _replaced(text, [("aws_key", r"AKIA[0-9A-Z]{16}"), ("jwt", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("hex_secret", r"\b[0-9a-fA-F]{64}\b")], "[REDACTED]")
+
+
+def stripped(text: Column) -> Column:
+    """struct(t, n): text without control characters and with prompt injections replaced, and the names of those found."""
+    clean = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Cs}&&[^\t\n\r]]", "")
+    return _replaced(clean, [(n, p.replace("(?m)", "(?im)") if p.startswith("(?m)") else f"(?i){p}") for n, p in R.INJECTIONS], "[STRIPPED]")
+
+
 def scrub(text: Column) -> tuple[Column, Column]:
     """Text with secrets replaced, and the names of those found."""
-    return _replaced(text, [("aws_key", r"AKIA[0-9A-Z]{16}"), ("jwt", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), ("hex_secret", r"\b[0-9a-fA-F]{64}\b")], "[REDACTED]")
+    out = scrubbed(text)
+    return out["t"], out["n"]
 
 
 def strip_injections(text: Column) -> tuple[Column, Column]:
     """Text without control characters and with prompt injections replaced, and the names of those found."""
-    clean = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Cs}&&[^\t\n\r]]", "")
-    return _replaced(clean, [(n, p.replace("(?m)", "(?im)") if p.startswith("(?m)") else f"(?i){p}") for n, p in R.INJECTIONS], "[STRIPPED]")
+    out = stripped(text)
+    return out["t"], out["n"]
 
 
 def truncate(text: Column, most: int = 2048) -> tuple[Column, Column]:

@@ -405,8 +405,8 @@ _PHRASES = [(n, p.replace("(?m)", "(?im)") if p.startswith("(?m)") else f"(?i){p
 
 @query(_with(_chain("snippet", _SECRETS, "[REDACTED]"), f"SELECT doc_id, sha256(s) AS scrubbed, array_to_string(f, ',') AS found FROM k_{len(_SECRETS)}"))
 def e02_scrub(spark: SparkSession, d: str) -> DataFrame:
-    text, names = X.scrub(F.col("snippet"))
-    return load(spark, d, "snippets").select("doc_id", F.sha2(text, 256).alias("scrubbed"), F.array_join(names, ",").alias("found"))
+    x = load(spark, d, "snippets").select("doc_id", X.scrubbed(F.col("snippet")).alias("x"))
+    return x.select("doc_id", F.sha2("x.t", 256).alias("scrubbed"), F.array_join("x.n", ",").alias("found"))
 
 
 @query(_with([*ctes("snippets"), "c AS (SELECT doc_id, unnest(string_split(snippet, '')) AS ch, length(snippet) AS n FROM snippets)", "p AS (SELECT doc_id, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY doc_id, ch)"], "SELECT s.doc_id, round(coalesce(e, 0), 4) AS entropy FROM snippets s LEFT JOIN (SELECT doc_id, -sum(p * log2(p)) AS e FROM p GROUP BY 1) x ON x.doc_id = s.doc_id"))
@@ -416,8 +416,8 @@ def e03_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with(_chain("regexp_replace(snippet, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\p{Cf}]', '', 'g')", _PHRASES, "[STRIPPED]"), f"SELECT doc_id, array_to_string(f, ',') AS fired, sha256(s) AS stripped FROM k_{len(_PHRASES)}"))
 def e05_injections(spark: SparkSession, d: str) -> DataFrame:
-    text, names = X.strip_injections(F.col("snippet"))
-    return load(spark, d, "snippets").select("doc_id", F.array_join(names, ",").alias("fired"), F.sha2(text, 256).alias("stripped"))
+    x = load(spark, d, "snippets").select("doc_id", X.stripped(F.col("snippet")).alias("x"))
+    return x.select("doc_id", F.array_join("x.n", ",").alias("fired"), F.sha2("x.t", 256).alias("stripped"))
 
 
 @query(_with(ctes("snippets"), "SELECT doc_id, CAST(CASE WHEN length(snippet) > 2048 THEN 2048 + 12 ELSE length(snippet) END AS INT) AS n, length(snippet) > 2048 AS truncated, concat('llm:', sha256(concat(snippet, '|v1'))) AS cache_key FROM snippets"))

@@ -12,7 +12,7 @@ from ..operators import reads as M
 from ..operators import risk as K
 from . import rules as R
 from . import run as runs
-from .code_queries import _APPLIED, _FOUND, _NAMED, cached, lines
+from .code_queries import _APPLIED, _FOUND, _MATCHED, _NAMED, _WALKS, cached, lines
 from .fixtures import ctes, load
 from .queries import _BASE, _CERTS, _CLASSED, _DEDUP, _KEY, _LEVEL, _MAPS, _MIG, _PAIRS, _REC, _REC2, _RECS, _REP, _RISK, _SYM, _WHEN, _YEARS, SCANNED, _n, _s, _scored, _with, findings, query, recommended, scored
 
@@ -235,18 +235,28 @@ def e14_rerun(spark: SparkSession, d: str) -> DataFrame:
 # Whole runs
 
 
-@query(_with(_FOUND, f"SELECT algorithm, purpose, count(*) AS n FROM (SELECT {_NAMED} AS algorithm, purpose, file_path, line_no FROM mm GROUP BY ALL) GROUP BY ALL"))
+_REACHED = [
+    *_WALKS,
+    *_MATCHED,
+    "mq AS (SELECT l.file_path, l.line_no, (SELECT arg_max(qualified_name, (start_line, qualified_name)) FROM fu WHERE fu.file_path = l.file_path AND start_line <= l.line_no) AS function FROM source_lines l)",
+    "rn AS (SELECT node, min(depth) AS depth FROM wa WHERE source IN (SELECT qualified_name FROM fu WHERE reason IS NOT NULL) GROUP BY 1)",
+    f"mr AS (SELECT {_NAMED} AS algorithm, purpose, file_path, line_no FROM mm GROUP BY ALL)",
+]
+
+
+@query(_with(_REACHED, "SELECT algorithm, purpose, function, CASE WHEN function IS NULL THEN NULL ELSE depth IS NOT NULL END AS reachable, count(*) AS n FROM mr JOIN mq USING (file_path, line_no) LEFT JOIN rn ON node = function GROUP BY ALL"))
 def m20_run(spark: SparkSession, d: str) -> DataFrame:
-    out = runs.run(lines(spark, d), skip=("reachability",))
+    """The whole run, with no stage left out: verdicts and the functions behind them."""
+    out = runs.run(lines(spark, d))
     if out.status != "complete" or out.assets is None:
         raise RuntimeError(f"{out.failed}: {out.error}")
-    return _n("algorithm", "purpose")(out.assets)
+    return _n("algorithm", "purpose", "function", "reachable")(out.assets)
 
 
 @query(_with(_FOUND, f"SELECT algorithm, purpose, count(*) AS n FROM (SELECT {_NAMED} AS algorithm, purpose, file_path, line_no FROM mm GROUP BY ALL) GROUP BY ALL"))
 def m16_partial_run(spark: SparkSession, d: str) -> DataFrame:
-    """The run with a last stage that fails: rows and stages up to it stay."""
-    out = runs.run(lines(spark, d), skip=("reachability",), more={"export": lambda a: a.select("no_such_column")})
+    """The run with a last stage that fails while it is written: rows and stages up to it stay."""
+    out = runs.run(lines(spark, d), skip=("reachability",), more={"export": lambda a: a.withColumn("sent", F.raise_error(F.lit("no place to export to")).cast("string"))})
     if out.status != "partial" or out.failed != "export" or out.assets is None:
         raise RuntimeError(f"expected a partial run, got {out.status}")
     return _n("algorithm", "purpose")(out.assets)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, depth, path) of the pairs that a path of edges (caller, callee) joins; the least path of the shortest ones.
 
     One frontier for all sources: a hop joins it with the edges and drops what the source has seen; a source stops once
@@ -122,7 +123,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10_000)
     todo = kept(pairs.select("source", "target").distinct(), "pairs")
     front = kept(todo.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.array("source").alias("path")).distinct(), "front")
     seen, found = front, front.join(todo, (front["source"] == todo["source"]) & (front["node"] == todo["target"]), "left_semi")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # a hop finds nodes not seen before or ends the search
         step = front.join(e, "node").select("source", F.col("next").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
         step = step.groupBy("source", "node").agg(F.min("path").alias("path")).select("source", "node", F.lit(depth).alias("depth"), "path")
         front = kept(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"), "front")
@@ -150,7 +151,7 @@ def resolve_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return x.select("caller", found.alias("callee"), (F.col("_k").isNull() & F.col("_m").isNull()).alias("external")).distinct()
 
 
-def search(functions: DataFrame, calls: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def search(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """(node, depth, entry_ord, path) of every node reachable from an entry point; ties go to the earliest entry, then the least path.
 
     A frontier loop: each hop joins the frontier with the edges and drops nodes already seen. Stored tables cut lineage.
@@ -159,7 +160,7 @@ def search(functions: DataFrame, calls: DataFrame, max_depth: int = 10_000) -> D
     front = functions.filter("is_entry_point").groupBy(F.col("qualified_name").alias("node")).agg(F.min("fn_ord").alias("entry_ord"))
     front = kept(front.select("node", F.lit(0).alias("depth"), "entry_ord", F.array("node").alias("path")), "front")
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # a hop finds nodes not seen before or ends the search
         step = front.join(edges, "node").select(F.col("next").alias("node"), F.lit(depth).alias("depth"), "entry_ord", F.concat("path", F.array("next")).alias("path"))
         step = step.groupBy("node").agg(F.min(F.struct("depth", "entry_ord", "path")).alias("b")).select("node", "b.*")
         front = kept(step.join(seen.select("node"), "node", "left_anti"), "front")

@@ -135,7 +135,7 @@ def test_stage_that_fails_at_run_time(spark, monkeypatch):
 
     df = spark.createDataFrame([("a.py", 1, "hashlib.md5(x)"), ("a.py", 2, "DES.new(k)")], LINES)
     real = run.risk.score
-    monkeypatch.setattr(run.risk, "score", lambda a: real(a).withColumn("x", F.raise_error(F.lit("no score"))))
+    monkeypatch.setattr(run.risk, "score", lambda a, *more, **named: real(a, *more, **named).withColumn("x", F.raise_error(F.lit("no score"))))
     out = run.run(df, skip=("reachability",))
     assert (out.status, out.failed) == ("partial", "risk") and "no score" in (out.error or "")
     assert out.completed == ["discovery", "inventory", "enrichment", "classification", "ownership"]

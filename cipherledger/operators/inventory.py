@@ -24,13 +24,65 @@ def deduplicate(findings: DataFrame) -> DataFrame:
     return out.select("dedup_key", "r.*", "n_observed", "first_seq")
 
 
+#: What a winner takes over from the records that it displaced where it has none of its own; the first column of a group says whether it has.
+BLANKS = (
+    ("priority", "urgency_flag", "hndl_flag", "x_years", "y_years", "z_years"),
+    ("rec_kind", "rec_replacement", "rec_path", "rec_path_type", "rec_status", "rec_alternative", "rec_protocols"),
+    ("owner",),
+    ("reachable",),
+    ("reachability_path",),
+)
+COUNTS = ("dedup_key", "n_observed", "first_seq")
+
+
+def levels(findings: DataFrame) -> DataFrame:
+    """The first record of each key at each confidence, with n_observed and first_seq: no other can displace one or be displaced.
+
+    Partial sums run before the shuffle, and the rows of two tables merge by merge_levels(), so a key with a third of all
+    observations is no hot spot. A null confidence is the lowest. Of records with equal seq and confidence any one is taken.
+    """
+    row = F.struct(*findings.columns)
+    out = findings.withColumn("dedup_key", dedup_key()).groupBy("dedup_key", F.coalesce("confidence", F.lit(-1.0)).alias("_level")).agg(F.min_by(row, "seq").alias("r"), F.count("*").alias("n_observed"), F.min("seq").alias("first_seq"))
+    return out.select("dedup_key", "r.*", "n_observed", "first_seq")
+
+
+def merge_levels(a: DataFrame, b: DataFrame) -> DataFrame:
+    """levels() of the findings behind both tables together."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    row = F.struct(*[c for c in both.columns if c not in COUNTS])
+    out = both.groupBy("dedup_key", F.coalesce("confidence", F.lit(-1.0)).alias("_level")).agg(F.min_by(row, "seq").alias("r"), F.sum("n_observed").alias("n_observed"), F.min("first_seq").alias("first_seq"))
+    return out.select("dedup_key", "r.*", "n_observed", "first_seq")
+
+
+def winners(first: DataFrame, blanks: tuple[tuple[str, ...], ...] = BLANKS) -> DataFrame:
+    """Deduplicated rows of levels(): greatest confidence, ties to the earliest seq, and blanks filled from what they displaced.
+
+    A record displaces the one before it where its confidence is greater, and takes over what it lacks; a record that
+    displaces nothing gives nothing. That is a fold over the levels of a key in order of seq. A key has as many levels
+    as different confidences, which rules bound; only their blanks are gathered, not their rows. Groups of `blanks`
+    whose first column is absent are left out.
+    """
+    groups = [[c for c in g if c in first.columns] for g in blanks if g[0] in first.columns]
+    row = F.struct(*[c for c in first.columns if c not in COUNTS])
+    own = [F.when(F.col(g[0]).isNotNull(), F.struct(*g)).alias(f"b{i}") for i, g in enumerate(groups)]
+    level = F.coalesce("confidence", F.lit(-1.0)).cast("double").alias("level")
+    out = first.groupBy("dedup_key").agg(
+        F.max_by(row, F.struct(F.coalesce("confidence", F.lit(-1.0)), -F.col("seq"))).alias("r"),
+        F.sum("n_observed").alias("n_observed"),
+        F.min("first_seq").alias("first_seq"),
+        *([F.array_sort(F.collect_list(F.struct(F.col("seq").alias("at"), level, *own))).alias("_steps")] if groups else []),
+    )
+    if not groups:
+        return out.select("dedup_key", "r.*", "n_observed", "first_seq")
+    taken = lambda acc, x: F.struct(x["at"].alias("at"), x["level"].alias("level"), *[F.coalesce(x[f"b{i}"], acc[f"b{i}"]).alias(f"b{i}") for i in range(len(groups))])
+    out = out.withColumn("_last", F.aggregate(F.slice("_steps", 2, F.greatest(F.size("_steps") - 1, F.lit(0))), F.get("_steps", F.lit(0)), lambda acc, x: F.when(x["level"] > acc["level"], taken(acc, x)).otherwise(acc)))
+    filled = {c: F.col(f"_last.b{i}.{c}") for i, g in enumerate(groups) for c in g}
+    return out.select("dedup_key", *[filled[c].alias(c) if c in filled else F.col(f"r.{c}") for c in first.columns if c not in COUNTS], "n_observed", "first_seq")
+
+
 def merge_blanks(findings: DataFrame, columns: list[str]) -> DataFrame:
     """Winners of deduplication with blanks in `columns` filled from the records they displaced, latest first."""
-    w = Window.partitionBy("dedup_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    x = findings.withColumn("dedup_key", dedup_key()).withColumn("_before", F.max("confidence").over(w))
-    chain = x.filter(F.col("_before").isNull() | (F.col("confidence") > F.col("_before")))
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in columns]
-    return chain.groupBy("dedup_key").agg(F.max("seq").alias("seq"), *last)
+    return winners(levels(findings), tuple((c,) for c in columns))
 
 
 def family_of(algorithm: Column) -> Column:

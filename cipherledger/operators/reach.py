@@ -14,14 +14,18 @@ from .lexer import statement_calls, statements
 from .scan import block_scan
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def scratch(spark) -> str:  # noqa: ANN001
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-scratch-")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

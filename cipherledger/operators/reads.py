@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,6 +179,52 @@ def document(parts: DataFrame, depends: DataFrame, scan: str, timestamp: str) ->
     return head.unionByName(c).unionByName(p)
 
 
+#: Characters that XML 1.0 doesn't allow, for Spark's expressions and for Python's.
+_NOT_XML = "[^\\x09\\x0A\\x0D\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
+_XML_BAD = "[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]"
+
+
+def printable(assets: DataFrame) -> DataFrame:
+    """Assets whose text columns hold U+FFFD in place of characters that XML doesn't allow."""
+    texts = {f.name: F.regexp_replace(F.col(f"`{f.name}`"), _NOT_XML, "\ufffd") for f in assets.schema.fields if f.dataType.simpleString() == "string"}
+    return assets.withColumns(texts) if texts else assets
+
+
+def document_xml(parts: DataFrame, depends: DataFrame, scan: str, timestamp: str) -> DataFrame:
+    """A bill of materials in XML as ordered lines (section, ord, line), with what document() tells in JSON.
+
+    A component is an element with its fields as elements, a property each in an element of its own; a row holds one
+    component, so no document passes through one row or one task. Components must be of printable() assets.
+    """
+    named = lambda k, v: f"<{k}>{escape(re.sub(_XML_BAD, chr(0xFFFD), v))}</{k}>"
+    top = '<?xml version="1.0" encoding="UTF-8"?><bom><bomFormat>CycloneDX</bomFormat><specVersion>1.6</specVersion><metadata>' + named("scan", scan) + named("timestamp", timestamp) + "</metadata><components>"
+    head = parts.sparkSession.createDataFrame([(0, 0, top), (2, 0, "</components><dependencies>"), (4, 0, "</dependencies></bom>")], "section int, ord long, line string")
+    c = parts.select(F.lit(1).alias("section"), F.col("seq").cast("long").alias("ord"), F.to_xml("component", {"rowTag": "component"}).alias("line"))
+    refs = F.struct(F.col("from_id").cast("string").alias("ref"), F.transform("depends_on", lambda x: x.cast("string")).alias("dependsOn"))
+    p = depends.select(F.lit(3).alias("section"), F.col("from_id").cast("long").alias("ord"), F.to_xml(refs, {"rowTag": "dependency"}).alias("line"))
+    return head.unionByName(c).unionByName(p)
+
+
+def reexport(stored: DataFrame, scan: str, timestamp: str, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(lines, bill) of one scan from the table that sources.tables.write_assets() keeps: the document anew, and a row (scan_id, format, component_count, coverage rates).
+
+    Only the scan's own partition is read. Targets of relationships come from `depends_on` where assets carry it, and
+    only those that the scan still has. A scan without assets gives an empty document and a count of 0.
+    """
+    own = stored.filter(F.col("scan_id") == scan).drop("asset_json")
+    own = own if fmt == "json" else printable(own)
+    parts = components(own)
+    if "depends_on" in own.columns:
+        edges = own.select(F.col("seq").alias("from_id"), F.explode("depends_on").alias("to_id"))
+        depends = dependencies(edges, own)
+    else:
+        depends = stored.sparkSession.createDataFrame([], "from_id long, depends_on array<long>")
+    lines = (document if fmt == "json" else document_xml)(parts, depends, scan, timestamp)
+    rated = quality(own) if {"rule_id", "priority", "rec_replacement", "n_observed"} <= set(own.columns) else None
+    bill = own.agg(F.lit(scan).alias("scan_id"), F.lit(fmt).alias("format"), F.count("*").alias("component_count"))
+    return lines, bill if rated is None else bill.crossJoin(F.broadcast(rated))
+
+
 def quality(assets: DataFrame, observed: int | None = None) -> DataFrame:
     """One row of coverage rates to 4 places; all 0 for an empty table. Columns: rule_id, priority, rec_replacement, n_observed."""
     has = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
@@ -197,17 +245,44 @@ def version_diff(old: DataFrame, new: DataFrame, columns: tuple[str, ...] = ("al
 SORTABLE = ("algorithm", "purpose", "priority", "classification", "source_surface", "file_path", "seq")
 
 
-def page(assets: DataFrame, *, algorithm: str | None = None, purpose: str | None = None, classification: str | None = None, priority: str | None = None, surface: str | None = None, sort: str = "seq", limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A page and the total over the same filter. limit 1 to 500, offset from 0; unknown sort columns fall back to the id."""
-    if not 1 <= limit <= 500 or offset < 0:
-        raise ValueError("limit must be 1 to 500 and offset 0 or more")
+def matching(assets: DataFrame, *, algorithm: str | None = None, purpose: str | None = None, classification: str | None = None, priority: str | None = None, surface: str | None = None) -> DataFrame:
+    """Assets whose algorithm contains a text in any case and whose other columns equal what is given."""
     x = assets
     if algorithm:
         x = x.filter(F.lower("algorithm").contains(algorithm.lower()))
     for col, v in (("purpose", purpose), ("classification", classification), ("priority", priority), ("source_surface", surface)):
         if v:
             x = x.filter(F.col(col) == v)
-    return x.orderBy(sort if sort in SORTABLE else "seq", "seq").offset(offset).limit(limit), x.agg(F.count("*").alias("total"))
+    return x
+
+
+def page_order(sort: str = "seq") -> tuple[Column, ...]:
+    """Columns that a page is sorted by, the id last: `location` is file and line, an unknown name the id alone."""
+    if sort == "location":
+        return F.col("file_path"), F.col("line_number"), F.col("seq")
+    return (F.col(sort), F.col("seq")) if sort in SORTABLE and sort != "seq" else (F.col("seq"),)
+
+
+def risk_order() -> tuple[Column, ...]:
+    """Order of risk_page()."""
+    return F.coalesce("priority", F.lit("P5")), F.col("file_path"), F.col("line_number"), F.col("seq")
+
+
+def page(assets: DataFrame, *, sort: str = "seq", limit: int = 50, offset: int = 0, **filters: str | None) -> tuple[DataFrame, DataFrame]:
+    """A page and the total over the same filters, those of matching(). limit 1 to 500, offset from 0; unknown sort columns fall back to the id.
+
+    Each task keeps its first offset + limit rows; for deep pages write the rows in ranges once (pages.write_ranges with
+    page_order) and read the ranges that hold them.
+    """
+    if not 1 <= limit <= 500 or offset < 0:
+        raise ValueError("limit must be 1 to 500 and offset 0 or more")
+    x = matching(assets, **filters)
+    return x.orderBy(*page_order(sort)).offset(offset).limit(limit), x.agg(F.count("*").alias("total"))
+
+
+def certificate_page(assets: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of the certificate surface by place, and the total of that surface."""
+    return page(assets, surface="certificate", sort="location", limit=limit, offset=offset)
 
 
 def dashboard(assets: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
@@ -248,12 +323,12 @@ def risk_page(assets: DataFrame, limit: int = 50, offset: int = 0, priority: str
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be 1 to 500 and offset 0 or more")
     x = assets if priority is None else assets.filter(F.col("priority") == priority)
-    return x.orderBy(F.coalesce("priority", F.lit("P5")), "file_path", "line_number", "seq").offset(offset).limit(limit)
+    return x.orderBy(*risk_order()).offset(offset).limit(limit)
 
 
 def reachability_page(assets: DataFrame, summary: DataFrame | None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """A page by place, and the summary; without one, a summary in which every verdict is unknown."""
-    page_ = assets.orderBy("file_path", "line_number", "seq").offset(offset).limit(limit)
+    page_ = page(assets, sort="location", limit=limit, offset=offset)[0]
     zero = F.lit(0).cast("long")
     default = assets.agg(F.count("*").alias("total"), zero.alias("reachable"), zero.alias("unreachable"), F.count("*").alias("unknown"), F.lit(0.0).alias("rate"))
     return page_, default if summary is None else summary

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from ..operators import classify as C
 from ..operators import extract as X
 from ..operators import inventory as I
 from ..operators import reads as M
+from ..operators import pages as P
+from ..operators import reach as G
 from ..operators import risk as K
+from ..sources import tables as T
 from . import rules as R
 from . import run as runs
 from .code_queries import _APPLIED, _FOUND, _MATCHED, _NAMED, _WALKS, cached, lines
@@ -175,6 +180,53 @@ def m05_risk_page(spark: SparkSession, d: str) -> DataFrame:
     return M.risk_page(scored(spark, d), limit=100, offset=250).select("seq", "priority")
 
 
+def _ranges(spark: SparkSession, d: str, x: DataFrame, order: tuple) -> P.Ranges:
+    return P.write_ranges(x, order, f"{G.scratch(spark)}/pages-{uuid.uuid4().hex}", 500)
+
+
+@query(_with(_RISK, "SELECT seq, algorithm, priority, (SELECT count(*) FROM rk WHERE source_surface = 'source_code') AS total FROM rk WHERE source_surface = 'source_code' ORDER BY priority, seq LIMIT 300 OFFSET 700"))
+def m02_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page that spans ranges, read from the table in ranges; the total comes from its counts."""
+    x = _ranges(spark, d, M.matching(scored(spark, d), surface="source_code"), M.page_order("priority"))
+    return x.page(300, 700).select("seq", "algorithm", "priority", F.lit(x.total).cast("long").alias("total"))
+
+
+@query(_with(_RISK, "SELECT seq, priority FROM rk ORDER BY coalesce(priority, 'P5'), file_path, line_number, seq LIMIT 100 OFFSET 1250"))
+def m05_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    return _ranges(spark, d, scored(spark, d), M.risk_order()).page(100, 1250).select("seq", "priority")
+
+
+_JUDGED = "j AS (SELECT *, CASE WHEN seq % 3 = 0 THEN true WHEN seq % 3 = 1 THEN false END AS reachable FROM dd)"
+
+
+@query(_with([*_BASE, _DEDUP, _JUDGED, "sm AS (SELECT count(*) AS total, count(*) FILTER (reachable) AS n_reachable, count(*) FILTER (NOT reachable) AS n_unreachable, count(*) FILTER (reachable IS NULL) AS n_unknown FROM j)"], "SELECT seq, file_path, reachable, total, n_reachable, n_unreachable, n_unknown FROM j, sm ORDER BY file_path, line_number, seq LIMIT 75 OFFSET 225"))
+def m06_reachability_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of assets with the summary of all verdicts in each row."""
+    r = F.col("seq") % 3
+    x = I.deduplicate(findings(spark, d)).withColumn("reachable", F.when(r == 0, True).when(r == 1, False))
+    rows, summary = M.reachability_page(x, G.report(x), limit=75, offset=225)
+    told = summary.select("total", *[F.col(c).alias(f"n_{c}") for c in ("reachable", "unreachable", "unknown")])
+    return rows.select("seq", "file_path", "reachable").crossJoin(F.broadcast(told))
+
+
+@query(_with(_RISK, "SELECT seq, algorithm, (SELECT count(*) FROM rk WHERE source_surface = 'certificate') AS total FROM rk WHERE source_surface = 'certificate' ORDER BY file_path, line_number, seq LIMIT 60 OFFSET 30"))
+def m07_certificate_page(spark: SparkSession, d: str) -> DataFrame:
+    rows, total = M.certificate_page(scored(spark, d), limit=60, offset=30)
+    return rows.select("seq", "algorithm").crossJoin(F.broadcast(total))
+
+
+@query(_with(_PARTS, f"SELECT seq, {_NAME} AS name, {_ABOUT} AS description, CASE WHEN source_surface <> 'certificate' THEN {_PRIMITIVE} END AS primitive FROM k7 WHERE {_SCAN} = 'scan1'"))
+def m19_reexport(spark: SparkSession, d: str) -> DataFrame:
+    """A stored scan's document in XML, written anew and read back component by component."""
+    base = f"{G.scratch(spark)}/stored-{uuid.uuid4().hex}"
+    subject = F.when((F.col("source_surface") == "certificate") & (F.col("seq") % 2 == 0), F.concat(F.lit("O=x, CN=host"), (F.col("seq") % 9).cast("string")))
+    T.write_assets(by_scan(migrated(spark, d).withColumn("certificate_subject", subject)), f"{base}/assets")
+    text, _ = M.reexport(T.read_assets(spark, f"{base}/assets"), "scan1", "2024-02-01T00:00:00Z", "xml")
+    T.write_document(text, f"{base}/document")
+    fields = "bomRef long, name string, description string, primitive string"
+    return spark.read.schema(fields).option("rowTag", "component").format("xml").load(f"{base}/document").select(F.col("bomRef").alias("seq"), "name", "description", "primitive")
+
+
 @query(_with([*_BASE, _DEDUP], "SELECT count(*) AS total, CAST(0 AS BIGINT) AS reachable, CAST(0 AS BIGINT) AS unreachable, count(*) AS unknown, CAST(0.0 AS DOUBLE) AS rate FROM dd"))
 def m06_reachability_default(spark: SparkSession, d: str) -> DataFrame:
     return M.reachability_page(I.deduplicate(findings(spark, d)), None)[1]
@@ -253,6 +305,27 @@ def m20_run(spark: SparkSession, d: str) -> DataFrame:
     return _n("algorithm", "purpose", "function", "reachable")(out.assets)
 
 
+_RUN_SQL = [
+    *_FOUND,
+    f"rs AS (SELECT {_NAMED} AS algorithm, purpose, file_path, line_no, 'source_code' AS source_surface FROM mm GROUP BY ALL)",
+    *ctes("findings"),
+    "ow AS (SELECT *, CASE WHEN seq % 3 = 0 THEN concat('o', seq % 7) END AS owner FROM findings WHERE source_surface = 'certificate')",
+    f"ob AS (SELECT *, max(confidence) OVER ({_KEY} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ow)",
+    "wn AS (SELECT upper(algorithm) AS a, arg_max(owner, seq) FILTER (owner IS NOT NULL) AS owner FROM ob WHERE m IS NULL OR confidence > m GROUP BY upper(algorithm), purpose, file_path, line_number)",
+]
+
+
+@query(_with(_RUN_SQL, "SELECT 'certificate' AS surface, owner, count(*) AS n FROM wn GROUP BY ALL UNION ALL SELECT 'source_code', NULL, count(*) FROM rs"))
+def d03_in_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run whose certificates carry owners: winners take over the owner of what they displace."""
+    x = findings(spark, d).filter("source_surface = 'certificate'").drop("source_surface")
+    x = x.withColumn("owner", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("o"), (F.col("seq") % 7).cast("string"))))
+    out = runs.run(lines(spark, d), {"certificate": x}, skip=("reachability",))
+    if out.status != "complete" or out.assets is None:
+        raise RuntimeError(f"{out.failed}: {out.error}")
+    return out.assets.groupBy(F.col("source_surface").alias("surface"), "owner").agg(F.count("*").alias("n"))
+
+
 @query(_with(_FOUND, f"SELECT algorithm, purpose, count(*) AS n FROM (SELECT {_NAMED} AS algorithm, purpose, file_path, line_no FROM mm GROUP BY ALL) GROUP BY ALL"))
 def m16_partial_run(spark: SparkSession, d: str) -> DataFrame:
     """The run with a last stage that fails while it is written: rows and stages up to it stay."""

@@ -43,6 +43,12 @@ def discover(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return numbered(detect.to_assets(detect.detect(lines, load_detection_rules(lines.sparkSession) if rules is None else rules)))
 
 
+def merged(findings: DataFrame) -> DataFrame:
+    """Deduplicated findings; where they carry something that a displaced record can hand on, such blanks are filled."""
+    handed_on = any(g[0] in findings.columns for g in inventory.BLANKS)
+    return inventory.winners(inventory.levels(findings)) if handed_on else inventory.deduplicate(findings)
+
+
 def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules: DataFrame | None = None, tables: RuleTables | None = None, owner_rules: DataFrame | None = None, answers: DataFrame | None = None, skip: tuple[str, ...] = (), greenfield: bool = False, more: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> Result:
     """Runs the stages in order; a stage that fails leaves the rows of the stage before it, and its name.
 
@@ -69,7 +75,7 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
 
     stages: list[tuple[str, Callable[[DataFrame | None], DataFrame]]] = [
         ("discovery", lambda _: discover(lines, rules)),
-        ("inventory", lambda a: inventory.deduplicate(inventory.union_surfaces({"source_code": a, **(others or {})}))),
+        ("inventory", lambda a: merged(inventory.union_surfaces({"source_code": a, **(others or {})}))),
         ("enrichment", lambda a: a if answers is None else enrich.apply(a, answers)),
         ("classification", lambda a: classify.classify(a, t.classes)),
         ("ownership", lambda a: a if owner_rules is None else classify.assign_owners(a, owner_rules)),
@@ -98,12 +104,29 @@ def run(lines: DataFrame, others: dict[str, DataFrame] | None = None, *, rules:
         out.completed.append(name)
     try:
         scanned = ("source_code", *(others or {}))
-        out.tables = {"completeness": reads.completeness(out.assets, scanned), "components": reads.components(out.assets), "dashboard": reads.dashboard(out.assets)}
+        out.tables = {"completeness": reads.completeness(out.assets, scanned), "components": reads.components(out.assets), "dashboard": reads.dashboard(out.assets), **reports(out.assets, out.status)}
     except Exception as problem:
         out.failed, out.error = "tables", str(problem).splitlines()[0]
     return out
 
 
+def reports(assets: DataFrame, status: str = "complete") -> dict[str, DataFrame]:
+    """The rest of what a run tells: relationships, what depends on what, coverage rates, and the lines of both reports.
+
+    Relationships by a sibling symbol need observed_symbol and sibling_symbols; without them only surfaces are linked.
+    """
+    cross = reads.cross_surface_edges(assets).drop("family").withColumn("_k", F.lit(0))
+    siblings = {"observed_symbol", "sibling_symbols", "snippet"} <= set(assets.columns)
+    edges = reads.linked(reads.invokes_edges(assets).withColumnRenamed("k", "_k").unionByName(cross) if siblings else cross)
+    return {
+        "edges": edges,
+        "dependencies": reads.dependencies(edges, assets),
+        "quality": reads.quality(assets),
+        "report": reads.report_lines(assets, status=status),
+        "migration_report": reads.migration_report(assets),
+    }
+
+
 def _stop(out: Result, written: DataFrame | None, waiting: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], problem: Exception) -> None:
     """Finds the stage that failed: those that waited for a write are written one by one, from the last written table on, and the rows before the failing one stay."""
     names = {name for name, _ in waiting}

@@ -75,8 +75,13 @@ def write_assets(assets: DataFrame, path: str) -> None:
     out.write.option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").mode("overwrite").parquet(path)
 
 
+def read_assets(spark: SparkSession, path: str) -> DataFrame:
+    """The table that write_assets() keeps; a filter on scan_id reads that scan's partition alone."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def write_documents(components: DataFrame, path: str, fmt: str = "json") -> None:
-    """Bill-of-materials components, a JSON or XML row each, so that no document passes through one task."""
+    """Bill-of-materials components, a JSON or XML row each, so that no document passes through one task; write_document() writes one document."""
     if fmt == "json":
         components.select(F.to_json("component").alias("value")).write.text(path)
     else:

@@ -5,22 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.inventory import dedup_key, deduplicate
+from ..operators.inventory import dedup_key, levels, merge_levels, winners
 
 #: Parts of the inventory by key; a batch rewrites those that it touches.
 BUCKETS = 64
 
 
 def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Inventory after a batch: deduplication over kept rows and new findings, with observation counts added up."""
-    cols = batch.columns
-    new = deduplicate(batch)
-    if current is None:
-        return new
-    both = current.unionByName(new)
-    row = F.struct(*cols)
-    out = both.groupBy("dedup_key").agg(F.max_by(row, F.struct("confidence", -F.col("seq"))).alias("r"), F.sum("n_observed").alias("n_observed"), F.min("first_seq").alias("first_seq"))
-    return out.select("dedup_key", "r.*", "n_observed", "first_seq")
+    """State after a batch: the first record of each key at each confidence over kept rows and new findings, with counts added up."""
+    new = levels(batch)
+    return new if current is None else merge_levels(current, new)
 
 
 def _bucket() -> Column:
@@ -38,12 +32,35 @@ def _files(spark: SparkSession, target: str, held: dict[int, int]) -> DataFrame
 
 
 def inventory(spark: SparkSession, target: str) -> DataFrame:
-    """The inventory after the last batch."""
+    """The inventory after the last batch, blanks filled from displaced records."""
     last = spark.read.parquet(f"{target}/manifest").agg(F.max("v")).first()[0]
     found = _files(spark, target, _versions(spark, target, last))
     if found is None:
         raise ValueError("no finding has arrived yet")
-    return found
+    return winners(found)
+
+
+def expire(spark: SparkSession, target: str, keep: int = 2) -> list[int]:
+    """Deletes the versions that none of the last `keep` manifests names, and the manifests before them; gives the versions gone.
+
+    A batch that is repeated builds on the manifest before its own, so keep is 2 at least; a reader of the inventory needs
+    no more than the last one. Run it between batches: the manifests' rows are at most keep * BUCKETS.
+    """
+    if keep < 2:
+        raise ValueError("keep must be 2 or more")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda kind: sorted(int(x.getPath().getName()[2:]) for x in fs.listStatus(jvm.Path(root, kind)) if x.getPath().getName().startswith("v="))
+    manifests = listed("manifest")
+    held = {v for k in manifests[-keep:] for v in _versions(spark, target, k).values()}
+    last = manifests[-1] if manifests else -1
+    gone = [v for v in listed("data") if v not in held and v <= last]
+    for v in gone:
+        fs.delete(jvm.Path(root, f"data/v={v}"), True)
+    for k in manifests[:-keep]:
+        fs.delete(jvm.Path(root, f"manifest/v={k}"), True)
+    return gone
 
 
 def run(spark: SparkSession, source: str, schema, target: str, checkpoint: str, files_per_batch: int = 1) -> None:  # noqa: ANN001

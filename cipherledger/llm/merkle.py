@@ -35,14 +35,56 @@ def tree(text: Column) -> Column:
 
 
 def fingerprint_of(text: Column) -> Column:
-    """struct<root, leaves>: the root over the section nodes and the leaves in order."""
+    """struct<root, sections, leaves>: the root over the section nodes, the tree below it, and its leaves in order."""
     leaves = lambda t: F.flatten(F.transform(t, lambda s: F.flatten(s["paragraphs"]["leaves"])))
-    return let(tree(text), lambda t: F.struct(F.sha2(F.array_join(t["node"], " "), 256).alias("root"), leaves(t).alias("leaves")))
+    return let(tree(text), lambda t: F.struct(F.sha2(F.array_join(t["node"], " "), 256).alias("root"), t.alias("sections"), leaves(t).alias("leaves")))
 
 
 def written(f: Column) -> Column:
-    """`root:leaf.leaf...`, leaves as 64-bit hexadecimal numbers."""
-    return F.concat(f["root"], F.lit(":"), F.array_join(F.transform(f["leaves"], lambda x: F.hex(x)), "."))
+    """`root:section/section...`, a section as `node=paragraph;paragraph...`, a paragraph as `node,leaf.leaf...`.
+
+    The root has 64 hexadecimal digits, nodes their first 16, leaves are 64-bit hexadecimal numbers: enough to tell what is
+    equal within two texts, while the roots tell whether they are equal.
+    """
+    short = lambda x: F.substring(x["node"], 1, 16)
+    paragraph = lambda p: F.concat(short(p), F.lit(","), F.array_join(F.transform(p["leaves"], lambda x: F.hex(x)), "."))
+    section = lambda s: F.concat(short(s), F.lit("="), F.array_join(F.transform(s["paragraphs"], paragraph), ";"))
+    return F.concat(f["root"], F.lit(":"), F.array_join(F.transform(f["sections"], section), "/"))
+
+
+def read(fingerprint: Column) -> Column:
+    """The tree of a written fingerprint: array<struct<node, paragraphs: array<struct<node, leaves: array<string>>>>>; null has no section."""
+    cut = lambda x, mark, k: F.substring_index(x, mark, k)
+    paragraph = lambda p: F.struct(cut(p, ",", 1).alias("node"), F.filter(F.split(cut(p, ",", -1), r"\."), lambda x: x != "").alias("leaves"))
+    section = lambda s: F.struct(cut(s, "=", 1).alias("node"), F.transform(F.split(cut(s, "=", -1), ";"), paragraph).alias("paragraphs"))
+    return F.transform(F.when(fingerprint.isNull(), F.expr("array()").cast("array<string>")).otherwise(F.split(cut(fingerprint, ":", -1), "/")), section)
+
+
+def located_edits(pairs: DataFrame, a: str, b: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, section, paragraph, clause), from 0, of a's clauses that b lacks, for rows with two written fingerprints; no text is needed.
+
+    The walk goes down level by level with an anti-join at each: rows with equal roots are left out, then sections whose
+    node b has, then paragraphs, then clauses. A text's clauses are rows, so a very long one spreads over tasks. Repeated
+    rows count once; rows that share an id but not their fingerprints stay apart, and a null id is an id. A null
+    fingerprint has nothing to find or to offer. Other columns aren't read, whatever their names.
+    """
+    root = lambda c: F.coalesce(F.substring_index(F.col(c), ":", 1), F.lit(""))
+    x = pairs.select(F.col(id_col).alias("_id"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    x = x.withColumn("_k", F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("-")), root("_a"), root("_b")))
+    x = x.filter(root("_a") != root("_b")).dropDuplicates(["_k"])
+    own = x.select("_id", "_k", F.posexplode(read(F.col("_a"))).alias("section", "_s"))
+    other = x.select("_k", F.explode(read(F.col("_b"))).alias("_s"))
+    pars = lambda df, *more: df.select("_k", *more, F.posexplode("_s.paragraphs").alias("paragraph", "_p"))
+    open_ = _lacking(own, other, F.col("_s.node"))
+    open_ = _lacking(pars(open_, "_id", "section"), pars(other), F.col("_p.node"))
+    clauses = open_.select("_id", "_k", "section", "paragraph", F.posexplode("_p.leaves").alias("clause", "_leaf"))
+    left = _lacking(clauses, pars(other).select("_k", F.explode("_p.leaves").alias("_leaf")), F.col("_leaf"))
+    return left.select(F.col("_id").alias(id_col), "section", "paragraph", "clause")
+
+
+def _lacking(mine: DataFrame, theirs: DataFrame, what: Column) -> DataFrame:
+    """Rows of mine whose `what` no row of theirs with the same key has."""
+    return mine.withColumn("_w", what).join(theirs.select("_k", what.alias("_w")), ["_k", "_w"], "left_anti").drop("_w")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -215,14 +215,14 @@ def test_line_rules(docs, empty):
     assert line_rules.line_quality(empty).count() == 0
 
 
-def plain_fingerprint(text):
-    """Root and leaves of a text, cut by a plain walk over words."""
+def plain_tree(text):
+    """Sections of paragraphs of clauses of a text, cut by a plain walk over words: (node, [(node, [leaf])])."""
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    nodes, leaves = [], []
+    sections = []
     for section in re.split(r"(?s)(?<=\n\n)(?=.)", text):
         kids = []
         for par in re.split(r"(?<=\n)(?=[^\n])", section):
-            kids.append(sha(par))
+            leaves = []
             words = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+", par)
             clause, n = "", 0
             for w in words:
@@ -232,12 +232,20 @@ def plain_fingerprint(text):
                     clause, n = "", 0
             if clause:
                 leaves.append(clause)
-        nodes.append(sha(" ".join(kids)))
-    return sha(" ".join(nodes)), [xxhash.xxh64_intdigest(x.encode(), 42) for x in leaves]
+            kids.append((sha(par), [xxhash.xxh64_intdigest(x.encode(), 42) for x in leaves]))
+        sections.append((sha(" ".join(k for k, _ in kids)), kids))
+    return sections
+
+
+def plain_fingerprint(text):
+    """Root, leaves and sections of a text."""
+    sections = plain_tree(text)
+    root = hashlib.sha256(" ".join(n for n, _ in sections).encode()).hexdigest()
+    return root, [x for _, kids in sections for _, leaves in kids for x in leaves], sections
 
 
 def written(f):
-    return f[0] + ":" + ".".join(f"{x:X}" for x in f[1])
+    return f[0] + ":" + "/".join(n[:16] + "=" + ";".join(p[:16] + "," + ".".join(f"{x:X}" for x in leaves) for p, leaves in kids) for n, kids in f[2])
 
 
 def plain_likeness(a, b):
@@ -277,6 +285,28 @@ def test_merkle(spark, docs, empty):
         assert sorted((-(2**63) if r.doc_id is None else r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
 
 
+def test_edits_are_located_by_fingerprints(spark, docs, empty):
+    r = random.Random(11)
+    texts = [t or "" for _, t in TEXTS] + ["".join(r.choice(("a b. ", "c, ", "d\n", "e\n\n", "f g h ")) for _ in range(r.randint(0, 60))) for _ in range(60)]
+    pairs = [(k, t, r.choice((t, texts[k - 1], t[: len(t) // 2] + "new words. " + t[len(t) // 2 :], ""))) for k, t in enumerate(texts)]
+    rows = [(k, written(plain_fingerprint(x)), written(plain_fingerprint(y)), "a", 0) for k, x, y in pairs]
+    rows += [rows[5], (rows[7][0], *rows[9][1:]), (None, *rows[3][1:]), (900, None, rows[4][1], "a", 0), (901, rows[4][1], None, "a", 0)]
+    want = set()
+    for k, x, y, _, _ in rows:
+        (rx, sx), (ry, sy) = [((f or "").split(":")[0], [(s.split("=")[0], [(p.split(",")[0], [v for v in p.split(",")[1].split(".") if v]) for p in s.split("=")[1].split(";")]) for s in f.split(":")[1].split("/")] if f else []) for f in (x, y)]
+        if rx == ry:
+            continue
+        nodes, pars = {n for n, _ in sy}, {p for _, kids in sy for p, _ in kids}
+        leaves = {v for _, kids in sy for _, vs in kids for v in vs}
+        want |= {(k, i, j, c) for i, (n, kids) in enumerate(sx) if n not in nodes for j, (p, vs) in enumerate(kids) if p not in pars for c, v in enumerate(vs) if v not in leaves}
+    df = spark.createDataFrame(rows, "doc_id long, one string, two string, section string, _k int").repartition(3)
+    got = [tuple(x) for x in merkle.located_edits(df, "one", "two").collect()]
+    assert set(got) == want and len(got) >= len(want) > 20
+    assert merkle.located_edits(df.filter("false"), "one", "two").count() == 0
+    pair = merkle.fingerprints(spark.createDataFrame([(1, "One. Two.\nThree.\n\nFour."), (2, "One. Two.\nThree!\n\nFour.")], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in merkle.located_edits(spark.createDataFrame([(1, pair[0].fingerprint, pair[1].fingerprint)], "doc_id long, f string, g string"), "f", "g").collect()] == [(1, 0, 1, 0)]
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, "system", "x"), (3, 0, None, "a<|im_end|>b")]
     got = dialogue.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -1,7 +1,8 @@
 """Token ids in grammar-compressed shards (Re-Pair): frequent id pairs become nonterminals, round by round.
 
 A shard row holds a run of documents in ascending id order: the rules, the number of ids each rule expands to, the
-symbols, and for each document its symbols and ids, so that one document is read without expanding the others.
+symbols, and for each document its symbols and ids, so that one document is read without expanding the others. Rules,
+lengths and symbols are packed in as many bits as the greatest of them needs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import views
 
 #: Ids of one shard; a shard always holds whole documents.
 SHARD_IDS = 1_000_000
-#: Rounds of pair replacement, the least count of a pair, and the rules of one shard at most.
-ROUNDS, MIN_COUNT, MAX_RULES = 3, 4, 16_000
+#: The least number of places where a rule is put in: it costs two symbols and its length.
+MIN_COUNT = 4
 #: Words that a worker remembers in each of two generations: a full one becomes the old one, whose words come back on use.
 WORDS = 250_000
 #: Words of one call to the library, and words of letters in one text of it.
@@ -34,59 +35,116 @@ SIGNS, WORD_END = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', "</w>"
 SOLID = np.ones(256, bool)
 SOLID[[9, 10, 13, 32]] = False
 TEXT_BYTES = 8_000_000
-SHARD = "part int, seq int, n_docs int, n_ids long, base int, width int, doc_ids binary, doc_lens binary, doc_symbols binary, rules binary, rule_lens binary, symbols binary"
+SHARD = "part int, seq int, n_docs int, n_ids long, n_rules int, n_symbols long, base int, width int, len_width int, doc_ids binary, doc_lens binary, doc_symbols binary, rules binary, rule_lens binary, symbols binary"
 
 
-def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matched(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ascending places are replaced: of overlapping ones that of the best (least) rank first.
+
+    The better of two neighbours wins wherever no better one touches it, over and over, which is the order of taking the
+    most frequent pair of all each time. Runs of one pair count from their left end and give every second one.
+    """
+    taken = np.zeros(len(place), bool)
+    live = np.arange(len(place))
+    while len(live):
+        at, r = place[live], rank[live]
+        joins = np.diff(at) == 1  # with the next one
+        same = np.zeros(len(live), bool)
+        same[1:] = joins & (r[1:] == r[:-1])
+        head = np.flatnonzero(~same)
+        size = np.diff(np.append(head, len(live)))
+        odd = (np.arange(len(live)) - np.repeat(head, size)) % 2
+        # A run of equal pairs wins as a whole: against the pair before its first one and the pair behind its last one.
+        before, behind = np.ones(len(head), bool), np.ones(len(head), bool)
+        before[1:] = ~joins[head[1:] - 1] | (r[head[1:]] < r[head[1:] - 1])
+        last = head + size - 1
+        behind[:-1] = ~joins[last[:-1]] | (r[last[:-1]] < r[np.minimum(last[:-1] + 1, len(live) - 1)])
+        won = np.repeat(before & behind, size) & (odd == 0)
+        taken[live[won]] = True
+        gone = won.copy()
+        gone[1:] |= won[:-1] & joins
+        gone[:-1] |= won[1:] & joins
+        live = live[~gone]
+    return taken
+
+
+def _chosen(place: np.ndarray, rank: np.ndarray, n: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places to replace, and which of the n pairs have min_count of them.
+
+    Pairs may take each other's places until none has enough. Then those that have enough by themselves try again, the
+    half with the fewest places left out each time, so one is found if there is one.
+    """
+    taken = _matched(place, rank)
+    used = np.bincount(rank[taken], minlength=n)
+    if (used < min_count).all() and n:
+        same = np.concatenate(([False], (np.diff(place) == 1) & (np.diff(rank) == 0)))
+        head = np.flatnonzero(~same)
+        odd = (np.arange(len(place)) - np.repeat(head, np.diff(np.append(head, len(place))))) % 2
+        able = np.flatnonzero(np.bincount(rank[odd == 0], minlength=n) >= min_count)
+        while len(able):
+            mine = np.flatnonzero(np.isin(rank, able))
+            taken = np.zeros(len(place), bool)
+            taken[mine] = _matched(place[mine], rank[mine])
+            used = np.bincount(rank[taken], minlength=n)
+            if (used >= min_count).any():
+                break
+            able = able[np.argsort(-used[able], kind="stable")[: len(able) // 2]]
+    return taken & (used >= min_count)[rank], used >= min_count
+
+
+def compress(ids: np.ndarray, base: int, end_id: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n x 2) and ids per rule. Nonterminal base+r stands for rules[r]; no rule holds the end id, so none crosses documents.
 
-    Each round counts all adjacent pairs, takes the most frequent ones (ties: smallest pair) and replaces their
-    occurrences from left to right; of overlapping occurrences every second one is replaced.
+    A round counts adjacent pairs and gives one nonterminal to each pair that can be replaced min_count times, overlaps
+    going to the most frequent pair (ties: smallest). Pairs that can be replaced in the next round hold a new symbol or
+    lie where a pair found too few places, so only those are counted; when they give nothing, all are counted once more.
+    It ends when no pair can be replaced min_count times.
     """
-    narrow = base + max_rules <= 1 << 16 and int(ids.max(initial=0)) < 1 << 16
-    wide, half = np.uint16 if narrow else np.uint32, np.uint64(16 if narrow else 32)
-    seq, low = ids.astype(wide), (np.uint64(1) << half) - np.uint64(1)
+    seq = ids.astype(np.uint64)
     rules, lens = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for k in range(rounds):
-        room = max_rules - len(rules)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = (seq[:-1].astype(np.uint64) << half) | seq[1:]
-        free = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
-        if not len(free):
-            break
+    fresh = np.ones(len(seq), bool)
+    while len(seq) > 1:
+        half = np.uint64(max(int(seq.max()), base + len(rules)).bit_length())
+        free = np.flatnonzero((fresh[:-1] | fresh[1:]) & (seq[:-1] != end_id) & (seq[1:] != end_id))
+        key = (seq[free] << half) | seq[free + 1]
         bits = np.uint64(len(seq).bit_length())
         if 2 * int(half) + int(bits) <= 64:  # a pair and its place in one number sort fastest
-            both = np.sort((key[free] << bits) | free.astype(np.uint64))
+            both = np.sort((key << bits) | free.astype(np.uint64))
             of, place = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         else:
-            place = free[np.argsort(key[free], kind="stable")]
-            of = key[place]
-        new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            order = np.argsort(key, kind="stable")
+            of, place = key[order], free[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(len(of), 1), bool), of[1:] != of[:-1])))
         n = np.diff(np.append(new, len(of)))
-        most = room if k == rounds - 1 else min(room, max_rules // rounds)
         pick = np.flatnonzero(n >= min_count)
-        if len(pick) > most:
-            pick = np.sort(pick[np.argsort(-n[pick], kind="stable")[:most]])
-        if not len(pick):
-            break
-        pairs = of[new[pick]]
-        rule = np.full(len(n), -1, np.int32)
-        rule[pick] = np.arange(len(pick), dtype=np.int32)
+        rank = np.full(len(n), -1, np.int32)
+        rank[pick[np.argsort(-n[pick], kind="stable")]] = np.arange(len(pick), dtype=np.int32)
         at = np.full(len(seq), -1, np.int32)
-        at[place] = np.repeat(rule, n)
+        at[place] = np.repeat(rank, n)
         hit = np.flatnonzero(at >= 0)
-        run = np.concatenate(([0], np.flatnonzero(np.diff(hit) != 1) + 1))
-        first = np.repeat(hit[run], np.diff(np.concatenate((run, [len(hit)]))))
-        hit = hit[(hit - first) % 2 == 0]
-        seq[hit] = (base + len(rules) + at[hit].astype(np.int64)).astype(wide)
+        of_hit = at[hit]
+        done, used = _chosen(hit, of_hit, len(pick), min_count)
+        if not done.any():
+            if fresh.all():
+                break
+            fresh[:] = True
+            continue
+        number = np.cumsum(used) - 1 + len(rules) + base
+        fresh[:] = False
+        late = hit[~done]  # too few places, or lost to a pair with too few
+        fresh[late] = True
+        hit, of_hit = hit[done], of_hit[done]
+        seq_pairs = np.empty((len(pick), 2), np.uint64)
+        seq_pairs[of_hit, 0], seq_pairs[of_hit, 1] = seq[hit], seq[hit + 1]
+        pairs = seq_pairs[used].astype(np.uint32)
+        seq[hit] = number[of_hit]
+        fresh[hit] = True
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq = seq[keep]
-        new = np.stack((pairs >> half, pairs & low), 1).astype(np.uint32)
+        seq, fresh = seq[keep], fresh[keep]
         size = lambda s, lens=lens: np.where(s < base, 1, lens[np.maximum(s.astype(np.int64) - base, 0)] if len(lens) else 1)
-        lens = np.concatenate((lens, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)))
-        rules = np.concatenate((rules, new))
+        lens = np.concatenate((lens, (size(pairs[:, 0]) + size(pairs[:, 1])).astype(np.uint32)))
+        rules = np.concatenate((rules, pairs))
     return seq.astype(np.uint32), rules, lens
 
 
@@ -102,6 +160,30 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lens: np.ndarray, base: int) -> np.ndarray:
+    """expand() of many symbols: rules are expanded once, then copied; their lengths say where to."""
+    flat = np.concatenate((np.arange(base, dtype=np.uint32), expand(base + np.arange(len(rules)), rules, base)))
+    size = np.concatenate((np.ones(base, np.int64), lens))
+    first, n = (np.cumsum(size) - size)[symbols], size[symbols]
+    ends = np.cumsum(n)
+    return flat[np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """Numbers of `width` bits each, low bits first."""
+    bits = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def unpack(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
+    """The numbers start to stop - 1 of pack(); no other byte is read."""
+    a = start * width
+    raw = np.frombuffer(data, np.uint8, (stop * width + 7) // 8 - a // 8, a // 8)
+    bits = np.zeros((stop - start, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(raw, bitorder="little")[a % 8 : a % 8 + (stop - start) * width].reshape(-1, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+
+
 class WordIds:
     """The library's ids of texts. Its pre-tokenizer cuts at white space, so ids are remembered by word.
 
@@ -207,17 +289,26 @@ def _shard(part: int, seq: int, docs: list[tuple[int | None, np.ndarray]], base:
     symbols, rules, rule_lens = compress(ids, base, end_id)
     size = np.where(symbols < base, 1, rule_lens[np.maximum(symbols.astype(np.int64) - base, 0)] if len(rule_lens) else 1)
     ends = np.searchsorted(np.cumsum(size), np.cumsum(lens)) + 1
-    width = 2 if base + len(rules) <= 1 << 16 else 4
-    kind = f"<u{width}"
+    width, len_width = (max(int(x.max(initial=0)), 1).bit_length() for x in (np.concatenate((symbols, rules.ravel())), rule_lens))
     none = -(1 << 63)
-    row = [part, seq, len(docs), len(ids), base, width]
-    row += [x.tobytes() for x in (np.array([none if d is None else d for d, _ in docs], "<i8"), lens, np.diff(ends, prepend=0).astype("<u4"), rules.astype(kind), rule_lens.astype("<u4"), symbols.astype(kind))]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    row = [part, seq, len(docs), len(ids), len(rules), len(symbols), base, width, len_width]
+    row += [x.tobytes() for x in (np.array([none if d is None else d for d, _ in docs], "<i8"), lens, np.diff(ends, prepend=0).astype("<u4"))]
+    row += [pack(rules.ravel(), width), pack(rule_lens, len_width), pack(symbols, width)]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SHARD.split(", ")])
 
 
+def _rules(row: dict) -> np.ndarray:
+    return unpack(row["rules"], row["width"], 0, 2 * row["n_rules"]).reshape(-1, 2)
+
+
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """Writes shards of the documents in ascending id order (equal ids by text, null ids first; null text is empty)."""
+    """Writes shards of the documents in ascending id order (equal ids by text, null ids first; null text is empty).
+
+    Every row counts, repeated ones too; an empty text is the end id alone; an empty table gives files without a shard.
+    A text of any length is one document and lies whole in one shard, which it may fill alone. Other columns aren't read,
+    whatever their names.
+    """
     spark = docs.sparkSession
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -242,9 +333,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
 
 def _documents(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, ids before it in the shard, ids) of a shard row."""
-    kind = f"<u{row['width']}"
-    rules = np.frombuffer(row["rules"], kind).reshape(-1, 2)
-    ids = expand(np.frombuffer(row["symbols"], kind), rules, row["base"])
+    rule_lens = unpack(row["rule_lens"], row["len_width"], 0, row["n_rules"])
+    ids = expand_all(unpack(row["symbols"], row["width"], 0, row["n_symbols"]), _rules(row), rule_lens, row["base"])
     lens = np.frombuffer(row["doc_lens"], "<u4").astype(np.int64)
     at = np.cumsum(lens) - lens
     for d, a, k in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), at.tolist(), lens.tolist(), strict=True):
@@ -255,9 +345,8 @@ def document_ids(row: dict, doc_id: int) -> np.ndarray:
     """Ids of one document of a shard row: only its own symbols are expanded."""
     at = int(np.flatnonzero(np.frombuffer(row["doc_ids"], "<i8") == doc_id)[0])
     n = np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64)
-    kind = f"<u{row['width']}"
     a = int(n[:at].sum())
-    return expand(np.frombuffer(row["symbols"], kind)[a : a + int(n[at])], np.frombuffer(row["rules"], kind).reshape(-1, 2), row["base"])
+    return expand(unpack(row["symbols"], row["width"], a, a + int(n[at])), _rules(row), row["base"])
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

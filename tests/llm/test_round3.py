@@ -1,4 +1,4 @@
-"""License scan, phrase mining and periodic runs against brute force on small tables."""
+"""License scan, phrase mining, periodic runs and the grammar of ids against brute force on small tables."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cipherledger.llm import license_scan, periodic_runs, phrase_index
+from cipherledger.llm import license_scan, periodic_runs, phrase_index, token_files
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _t string, _id string, runs int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,3 +178,39 @@ def test_index_equals_counting():
             assert [row(codes, g) for g in got] == new_lo.tolist()
     x = np.array([r.randint(0, 9) for _ in range(500)])
     assert (phrase_index._order(x, x[::-1], 21) == phrase_index._order(x, x[::-1], 40)).all()
+
+
+def _replaceable(seq, end_id):
+    """The greatest number of places where one pair can be replaced, overlaps of a pair with itself taken from the left."""
+    most, last, count = 0, {}, {}
+    for i, pair in enumerate(zip(seq[:-1], seq[1:], strict=True)):
+        if end_id not in pair and last.get(pair, -2) != i - 1:
+            last[pair], count[pair] = i, count.get(pair, 0) + 1
+            most = max(most, count[pair])
+    return most
+
+
+@pytest.mark.parametrize("kinds, n", [(3, 400), (6, 5000), (40, 20000), (1, 1000), (2, 3)])
+def test_grammar_ends_when_no_pair_can_be_replaced(kinds, n):
+    r = np.random.default_rng(kinds)
+    ids = r.integers(2, 2 + kinds, n).astype(np.uint32)
+    ids[r.random(n) < 0.02] = 1
+    symbols, rules, lens = token_files.compress(ids, 50, 1)
+    assert (token_files.expand(symbols, rules, 50) == ids).all()
+    assert (token_files.expand_all(symbols, rules, lens, 50) == ids).all()
+    assert 1 not in rules and _replaceable(symbols.tolist(), 1) < token_files.MIN_COUNT
+
+
+def test_grammar_of_copies_keeps_one_of_them():
+    doc = np.append(np.random.default_rng(4).integers(2, 5000, 3000), 1).astype(np.uint32)
+    symbols, rules, lens = token_files.compress(np.tile(doc, 64), 5000, 1)
+    assert len(symbols) == 2 * 64 and lens.max() == 3000 and len(rules) < 3000
+
+
+@pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 31, 32])
+def test_packed_numbers_come_back_from_any_place(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, 777, dtype=np.uint64).astype(np.uint32)
+    data = token_files.pack(x, width)
+    assert len(data) == (777 * width + 7) // 8
+    for a, b in ((0, 777), (5, 5), (0, 0), (13, 14), (100, 700), (777, 777)):
+        assert (token_files.unpack(data, width, a, b) == x[a:b]).all()

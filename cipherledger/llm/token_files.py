@@ -25,6 +25,8 @@ from .common import views
 SHARD_IDS = 1_000_000
 #: The least number of places where a rule is put in: it costs two symbols and its length.
 MIN_COUNT = 4
+#: Passes over all pairs of a round before only the open ones are looked at.
+PASSES = 3
 #: Words that a worker remembers in each of two generations: a full one becomes the old one, whose words come back on use.
 WORDS = 250_000
 #: Words of one call to the library, and words of letters in one text of it.
@@ -46,6 +48,17 @@ def _matched(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """
     taken = np.zeros(len(place), bool)
     live = np.arange(len(place))
+    if len(place) and 4 * len(place) > place[-1] - place[0]:
+        # Most are settled in a few passes over all neighbours, the left one of equals first; what is left, long runs too, by the loop below.
+        none, at = np.int32(np.iinfo(np.int32).max), place - (place[0] - 1)
+        dense, won = np.full(int(at[-1]) + 2, none, np.int32), np.zeros(int(at[-1]) + 2, bool)
+        dense[at] = rank
+        for _ in range(PASSES):
+            here = dense[1:-1]
+            best = np.flatnonzero((here < dense[:-2]) & (here <= dense[2:])) + 1
+            won[best] = True
+            dense[best - 1] = dense[best] = dense[best + 1] = none
+        taken, live = won[at], np.flatnonzero(dense[at] != none)
     while len(live):
         at, r = place[live], rank[live]
         joins = np.diff(at) == 1  # with the next one
@@ -92,6 +105,31 @@ def _chosen(place: np.ndarray, rank: np.ndarray, n: int, min_count: int) -> tupl
     return taken & (used >= min_count)[rank], used >= min_count
 
 
+def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, half: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as one number each, sorted, and their places in order."""
+    key = left.astype(np.uint64)
+    key <<= np.uint64(half)
+    key |= right
+    if 2 * half + bits > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], place[order]
+    key <<= np.uint64(bits)  # a pair and its place in one number sort fastest
+    key |= place.astype(np.uint64)
+    key.sort()
+    return key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _in_order(place: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both by ascending place below n."""
+    if 8 * len(place) < n:
+        order = np.argsort(place)
+        return place[order], rank[order]
+    line = np.full(n, -1, np.int32)
+    line[place] = rank
+    place = np.flatnonzero(line >= 0)
+    return place, line[place]
+
+
 def compress(ids: np.ndarray, base: int, end_id: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n x 2) and ids per rule. Nonterminal base+r stands for rules[r]; no rule holds the end id, so none crosses documents.
 
@@ -100,44 +138,35 @@ def compress(ids: np.ndarray, base: int, end_id: int, min_count: int = MIN_COUNT
     lie where a pair found too few places, so only those are counted; when they give nothing, all are counted once more.
     It ends when no pair can be replaced min_count times.
     """
-    seq = ids.astype(np.uint64)
+    seq, top = ids.astype(np.uint32), int(ids.max(initial=0))
     rules, lens = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     fresh = np.ones(len(seq), bool)
     while len(seq) > 1:
-        half = np.uint64(max(int(seq.max()), base + len(rules)).bit_length())
-        free = np.flatnonzero((fresh[:-1] | fresh[1:]) & (seq[:-1] != end_id) & (seq[1:] != end_id))
-        key = (seq[free] << half) | seq[free + 1]
-        bits = np.uint64(len(seq).bit_length())
-        if 2 * int(half) + int(bits) <= 64:  # a pair and its place in one number sort fastest
-            both = np.sort((key << bits) | free.astype(np.uint64))
-            of, place = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        else:
-            order = np.argsort(key, kind="stable")
-            of, place = key[order], free[order]
-        new = np.flatnonzero(np.concatenate((np.ones(min(len(of), 1), bool), of[1:] != of[:-1])))
-        n = np.diff(np.append(new, len(of)))
-        pick = np.flatnonzero(n >= min_count)
-        rank = np.full(len(n), -1, np.int32)
-        rank[pick[np.argsort(-n[pick], kind="stable")]] = np.arange(len(pick), dtype=np.int32)
-        at = np.full(len(seq), -1, np.int32)
-        at[place] = np.repeat(rank, n)
-        hit = np.flatnonzero(at >= 0)
-        of_hit = at[hit]
-        done, used = _chosen(hit, of_hit, len(pick), min_count)
-        if not done.any():
+        at = np.flatnonzero(fresh[:-1] | fresh[1:])
+        left, right = seq[at], seq[at + 1]
+        inside = (left != end_id) & (right != end_id)
+        of, place = _by_pair(left[inside], right[inside], at[inside], max(top, base + len(rules)).bit_length(), len(seq).bit_length())
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(of), 1), bool), of[1:] != of[:-1])))
+        n = np.diff(np.append(first, len(of)))
+        enough = n >= min_count
+        place, n, first = place[np.repeat(enough, n)], n[enough], first[enough]
+        rank = np.empty(len(n), np.int32)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=np.int32)
+        hit, of_hit = _in_order(place, np.repeat(rank, n), len(seq))
+        done, used = _chosen(hit, of_hit, len(n), min_count)
+        if not used.any():
             if fresh.all():
                 break
             fresh[:] = True
             continue
-        number = np.cumsum(used) - 1 + len(rules) + base
         fresh[:] = False
-        late = hit[~done]  # too few places, or lost to a pair with too few
-        fresh[late] = True
+        if not used.all():
+            fresh[hit[~done]] = True  # too few places, or lost to a pair with too few
         hit, of_hit = hit[done], of_hit[done]
-        seq_pairs = np.empty((len(pick), 2), np.uint64)
-        seq_pairs[of_hit, 0], seq_pairs[of_hit, 1] = seq[hit], seq[hit + 1]
-        pairs = seq_pairs[used].astype(np.uint32)
-        seq[hit] = number[of_hit]
+        pairs = np.empty((len(n), 2), np.uint32)
+        pairs[of_hit, 0], pairs[of_hit, 1] = seq[hit], seq[hit + 1]
+        pairs = pairs[used]
+        seq[hit] = (np.cumsum(used) - 1 + len(rules) + base).astype(np.uint32)[of_hit]
         fresh[hit] = True
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
@@ -145,7 +174,7 @@ def compress(ids: np.ndarray, base: int, end_id: int, min_count: int = MIN_COUNT
         size = lambda s, lens=lens: np.where(s < base, 1, lens[np.maximum(s.astype(np.int64) - base, 0)] if len(lens) else 1)
         lens = np.concatenate((lens, (size(pairs[:, 0]) + size(pairs[:, 1])).astype(np.uint32)))
         rules = np.concatenate((rules, pairs))
-    return seq.astype(np.uint32), rules, lens
+    return seq, rules, lens
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

@@ -73,17 +73,25 @@ def match_calls(sites: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.withColumns({"key_size": size, "curve": curve, "observed_symbol": F.col("function"), "sibling_symbols": F.col("siblings")}).select(*FOUND)
 
 
+#: Letters that the stem of a rule with a star is joined by.
+STEM = 3
+
+
 def match_symbols(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of the rules over bare identifiers in the role that a rule asks for: call, macro, constant or any."""
     x = lexed(lines).filter("language IS NOT NULL")
     tokens = F.regexp_extract_all(F.regexp_replace("code", '"[0-9A-F]*"', '""'), F.lit(IDENTIFIER), F.lit(0))
     x = x.select("file_path", "line_no", "language", siblings(F.col("code")).alias("sibling_symbols"), F.substring("line", 1, SNIPPET).alias("snippet"), F.col("code").rlike(r"^\s*#").alias("_macro"), F.posexplode(tokens).alias("pos", "_t"))
     x = x.withColumns({"observed_symbol": F.regexp_extract("_t", r"^\w+", 0), "_call": F.col("_t").endswith("(")})
-    r = F.broadcast(rules.filter("kind = 'c_symbol'").withColumnRenamed("language", "rule_language"))
-    same = (F.col("language") == F.col("rule_language")) & F.when(F.col("rule_function").endswith("*"), F.col("observed_symbol").startswith(F.rtrim(F.col("rule_function"), F.lit("*")))).otherwise(F.col("observed_symbol") == F.col("rule_function"))
+    r = rules.filter("kind = 'c_symbol'").withColumnRenamed("language", "rule_language")
+    stem = F.rtrim(F.col("rule_function"), F.lit("*"))
+    r = F.broadcast(r.withColumn("_key", F.when(~F.col("rule_function").endswith("*"), F.concat(F.lit("="), "rule_function")).when(F.length(stem) >= STEM, F.concat(F.lit("^"), F.substring(stem, 1, STEM))).otherwise("")))
+    # A rule has one key, a name all that could be a rule's: itself, its first letters, and the key of shorter stems.
+    x = x.withColumn("_key", F.explode(F.array(F.concat(F.lit("="), "observed_symbol"), F.concat(F.lit("^"), F.substring("observed_symbol", 1, STEM)), F.lit(""))))
+    same = (F.col("language") == F.col("rule_language")) & (x["_key"] == r["_key"]) & (~F.col("rule_function").endswith("*") | F.col("observed_symbol").startswith(stem))
     constant = ~F.col("_call") & ((F.upper("observed_symbol") == F.col("observed_symbol")) | F.col("observed_symbol").rlike("^(NID_|OBJ_|EVP_)"))
     role = F.when(F.col("role") == "call", F.col("_call")).when(F.col("role") == "macro", F.col("_macro")).when(F.col("role") == "constant", constant).otherwise(F.lit(True))
-    hit = x.join(r, same).filter(role)
+    hit = x.join(r, same).filter(role).drop("_key")
     none = F.lit(None).cast("int")
     return hit.withColumns({"key_size": none, "curve": F.lit(None).cast("string")}).select(*FOUND)
 

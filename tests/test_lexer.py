@@ -6,10 +6,12 @@ import ast
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cipherledger.operators import detect, lexer, reach, scan
 from cipherledger.plans import detection, run
 from cipherledger.sources import tables
+from cipherledger.sources.rule_files import load_detection_rules
 
 LINES = "file_path string, line_no int, line string"
 PIECES = [
@@ -141,3 +143,14 @@ def test_stage_that_fails_at_run_time(spark, monkeypatch):
     assert out.completed == ["discovery", "inventory", "enrichment", "classification", "ownership"]
     assert {x.algorithm for x in out.assets.collect()} == {"MD5", "DES-56"} or out.assets.count() == 2
     assert "classification" in out.assets.columns and "risk" not in out.assets.columns
+
+
+def test_symbol_rules_meet_names_by_whole_name_and_by_stems_of_any_length(spark):
+    stems = ["RSA_sign", "RS", "RSA_*", "RSA*", "RS*", "R*", "*", "RSA_signer", "MD*"]
+    rule = load_detection_rules(spark).filter("kind = 'c_symbol' AND language = 'c'").limit(1)
+    rules = rule.drop("rule_id", "rule_function", "role").crossJoin(spark.createDataFrame([(s, s) for s in stems], "rule_id string, rule_function string")).withColumn("role", F.lit("any"))
+    rules = rules.select(*rule.columns)
+    lines = spark.createDataFrame([("a.c", 1, "    RSA_sign(x);"), ("a.c", 2, "    RS(x);"), ("b.c", 1, "    y = MD5_x;")], "file_path string, line_no int, line string")
+    got = {(r.file_path, r.line_no, r.observed_symbol, r.rule_id) for r in detect.match_symbols(lines, rules).collect()}
+    names = [("a.c", 1, "RSA_sign"), ("a.c", 1, "x"), ("a.c", 2, "RS"), ("a.c", 2, "x"), ("b.c", 1, "y"), ("b.c", 1, "MD5_x")]
+    assert got == {(*n, s) for n in names for s in stems if n[2] == s or s.endswith("*") and n[2].startswith(s[:-1])}

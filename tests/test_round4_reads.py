@@ -24,3 +24,12 @@ def test_xml_document_of_many_files_reads_back_whole(spark, tmp_path):
     assert len([f for f in glob.glob(f"{path}/part-*") if os.path.getsize(f)]) > 1
     got = tables.read_components(spark, path, "bomRef long, name string").collect()
     assert sorted((r.bomRef, r.name) for r in got) == [(i, f"</component> & <component>\n{i}") for i in range(200)]
+
+
+def test_xml_components_are_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "XML_ROWS", 40)
+    x = spark.range(0, 200, 1, 1).select(F.struct("id").alias("component"))
+    tables.write_documents(x, f"{tmp_path}/xml", "xml")
+    assert len(glob.glob(f"{tmp_path}/xml/part-*")) == 5
+    got = spark.read.schema("id long").option("rowTag", "component").format("xml").load(f"{tmp_path}/xml")
+    assert sorted(r.id for r in got.collect()) == list(range(200))

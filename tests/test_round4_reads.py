@@ -33,3 +33,16 @@ def test_xml_components_are_written_in_files_of_bounded_size(spark, tmp_path, mo
     assert len(glob.glob(f"{tmp_path}/xml/part-*")) == 5
     got = spark.read.schema("id long").option("rowTag", "component").format("xml").load(f"{tmp_path}/xml")
     assert sorted(r.id for r in got.collect()) == list(range(200))
+
+
+def test_scans_are_written_compact_and_without_a_sort(spark, tmp_path):
+    x = spark.range(0, 300, 1, 1).select(F.col("id").alias("seq"), F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("scan_id"), F.lit("RSA").alias("algorithm"))
+    path, key = f"{tmp_path}/assets", "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    tables.write_assets(x, path)  # more scans than OPEN_SCANS
+    tables.write_assets(x.filter("scan_id = 's3' AND seq < 100"), path)
+    assert spark.conf.get(key) == before
+    files = glob.glob(f"{path}/scan_id=*/part-*")
+    assert len(files) == 20 and all(f.endswith(".zstd.parquet") for f in files)
+    got = tables.read_assets(spark, path)
+    assert sorted((r.scan_id, r.seq) for r in got.collect()) == sorted((f"s{i % 20}", i) for i in range(300) if i % 20 != 3 or i < 100)

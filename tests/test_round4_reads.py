@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cipherledger.operators import reads
+from cipherledger.operators import detect, lexer, reach, reads
 from cipherledger.sources import tables
 
 
@@ -46,3 +46,11 @@ def test_scans_are_written_compact_and_without_a_sort(spark, tmp_path):
     assert len(files) == 20 and all(f.endswith(".zstd.parquet") for f in files)
     got = tables.read_assets(spark, path)
     assert sorted((r.scan_id, r.seq) for r in got.collect()) == sorted((f"s{i % 20}", i) for i in range(300) if i % 20 != 3 or i < 100)
+
+
+def test_statements_serve_discovery_and_the_call_graph(spark):
+    code = spark.createDataFrame([("a.py", 1, "def main(x):"), ("a.py", 2, "    h = hashlib.md5(x)"), ("a.py", 3, "    f.g.run(x, y(1))")], "file_path string, line_no int, line string")
+    read = reach.read_once(code)
+    assert reach.read_once(read) is read and lexer.lexed(read) is read
+    sites = {(r.line_no, r.pos, r.module, r.function, tuple(r.args)) for r in detect.call_sites(read).collect()}
+    assert sites == {(2, 0, "hashlib", "md5", ("x",)), (3, 0, "f.g", "run", ("x", "y(1)")), (3, 1, None, "y", ("1",))}

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cipherledger.operators import detect, lexer, reach, reads
+from cipherledger.operators import detect, lexer, reach, reads, risk
 from cipherledger.sources import tables
 
 
@@ -54,3 +54,10 @@ def test_statements_serve_discovery_and_the_call_graph(spark):
     assert reach.read_once(read) is read and lexer.lexed(read) is read
     sites = {(r.line_no, r.pos, r.module, r.function, tuple(r.args)) for r in detect.call_sites(read).collect()}
     assert sites == {(2, 0, "hashlib", "md5", ("x",)), (3, 0, "f.g", "run", ("x", "y(1)")), (3, 1, None, "y", ("1",))}
+
+
+def test_rule_lookups_are_searched_and_not_branched(spark):
+    x = spark.createDataFrame([("rsa-2048", "key_establishment"), (None, None)], "algorithm string, purpose string")
+    told = x.select(risk.mapping_ord().alias("m"), risk.y_years().alias("y"), risk.impact_ord().alias("i"))
+    assert "CASE WHEN" not in told._jdf.queryExecution().analyzed().toString()
+    assert [r.i is not None and r.y is not None for r in told.collect()] == [True, True]

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cipherledger.operators import detect, lexer, reach, reads, risk
+from cipherledger.operators import detect, inventory, lexer, reach, reads, risk
 from cipherledger.sources import tables
 
 
@@ -61,3 +61,8 @@ def test_rule_lookups_are_searched_and_not_branched(spark):
     told = x.select(risk.mapping_ord().alias("m"), risk.y_years().alias("y"), risk.impact_ord().alias("i"))
     assert "CASE WHEN" not in told._jdf.queryExecution().analyzed().toString()
     assert [r.i is not None and r.y is not None for r in told.collect()] == [True, True]
+
+
+def test_levels_deal_rows_out_before_they_sort_them(spark):
+    x = spark.createDataFrame([(1, "RSA", "mac", "f", 1, 0.5)], "seq long, algorithm string, purpose string, file_path string, line_number int, confidence double")
+    assert "RepartitionByExpression [seq" in inventory.levels(x)._jdf.queryExecution().analyzed().toString()

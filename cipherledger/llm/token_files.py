@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ SHARD_IDS = 1_000_000
 MIN_COUNT = 4
 #: Passes over all pairs of a round before only the open ones are looked at.
 PASSES = 3
-#: Words that a worker remembers in each of two generations: a full one becomes the old one, whose words come back on use.
+#: Words that a worker remembers; beyond them, those stay that the texts at hand have.
 WORDS = 250_000
 #: Words of one call to the library, and words of letters in one text of it.
 BATCH, JOINED = 20_000, 50
@@ -213,12 +213,19 @@ def unpack(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[k] to first[k] + size[k] - 1 for each k, one after another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class WordIds:
     """The library's ids of texts. Its pre-tokenizer cuts at white space, so ids are remembered by word.
 
     A new word is cut before its final ASCII signs where a letter stands before them, as the pre-tokenizer does. Words
     of letters alone are one token sequence each, whose last id is one of a word end; so many of them go to the library
-    in one text, and ids of word ends tell them apart. If there are more of these than words, they go one by one.
+    in one text, and ids of word ends tell them apart. If a text has more of these than words, its words go one by one.
+    Words and their ids stay in columns, so there is no step of Python for a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -231,56 +238,77 @@ class WordIds:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.joins = all(t + WORD_END in vocab for t in vocab if len(t) == 1)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        for i in range(0, len(words), BATCH):
-            part = words[i : i + BATCH]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                yield w, array("I", e.ids).tobytes()
-
-    def _encode_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        for i in range(0, len(words), BATCH):
-            part = words[i : i + BATCH]
-            lines = [part[k : k + JOINED] for k in range(0, len(part), JOINED)]
-            for ws, e in zip(lines, self.tok.encode_batch_fast([" ".join(ws) for ws in lines], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                end = np.flatnonzero(self.ends[ids]) + 1
-                if len(end) != len(ws):
-                    yield from self._encode(ws)
-                    continue
-                raw, a = ids.tobytes(), 0
-                for w, b in zip(ws, (end * 4).tolist(), strict=True):
-                    yield w, raw[a:b]
-                    a = b
-
-    def learn(self, words: list[str]) -> None:
-        """Remembers the ids of all these words."""
+        self.known = pa.array([], pa.string())
+        self.ids, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def _encode(self, texts: list[str], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        out = [np.zeros(0, np.uint32)]
+        for i in range(0, len(texts), batch):
+            out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts[i : i + batch], add_special_tokens=False)]
+        return np.concatenate(out), np.array([len(x) for x in out[1:]], np.int32)
+
+    def _add_letters(self, words: pa.StringArray) -> np.ndarray:
+        """Remembers words of letters alone; their places."""
+        at = np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32)
+        ids, n = self._encode(pc.binary_join(pa.ListArray.from_arrays(at, words), " ").to_pylist(), BATCH // JOINED)
+        end, line = self.ends[ids], np.repeat(np.arange(len(n)), n)
+        good = (np.bincount(line[end], minlength=len(n)) == np.diff(at)) & end[np.cumsum(n) - 1]
+        kept, mine, places = good[line], np.repeat(good, np.diff(at)), np.empty(len(words), np.int64)
+        places[mine] = self._add(words.filter(pa.array(mine)), ids[kept], np.diff(np.flatnonzero(end[kept]), prepend=-1))
+        places[~mine] = self._add_each(words.filter(pa.array(~mine)))
+        return places
+
+    def _add_each(self, words: pa.StringArray) -> np.ndarray:
+        return self._add(words, *self._encode(words.to_pylist()))
+
+    def _add(self, words: pa.StringArray, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Remembers words that aren't known, with their ids and how many each has; their places."""
+        self.known = pa.concat_arrays([self.known, words])
+        self.ids, self.lens = np.concatenate((self.ids, ids)), np.concatenate((self.lens, lens.astype(np.int32)))
+        return np.arange(len(self.known) - len(words), len(self.known))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the known words at these places, and how many each has."""
+        lens = self.lens[at]
+        return self.ids[_runs((np.cumsum(self.lens, dtype=np.int64) - self.lens)[at], lens)], lens
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Places of words among the known ones, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+
+    def learn(self, words: pa.StringArray) -> np.ndarray:
+        """Places of these distinct words among the known ones, which they join."""
         if len(self.known) > WORDS:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = [w for w in words if w not in known]
-        known.update([(w, old[w]) for w in new if w in old])
-        new = [w for w in new if w not in old]
-        letters = {w for w in new if w.isalpha()} if self.joins else set()
-        cut, rest = [], set()
-        for w in [w for w in new if w not in letters]:
-            core = w.rstrip(SIGNS)
-            if core and core[-1].isalpha():
-                tail = w[len(core) :]
-                if tail:
-                    cut.append((w, core, tail))
-                    if tail not in known:
-                        rest.add(tail)
-                if core not in known:
-                    (letters if self.joins and core.isalpha() else rest).add(core)
-            else:
-                rest.add(w)
-        known.update(self._encode_letters(list(letters)))
-        known.update(self._encode(list(rest)))
-        for w, core, tail in cut:
-            known[w] = known[core] + known[tail]
+            used = np.unique(self._places(words))
+            used = used[used >= 0]
+            self.ids, self.lens = self._ids(used)
+            self.known = self.known.take(pa.array(used))
+        at = self._places(words)
+        fresh = at < 0
+        if not fresh.any():
+            return at
+        new = words.filter(pa.array(fresh))
+        core = pc.utf8_rtrim(new, SIGNS)
+        cut = pc.and_(pc.not_equal(core, new), pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1, None)))
+        core = pc.if_else(cut, core, new)
+        sized = pc.subtract(pc.binary_length(new), pc.binary_length(core)).to_numpy()
+        stops = np.frombuffer(new.buffers()[1], np.int32, len(new) + 1, 4 * new.offset)[1:]
+        data = np.frombuffer(new.buffers()[2], np.uint8)[_runs(stops - sized, sized)]
+        cut = sized > 0
+        tail = pa.StringArray.from_buffers(len(new), pa.py_buffer(np.append(0, np.cumsum(sized)).astype(np.int32)), pa.py_buffer(data)).filter(pa.array(cut))
+        parts = pa.concat_arrays([core, tail]).dictionary_encode()
+        of = self._places(parts.dictionary)
+        letters = pc.utf8_is_alpha(parts.dictionary).to_numpy(zero_copy_only=False) & self.joins
+        for mine, add in (((of < 0) & letters, self._add_letters), ((of < 0) & ~letters, self._add_each)):
+            if mine.any():
+                of[mine] = add(parts.dictionary.filter(pa.array(mine)))
+        of = of[parts.indices.to_numpy()]
+        mine = of[: len(new)]
+        ids, lens = self._ids(np.stack((mine[cut], of[len(new) :]), 1).ravel())
+        mine[cut] = self._add(new.filter(pa.array(cut)), ids, lens.reshape(-1, 2).sum(1))
+        at[fresh] = mine
+        return at
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[off[k]:off[k + 1]], each with the end id, and the number of ids of each."""
@@ -294,13 +322,11 @@ class WordIds:
         before = np.cumsum(solid, dtype=np.int32)  # a word's bytes count, the gaps behind it don't
         where = np.append(before[start] - 1, len(body)).astype(np.int32)
         words = pa.StringArray.from_buffers(len(start), pa.py_buffer(where), pa.py_buffer(body)).dictionary_encode()
-        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(names)
-        ids = [*map(self.known.__getitem__, names), np.array([end_id], "<u4").tobytes()]
-        lens = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens, dtype=np.int32) - lens
+        flat, lens = self._ids(self.learn(words.dictionary))
+        flat, lens = np.append(flat, np.uint32(end_id)), np.append(lens, np.int32(1))
+        first = np.cumsum(lens, dtype=np.int32) - lens
         cuts = np.searchsorted(start, off[1:])
-        seq = np.insert(words.indices.to_numpy(), cuts, len(names))
+        seq = np.insert(words.indices.to_numpy(), cuts, len(lens) - 1)
         count = lens[seq]
         ends = np.cumsum(count, dtype=np.int32)
         out = flat[np.repeat(first[seq] - ends + count, count) + np.arange(int(ends[-1]) if n else 0, dtype=np.int32)]
